@@ -302,9 +302,9 @@ def small_to_big_switch(spark, sf):
 
 @query("switch_stats", _FUSED + """
  SELECT count(*) AS total_processed, count(p.parent_id) AS parent_chunks_found,
-  count(*) - count(p.parent_id) AS parent_chunks_missing, 0::BIGINT AS small_chunks_kept,
+  count(cnd.parent_id) - count(p.parent_id) AS parent_chunks_missing, 0::BIGINT AS small_chunks_kept,
   round(count(p.parent_id) / greatest(count(*), 1)::DOUBLE, 6) AS switch_success_rate
- FROM cnd LEFT JOIN (SELECT parent_id FROM parent WHERE parent_index > 0) p USING (parent_id)""")
+ FROM cnd LEFT JOIN (SELECT parent_id FROM parent WHERE parent_index > 0) p ON p.parent_id = cnd.parent_id""")
 def switch_stats(spark, sf):
     # Parents of index 0 are left out so that both outcomes occur.
     corpus = chunk_corpus(spark, sf)

@@ -106,11 +106,12 @@ CHILD_LISTS = (
     CHILD_FIELDS + "," + bm25(PATH_LIMITS) + "," + VECTOR + """,
  lists AS (SELECT query_id, field AS path, rank, rk.doc_id, parent_id, score
      FROM rk JOIN child ON chunk_id = rk.doc_id
-   UNION ALL SELECT query_id, 'vector', rank, vk.doc_id || '-0-0', vk.doc_id || '-0', score FROM vk),
+   UNION ALL SELECT query_id, 'vector', rank, vk.doc_id || '-0-0', parent_id, score
+     FROM vk LEFT JOIN child ON chunk_id = vk.doc_id || '-0-0'),
  ddp AS (SELECT query_id, path, doc_id, parent_id, score,
    row_number() OVER (PARTITION BY query_id, path ORDER BY rank) AS rank
    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path, parent_id ORDER BY rank) AS nth FROM lists)
-   WHERE nth = 1)"""
+   WHERE nth = 1 OR parent_id IS NULL)"""
 )
 
 FUSED = CHILD_LISTS + """,
