@@ -120,10 +120,7 @@ def blended_weights(spark, sf):
 
 
 def contexts(spark, sf):
-    out = analysis.analyse(all_queries(spark, sf))
-    return out.select("query_id", "query_type", "complexity", "semantic_density",
-                      (F.size("entities") > 0).alias("has_entities"),
-                      F.col("text").rlike(r"\p{Nd}").alias("has_numbers"), F.lit(False).alias("has_dates"))
+    return analysis.query_contexts(analysis.analyse(all_queries(spark, sf)))
 
 
 # Event type -> path; errors record nothing.

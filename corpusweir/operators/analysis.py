@@ -41,10 +41,15 @@ def _add(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def query_type(low: Column) -> Column:
-    """Type with most matching patterns; none is conceptual, a tie is mixed."""
+def query_type(low: Column, runs: Column) -> Column:
+    """Type with most matching patterns; none is conceptual, a tie is mixed.
+
+    Single words are looked up in the word runs; only phrases need a regex.
+    """
     def hits(patterns):
-        return _add([has_word(low, p).cast("int") for p in patterns])
+        single = [p for p in patterns if " " not in p]
+        found = F.size(F.array_intersect(runs, F.array(*[F.lit(p) for p in single])))
+        return _add([found] + [has_word(low, p).cast("int") for p in patterns if " " in p])
 
     scores = {
         "factual": hits(L.FACTUAL),
@@ -61,8 +66,8 @@ def query_type(low: Column) -> Column:
     return out
 
 
-def complexity(text: Column) -> Column:
-    joined = F.size(F.filter(word_runs(F.lower(text)), lambda w: w.isin(*L.CONJUNCTIONS)))
+def complexity(text: Column, runs: Column) -> Column:
+    joined = F.size(F.filter(runs, lambda w: w.isin(*L.CONJUNCTIONS)))
     score = F.size(words(text)) + 2 * joined + count_matches(text, r"\?")
     return F.when(score <= 5, "simple").when(score <= 15, "moderate").otherwise("complex")
 
@@ -79,9 +84,9 @@ def entities(text: Column) -> Column:
     return F.slice(F.transform(placed, lambda s: s["e"]), 1, MAX_ENTITIES)
 
 
-def keywords(low: Column) -> Column:
+def keywords(runs: Column) -> Column:
     """Most frequent words of the query, first occurrence breaking ties."""
-    kept = F.filter(word_runs(low), lambda w: (F.length(w) > 2) & ~w.isin(*L.STOP_WORDS))
+    kept = F.filter(runs, lambda w: (F.length(w) > 2) & ~w.isin(*L.STOP_WORDS))
     counted = F.transform(F.array_distinct(kept), lambda w, i: F.struct(
         (-F.size(F.filter(kept, lambda x: x == w))).alias("n"), i.alias("i"), w.alias("w")
     ))
@@ -109,12 +114,12 @@ def _delta(selector: Column, table: dict[str, dict[str, float]], path: str) -> C
 
 def analyse(queries: DataFrame) -> DataFrame:
     """``queries(query_id, text)`` with every analysis column and ``w_<path>`` weights."""
-    out = queries.withColumn("_low", strip(F.lower("text")))
+    out = queries.withColumn("_low", strip(F.lower("text"))).withColumn("_runs", word_runs(F.col("_low")))
     out = out.withColumns({
-        "query_type": query_type(F.col("_low")),
-        "complexity": complexity(F.col("text")),
+        "query_type": query_type(F.col("_low"), F.col("_runs")),
+        "complexity": complexity(F.col("text"), F.col("_runs")),
         "entities": entities(F.col("text")),
-        "keywords": keywords(F.col("_low")),
+        "keywords": keywords(F.col("_runs")),
         "semantic_density": semantic_density(F.col("_low")),
         "keyword_density": keyword_density(F.col("_low")),
     })
@@ -133,7 +138,17 @@ def analyse(queries: DataFrame) -> DataFrame:
     out = out.withColumn("confidence", confidence(
         F.col("query_type"), F.col("complexity"), F.size("entities"), F.size("keywords")
     ))
-    return out.withColumn("recommended_paths", recommended(out)).drop("_low")
+    return out.withColumn("recommended_paths", recommended(out)).drop("_low", "_runs")
+
+
+def query_contexts(analysed: DataFrame) -> DataFrame:
+    """What the weight adjustment looks at."""
+    dates = rf"{EDGE_L}\p{{Nd}}{{4}}{EDGE_R}|{EDGE_L}\p{{Nd}}{{1,2}}/\p{{Nd}}{{1,2}}/\p{{Nd}}{{2,4}}{EDGE_R}"
+    return analysed.select(
+        "query_id", "query_type", "complexity", "semantic_density",
+        (F.size("entities") > 0).alias("has_entities"),
+        F.col("text").rlike(r"\p{Nd}").alias("has_numbers"), F.col("text").rlike(dates).alias("has_dates"),
+    )
 
 
 def confidence(qtype: Column, level: Column, n_entities: Column, n_keywords: Column) -> Column:
