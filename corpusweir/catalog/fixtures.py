@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweir.catalog.registry import table
+from corpusweir.catalog.registry import table, texts
 from corpusweir.config import RetrievalConfig
 from corpusweir.functions.text import snippet, words
 from corpusweir.operators import bm25, chunking
@@ -24,7 +24,7 @@ def first_words(text: Column, n: int) -> Column:
 
 
 def doc_fields(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf).select(
         "doc_id",
         F.concat_ws(" ", first_words(F.col("source"), 5), first_words(F.col("text"), 10)).alias("keywords"),
         snippet(F.col("text"), 200).alias("summary"),
@@ -61,7 +61,7 @@ def doc_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_corpus(spark: SparkSession, sf: str) -> Corpus:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     parents = chunking.fixed_parents(docs)
     parents = parents.withColumn("keywords", first_words(F.col("content"), 10)).withColumn(
         "summary", snippet(F.col("content"), 200)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusweir.catalog import sql as S
 from corpusweir.catalog.fixtures import first_words
-from corpusweir.catalog.registry import query, table
+from corpusweir.catalog.registry import query, table, texts
 from corpusweir.functions.text import WS, entropy, language, repetition_ratio, snippet, words
 from corpusweir.operators import cleaning, ordering, quality, terminology
 
@@ -19,7 +19,7 @@ GROUPS = {"a": ("the", "of", "and"), "b": ("der", "la", "the")}
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return texts(spark, sf).select("doc_id", "text")
 
 
 def r6(name):
@@ -273,7 +273,7 @@ def text_structure(spark, sf):
 
 @query("document_titles")
 def document_titles(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return docs.select("doc_id", cleaning.title(F.col("text"), F.concat_ws("-", "source", "doc_id")).alias("title"))
 
 
@@ -296,12 +296,14 @@ def expand_abbreviations(spark, sf):
     return out.filter("e <> text").select("doc_id", F.lit(True).alias("may_change"))
 
 
-@query("term_entities", """SELECT doc_id, 0 AS diseases, 0 AS drugs, len(list_filter(
-   ['MI','AMI','CT','OR','PE','AF','ER','ED','PET','CAD','DM','HF','TC','TG','ALT','AST'],
-   lambda a: regexp_matches(text, '(^|[^\\p{L}\\p{N}_])' || a || '($|[^\\p{L}\\p{N}_])'))) AS abbreviations FROM documents""")
+_SHORT = ("MI", "AMI", "CT", "OR", "PE", "AF", "ER", "ED", "PET", "CAD", "DM", "HF", "TC", "TG", "ALT", "AST")
+
+
+@query("term_entities", "SELECT doc_id, 0 AS diseases, 0 AS drugs, " + " + ".join(
+    rf"regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_]){a}($|[^\p{{L}}\p{{N}}_])')::BIGINT" for a in _SHORT)
+       + " AS abbreviations FROM documents")
 def term_entities(spark, sf):
-    some = terminology.Dictionary(abbreviations={a: a for a in (
-        "MI", "AMI", "CT", "OR", "PE", "AF", "ER", "ED", "PET", "CAD", "DM", "HF", "TC", "TG", "ALT", "AST")})
+    some = terminology.Dictionary(abbreviations={a: a for a in _SHORT})
     found = terminology.entity_classes(F.col("text"), some)
     return documents(spark, sf).select(
         "doc_id", *[F.size(found[k]).cast("long").alias(k) for k in ("diseases", "drugs", "abbreviations")])

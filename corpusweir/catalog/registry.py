@@ -25,3 +25,15 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table of long texts, spread over the cores when it comes in few files.
+
+    The test tables are one file with one row group, which would put all text
+    work into one task.  A table in at least as many files as there are cores is
+    left alone.
+    """
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace as Python's ``str.split()`` sees it, spelled as code points so that
@@ -16,6 +18,25 @@ CJK = r"[\x{4e00}-\x{9fff}]"
 SENTENCE_END = r"[.!?。！？]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it any number of times in ``body``.
+
+    A lambda body is evaluated per element, so whatever it captures is bound
+    here first instead of being computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated exactly once.
+
+    The optimizer merges projections and copies expensive expressions into later
+    filters; it does not do so across a generator of one row.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
 
@@ -58,8 +79,9 @@ def safe_div(num: Column, den: Column) -> Column:
 
 def mean_of(values: Column) -> Column:
     """Mean of an array of numbers, 0 for an empty one."""
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
-    return safe_div(total, F.size(values))
+    return let(values, lambda v: safe_div(
+        F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double")), F.size(v)
+    ))
 
 
 def language(text: Column) -> Column:
@@ -80,23 +102,23 @@ def entropy(text: Column) -> Column:
     The count of each distinct character is the length lost when it is removed,
     so the cost is one native scan per distinct character.
     """
-    low = F.lower(text)
-    n = F.length(text)
-    chars = F.array_distinct(F.split(low, ""))
+    def bits(low):
+        n = F.length(low)
 
-    def term(acc, ch):
-        p = (F.length(low) - F.length(F.replace(low, ch))).cast("double") / n
-        return acc - F.when(p > 0, p * F.log2(p)).otherwise(0.0)
+        def term(acc, ch):
+            p = (n - F.length(F.replace(low, ch))).cast("double") / n
+            return acc - F.when(p > 0, p * F.log2(p)).otherwise(0.0)
 
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(chars, F.lit(0.0), term))
+        return F.aggregate(F.array_distinct(F.split(low, "")), F.lit(0.0), term)
+
+    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(let(F.lower(text), bits))
 
 
 def repetition_ratio(text: Column) -> Column:
     """Share of words that repeat an earlier word; 0 below two words."""
-    w = words(text)
-    return F.when(F.size(w) < 2, F.lit(0.0)).otherwise(
+    return let(words(text), lambda w: F.when(F.size(w) < 2, F.lit(0.0)).otherwise(
         F.lit(1.0) - F.size(F.array_distinct(w)) / F.size(w)
-    )
+    ))
 
 
 def text_hash(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusweir import lexicon as L
 from corpusweir.config import PATHS
-from corpusweir.functions.text import CJK, WS, contains_any, count_matches, has_word, safe_div, strip, word_runs, words
+from corpusweir.functions.text import CJK, WS, computed, contains_any, count_matches, has_word, safe_div, strip, word_runs, words
 
 # Base weights, and what each query type and complexity adds.
 ROUTER_BASE = {"vector": 0.3, "keywords": 0.25, "summary": 0.25, "content": 0.2}
@@ -114,8 +114,9 @@ def _delta(selector: Column, table: dict[str, dict[str, float]], path: str) -> C
 
 def analyse(queries: DataFrame) -> DataFrame:
     """``queries(query_id, text)`` with every analysis column and ``w_<path>`` weights."""
-    out = queries.withColumn("_low", strip(F.lower("text"))).withColumn("_runs", word_runs(F.col("_low")))
-    out = out.withColumns({
+    out = computed(queries, {"_low": strip(F.lower("text"))})
+    out = computed(out, {"_runs": word_runs(F.col("_low"))})
+    out = computed(out, {
         "query_type": query_type(F.col("_low"), F.col("_runs")),
         "complexity": complexity(F.col("text"), F.col("_runs")),
         "entities": entities(F.col("text")),

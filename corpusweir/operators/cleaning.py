@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweir import lexicon as L
-from corpusweir.functions.text import WS, strip
+from corpusweir.functions.text import WS, computed, let, strip
 
 _W = r"\p{L}\p{N}_"
 _EDGE = rf"(?<![{_W}])"
@@ -78,6 +78,8 @@ def expand_abbreviations(text: Column, table: dict[str, str] = L.CLEANER_ABBREVI
     """Whole-word, case-insensitive replacement in table order."""
     out = text
     for short, full in {**table, **(custom or {})}.items():
+        if short == full:
+            continue
         pattern = rf"(?iu){_EDGE}\Q{short}\E{_EDGE_END}"
         out = F.regexp_replace(out, pattern, full)
     return out
@@ -97,34 +99,31 @@ def drop_repeated_lines(text: Column, min_key: int = 10) -> Column:
         F.transform(_lines(text), lambda x: F.struct(line_key(x).alias("k"), x.alias("line"))),
         lambda s: F.length(s["k"]) >= min_key,
     )
-    # Sorting by key groups equal lines; the first position of each key survives.
     placed = F.transform(keyed, lambda s, i: F.struct(s["k"].alias("k"), i.alias("i"), s["line"].alias("line")))
-    in_order = F.array_sort(placed)
-    firsts = F.filter(
-        F.transform(in_order, lambda s, j: F.struct(
+
+    def firsts(in_order):
+        # Sorted by key, equal lines are neighbours; the first of each survives.
+        marked = F.transform(in_order, lambda s, j: F.struct(
             s["i"].alias("i"), s["line"].alias("line"),
             ((j == 0) | (F.get(in_order, j - 1)["k"] != s["k"])).alias("first"),
-        )),
-        lambda s: s["first"],
-    )
-    return F.array_join(F.transform(F.array_sort(firsts), lambda s: s["line"]), "\n")
+        ))
+        return F.array_sort(F.filter(marked, lambda s: s["first"]))
+
+    return F.array_join(F.transform(let(F.array_sort(placed), firsts), lambda s: s["line"]), "\n")
 
 
 def clean_steps(df: DataFrame, text: str = "text", out: str = "cleaned", strict: bool = False,
                 custom: dict[str, str] | None = None) -> DataFrame:
     """Noise, headers, abbreviations, repeated lines, final clean-up.
 
-    One column per step keeps each projection small enough for code generation.
+    Every step is evaluated once, whatever is filtered or selected afterwards.
     """
     first = clean_basic(F.col(text)) if strict else remove_noise(F.col(text))
-    return (
-        df.withColumn("_c1", first)
-        .withColumn("_c2", drop_headers(F.col("_c1")))
-        .withColumn("_c3", expand_abbreviations(F.col("_c2"), custom=custom))
-        .withColumn("_c4", drop_repeated_lines(F.col("_c3")))
-        .withColumn(out, clean_basic(F.col("_c4")))
-        .drop("_c1", "_c2", "_c3", "_c4")
-    )
+    out_df = computed(df, {"_c1": first})
+    out_df = computed(out_df, {"_c2": drop_headers(F.col("_c1"))})
+    out_df = computed(out_df, {"_c3": expand_abbreviations(F.col("_c2"), custom=custom)})
+    out_df = computed(out_df, {"_c4": drop_repeated_lines(F.col("_c3"))})
+    return computed(out_df, {out: clean_basic(F.col("_c4"))}).drop("_c1", "_c2", "_c3", "_c4")
 
 
 # -------------------------------------------------------------------- structure
@@ -151,28 +150,27 @@ def structure(text: Column) -> Column:
     A paragraph line after another one is glued to it through a marker, inside
     the row.
     """
-    lines = F.transform(F.split(text, "\n"), strip)
-    kinds = F.transform(lines, line_kind)
     glue, sep = "\x01", "\x02"
-    marked = F.transform(lines, lambda x, i: F.struct(
-        F.get(kinds, i).alias("k"),
-        ((F.get(kinds, i) == "paragraphs") & (i > 0) & (F.get(kinds, i - 1) == "paragraphs")).alias("join"),
-        x.alias("x"),
-    ))
-    paragraphs = F.array_join(
-        F.transform(F.filter(marked, lambda s: s["k"] == "paragraphs"),
-                    lambda s: F.concat(F.when(s["join"], glue).otherwise(sep), s["x"])), "")
-    blocks = F.transform(
-        F.filter(F.split(paragraphs, sep), lambda b: b != ""), lambda b: F.replace(b, F.lit(glue), F.lit(" ")))
-
-    def of(kind):
-        return F.transform(F.filter(marked, lambda s: s["k"] == kind), lambda s: s["x"])
-
-    return F.create_map(
-        F.lit("titles"), of("titles"), F.lit("lists"), of("lists"),
-        F.lit("references"), of("references"), F.lit("paragraphs"), blocks,
+    typed = F.transform(
+        F.transform(F.split(text, "\n"), strip), lambda x: F.struct(line_kind(x).alias("k"), x.alias("x"))
     )
 
+    def of(rows, kind):
+        return F.transform(F.filter(rows, lambda s: s["k"] == kind), lambda s: s["x"])
+
+    def blocks(rows):
+        def lead(s, i):
+            follows = (i > 0) & (F.get(rows, i - 1)["k"] == "paragraphs")
+            return F.when(s["k"] == "paragraphs", F.concat(F.when(follows, glue).otherwise(sep), s["x"])).otherwise("")
+
+        joined = F.split(F.array_join(F.transform(rows, lead), ""), sep)
+        return F.transform(F.filter(joined, lambda b: b != ""), lambda b: F.replace(b, F.lit(glue), F.lit(" ")))
+
+    return let(typed, lambda rows: F.create_map(
+        F.lit("titles"), of(rows, "titles"), F.lit("lists"), of(rows, "lists"),
+        F.lit("references"), of(rows, "references"), F.lit("paragraphs"), blocks(rows),
+    ))
+
 
 def references(text: Column, min_length: int = 10) -> Column:
     """Entries of the reference section as (reference_id, reference_text)."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusweir import lexicon as L
 from corpusweir.functions.text import (
-    CJK, SENTENCE_END, WS, contains_any, count_matches, entropy, mean_of, repetition_ratio, safe_div, strip,
+    CJK, SENTENCE_END, WS, computed, contains_any, count_matches, entropy, let, mean_of, repetition_ratio, safe_div, strip,
     tokens, words,
 )
 
@@ -97,10 +97,11 @@ def structure_score(text: Column) -> Column:
     def mean_length(parts):
         return mean_of(F.transform(parts, lambda s: F.length(strip(s))))
 
-    sentences, paragraphs = F.split(text, SENTENCE_END), F.split(text, "\n\n")
-    sentence, paragraph = mean_length(sentences), mean_length(paragraphs)
-    odd = (F.size(sentences) > 1) & ((sentence < 10) | (sentence > 200))
-    short = (F.size(paragraphs) > 1) & (paragraph < 50)
+    def outside(pattern, is_odd):
+        return let(F.split(text, pattern), lambda parts: (F.size(parts) > 1) & let(mean_length(parts), is_odd))
+
+    odd = outside(SENTENCE_END, lambda m: (m < 10) | (m > 200))
+    short = outside("\n\n", lambda m: m < 50)
     broken = count_matches(text, "\n") > F.length(text) / 50
     return F.greatest(
         F.lit(0.0),
@@ -117,9 +118,10 @@ def assess(df: DataFrame, text: str = "text", gate: Gate = Gate(), groups=L.RELE
            word_split=words) -> DataFrame:
     """Measures, their seven scores, the mean of the scores and the gate's verdict."""
     t = F.col(text)
-    out = df.withColumns({
+    out = computed(df, {
         "length": F.length(t), "word_count": F.size(word_split(t)), "repetition_ratio": repetition_ratio(t),
         "entropy": entropy(t), "relevance": relevance(t, groups),
+        "language_score": language_score(t), "structure_score": structure_score(t),
     })
     out = out.withColumns({
         "length_score": length_score(F.col("length"), gate),
@@ -127,7 +129,6 @@ def assess(df: DataFrame, text: str = "text", gate: Gate = Gate(), groups=L.RELE
         "repetition_score": repetition_score(F.col("repetition_ratio"), gate),
         "entropy_score": entropy_score(F.col("entropy"), gate),
         "relevance_score": relevance_score(F.col("relevance"), gate),
-        "language_score": language_score(t), "structure_score": structure_score(t),
     })
     out = out.withColumn("overall_score", _sum([F.col(s) for s in SCORES]) / len(SCORES))
     return out.withColumn("passes", passes(gate))
@@ -200,28 +201,42 @@ def _in_terms(terms) -> object:
 
 def information_density(text: Column, terms=L.EVALUATOR_TERMS, tokenizer=tokens) -> Column:
     content = F.filter(tokenizer(text), lambda w: ~w.isin(*L.EVALUATOR_STOP_WORDS) & (F.length(w) > 1))
-    variety = safe_div(F.size(F.array_distinct(content)), F.size(content))
-    known = safe_div(F.size(F.filter(content, _in_terms(terms))), F.size(content))
-    return F.least(variety * 0.7 + known * 0.3, F.lit(1.0))
+
+    def density(c):
+        variety = safe_div(F.size(F.array_distinct(c)), F.size(c))
+        known = safe_div(F.size(F.filter(c, _in_terms(terms))), F.size(c))
+        return F.least(variety * 0.7 + known * 0.3, F.lit(1.0))
+
+    return let(content, density)
 
 
 def readability(text: Column) -> Column:
     sentences = F.filter(F.transform(F.split(text, "[。！？；]"), strip), lambda s: s != "")
-    n = F.size(sentences)
-    mean = mean_of(F.transform(sentences, F.length))
-    by_length = (
-        F.when(mean < 15, mean / 15).when(mean <= 30, 1.0)
-        .otherwise(F.greatest(F.lit(0.3), 30 / F.nullif(mean, F.lit(0.0))))
-    )
-    by_count = (
-        F.when(n < 2, n / 2).when(n <= 8, 1.0).otherwise(F.greatest(F.lit(0.3), 8 / F.nullif(n, F.lit(0))))
-    )
-    return F.when(n == 0, 0.0).otherwise(F.least(by_length * 0.6 + by_count * 0.4, F.lit(1.0)))
+
+    def judged(parts):
+        n = F.size(parts)
+
+        def with_mean(mean):
+            by_length = (
+                F.when(mean < 15, mean / 15).when(mean <= 30, 1.0)
+                .otherwise(F.greatest(F.lit(0.3), 30 / F.nullif(mean, F.lit(0.0))))
+            )
+            by_count = (
+                F.when(n < 2, n / 2).when(n <= 8, 1.0)
+                .otherwise(F.greatest(F.lit(0.3), 8 / F.nullif(n, F.lit(0))))
+            )
+            return F.least(by_length * 0.6 + by_count * 0.4, F.lit(1.0))
+
+        return F.when(n == 0, 0.0).otherwise(let(mean_of(F.transform(parts, F.length)), with_mean))
+
+    return let(sentences, judged)
 
 
 def term_relevance(text: Column, terms=L.EVALUATOR_TERMS, tokenizer=tokens) -> Column:
     content = F.filter(tokenizer(F.lower(text)), lambda w: F.length(w) > 1)
-    return F.least(safe_div(F.size(F.filter(content, _in_terms(terms))), F.size(content)) * 3, F.lit(1.0))
+    return let(content, lambda c: F.least(
+        safe_div(F.size(F.filter(c, _in_terms(terms))), F.size(c)) * 3, F.lit(1.0)
+    ))
 
 
 def overlap(a: Column, b: Column, tokenizer=tokens) -> Column:
@@ -229,9 +244,12 @@ def overlap(a: Column, b: Column, tokenizer=tokens) -> Column:
     def kept(t):
         return F.filter(F.array_distinct(tokenizer(F.lower(t))), lambda w: ~w.isin(*L.EVALUATOR_STOP_WORDS))
 
-    wa, wb = kept(a), kept(b)
-    inter = F.size(F.array_intersect(wa, wb))
-    return safe_div(inter, F.size(wa) + F.size(wb) - inter)
+    def share(s):
+        inter = F.size(F.array_intersect(s["a"], s["b"]))
+        return let(F.struct(inter.alias("i"), (F.size(s["a"]) + F.size(s["b"])).alias("n")),
+                   lambda c: safe_div(c["i"], c["n"] - c["i"]))
+
+    return let(F.struct(kept(a).alias("a"), kept(b).alias("b")), share)
 
 
 def fit_range(n: Column, low: int, high: int) -> Column:
@@ -246,14 +264,14 @@ def summary_quality(df: DataFrame, original: str = "text", summary: str = "summa
                     terms=L.EVALUATOR_TERMS, tokenizer=tokens) -> DataFrame:
     """Component scores, overall score and level; a missing side scores 0."""
     o, s = F.col(original), F.col(summary)
-    out = df.withColumns({
+    out = computed(df, {
         "length_score": fit_range(F.length(s), 20, 500),
-        "coherence_score": readability(s), "coverage_score": overlap(o, s, tokenizer),
-        "readability_score": readability(s),
+        "coverage_score": overlap(o, s, tokenizer), "readability_score": readability(s),
         "medical_relevance_score": term_relevance(s, terms, tokenizer),
         "compression_ratio": compression_ratio(o, s),
         "info_density": information_density(s, terms, tokenizer),
     })
+    out = out.withColumn("coherence_score", F.col("readability_score"))
     base = (
         F.col("length_score") * 0.15 + F.col("coherence_score") * 0.20 + F.col("coverage_score") * 0.25
         + F.col("readability_score") * 0.15 + F.col("medical_relevance_score") * 0.15
@@ -270,15 +288,20 @@ def keyword_quality(df: DataFrame, original: str = "text", keywords: str = "keyw
                     tokenizer=tokens) -> DataFrame:
     o, k = F.col(original), F.col(keywords)
     n = F.size(k)
-    lengths = F.transform(k, F.length)
-    mean = mean_of(lengths)
-    variance = mean_of(F.transform(lengths, lambda x: (x - mean) * (x - mean)))
-    vocabulary = F.array_distinct(tokenizer(F.lower(o)))
-    out = df.withColumns({
+
+    def variance(lengths):
+        return let(mean_of(lengths), lambda m: mean_of(F.transform(lengths, lambda x: (x - m) * (x - m))))
+
+    # Only keywords that repeat make the two counts differ, so they are counted one by one.
+    known = let(
+        F.array_intersect(F.transform(k, F.lower), tokenizer(F.lower(o))),
+        lambda found: F.size(F.filter(k, lambda w: F.array_contains(found, F.lower(w)))),
+    )
+    out = computed(df, {
         "count_score": fit_range(n, 3, 15),
-        "relevance_score": safe_div(F.size(F.filter(k, lambda w: F.array_contains(vocabulary, F.lower(w)))), n),
+        "relevance_score": safe_div(known, n),
         "diversity_score": safe_div(F.size(F.array_distinct(k)), n) * 0.7
-        + F.least(variance / 10, F.lit(1.0)) * 0.3,
+        + F.least(let(F.transform(k, F.length), variance) / 10, F.lit(1.0)) * 0.3,
         "coverage_score": overlap(o, F.array_join(k, " "), tokenizer),
         "medical_specificity_score": safe_div(F.size(F.filter(k, _in_terms(terms))), n),
         "average_keyword_score": mean_of(F.col(scores)) if scores else F.lit(1.0),

@@ -59,15 +59,23 @@ def standardiser(dictionary: Dictionary = Dictionary(), plain: bool = False):
     characters; ``plain`` replaces them anywhere, which suits unspaced scripts.
     """
     steps = [
-        (re.compile(re.escape(a) if plain else rf"\b{re.escape(a)}\b", re.IGNORECASE), b)
-        for a, b in dictionary.mappings() if a != b or not plain
+        (a.lower(), re.compile(re.escape(a) if plain else rf"\b{re.escape(a)}\b", re.IGNORECASE), b)
+        for a, b in dictionary.mappings() if a != b
     ]
 
+    def fold(text: str | None) -> str | None:
+        if not text:
+            return text
+        low = text.lower()
+        for needle, pattern, standard in steps:
+            if needle in low:
+                text, n = pattern.subn(standard, text)
+                low = text.lower() if n else low
+        return text
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        for pattern, standard in steps:
-            texts = texts.str.replace(pattern, lambda _, s=standard: s, regex=True)
-        return texts
+        return texts.map(fold)
 
     def apply(text: Column) -> Column:
         blank = F.length(F.trim(text)) == 0
