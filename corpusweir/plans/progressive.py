@@ -112,7 +112,7 @@ def retrieve_progressive(corpus: Corpus, queries: DataFrame, config: RetrievalCo
     if results is None:
         raise ValueError("no query to answer")
     best = results.groupBy("query_id").agg(
-        F.max(F.struct("quality", -F.col("stage_number"))).alias("_b"), F.max("stage_number").alias("stage_reached"))
+        F.max(F.struct("quality", (-F.col("stage_number")).alias("later"))).alias("_b"), F.max("stage_number").alias("stage_reached"))
     picked = best.select("query_id", F.col("_b.quality").alias("quality"), "stage_reached",
-                         (-F.col("_b.col2")).alias("stage_number"))
+                         (-F.col("_b.later")).alias("stage_number"))
     return results.drop("quality").join(picked, ["query_id", "stage_number"]).filter(F.col("rank") <= top)

@@ -35,14 +35,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session.
 
-    Executors may be lost at any time, so only reliable checkpoints are used.
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is
-    created only for a local master where none is configured.
+    It is the cluster's ``spark.checkpoint.dir``; a temporary one is created
+    only for a local master where none is configured.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", "") or ""
@@ -51,6 +49,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="corpusweir-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` reliably: executors may be lost at any time."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
