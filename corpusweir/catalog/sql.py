@@ -122,7 +122,7 @@ FUSED = CHILD_LISTS + """,
    FROM fus QUALIFY fusion_rank <= 40),
  scr AS (SELECT query_id, doc_id, any_value(parent_id) AS parent_id,
    max(CASE WHEN path <> 'vector' THEN score END) AS bm25_score,
-   max(CASE WHEN path = 'vector' THEN score END) AS similarity_score FROM lists GROUP BY ALL),
+   max(CASE WHEN path = 'vector' THEN score END) AS similarity_score FROM ddp GROUP BY ALL),
  cnd AS (SELECT * FROM fk JOIN scr USING (query_id, doc_id)),
  rr AS (SELECT *, round((0.4 * fusion_score + coalesce(0.3 * bm25_score, 0) + coalesce(0.2 * similarity_score, 0))
      / (0.4 + CASE WHEN bm25_score IS NOT NULL THEN 0.3 ELSE 0 END

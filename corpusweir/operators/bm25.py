@@ -1,27 +1,30 @@
 """Per-field Okapi BM25 for a batch of queries.
 
-Two ways to find the postings of the query terms, one way to score them:
-
-* ``hits_from_text`` scans the corpus once and keeps only tokens that occur in
-  some query before anything is shuffled;
-* ``hits_from_index`` reads a saved inverted index, sorted by term so that row
-  groups without query terms are skipped.
-
-Either way the hits are hash partitioned by (field, doc_id).  That partitioning
-also satisfies the later grouping by (query_id, field, doc_id), so the expansion
-to query/document pairs, the scoring and the first top-k all happen inside the
-same stage, and only ``k`` rows per query and task are shuffled.
+Ranked search (``search_fields``, ``search_index``) never emits query/document
+pairs: the weights of the query terms are broadcast, a task scores its documents
+against all queries in Arrow batches, keeps ``k`` candidates per query and field
+and shuffles only those.  A document is one row, so scanning the corpus needs no
+shuffle at all; a saved index is read by term and regrouped by document.
+
+Complete score maps (``all_scores``), and query sets too large to broadcast, go
+through joins: hits are hash partitioned by (field, doc_id), which also serves the
+grouping by (query_id, field, doc_id), so the expansion to pairs stays in its stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweir.functions.text import tokens
-from corpusweir.operators.topk import stable_score, top_k
+from corpusweir.operators.topk import SCORE_DIGITS, stable_score, top_k
+from corpusweir.operators.topkeeper import TopKeeper
 from corpusweir.session import BROADCAST_ROWS
 
 # Defaults of the Okapi variant used (fixed values).
@@ -155,9 +158,124 @@ def all_scores(rows: DataFrame, queries: DataFrame, tokenizer=tokens, **params)
     return score_hits(hits_from_text(toks, qterms, small), wterms, small, **params)
 
 
-def search_fields(rows: DataFrame, queries: DataFrame, k: int | dict[str, int] = 50, **kw) -> DataFrame:
+@dataclass(frozen=True)
+class QueryWeights:
+    """Weights of all query terms, rows of a sparse matrix keyed by (field, term).
+
+    Row ``f * len(terms) + t`` spans ``starts[row]:starts[row + 1]`` of
+    ``queries`` (positions in ``query_ids``) and ``weights``.
+    """
+
+    query_ids: list
+    fields: list[str]
+    avgdl: np.ndarray
+    terms: pa.Array
+    starts: np.ndarray
+    queries: np.ndarray
+    weights: np.ndarray
+
+    @staticmethod
+    def collect(wterms: DataFrame) -> QueryWeights:
+        """``wterms`` was measured to be small (``few_terms``)."""
+        pdf = wterms.toPandas()
+        qcodes, query_ids = pdf["query_id"].factorize()
+        fcodes, fields = pdf["field"].factorize()
+        tcodes, terms = pdf["term"].factorize()
+        rows = fcodes.astype(np.int64) * max(len(terms), 1) + tcodes
+        order = np.argsort(rows, kind="stable")
+        starts = np.searchsorted(rows[order], np.arange(len(fields) * len(terms) + 1))
+        avgdl = pdf.groupby("field")["avgdl"].first().reindex(fields).to_numpy(float)
+        weights = (pdf["qtf"] * pdf["idf"]).to_numpy(float)
+        return QueryWeights(list(query_ids), list(fields), avgdl, pa.array(list(terms), pa.string()), starts,
+                            qcodes[order].astype(np.int64), weights[order])
+
+
+PAIRS_IN_MEMORY = 4_000_000
+
+
+def _term_counts(doc: np.ndarray, term: np.ndarray, tf: np.ndarray | None, n_terms: int):
+    """(doc, term, tf) with one row per pair."""
+    if tf is not None:
+        return doc, term, tf
+    pairs, counts = np.unique(doc * n_terms + term, return_counts=True)
+    return pairs // n_terms, pairs % n_terms, counts
+
+
+def _score_block(w: QueryWeights, field: int, n_docs: int, doc, term, tf, dl, k1: float, b: float) -> np.ndarray:
+    """Scores [document, query] of one field."""
+    row = field * len(w.terms) + term
+    fan = w.starts[row + 1] - w.starts[row]
+    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / w.avgdl[field]))
+    # Every hit meets the queries of its term.
+    offset = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
+    entry = np.repeat(w.starts[row], fan) + offset
+    n = len(w.query_ids)
+    flat = np.repeat(doc, fan) * n + w.queries[entry]
+    sums = np.bincount(flat, weights=np.repeat(part, fan) * w.weights[entry], minlength=n_docs * n)
+    return np.round(sums.reshape(n_docs, n), SCORE_DIGITS)
+
+
+def _ids(column) -> np.ndarray:
+    values = column.to_numpy(zero_copy_only=False)
+    return values.astype(str) if values.dtype == object else values
+
+
+def scored_locally(docs: DataFrame, weights: QueryWeights, query_type, k: int, k1: float = K1, b: float = B):
+    """Each task's top ``k`` per (query, field) of ``docs(field, doc_id, dl, terms[, tfs])``."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(weights)
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"query_id {query_type.simpleString()}, field string, doc_id {doc_type}, score double"
+    counted = "tfs" in docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        n = len(w.query_ids)
+        keepers = [TopKeeper(n, k) for _ in w.fields]
+        step = max(1, PAIRS_IN_MEMORY // max(n, 1))
+        for batch in batches:
+            codes = pc.index_in(batch.column("field"), pa.array(w.fields, pa.string()))
+            for f, keeper in enumerate(keepers):
+                mine = batch.filter(pc.fill_null(pc.equal(codes, f), False))
+                for start in range(0, mine.num_rows, step):
+                    block = mine.slice(start, step)
+                    lists = block.column("terms")
+                    found = pc.index_in(lists.flatten(), w.terms)
+                    hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
+                    doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
+                    term = found.to_numpy(zero_copy_only=False)[hit].astype(np.int64)
+                    if not len(doc):
+                        continue
+                    tf = block.column("tfs").flatten().to_numpy(zero_copy_only=False)[hit] if counted else None
+                    dl = block.column("dl").to_numpy(zero_copy_only=False)
+                    doc, term, tf = _term_counts(doc, term, tf, len(w.terms))
+                    scores = _score_block(w, f, block.num_rows, doc, term, tf, dl, k1, b)
+                    keeper.add(_ids(block.column("doc_id")), scores, scores > 0)
+        for f, keeper in enumerate(keepers):
+            queries, ids, scores = keeper.result()
+            if len(queries):
+                names = pa.array([w.fields[f]] * len(queries), pa.string())
+                found_ids = pa.array([w.query_ids[q] for q in queries])
+                yield pa.RecordBatch.from_arrays(
+                    [found_ids, names, pa.array(ids), pa.array(scores)], ["query_id", "field", "doc_id", "score"]
+                )
+
+    return docs.mapInArrow(run, schema)
+
+
+def search_fields(rows: DataFrame, queries: DataFrame, k: int | dict[str, int] = 50, tokenizer=tokens,
+                  **params) -> DataFrame:
     """Top ``k`` per (query, field) among positive scores, best first."""
-    return best_per_field(all_scores(rows, queries, **kw), k)
+    qterms = query_terms(queries, tokenizer)
+    toks = tokenised(rows, tokenizer)
+    small = few_terms(qterms)
+    wterms = weighted_terms(qterms, corpus_stats(toks), small)
+    if not small:
+        hits = hits_from_text(toks, qterms, small)
+        return best_per_field(score_hits(hits, wterms, small, **params), k)
+    limit = k if isinstance(k, int) else max(k.values())
+    query_type = queries.schema["query_id"].dataType
+    return best_per_field(scored_locally(toks, QueryWeights.collect(wterms), query_type, limit, **params), k)
 
 
 def best_per_field(scores: DataFrame, k: int | dict[str, int]) -> DataFrame:
@@ -239,4 +357,12 @@ def search_index(index: SavedIndex, queries: DataFrame, k: int = 50, tokenizer=t
     qterms = query_terms(queries, tokenizer)
     small = few_terms(qterms)
     wterms = weighted_terms(qterms, index.stats, small)
-    return best_per_field(score_hits(hits_from_index(index, qterms), wterms, small), k)
+    hits = hits_from_index(index, qterms)
+    if not small:
+        return best_per_field(score_hits(hits, wterms, small), k)
+    # Back to one row per document; only its postings of query terms are gathered.
+    docs = hits.groupBy("field", "doc_id", "dl").agg(
+        F.collect_list(F.struct("term", "tf")).alias("h")
+    ).select("field", "doc_id", "dl", F.col("h.term").alias("terms"), F.col("h.tf").alias("tfs"))
+    query_type = queries.schema["query_id"].dataType
+    return best_per_field(scored_locally(docs, QueryWeights.collect(wterms), query_type, k), k)

@@ -6,11 +6,13 @@ other order, in which the later steps see the whole text as one line.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweir import lexicon as L
-from corpusweir.functions.text import WS, computed, let, strip
+from corpusweir.functions.text import WS, computed, let, strip, word_runs
 
 _W = r"\p{L}\p{N}_"
 _EDGE = rf"(?<![{_W}])"
@@ -75,14 +77,31 @@ def drop_headers(text: Column, patterns=L.HEADER_PATTERNS) -> Column:
 
 def expand_abbreviations(text: Column, table: dict[str, str] = L.CLEANER_ABBREVIATIONS,
                          custom: dict[str, str] | None = None) -> Column:
-    """Whole-word, case-insensitive replacement in table order."""
-    out = text
-    for short, full in {**table, **(custom or {})}.items():
-        if short == full:
-            continue
+    """Whole-word, case-insensitive replacement in table order.
+
+    A whole word is a word run, so the runs of the text tell which of the
+    replacements have anything to do; the others do not look at the text.
+    """
+    steps = {a: f for a, f in {**table, **(custom or {})}.items() if a != f}
+    names = F.array(*[F.lit(a.lower()) for a in steps])
+
+    def step(present, short, full):
         pattern = rf"(?iu){_EDGE}\Q{short}\E{_EDGE_END}"
-        out = F.regexp_replace(out, pattern, full)
-    return out
+        one_run = re.fullmatch(r"\w+", short) is not None
+
+        def run(t):
+            after = F.regexp_replace(t, pattern, full)
+            return F.when(F.array_contains(present, short.lower()), after).otherwise(t) if one_run else after
+
+        return run
+
+    def replaced(present):
+        out = text
+        for short, full in steps.items():
+            out = let(out, step(present, short, full))
+        return out
+
+    return let(F.array_intersect(word_runs(F.lower(text)), names), replaced)
 
 
 def line_key(line: Column) -> Column:

@@ -55,7 +55,7 @@ def _weighted(lists: DataFrame, weights: dict[str, float] | None) -> DataFrame:
 
 
 def weighted_rrf(lists: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_K,
-                 top: int = 20, keep: int | None = None, normalise: bool = True) -> DataFrame:
+                 top: int = 20, keep: int | None = None, normalise: bool = True, extra: tuple = ()) -> DataFrame:
     """Sum of weight/(k+rank); ``path_contributions`` explains every document."""
     rows = _weighted(lists, weights)
     rows = rows.withColumn("_norm", normalised_in_list(rows) if normalise else F.col("score"))
@@ -66,40 +66,42 @@ def weighted_rrf(lists: DataFrame, weights: dict[str, float] | None = None, k: i
                 "path", F.struct("rank", F.col("_norm").alias("score"), "weight")
             )))
         ).alias("path_contributions"),
+        *extra,
     )
     return top_k(fused, ["query_id"], [F.desc("fusion_score"), F.asc("doc_id")], keep or top)
 
 
-def simple_rrf(lists: DataFrame, k: int = RRF_K, top: int = 20) -> DataFrame:
-    return weighted_rrf(lists.withColumn("weight", F.lit(1.0)), k=k, top=top, normalise=False)
+def simple_rrf(lists: DataFrame, k: int = RRF_K, top: int = 20, extra: tuple = ()) -> DataFrame:
+    return weighted_rrf(lists.withColumn("weight", F.lit(1.0)), k=k, top=top, normalise=False, extra=extra)
 
 
-def weighted_sum(lists: DataFrame, weights: dict[str, float] | None = None, top: int = 20) -> DataFrame:
+def weighted_sum(lists: DataFrame, weights: dict[str, float] | None = None, top: int = 20,
+                 extra: tuple = ()) -> DataFrame:
     rows = _weighted(lists, weights)
     fused = rows.withColumn("_norm", normalised_in_list(rows)).groupBy("query_id", "doc_id").agg(
-        stable_score(F.sum(F.col("weight") * F.col("_norm"))).alias("fusion_score")
+        stable_score(F.sum(F.col("weight") * F.col("_norm"))).alias("fusion_score"), *extra
     )
     return top_k(fused, ["query_id"], [F.desc("fusion_score"), F.asc("doc_id")], top)
 
 
-def max_score(lists: DataFrame, top: int = 20) -> DataFrame:
+def max_score(lists: DataFrame, top: int = 20, extra: tuple = ()) -> DataFrame:
     fused = lists.groupBy("query_id", "doc_id").agg(
-        F.greatest(F.max("score"), F.lit(0.0)).alias("fusion_score")
+        F.greatest(F.max("score"), F.lit(0.0)).alias("fusion_score"), *extra
     )
     return top_k(fused, ["query_id"], [F.desc("fusion_score"), F.asc("doc_id")], top)
 
 
 def fuse(method: str, lists: DataFrame, weights: dict[str, float] | None = None, top: int = 20,
-         k: int = RRF_K) -> DataFrame:
-    """Dispatch by method name; an unknown name is an error."""
+         k: int = RRF_K, extra: tuple = ()) -> DataFrame:
+    """Dispatch by method name; ``extra`` are further aggregates per document."""
     if method == "weighted_rrf":
-        return weighted_rrf(lists, weights, k, top)
+        return weighted_rrf(lists, weights, k, top, extra=extra)
     if method == "simple_rrf":
-        return simple_rrf(lists, k, top)
+        return simple_rrf(lists, k, top, extra)
     if method == "weighted_sum":
-        return weighted_sum(lists, weights, top)
+        return weighted_sum(lists, weights, top, extra)
     if method == "max_score":
-        return max_score(lists, top)
+        return max_score(lists, top, extra)
     raise ValueError(f"unsupported fusion method: {method}")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweir.operators.topk import SCORE_DIGITS, top_k
+from corpusweir.operators.topkeeper import TopKeeper
 from corpusweir.session import shuffle_partitions
 
 QUERY_BLOCK = 4096
@@ -47,38 +48,15 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Row indices of the ``k`` best of one query: score descending, then id."""
-    if len(ids) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= cut)
-    else:
-        keep = np.arange(len(ids))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
-
-
-def _merge(held: list, qids: np.ndarray, qmat: np.ndarray, ids: np.ndarray, vmat: np.ndarray, k: int,
-           exclude_self: bool) -> None:
-    scores = np.round(_unit(vmat) @ qmat.T, SCORE_DIGITS)
-    for j in range(len(qids)):
-        s, i = scores[:, j], ids
-        if exclude_self:
-            other = i != qids[j]
-            s, i = s[other], i[other]
-        if held[j] is not None:
-            i, s = np.concatenate([held[j][0], i]), np.concatenate([held[j][1], s])
-        pick = _best(i, s, k)
-        held[j] = (i[pick], s[pick])
-
-
-def _emit(held: list, qids: np.ndarray) -> pd.DataFrame:
-    parts = [
-        pd.DataFrame({"query_id": qids[j], "doc_id": h[0], "score": h[1]})
-        for j, h in enumerate(held) if h is not None and len(h[0])
-    ]
-    empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "doc_id": pd.Series(dtype="int64"),
-                          "score": pd.Series(dtype="float64")})
-    return pd.concat(parts, ignore_index=True) if parts else empty
+def _score(keeper: TopKeeper, qids: np.ndarray, qmat: np.ndarray, pdf: pd.DataFrame, exclude_self: bool) -> None:
+    ids = pdf["doc_id"].to_numpy(np.int64)
+    scores = np.round(_unit(_matrix(pdf["embedding"])) @ qmat.T, SCORE_DIGITS)
+    keeper.add(ids, scores, ids[:, None] != qids[None, :] if exclude_self else None)
+
+
+def _emit(keeper: TopKeeper, qids: np.ndarray) -> pd.DataFrame:
+    queries, ids, scores = keeper.result()
+    return pd.DataFrame({"query_id": qids[queries].astype(np.int64), "doc_id": ids.astype(np.int64), "score": scores})
 
 
 SCHEMA = "query_id long, doc_id long, score double"
@@ -112,12 +90,11 @@ def _small_query_set(vectors: DataFrame, head: pd.DataFrame, k: int, exclude_sel
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, qmat = shared.value
-        held: list = [None] * len(qids)
+        keeper = TopKeeper(len(qids), k)
         for pdf in batches:
             if len(pdf):
-                ids = pdf["doc_id"].to_numpy(np.int64)
-                _merge(held, qids, qmat, ids, _matrix(pdf["embedding"]), k, exclude_self)
-        yield _emit(held, qids)
+                _score(keeper, qids, qmat, pdf, exclude_self)
+        yield _emit(keeper, qids)
 
     return vectors.mapInPandas(scan, SCHEMA)
 
@@ -134,14 +111,12 @@ def _blocked(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool,
 
     def multiply(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         qids = q["query_id"].to_numpy(np.int64)
-        held: list = [None] * len(qids)
+        keeper = TopKeeper(len(qids), k)
         if len(q) and len(v):
             qmat = _unit(_matrix(q["embedding"]))
             for start in range(0, len(v), 8192):
-                part = v.iloc[start:start + 8192]
-                _merge(held, qids, qmat, part["doc_id"].to_numpy(np.int64), _matrix(part["embedding"]),
-                       k, exclude_self)
-        return _emit(held, qids)
+                _score(keeper, qids, qmat, v.iloc[start:start + 8192], exclude_self)
+        return _emit(keeper, qids)
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(multiply, SCHEMA)
 

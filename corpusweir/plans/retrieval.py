@@ -67,18 +67,13 @@ def fused_candidates(lists: DataFrame, config: RetrievalConfig, weights: DataFra
     if weights is not None:
         deduped = deduped.join(weights, ["query_id", "path"])
     top = top or 2 * config.fusion.final_top_k
-    if config.fusion.method == "weighted_rrf":
-        fused = fusion.weighted_rrf(
-            deduped, None if weights is not None else config.weights(), config.fusion.rrf_k, top
-        )
-    else:
-        fused = fusion.fuse(config.fusion.method, deduped, config.weights(), top, config.fusion.rrf_k)
-    scores = lists.groupBy("query_id", "doc_id").agg(
+    kept = (
         F.max(F.when(F.col("path") != "vector", F.col("score"))).alias("bm25_score"),
         F.max(F.when(F.col("path") == "vector", F.col("score"))).alias("similarity_score"),
         F.first("parent_id").alias("parent_id"),
     )
-    return fused.join(scores, ["query_id", "doc_id"])
+    shares = None if weights is not None else config.weights()
+    return fusion.fuse(config.fusion.method, deduped, shares, top, config.fusion.rrf_k, kept)
 
 
 def with_text(rows: DataFrame, corpus: Corpus) -> DataFrame:
