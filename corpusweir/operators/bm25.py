@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusweir.functions.text import tokens
 from corpusweir.operators.topk import SCORE_DIGITS, stable_score, top_k
@@ -35,7 +36,11 @@ EPSILON = 0.25
 
 @dataclass(frozen=True)
 class CorpusStats:
-    """``fields``: (field, n_docs, avgdl, mean_idf); ``terms``: (field, term, df)."""
+    """``fields``: (field, n_docs, avgdl, mean_idf); ``terms``: (field, term, df, total_dl).
+
+    The term '' stands for the documents themselves: its df is their number and
+    only it has a ``total_dl``.
+    """
 
     fields: DataFrame
     terms: DataFrame
@@ -79,25 +84,34 @@ def raw_idf(n_docs: Column, df: Column) -> Column:
 
 
 def corpus_stats(toks: DataFrame) -> CorpusStats:
-    sizes = toks.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    """Statistics from one scan of the corpus.
+
+    Documents are counted beside their terms, and everything below is built on
+    the one shuffle by (field, term): conditional aggregates and inner joins are
+    used where a filter would be pushed below it and force another scan.
+    """
     terms = (
-        toks.select("field", F.explode(F.array_distinct("terms")).alias("term"))
+        toks.select("field", "dl", F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term"))
         .groupBy("field", "term")
-        .agg(F.count("*").alias("df"))
+        .agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("total_dl"))
     )
-    # The mean runs over the vocabulary; counting terms per document frequency
-    # first leaves few rows to which the corpus size has to be joined.
-    spectrum = terms.groupBy("field", "df").agg(F.count("*").alias("n_terms"))
-    mean = (
-        spectrum.join(F.broadcast(sizes), "field")  # one row per field
-        .groupBy("field")
-        .agg(
-            (
-                F.sum(F.col("n_terms") * raw_idf(F.col("n_docs"), F.col("df"))) / F.sum("n_terms")
-            ).alias("mean_idf")
-        )
+    whole = F.col("term") == ""
+    # Terms per document frequency: few rows to which the corpus size is joined.
+    spectrum = terms.groupBy("field", "df").agg(
+        F.count_if(~whole).alias("n_terms"), F.max(F.when(whole, F.col("df"))).alias("_n"),
+        F.max("total_dl").alias("_dl"),
+    )
+    # d different frequencies need at least d*d/2 postings, so a field's part of
+    # the spectrum stays small enough for one window task at any corpus size.
+    of_field = Window.partitionBy("field")
+    n = F.max("_n").over(of_field)
+    sized = spectrum.select("field", "df", "n_terms", n.alias("n_docs"), (F.max("_dl").over(of_field) / n).alias("avgdl"))
+    fields = sized.groupBy("field").agg(
+        F.first("n_docs").alias("n_docs"), F.first("avgdl").alias("avgdl"),
+        (F.sum(F.col("n_terms") * raw_idf(F.col("n_docs"), F.col("df")))
+         / F.nullif(F.sum("n_terms"), F.lit(0))).alias("mean_idf"),
     )
-    return CorpusStats(sizes.join(F.broadcast(mean), "field", "left"), terms)
+    return CorpusStats(fields, terms)
 
 
 def _hinted(df: DataFrame, small: bool) -> DataFrame:
@@ -113,7 +127,8 @@ def few_terms(qterms: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def weighted_terms(qterms: DataFrame, stats: CorpusStats, small: bool, epsilon: float = EPSILON) -> DataFrame:
     """Query terms with the idf of every field in which they occur."""
     wanted = _hinted(qterms.select("term").distinct(), small)
-    known = stats.terms.join(wanted, "term", "left_semi").join(F.broadcast(stats.fields), "field")
+    # The condition on the aggregate keeps both uses of ``terms`` on one shuffle.
+    known = stats.terms.filter("total_dl is null").join(wanted, "term").join(F.broadcast(stats.fields), "field")
     idf = raw_idf(F.col("n_docs"), F.col("df"))
     known = known.select(
         "field", "term", "avgdl",
