@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusweir.operators.topk import rerank_dense
+from corpusweir.session import lookup_join
 
 
 def parent_id(meta: Column, top_level: Column) -> Column:
@@ -64,8 +65,8 @@ def switch_to_parents(children: DataFrame, parents: DataFrame, preserve: bool =
         F.col("parent_id"), F.col("content").alias("_content"),
         F.col("summary").alias("parent_summary"), F.col("keywords").alias("parent_keywords"),
     )
-    joined = children.withColumn("original_id", F.col("doc_id")).join(
-        big, "parent_id", "left" if preserve else "inner"
+    joined = lookup_join(
+        children.withColumn("original_id", F.col("doc_id")), big, "parent_id", "left" if preserve else "inner"
     )
     return (
         joined.withColumn("switched_to_parent", F.col("_content").isNotNull())
@@ -76,7 +77,7 @@ def switch_to_parents(children: DataFrame, parents: DataFrame, preserve: bool =
 
 def switch_stats(children: DataFrame, parents: DataFrame, preserve: bool = False) -> DataFrame:
     """Found / missing / kept counts; every child is counted once in the total."""
-    marked = children.join(parents.select("parent_id", F.lit(True).alias("_hit")), "parent_id", "left")
+    marked = lookup_join(children, parents.select("parent_id", F.lit(True).alias("_hit")), "parent_id", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     named = F.col("parent_id").isNotNull()
     kept = ~hit & F.lit(preserve)

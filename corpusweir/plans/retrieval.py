@@ -14,6 +14,7 @@ from corpusweir.config import PathSettings, RetrievalConfig
 from corpusweir.operators import bm25, fusion, parents, rerank
 from corpusweir.operators.topk import top_k
 from corpusweir.operators.vector import vector_topk
+from corpusweir.session import checkpointed, lookup_join
 
 TEXT_PATHS = ("keywords", "summary", "content")
 
@@ -41,23 +42,19 @@ def ranked_lists(corpus: Corpus, queries: DataFrame, config: RetrievalConfig,
     if text_limits:
         rows = bm25.field_rows(corpus.children, {p: p for p in text_limits})
         found = bm25.search_fields(rows, queries, text_limits)
-        parts.append(found.withColumnRenamed("field", "path"))
+        parts.append(found.withColumnRenamed("field", "path").select("query_id", "path", "doc_id", "score", "rank"))
     if "vector" in limits:
-        found = vector_topk(
+        near = vector_topk(
             corpus.vectors.select(F.col("vec_key").alias("doc_id"), "embedding"), queries, limits["vector"],
             min_score=quality_threshold or None,
-        )
-        keys = corpus.vectors.select(F.col("vec_key"), F.col("doc_id").alias("_child"))
-        found = found.join(keys, found.doc_id == keys.vec_key).select(
-            "query_id", F.lit("vector").alias("path"), F.col("_child").alias("doc_id"), "score", "rank"
-        )
-        parts.append(found)
+        ).withColumnRenamed("doc_id", "vec_key")
+        found = lookup_join(checkpointed(near), corpus.vectors.select("vec_key", "doc_id"), "vec_key")
+        parts.append(found.select("query_id", F.lit("vector").alias("path"), "doc_id", "score", "rank"))
     lists = parts[0]
     for part in parts[1:]:
         lists = lists.unionByName(part)
-    # The lists are short; the id pairs of the corpus are the large side.
-    ids = corpus.children.select("doc_id", "parent_id")
-    return lists.join(ids, "doc_id", "left")
+    # k rows per query and path: written once, so that no later step searches again.
+    return lookup_join(checkpointed(lists), corpus.children.select("doc_id", "parent_id"), "doc_id", "left")
 
 
 def fused_candidates(lists: DataFrame, config: RetrievalConfig, weights: DataFrame | None = None,
@@ -77,7 +74,7 @@ def fused_candidates(lists: DataFrame, config: RetrievalConfig, weights: DataFra
 
 
 def with_text(rows: DataFrame, corpus: Corpus) -> DataFrame:
-    return rows.join(corpus.children.select("doc_id", "content"), "doc_id")
+    return lookup_join(rows, corpus.children.select("doc_id", "content"), "doc_id")
 
 
 def retrieve(corpus: Corpus, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(),
@@ -118,7 +115,7 @@ def retrieve_basic(corpus: Corpus, queries: DataFrame, k: int = 20) -> DataFrame
 
 def path_metrics(lists: DataFrame, corpus: Corpus, limits: dict[str, int]) -> DataFrame:
     """Relevance, diversity and coverage of every (query, path) list."""
-    sized = lists.join(corpus.children.select("doc_id", F.length("content").alias("_len")), "doc_id")
+    sized = lookup_join(lists, corpus.children.select("doc_id", F.length("content").alias("_len")), "doc_id")
     limit = F.coalesce(*[F.when(F.col("path") == p, F.lit(k)) for p, k in limits.items()])
     agg = sized.groupBy("query_id", "path").agg(
         F.avg("score").alias("relevance_score"), F.count("*").alias("n"),

@@ -65,3 +65,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     without a hint, so the join shuffles instead.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def lookup_join(rows: DataFrame, big: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join a few ``rows`` with a large table.
+
+    The keys are broadcast when they were measured to be few, so the large table
+    is filtered where it is scanned and only its matching rows are shuffled.
+    With more keys it is a plain join.
+    """
+    keys = rows.select(key).filter(F.col(key).isNotNull()).distinct()
+    return rows.join(big.join(bounded_broadcast(keys), key, "left_semi"), key, how)
