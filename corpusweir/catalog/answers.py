@@ -145,33 +145,43 @@ def source_lines(spark, sf):
 
 @query("audit_hard_coded", _LINES + """,
  n AS (SELECT * FROM l WHERE NOT starts_with(trim(line), '#'))
- SELECT doc_id, line_no, 'url' AS finding FROM n WHERE regexp_matches(line, 'https?://[^\\s"'']+')
- UNION ALL SELECT doc_id, line_no, 'localhost' FROM n WHERE regexp_matches(line, 'localhost|127\\.0\\.0\\.1')
- UNION ALL SELECT doc_id, line_no, 'port' FROM n WHERE regexp_matches(line, ':\\d{4,5}\\b')
- UNION ALL SELECT doc_id, line_no, 'password' FROM n WHERE regexp_matches(line, '(?i)password\\s*=\\s*["''][^"'']+["'']')
- UNION ALL SELECT doc_id, line_no, 'api_key' FROM n WHERE regexp_matches(line, '(?i)api_key\\s*=\\s*["''][^"'']+["'']')""")
+ SELECT doc_id, line_no, 'http url' AS finding FROM n WHERE regexp_matches(line, 'http://[^"'']+')
+ UNION ALL SELECT doc_id, line_no, 'https url' FROM n WHERE regexp_matches(line, 'https://[^"'']+')
+ UNION ALL SELECT doc_id, line_no, 'localhost' FROM n WHERE contains(line, 'localhost')
+ UNION ALL SELECT doc_id, line_no, 'local ip' FROM n WHERE contains(line, '127.0.0.1')
+ UNION ALL SELECT doc_id, line_no, 'api key' FROM n WHERE regexp_matches(line, 'sk-[a-zA-Z0-9]{48}')
+ UNION ALL SELECT doc_id, line_no, 'database url' FROM n WHERE regexp_matches(line, 'postgresql://[^"'']+')
+ UNION ALL SELECT doc_id, line_no, 'redis url' FROM n WHERE regexp_matches(line, 'redis://[^"'']+')""")
 def audit_hard_coded(spark, sf):
     rows = source_lines(spark, sf)
     return audit.hard_coded(rows).select(F.col("path").alias("doc_id"), "line_no", "finding")
 
 
 @query("audit_report", _LINES + """,
- n AS (SELECT * FROM l WHERE NOT starts_with(trim(line), '#') AND regexp_matches(line, 'https?://[^\\s"'']+')),
+ n AS (SELECT * FROM l WHERE NOT starts_with(trim(line), '#') AND regexp_matches(line, 'https://[^"'']+')),
  r AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS k FROM n)
- SELECT 'url' AS finding, count(*) AS n, string_agg(doc_id || ':' || line_no, chr(10) ORDER BY k) FILTER (k <= 10) AS examples
+ SELECT 'https url' AS finding, count(*) AS n, string_agg(doc_id || ':' || line_no, chr(10) ORDER BY k) FILTER (k <= 10) AS examples
  FROM r HAVING count(*) > 0""")
 def audit_report(spark, sf):
     rows = source_lines(spark, sf)
-    return audit.report(audit.hard_coded(rows, {"url": audit.HARD_CODED["url"]}))
+    return audit.report(audit.hard_coded(rows, {"https url": audit.HARD_CODED["https url"]}))
+
+
+@query("audit_open_tasks", _LINES + """
+ SELECT doc_id, line_no, unnest(list_filter([CASE WHEN contains(line, 'TODO:') THEN 'todo' END, CASE WHEN contains(line, 'FIXME:') THEN 'fixme' END,
+  CASE WHEN contains(line, 'HACK:') THEN 'hack' END, CASE WHEN contains(line, 'XXX:') THEN 'xxx' END], lambda x: x IS NOT NULL)) AS finding FROM l""")
+def audit_open_tasks(spark, sf):
+    return audit.open_tasks(source_lines(spark, sf)).select(F.col("path").alias("doc_id"), "line_no", "finding")
 
 
 @query("audit_undeclared", _LINES + r""",
- w AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '(?:os\.getenv|os\.environ\.get|os\.environ)[\(\[]\s*["'']([A-Z0-9_]+)["'']', 1)) AS name FROM l),
- k AS (SELECT DISTINCT regexp_extract(line, '^\s*([A-Z0-9_]+)\s*=', 1) AS name FROM l)
- SELECT name, doc_id, line_no FROM w WHERE name NOT IN (SELECT name FROM k WHERE name <> '')""")
+ w AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, 'os\.getenv\(["'']([^"'']+)["'']', 1)) AS name FROM l),
+ k AS (SELECT DISTINCT lang AS name FROM documents)
+ SELECT name, doc_id, line_no FROM w WHERE name NOT IN (FROM k)""")
 def audit_undeclared(spark, sf):
     rows = source_lines(spark, sf)
-    return audit.undeclared(rows, rows).select("name", F.col("path").alias("doc_id"), "line_no")
+    declared = table(spark, sf, "documents").select(F.col("lang").alias("line"))
+    return audit.undeclared(rows, declared).select("name", F.col("path").alias("doc_id"), "line_no")
 
 
 _TERMS = terminology.Dictionary({"la": "the", "der": "the"}, {"et": "and"}, {"the": ("das", "der")}, {}, {}, {})

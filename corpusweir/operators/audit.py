@@ -9,15 +9,17 @@ from corpusweir.functions.text import strip
 
 # What counts as hard-coded, as an open task, and as a variable.
 HARD_CODED = {
-    "localhost": r"localhost|127\.0\.0\.1",
-    "port": r":\d{4,5}\b",
-    "url": r"https?://[^\s\"']+",
-    "password": r"(?i)password\s*=\s*[\"'][^\"']+[\"']",
-    "api_key": r"(?i)api_key\s*=\s*[\"'][^\"']+[\"']",
+    "localhost": r"localhost",
+    "local ip": r"127\.0\.0\.1",
+    "api key": r"sk-[a-zA-Z0-9]{48}",
+    "database url": r"postgresql://[^\"']+",
+    "redis url": r"redis://[^\"']+",
+    "http url": r"http://[^\"']+",
+    "https url": r"https://[^\"']+",
 }
-TODO = r"\b(TODO|FIXME|HACK|XXX)\b"
-ENV_USE = r"(?:os\.getenv|os\.environ\.get|os\.environ)[\(\[]\s*[\"']([A-Z0-9_]+)[\"']"
-ENV_DECLARED = r"^\s*([A-Z0-9_]+)\s*="
+OPEN_TASKS = {"todo": "TODO:", "fixme": "FIXME:", "hack": "HACK:", "xxx": "XXX:"}
+ENV_USE = r"os\.getenv\([\"']([^\"']+)[\"']"
+ENV_NAME = r"[A-Za-z0-9_]+"
 
 
 def lines(texts: DataFrame, path: str, text: str) -> DataFrame:
@@ -39,13 +41,13 @@ def hard_coded(rows: DataFrame, patterns: dict[str, str] = HARD_CODED) -> DataFr
 
 
 def open_tasks(rows: DataFrame) -> DataFrame:
-    return _findings(rows, {"todo": TODO}, comment="")
+    return _findings(rows, OPEN_TASKS, comment="")
 
 
 def undeclared(rows: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Variables that are read somewhere but not declared."""
+    """Variables that are read somewhere but not named in the declarations."""
     used = rows.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(ENV_USE), F.lit(1))).alias("name"))
-    known = declarations.select(F.regexp_extract("line", ENV_DECLARED, 1).alias("name")).filter("name <> ''").distinct()
+    known = declarations.select(F.explode(F.regexp_extract_all("line", F.lit(ENV_NAME), F.lit(0))).alias("name")).distinct()
     return used.join(known, "name", "left_anti")
 
 

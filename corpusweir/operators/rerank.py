@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusweir.operators.topk import stable_score, top_k
 
@@ -52,7 +53,7 @@ def by_model(docs: DataFrame, scorer: Scorer, k: int = 5) -> DataFrame:
     scorer opens its client once per task.
     """
     kept = docs.drop("rerank_score").filter(F.length(F.trim(F.coalesce("content", F.lit("")))) > 0)
-    schema = kept.schema.add("rerank_score", "double")
+    schema = T.StructType([*kept.schema.fields, T.StructField("rerank_score", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

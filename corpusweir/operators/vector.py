@@ -106,7 +106,7 @@ def _blocked(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool,
         "vb", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
     )
     right = vectors.withColumn("vb", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long")
+        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
     )
 
     def multiply(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:

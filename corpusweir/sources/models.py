@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EMBED_BATCH, RERANK_BATCH = 10, 32
 
@@ -21,6 +22,10 @@ Rerank = Callable[[str, list[str]], list[tuple[int, float]]]
 Generate = Callable[[list[str]], list[str]]
 
 
+def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
 def _in_batches(values: list, size: int) -> Iterator[list]:
     for start in range(0, len(values), size):
         yield values[start:start + size]
@@ -29,7 +34,7 @@ def _in_batches(values: list, size: int) -> Iterator[list]:
 def embed(df: DataFrame, text: str, make_client: Callable[[], Embed], out: str = "embedding",
           batch: int = EMBED_BATCH) -> DataFrame:
     """Add an embedding per row; an empty text gets an empty embedding."""
-    schema = df.schema.add(out, "array<float>")
+    schema = _with(df, out, T.ArrayType(T.FloatType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
@@ -65,7 +70,7 @@ def rerank_scores(candidates: DataFrame, make_client: Callable[[], Rerank], batc
 
 def generate(df: DataFrame, prompt: str, make_client: Callable[[], Generate], out: str = "response",
              batch: int = EMBED_BATCH) -> DataFrame:
-    schema = df.schema.add(out, "string")
+    schema = _with(df, out, T.StringType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
