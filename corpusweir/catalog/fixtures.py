@@ -23,14 +23,14 @@ def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(words(text), 1, n), " ")
 
 
-def doc_fields(spark: SparkSession, sf: str) -> DataFrame:
+def doc_fields(spark: SparkSession, sf: str, fields=("keywords", "summary", "content")) -> DataFrame:
     docs = texts(spark, sf).select(
         "doc_id",
         F.concat_ws(" ", first_words(F.col("source"), 5), first_words(F.col("text"), 10)).alias("keywords"),
         snippet(F.col("text"), 200).alias("summary"),
         F.col("text").alias("content"),
     )
-    return bm25.field_rows(docs, {f: f for f in ("keywords", "summary", "content")})
+    return bm25.field_rows(docs, {f: f for f in fields})
 
 
 def query_set(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,7 @@ from corpusweir.functions.text import words
 from corpusweir.operators import bm25, context, fusion, normalise, parents, rerank
 from corpusweir.operators.vector import most_similar, vector_topk
 from corpusweir.plans import retrieval as plan
+from corpusweir.session import checkpointed
 
 
 def r6(name: str, out: str | None = None):
@@ -26,7 +27,7 @@ def r6(name: str, out: str | None = None):
 @query("bm25_content_topk", "WITH " + S.DOC_FIELDS + "," + S.bm25("20") + """
  SELECT query_id, rank, doc_id, round(score, 6) AS score FROM rk WHERE field = 'content'""")
 def bm25_content_topk(spark, sf):
-    rows = doc_fields(spark, sf).filter("field = 'content'")
+    rows = doc_fields(spark, sf, ("content",))
     found = bm25.search_fields(rows, query_set(spark, sf), 20)
     return found.select("query_id", "rank", "doc_id", r6("score"))
 
@@ -62,7 +63,7 @@ def bm25_field_scores(spark, sf):
 @query("bm25_keywords_only", "WITH " + S.DOC_FIELDS + "," + S.bm25("5") + """
  SELECT query_id, rank, doc_id, round(score, 6) AS score FROM rk WHERE field = 'keywords'""")
 def bm25_keywords_only(spark, sf):
-    rows = doc_fields(spark, sf).filter("field = 'keywords'")
+    rows = doc_fields(spark, sf, ("keywords",))
     found = bm25.search_fields(rows, query_set(spark, sf), 5)
     return found.select("query_id", "rank", "doc_id", r6("score"))
 
@@ -108,8 +109,8 @@ def most_similar_vector(spark, sf):
 
 
 def _content_scores(spark, sf):
-    rows = doc_fields(spark, sf).filter("field = 'content'")
-    return bm25.all_scores(rows, query_set(spark, sf)).select("query_id", "doc_id", "score")
+    rows = doc_fields(spark, sf, ("content",))
+    return checkpointed(bm25.all_scores(rows, query_set(spark, sf)).select("query_id", "doc_id", "score"))
 
 
 _SC = "WITH " + S.DOC_FIELDS + "," + S.bm25() + ", s AS (SELECT query_id, doc_id, score FROM sc WHERE field = 'content')"

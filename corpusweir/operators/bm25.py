@@ -73,7 +73,8 @@ def tokenised(rows: DataFrame, tokenizer=tokens) -> DataFrame:
 def query_terms(queries: DataFrame, tokenizer=tokens) -> DataFrame:
     """(query_id, term, qtf); repeated query terms count repeatedly."""
     return (
-        queries.select("query_id", F.explode(tokenizer(F.col("text"))).alias("term"))
+        queries.select("query_id", F.explode_outer(tokenizer(F.col("text"))).alias("term"))
+        .filter("term is not null")
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
@@ -142,8 +143,10 @@ def weighted_terms(qterms: DataFrame, stats: CorpusStats, small: bool, epsilon:
 def hits_from_text(toks: DataFrame, qterms: DataFrame, small: bool) -> DataFrame:
     """(field, doc_id, dl, term, tf) of query terms, partitioned by (field, doc_id)."""
     wanted = _hinted(qterms.select("term").distinct(), small)
+    # explode_outer: for explode the optimizer would tokenise once more to skip
+    # empty lists; the semi join drops their null term anyway.
     return (
-        toks.select("field", "doc_id", "dl", F.explode("terms").alias("term"))
+        toks.select("field", "doc_id", "dl", F.explode_outer("terms").alias("term"))
         .join(wanted, "term", "left_semi")
         .repartition("field", "doc_id")
         .groupBy("field", "doc_id", "dl", "term")
@@ -334,7 +337,8 @@ def write_index(rows: DataFrame, path: str, tokenizer=tokens) -> None:
     """
     toks = tokenised(rows, tokenizer)
     postings = (
-        toks.select("field", "doc_id", "dl", F.explode("terms").alias("term"))
+        toks.select("field", "doc_id", "dl", F.explode_outer("terms").alias("term"))
+        .filter("term is not null")
         .groupBy("field", "doc_id", "dl", "term")
         .agg(F.count("*").alias("tf"))
     )

@@ -204,7 +204,8 @@ def split_rows(docs: DataFrame, cut: Callable[[str], list[str]], doc_id: str = "
                text: str = "text", name: str = "content") -> DataFrame:
     """(doc columns..., chunk_index, content), one row per chunk.  Whole texts only."""
     keep = [c for c in docs.columns if c != text]
-    return docs.select(*keep, F.posexplode(splitter(cut)(F.col(text))).alias("chunk_index", name))
+    cuts = docs.select(*keep, splitter(cut)(F.col(text)).alias("_cuts"))
+    return cuts.select(*keep, F.posexplode("_cuts").alias("chunk_index", name))
 
 
 def small_to_big(docs: DataFrame, parent_size: int = PARENT_SIZE, parent_overlap: int = PARENT_OVERLAP,

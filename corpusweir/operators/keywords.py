@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusweir.functions.text import computed
 from corpusweir.operators.topk import top_k
 
 
@@ -30,7 +31,8 @@ def frequent_terms(tokenised: DataFrame, keys: list[str], n: int = 10) -> DataFr
     before the shuffle, and the cut is a window group limit.
     """
     counts = (
-        tokenised.select(*keys, F.posexplode("terms").alias("pos", "term"))
+        computed(tokenised.select(*keys, F.col("terms").alias("_t")), {"terms": F.col("_t")})
+        .select(*keys, F.posexplode("terms").alias("pos", "term"))
         .groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     )
     return top_k(counts, keys, [F.desc("n"), F.asc("first_pos")], n)

@@ -1,7 +1,8 @@
 """Score normalisers over whole score lists.
 
 Group statistics are aggregated (map-side combine) and joined back, so a list
-holding a third of all rows is never gathered into one task.
+holding a third of all rows is never gathered into one task.  The scores are
+read more than once: pass a table or a checkpoint, not an expensive plan.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweir.operators.ordering import positions
+from corpusweir.session import bounded_broadcast
 
 
 def _with_stats(df: DataFrame, keys: Sequence[str], score: str, *stats) -> DataFrame:
-    # No hint: AQE broadcasts the statistics when they turn out small and
-    # splits a hot key when they do not.
-    return df.join(df.groupBy(*keys).agg(F.count("*").alias("_n"), *stats), list(keys))
+    # One row per list: broadcast when measured to be few, so the rows stay where
+    # they are; else the join shuffles and AQE splits a hot list.
+    return df.join(bounded_broadcast(df.groupBy(*keys).agg(F.count("*").alias("_n"), *stats)), list(keys))
 
 
 def min_max(df: DataFrame, keys: Sequence[str], score: str = "score", out: str = "norm") -> DataFrame:

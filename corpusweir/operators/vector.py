@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +50,9 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _score(keeper: TopKeeper, qids: np.ndarray, qmat: np.ndarray, pdf: pd.DataFrame, exclude_self: bool) -> None:
-    ids = pdf["doc_id"].to_numpy(np.int64)
-    scores = np.round(_unit(_matrix(pdf["embedding"])) @ qmat.T, SCORE_DIGITS)
+def _score(keeper: TopKeeper, qids: np.ndarray, qmat: np.ndarray, ids: np.ndarray, vmat: np.ndarray,
+           exclude_self: bool) -> None:
+    scores = np.round(_unit(vmat) @ qmat.T, SCORE_DIGITS)
     keeper.add(ids, scores, ids[:, None] != qids[None, :] if exclude_self else None)
 
 
@@ -88,15 +90,19 @@ def _small_query_set(vectors: DataFrame, head: pd.DataFrame, k: int, exclude_sel
         (head["query_id"].to_numpy(np.int64), _unit(_matrix(head["embedding"])))
     )
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qmat = shared.value
         keeper = TopKeeper(len(qids), k)
-        for pdf in batches:
-            if len(pdf):
-                _score(keeper, qids, qmat, pdf, exclude_self)
-        yield _emit(keeper, qids)
+        for batch in batches:
+            if batch.num_rows:
+                lengths = pc.unique(pc.list_value_length(batch.column("embedding"))).to_pylist()
+                if lengths != [qmat.shape[1]]:
+                    raise ValueError(f"vectors of length {lengths} against queries of length {qmat.shape[1]}")
+                flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                _score(keeper, qids, qmat, batch.column("doc_id").to_numpy(), flat.reshape(batch.num_rows, -1), exclude_self)
+        yield pa.RecordBatch.from_pandas(_emit(keeper, qids), preserve_index=False)
 
-    return vectors.mapInPandas(scan, SCHEMA)
+    return vectors.mapInArrow(scan, SCHEMA)
 
 
 def _blocked(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
@@ -115,7 +121,8 @@ def _blocked(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool,
         if len(q) and len(v):
             qmat = _unit(_matrix(q["embedding"]))
             for start in range(0, len(v), 8192):
-                _score(keeper, qids, qmat, v.iloc[start:start + 8192], exclude_self)
+                part = v.iloc[start:start + 8192]
+                _score(keeper, qids, qmat, part["doc_id"].to_numpy(np.int64), _matrix(part["embedding"]), exclude_self)
         return _emit(keeper, qids)
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(multiply, SCHEMA)
