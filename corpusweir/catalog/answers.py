@@ -120,7 +120,7 @@ def preset_comparison(spark, sf):
  FROM cnd JOIN child ON chunk_id = cnd.doc_id LEFT JOIN (SELECT * FROM parent WHERE parent_index > 0) p ON p.parent_id = cnd.parent_id""")
 def switch_preserving(spark, sf):
     corpus = chunk_corpus(spark, sf)
-    rows = plan.with_text(plan.fused_candidates(chunk_lists(spark, sf), RetrievalConfig()), corpus)
+    rows = plan.with_text(plan.fused_candidates(chunk_lists(spark, sf, corpus), RetrievalConfig()), corpus)
     out = parents.switch_to_parents(rows, corpus.parents.filter("parent_index > 0"), preserve=True)
     return out.select("query_id", "original_id", "switched_to_parent", F.md5("content").alias("content_md5"))
 

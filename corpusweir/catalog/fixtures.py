@@ -17,6 +17,7 @@ from corpusweir.functions.text import snippet, words
 from corpusweir.operators import bm25, chunking
 from corpusweir.operators.vector import vector_topk
 from corpusweir.plans.retrieval import Corpus, ranked_lists
+from corpusweir.session import written_table
 
 
 def first_words(text: Column, n: int) -> Column:
@@ -66,12 +67,16 @@ def chunk_corpus(spark: SparkSession, sf: str) -> Corpus:
     parents = parents.withColumn("keywords", first_words(F.col("content"), 10)).withColumn(
         "summary", snippet(F.col("content"), 200)
     )
-    children = chunking.fixed_children(parents).drop("doc_id").withColumnRenamed("chunk_id", "doc_id")
+    # Chunks are tables in use, so they are written once per query, not cut again at every step.
+    parents = written_table(parents)
+    children = written_table(
+        chunking.fixed_children(parents).drop("doc_id").withColumnRenamed("chunk_id", "doc_id")
+    )
     vectors = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("vec_key"), F.concat_ws("-", "vec_id", F.lit("0-0")).alias("doc_id"), "embedding"
     )
     return Corpus(children, parents, vectors)
 
 
-def chunk_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return ranked_lists(chunk_corpus(spark, sf), query_vectors(spark, sf), RetrievalConfig())
+def chunk_lists(spark: SparkSession, sf: str, corpus: Corpus | None = None) -> DataFrame:
+    return ranked_lists(corpus or chunk_corpus(spark, sf), query_vectors(spark, sf), RetrievalConfig())

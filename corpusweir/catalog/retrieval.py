@@ -14,7 +14,7 @@ from corpusweir.functions.text import words
 from corpusweir.operators import bm25, context, fusion, normalise, parents, rerank
 from corpusweir.operators.vector import most_similar, vector_topk
 from corpusweir.plans import retrieval as plan
-from corpusweir.session import checkpointed
+from corpusweir.session import checkpointed, is_few
 
 
 def r6(name: str, out: str | None = None):
@@ -282,7 +282,8 @@ def parent_distribution(spark, sf):
    AS coverage_score
  FROM lists JOIN child ON chunk_id = lists.doc_id GROUP BY query_id, path""")
 def path_metrics(spark, sf):
-    out = plan.path_metrics(chunk_lists(spark, sf), chunk_corpus(spark, sf), RetrievalConfig().top_ks())
+    corpus = chunk_corpus(spark, sf)
+    out = plan.path_metrics(chunk_lists(spark, sf, corpus), corpus, RetrievalConfig().top_ks())
     return out.select("query_id", "path", r6("relevance_score"), r6("diversity_score"), r6("coverage_score"))
 
 
@@ -295,8 +296,9 @@ _FUSED = "WITH " + S.FUSED
  FROM cnd JOIN parent USING (parent_id)""")
 def small_to_big_switch(spark, sf):
     corpus = chunk_corpus(spark, sf)
-    fused = plan.fused_candidates(chunk_lists(spark, sf), RetrievalConfig())
-    out = parents.switch_to_parents(plan.with_text(fused, corpus), corpus.parents)
+    fused = checkpointed(plan.fused_candidates(chunk_lists(spark, sf, corpus), RetrievalConfig()))
+    few = is_few(fused)
+    out = parents.switch_to_parents(plan.with_text(fused, corpus, few), corpus.parents, few=few)
     return out.select("query_id", "rank", "original_id", "parent_id", F.md5("content").alias("content_md5"),
                       "parent_summary", "parent_keywords", r6("fusion_score"))
 
@@ -309,7 +311,7 @@ def small_to_big_switch(spark, sf):
 def switch_stats(spark, sf):
     # Parents of index 0 are left out so that both outcomes occur.
     corpus = chunk_corpus(spark, sf)
-    fused = plan.fused_candidates(chunk_lists(spark, sf), RetrievalConfig())
+    fused = plan.fused_candidates(chunk_lists(spark, sf, corpus), RetrievalConfig())
     out = parents.switch_stats(fused, corpus.parents.filter("parent_index > 0"))
     return out.select("total_processed", "parent_chunks_found", "parent_chunks_missing", "small_chunks_kept",
                       r6("switch_success_rate"))
@@ -343,7 +345,7 @@ def rerank_similarity(spark, sf):
   row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM ms QUALIFY rank <= 5""")
 def rerank_given_scores(spark, sf):
     corpus = chunk_corpus(spark, sf)
-    fused = plan.with_text(plan.fused_candidates(chunk_lists(spark, sf), RetrievalConfig()), corpus)
+    fused = plan.with_text(plan.fused_candidates(chunk_lists(spark, sf, corpus), RetrievalConfig()), corpus)
     scores = fused.select("query_id", "doc_id", (F.length("content") / 256.0).alias("rerank_score"))
     out = rerank.by_scores(fused.drop("rank"), scores, 5)
     return out.select("query_id", "doc_id", r6("rerank_score"), "rank")
@@ -361,7 +363,7 @@ def rerank_given_scores(spark, sf):
  SELECT query_id, doc_id, rank FROM l UNION ALL SELECT query_id, doc_id, fr FROM n WHERE n <= 10""")
 def rerank_hybrid(spark, sf):
     corpus = chunk_corpus(spark, sf)
-    fused = plan.with_text(plan.fused_candidates(chunk_lists(spark, sf), RetrievalConfig()), corpus)
+    fused = plan.with_text(plan.fused_candidates(chunk_lists(spark, sf, corpus), RetrievalConfig()), corpus)
     scores = fused.select("query_id", "doc_id", (F.length("content") / 256.0).alias("rerank_score"))
     out = rerank.rerank("hybrid", fused.drop("rank"), 10, scores)
     return out.select("query_id", "doc_id", "rank")
@@ -398,8 +400,9 @@ def retrieve_basic(spark, sf):
 def four_path_retrieval(spark, sf):
     """Four paths, dedup per parent, weighted RRF, re-ranking, parent switch."""
     corpus = chunk_corpus(spark, sf)
-    best = plan.retrieve(corpus, query_vectors(spark, sf))
-    out = parents.switch_to_parents(plan.with_text(best, corpus), corpus.parents)
+    best = checkpointed(plan.retrieve(corpus, query_vectors(spark, sf)))
+    few = is_few(best)
+    out = parents.switch_to_parents(plan.with_text(best, corpus, few), corpus.parents, few=few)
     entries = F.transform(
         F.map_entries("path_contributions"), lambda e: F.format_string("%s:%d", e["key"], e["value"]["rank"])
     )
@@ -417,8 +420,9 @@ def four_path_retrieval(spark, sf):
  FROM t GROUP BY query_id""")
 def context_assembly(spark, sf):
     corpus = chunk_corpus(spark, sf)
-    best = plan.retrieve(corpus, query_vectors(spark, sf)).filter("rank <= 5")
-    out = parents.switch_to_parents(plan.with_text(best, corpus), corpus.parents)
+    best = checkpointed(plan.retrieve(corpus, query_vectors(spark, sf)).filter("rank <= 5"))
+    few = is_few(best)
+    out = parents.switch_to_parents(plan.with_text(best, corpus, few), corpus.parents, few=few)
     rows = out.withColumn("source", F.split_part("parent_id", F.lit("-"), F.lit(1))).withColumn(
         "relevance", F.col("fused_rerank_score")
     )

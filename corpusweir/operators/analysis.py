@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusweir import lexicon as L
 from corpusweir.config import PATHS
-from corpusweir.functions.text import CJK, WS, computed, contains_any, count_matches, has_word, safe_div, strip, word_runs, words
+from corpusweir.functions.text import CJK, WS, computed, contains_any, count_chars, count_matches, has_word, safe_div, strip, word_runs, words
 
 # Base weights, and what each query type and complexity adds.
 ROUTER_BASE = {"vector": 0.3, "keywords": 0.25, "summary": 0.25, "content": 0.2}
@@ -209,7 +209,7 @@ def service_analysis(queries: DataFrame) -> DataFrame:
         .when(contains_any(low, L.SERVICE_SYMPTOM), "symptom")
         .when(contains_any(low, L.SERVICE_TREATMENT), "treatment").otherwise("general"),
         "language": F.when(trimmed == 0, "unknown")
-        .when(safe_div(count_matches(text, CJK), trimmed) > 0.5, "zh").otherwise("en"),
+        .when(safe_div(count_chars(text, CJK), trimmed) > 0.5, "zh").otherwise("en"),
         "intent": F.when(contains_any(low, L.SERVICE_QUESTION), "question").otherwise("statement"),
         "complexity": F.when(size < 5, "simple").when(size < 15, "medium").otherwise("complex"),
         "keywords": F.slice(F.filter(

@@ -18,43 +18,55 @@ _W = r"\p{L}\p{N}_"
 _EDGE = rf"(?<![{_W}])"
 _EDGE_END = rf"(?![{_W}])"
 
-# Noise patterns in their order; $1 keeps a run's first mark.
+# Noise patterns in their order; $1 keeps a run's first mark.  The
+# third entry is a string every match contains: texts without it are not searched.
 NOISE_BEFORE_DIGITS = (
-    (r"书书书+", ""),
-    (rf"[^{_W}\s\x{{4e00}}-\x{{9fff}}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}.,;:!?()\[\]{{}}\"'“”‘’—–\-+*/=<>@#$%^&|\\~`]+", ""),
-    (r"\n\s*\n\s*\n+", "\n\n"),
-    (r"[ \t]+", " "),
-    (rf"^{WS}+|{WS}+$", ""),
+    (r"书书书+", "", "书书"),
+    (rf"[^{_W}\s\x{{4e00}}-\x{{9fff}}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}.,;:!?()\[\]{{}}\"'“”‘’—–\-+*/=<>@#$%^&|\\~`]+", "", None),
+    (r"\n\s*\n\s*\n+", "\n\n", "\n"),
+    (r"[ \t]+", " ", None),
+    (rf"^{WS}+|{WS}+$", "", None),
 )
 NOISE_AFTER_DIGITS = (
-    (r"([。，；：！？])[。，；：！？]+", "$1"),
-    (r"([.,:;!?])[.,:;!?]+", "$1"),
-    (r"^\s*第?\s*[0-9]+\s*页?\s*$", ""),
-    (r"^\s*Page\s+\d+\s*$", ""),
-    (r"^\s*-\s*\d+\s*-\s*$", ""),
-    (r"DOI[:：]\s*[^\n]+", ""),
-    (r"ISSN[:：]\s*[^\n]+", ""),
-    (r"doi[:：]\s*[^\n]+", ""),
-    (rf"{_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{_EDGE_END}", ""),
-    (r"https?://[^\s]+", ""),
-    (r"www\.[^\s]+", ""),
-    (r"[·•\-=]{3,}", ""),
-    (r"[*]{3,}", ""),
+    (r"([。，；：！？])[。，；：！？]+", "$1", None),
+    (r"([.,:;!?])[.,:;!?]+", "$1", None),
+    (r"^\s*第?\s*[0-9]+\s*页?\s*$", "", None),
+    (r"^\s*Page\s+\d+\s*$", "", "Page"),
+    (r"^\s*-\s*\d+\s*-\s*$", "", "-"),
+    (r"DOI[:：]\s*[^\n]+", "", "DOI"),
+    (r"ISSN[:：]\s*[^\n]+", "", "ISSN"),
+    (r"doi[:：]\s*[^\n]+", "", "doi"),
+    (rf"{_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{_EDGE_END}", "", "@"),
+    (r"https?://[^\s]+", "", "http"),
+    (r"www\.[^\s]+", "", "www."),
+    (r"[·•\-=]{3,}", "", None),
+    (r"[*]{3,}", "", "***"),
 )
 
 
+def _without(text: Column, patterns) -> Column:
+    def step(pattern, replacement, needle):
+        def run(t):
+            after = F.regexp_replace(t, pattern, replacement)
+            return F.when(F.contains(t, F.lit(needle)), after).otherwise(t) if needle else after
+
+        return run
+
+    for entry in patterns:
+        text = let(text, step(*entry))
+    return text
+
+
 def remove_noise(text: Column) -> Column:
     """The noise patterns, full-width letters and digits made ASCII; line breaks stay."""
-    out = text
-    for pattern, replacement in NOISE_BEFORE_DIGITS:
-        out = F.regexp_replace(out, pattern, replacement)
     # A run of full-width digits reads as a number: its leading zeros go.
-    out = F.regexp_replace(out, r"(?<![０-９])０+(?=[０-９])", "")
-    out = F.translate(out, L.FULL_WIDTH_DIGITS, L.HALF_WIDTH_DIGITS)
-    out = F.translate(out, L.FULL_WIDTH_LETTERS, L.HALF_WIDTH_LETTERS)
-    for pattern, replacement in NOISE_AFTER_DIGITS:
-        out = F.regexp_replace(out, pattern, replacement)
-    return out
+    def ascii_forms(t):
+        plain = F.translate(F.regexp_replace(t, r"(?<![０-９])０+(?=[０-９])", ""), L.FULL_WIDTH_DIGITS, L.HALF_WIDTH_DIGITS)
+        return F.when(
+            t.rlike("[０-９Ａ-Ｚａ-ｚ]"), F.translate(plain, L.FULL_WIDTH_LETTERS, L.HALF_WIDTH_LETTERS)
+        ).otherwise(t)
+
+    return _without(let(_without(text, NOISE_BEFORE_DIGITS), ascii_forms), NOISE_AFTER_DIGITS)
 
 
 def collapse(text: Column) -> Column:

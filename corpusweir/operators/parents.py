@@ -55,18 +55,21 @@ def parent_distribution(lists: DataFrame) -> DataFrame:
     )
 
 
-def switch_to_parents(children: DataFrame, parents: DataFrame, preserve: bool = False) -> DataFrame:
+def switch_to_parents(children: DataFrame, parents: DataFrame, preserve: bool = False,
+                      few: bool | None = None) -> DataFrame:
     """Replace a child's content by its parent's, keeping every score.
 
     ``children`` are the few rows of ranked lists; the parents are the large
-    side and are reached by an equi join on their id.
+    side and are reached by an equi join on their id.  ``few`` says that the
+    children are known to be few (else they are counted).
     """
     big = parents.select(
         F.col("parent_id"), F.col("content").alias("_content"),
         F.col("summary").alias("parent_summary"), F.col("keywords").alias("parent_keywords"),
     )
     joined = lookup_join(
-        children.withColumn("original_id", F.col("doc_id")), big, "parent_id", "left" if preserve else "inner"
+        children.withColumn("original_id", F.col("doc_id")), big, "parent_id",
+        "left" if preserve else "inner", few,
     )
     return (
         joined.withColumn("switched_to_parent", F.col("_content").isNotNull())

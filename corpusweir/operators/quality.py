@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusweir import lexicon as L
 from corpusweir.functions.text import (
-    CJK, SENTENCE_END, WS, computed, contains_any, count_matches, entropy, let, mean_of, repetition_ratio, safe_div, strip,
+    CJK, SENTENCE_END, WS, computed, contains_any, count_chars, count_matches, entropy, let, mean_of, repetition_ratio, safe_div, strip,
     tokens, words,
 )
 
@@ -80,9 +80,9 @@ def relevance_score(value: Column, gate: Gate = Gate()) -> Column:
 
 def language_score(text: Column) -> Column:
     n = F.length(text)
-    punct = safe_div(count_matches(text, rf"[^\p{{L}}\p{{N}}_\x{{09}}-\x{{0D}}\x{{1C}}-\x{{20}}\x{{85}}\x{{A0}}]"), n)
-    blank = safe_div(count_matches(text, WS), n)
-    cjk, latin = count_matches(text, CJK), count_matches(text, "[a-zA-Z]")
+    punct = safe_div(count_chars(text, rf"[^\p{{L}}\p{{N}}_\x{{09}}-\x{{0D}}\x{{1C}}-\x{{20}}\x{{85}}\x{{A0}}]"), n)
+    blank = safe_div(count_chars(text, WS), n)
+    cjk, latin = count_chars(text, CJK), count_chars(text, "[a-zA-Z]")
     share = safe_div(cjk, cjk + latin)
     return F.greatest(
         F.lit(0.0),
@@ -102,7 +102,7 @@ def structure_score(text: Column) -> Column:
 
     odd = outside(SENTENCE_END, lambda m: (m < 10) | (m > 200))
     short = outside("\n\n", lambda m: m < 50)
-    broken = count_matches(text, "\n") > F.length(text) / 50
+    broken = count_chars(text, "\n") > F.length(text) / 50
     return F.greatest(
         F.lit(0.0),
         1.0 - F.when(odd, 0.2).otherwise(0.0) - F.when(short, 0.1).otherwise(0.0)
@@ -164,7 +164,7 @@ def content_type(text: Column) -> Column:
 
 
 def content_analysis(text: Column) -> dict[str, Column]:
-    cjk, latin = count_matches(text, CJK), count_matches(text, "[a-zA-Z]")
+    cjk, latin = count_chars(text, CJK), count_chars(text, "[a-zA-Z]")
     marks = {k: count_matches(text, f"<{k.upper()}>.*?</{k.upper()}>")
              for k in ("header", "table", "list", "section")}
     return {

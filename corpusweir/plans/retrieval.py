@@ -14,7 +14,7 @@ from corpusweir.config import PathSettings, RetrievalConfig
 from corpusweir.operators import bm25, fusion, parents, rerank
 from corpusweir.operators.topk import top_k
 from corpusweir.operators.vector import vector_topk
-from corpusweir.session import checkpointed, lookup_join
+from corpusweir.session import checkpointed, is_few, lookup_join
 
 TEXT_PATHS = ("keywords", "summary", "content")
 
@@ -54,7 +54,8 @@ def ranked_lists(corpus: Corpus, queries: DataFrame, config: RetrievalConfig,
     for part in parts[1:]:
         lists = lists.unionByName(part)
     # k rows per query and path: written once, so that no later step searches again.
-    return lookup_join(checkpointed(lists), corpus.children.select("doc_id", "parent_id"), "doc_id", "left")
+    kept = checkpointed(lists)
+    return lookup_join(kept, corpus.children.select("doc_id", "parent_id"), "doc_id", "left", is_few(kept))
 
 
 def fused_candidates(lists: DataFrame, config: RetrievalConfig, weights: DataFrame | None = None,
@@ -73,8 +74,8 @@ def fused_candidates(lists: DataFrame, config: RetrievalConfig, weights: DataFra
     return fusion.fuse(config.fusion.method, deduped, shares, top, config.fusion.rrf_k, kept)
 
 
-def with_text(rows: DataFrame, corpus: Corpus) -> DataFrame:
-    return lookup_join(rows, corpus.children.select("doc_id", "content"), "doc_id")
+def with_text(rows: DataFrame, corpus: Corpus, few: bool | None = None) -> DataFrame:
+    return lookup_join(rows, corpus.children.select("doc_id", "content"), "doc_id", few=few)
 
 
 def retrieve(corpus: Corpus, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(),

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +31,29 @@ def build_session(app: str = "corpusweir", master: str | None = None, **conf: st
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application.
+
+    Functions that run in tasks import it there, wherever the workers start.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="corpusweir-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in root.rglob("*.py"):
+            z.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -58,21 +83,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_table(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as Parquet in the shared folder: columns stay prunable."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint ``df`` for broadcast only after measuring that it is small.
 
     The probe stops at ``max_rows + 1`` rows.  A larger side is returned
     without a hint, so the join shuffles instead.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_few(df, max_rows) else df
 
 
-def lookup_join(rows: DataFrame, big: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def lookup_join(rows: DataFrame, big: DataFrame, key: str, how: str = "inner", few: bool | None = None) -> DataFrame:
     """Join a few ``rows`` with a large table.
 
-    The keys are broadcast when they were measured to be few, so the large table
-    is filtered where it is scanned and only its matching rows are shuffled.
-    With more keys it is a plain join.
+    The keys are broadcast when they are known (``few``) or measured to be few,
+    so the large table is filtered where it is scanned and only its matching rows
+    are shuffled.  With more keys it is a plain join.
     """
+    if few is False:
+        return rows.join(big, key, how)
     keys = rows.select(key).filter(F.col(key).isNotNull()).distinct()
-    return rows.join(big.join(bounded_broadcast(keys), key, "left_semi"), key, how)
+    return rows.join(big.join(F.broadcast(keys) if few else bounded_broadcast(keys), key, "left_semi"), key, how)
+
+
+def is_few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    return df.limit(limit + 1).count() <= limit
