@@ -39,7 +39,7 @@ def _hits(patterns):
 
 
 _RUNS = r"[^\p{L}\p{N}_]+"
-_LOW = _Q + f""",
+LOW = _Q + f""",
  l AS (SELECT query_id, text, {S.strip('lower(text)')} AS low FROM q),
  t AS (SELECT *, {_hits(L.FACTUAL)} AS f, {_hits(L.PROCEDURAL)} AS p, {_hits(L.COMPARATIVE)} AS c,
    {_hits(L.TEMPORAL)} AS tm, regexp_matches(low, '\\p{{Nd}}')::INT + {_hits(L.NUMERICAL)} AS n FROM l),
@@ -87,7 +87,7 @@ def r6(col, name):
     return F.round(col, 6).alias(name)
 
 
-@query("query_analysis", _LOW + """
+@query("query_analysis", LOW + """
  SELECT query_id, query_type, complexity, array_to_string(entities, '|') AS entities,
   array_to_string(keywords, '|') AS keywords, round(sd, 6) AS semantic_density, round(kd, 6) AS keyword_density,
   round(confidence, 6) AS confidence FROM rt""")
@@ -99,7 +99,7 @@ def query_analysis(spark, sf):
         r6(F.col("keyword_density"), "keyword_density"), r6(F.col("confidence"), "confidence"))
 
 
-@query("query_router", _LOW + """
+@query("query_router", LOW + """
  SELECT query_id, round(wv, 6) AS vector, round(wk, 6) AS keywords, round(ws, 6) AS summary, round(wc, 6) AS content,
   array_to_string(list_filter(['vector', 'keywords', 'summary', 'content'], lambda p: CASE p WHEN 'vector' THEN wv
    WHEN 'keywords' THEN wk WHEN 'summary' THEN ws ELSE wc END > 0.1), '|') AS recommended FROM rt""")
@@ -109,7 +109,7 @@ def query_router(spark, sf):
                       F.array_join("recommended_paths", "|").alias("recommended"))
 
 
-@query("blended_weights", _LOW + """,
+@query("blended_weights", LOW + """,
  m AS (SELECT query_id, 0.4 * (1 - confidence) + wv * confidence AS v, 0.3 * (1 - confidence) + wk * confidence AS k,
    0.2 * (1 - confidence) + ws * confidence AS s, 0.1 * (1 - confidence) + wc * confidence AS c FROM rt)
  SELECT query_id, round(v / (v + k + s + c), 6) AS vector, round(k / (v + k + s + c), 6) AS keywords,
@@ -165,7 +165,7 @@ def path_performance(spark, sf):
                       r6(F.col("response_time"), "response_time"), r6(weights.overall_score(), "overall"))
 
 
-_RANKED = _LOW + _H + f""",
+_RANKED = LOW + _H + f""",
  cm AS (SELECT rt.query_id, h.path, {_SCORE} AS score FROM rt JOIN h ON h.query_type = rt.query_type
    AND h.complexity = rt.complexity AND abs(h.d - rt.sd) < 0.3 GROUP BY ALL),
  gr AS (SELECT query_id, i, path, round(coalesce(score, 0.15), 9) AS score FROM
@@ -203,10 +203,10 @@ def _finish(v, k, s, c, source):
   round(s / (v + k + s + c), 6) AS summary, round(c / (v + k + s + c), 6) AS content FROM f1"""
 
 
-_QAS = {p: _qa(p, DEFAULT_WEIGHTS[p]) for p in PATHS}
+QUERY_AWARE = {p: _qa(p, DEFAULT_WEIGHTS[p]) for p in PATHS}
 
 
-@query("weights_query_aware", _LOW + _finish(*[_QAS[p] for p in PATHS], "rt"))
+@query("weights_query_aware", LOW + _finish(*[QUERY_AWARE[p] for p in PATHS], "rt"))
 def weights_query_aware(spark, sf):
     out = weights.adjust(contexts(spark, sf), DEFAULT_WEIGHTS, "query_aware")
     return out.select("query_id", *[r6(F.col(f"f_{p}"), p) for p in PATHS])
@@ -226,7 +226,7 @@ def weights_by_performance(spark, sf):
     return out.select("query_id", *[r6(F.col(f"f_{p}"), p) for p in PATHS])
 
 
-_HY = ", ".join(f"(0.3 * p_{p} + 0.7 * {_QAS[p]}) AS h_{p}" for p in PATHS)
+_HY = ", ".join(f"(0.3 * p_{p} + 0.7 * {QUERY_AWARE[p]}) AS h_{p}" for p in PATHS)
 
 
 @query("weights_hybrid", _RANKED + f""",

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusweir.catalog import analysis as A
 from corpusweir.catalog import sql as S
-from corpusweir.catalog.analysis import contexts
 from corpusweir.catalog.fixtures import chunk_corpus, chunk_lists, query_vectors
 from corpusweir.catalog.registry import query, table, texts
 from corpusweir.config import PATHS, RetrievalConfig, preset
@@ -87,7 +87,24 @@ def answer_prompts(spark, sf):
     return rows.select(F.col("item_id").alias("query_id"), F.md5(text).alias("prompt_md5"))
 
 
-@query("weighted_retrieval")
+_WEIGHTED = A.LOW + ", " + S.CHILD_LISTS + f""",
+ fi AS (SELECT query_id, {A.QUERY_AWARE['vector']} AS v, {A.QUERY_AWARE['keywords']} AS k, {A.QUERY_AWARE['summary']} AS s,
+   {A.QUERY_AWARE['content']} AS c FROM rt),
+ f1 AS (SELECT query_id, greatest(0.05, least(0.7, v / (v + k + s + c))) AS v, greatest(0.05, least(0.7, k / (v + k + s + c))) AS k,
+   greatest(0.05, least(0.7, s / (v + k + s + c))) AS s, greatest(0.05, least(0.7, c / (v + k + s + c))) AS c FROM fi),
+ wq AS (SELECT query_id, unnest(['vector', 'keywords', 'summary', 'content']) AS path,
+   unnest([v / (v + k + s + c), k / (v + k + s + c), s / (v + k + s + c), c / (v + k + s + c)]) AS weight FROM f1),
+ fus AS (SELECT d.query_id, doc_id, round(sum(weight / (60 + rank)), 9) AS fusion_score,
+   max(CASE WHEN d.path <> 'vector' THEN score END) AS bm, max(CASE WHEN d.path = 'vector' THEN score END) AS sim
+   FROM ddp d JOIN wq ON wq.query_id = 'b' || d.query_id AND wq.path = d.path GROUP BY ALL),
+ fk AS (SELECT * FROM fus QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, doc_id) <= 10),
+ rr AS (SELECT *, round((0.4 * fusion_score + coalesce(0.3 * bm, 0) + coalesce(0.2 * sim, 0)) / (0.4
+   + CASE WHEN bm IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN sim IS NOT NULL THEN 0.2 ELSE 0 END), 9) AS f FROM fk)
+ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, doc_id) AS rank, doc_id,
+  round(fusion_score, 6) AS fusion_score, round(f, 6) AS fused_rerank_score FROM rr"""
+
+
+@query("weighted_retrieval", _WEIGHTED)
 def weighted_retrieval(spark, sf):
     """Analysis, adapted weights per query, four paths, fusion, re-ranking."""
     queries = query_vectors(spark, sf)
@@ -128,7 +145,7 @@ def switch_preserving(spark, sf):
 @query("context_features", """SELECT 'b' || item_id AS query_id, regexp_matches(text, '\\p{Nd}') AS has_numbers FROM benchmark
  UNION ALL SELECT 'c' || conv_id || '-' || turn, regexp_matches(text, '\\p{Nd}') FROM conversations WHERE role = 'user'""")
 def context_features(spark, sf):
-    return contexts(spark, sf).select("query_id", "has_numbers")
+    return A.contexts(spark, sf).select("query_id", "has_numbers")
 
 
 # ------------------------------------------------------------------------------ audit

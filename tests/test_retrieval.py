@@ -243,3 +243,30 @@ def test_config_file(tmp_path):
 def test_stage_table():
     changed = with_stage("fast", top_k=7)
     assert changed[0].top_k == 7 and STAGES[0].top_k == 5
+
+
+def test_stages_stop_per_query(spark, sf):
+    from corpusweir.catalog.fixtures import chunk_corpus, query_vectors
+    from corpusweir.operators import analysis
+    from corpusweir.plans.progressive import retrieve_progressive, start_stage
+
+    corpus, queries = chunk_corpus(spark, sf), query_vectors(spark, sf)
+    starts = {r.query_id: r.s for r in analysis.analyse(queries).select(
+        "query_id", start_stage(F.col("complexity"), F.col("confidence")).alias("s")).collect()}
+    # Thresholds that everything meets: every query stays in its first stage.
+    easy = with_stage("standard", with_stage("fast", threshold=0.0), threshold=0.0)
+    rows = retrieve_progressive(corpus, queries, top=3, stages=easy).collect()
+    assert {r.query_id: r.stage_number for r in rows} == starts
+    assert max(r["rank"] for r in rows) == 3
+    # Thresholds nothing meets: all stages run and each query keeps its best one.
+    hard = with_stage("standard", with_stage("fast", threshold=2.0), threshold=2.0)
+    rows = retrieve_progressive(corpus, queries, top=3, max_stage="standard", stages=hard).collect()
+    assert {r.stage_reached for r in rows} == {1} and {r.query_id for r in rows} == set(starts)
+
+
+def test_normalised_lists_may_be_shuffled(spark, monkeypatch):
+    rows = [("q", d, float(d % 7)) for d in range(50)]
+    df = spark.createDataFrame(rows, "q string, d long, score double")
+    monkeypatch.setattr(normalise, "bounded_broadcast", lambda x: x)
+    got = {r.d: r.norm for r in normalise.min_max(df, ["q"]).collect()}
+    assert got == {d: s / 6 for _, d, s in rows}
