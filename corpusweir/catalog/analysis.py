@@ -253,6 +253,25 @@ def weights_reinforcement(spark, sf):
     return out.select(*[r6(F.col(p), p) for p in PATHS])
 
 
+@query("weights_reinforced", "WITH z AS (SELECT 1)" + _H + """,
+ n AS (SELECT user_id FROM events WHERE event_type <> 'error' GROUP BY user_id ORDER BY max(ts) DESC, user_id DESC LIMIT 10),
+ rw AS (SELECT path, sh * 0.25 + (1 - sh) * 0.20 + (1 - least(rt / 5.0, 1.0)) * 0.15 + 0.15 + sh / 2 * 0.10 + sh * 0.10
+   + 0.5 * 0.05 AS r FROM h0 JOIN events e ON e.event_id = h0.record_id WHERE e.user_id IN (FROM n)),
+ w AS (SELECT 0.4 + 0.1 * coalesce(avg(r) FILTER (path = 'vector') - 0.5, 0) AS v, 0.3 + 0.1 * coalesce(avg(r) FILTER (path = 'keywords') - 0.5, 0) AS k,
+   0.2 + 0.1 * coalesce(avg(r) FILTER (path = 'summary') - 0.5, 0) AS s, 0.1 + 0.1 * coalesce(avg(r) FILTER (path = 'content') - 0.5, 0) AS c FROM rw),
+ f1 AS (SELECT greatest(0.05, least(0.7, v / (v + k + s + c))) AS v, greatest(0.05, least(0.7, k / (v + k + s + c))) AS k,
+   greatest(0.05, least(0.7, s / (v + k + s + c))) AS s, greatest(0.05, least(0.7, c / (v + k + s + c))) AS c FROM w)
+ SELECT 'b' || item_id AS query_id, round(v / (v + k + s + c), 6) AS vector, round(k / (v + k + s + c), 6) AS keywords,
+  round(s / (v + k + s + c), 6) AS summary, round(c / (v + k + s + c), 6) AS content FROM f1, benchmark
+ UNION ALL SELECT 'c' || conv_id || '-' || turn, round(v / (v + k + s + c), 6), round(k / (v + k + s + c), 6),
+  round(s / (v + k + s + c), 6), round(c / (v + k + s + c), 6) FROM f1, conversations WHERE role = 'user'""")
+def weights_reinforced(spark, sf):
+    users = table(spark, sf, "events").select(F.col("event_id").alias("record_id"), F.col("user_id").alias("adjustment_id"))
+    feedback = history(spark, sf).join(users, "record_id")
+    out = weights.adjust(contexts(spark, sf), DEFAULT_WEIGHTS, "reinforcement", feedback=feedback)
+    return out.select("query_id", *[r6(F.col(f"f_{p}"), p) for p in PATHS])
+
+
 @query("adaptation_stats", "WITH z AS (SELECT 1)" + _H + """,
  mx AS (SELECT max(ts) AS t FROM h0)
  SELECT query_type AS strategy, path, count(*) AS adjustments, round(avg(sh - d), 6) AS average_change,

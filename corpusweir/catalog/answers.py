@@ -11,6 +11,7 @@ from corpusweir.catalog.registry import query, table, texts
 from corpusweir.config import PATHS, RetrievalConfig, preset
 from corpusweir.operators import analysis, audit, context, parents, terminology, weights
 from corpusweir.plans import retrieval as plan
+from corpusweir.session import checkpointed, is_few
 
 _FUSED = "WITH " + S.FUSED
 
@@ -21,7 +22,8 @@ def r6(name):
 
 def best_rows(spark, sf):
     corpus = chunk_corpus(spark, sf)
-    return plan.with_text(plan.retrieve(corpus, query_vectors(spark, sf)), corpus)
+    best = checkpointed(plan.retrieve(corpus, query_vectors(spark, sf)))
+    return plan.with_text(best, corpus, is_few(best))
 
 
 @query("search_projection", _FUSED + """
@@ -137,8 +139,10 @@ def preset_comparison(spark, sf):
  FROM cnd JOIN child ON chunk_id = cnd.doc_id LEFT JOIN (SELECT * FROM parent WHERE parent_index > 0) p ON p.parent_id = cnd.parent_id""")
 def switch_preserving(spark, sf):
     corpus = chunk_corpus(spark, sf)
-    rows = plan.with_text(plan.fused_candidates(chunk_lists(spark, sf, corpus), RetrievalConfig()), corpus)
-    out = parents.switch_to_parents(rows, corpus.parents.filter("parent_index > 0"), preserve=True)
+    fused = checkpointed(plan.fused_candidates(chunk_lists(spark, sf, corpus), RetrievalConfig()))
+    few = is_few(fused)
+    rows = plan.with_text(fused, corpus, few)
+    out = parents.switch_to_parents(rows, corpus.parents.filter("parent_index > 0"), preserve=True, few=few)
     return out.select("query_id", "original_id", "switched_to_parent", F.md5("content").alias("content_md5"))
 
 

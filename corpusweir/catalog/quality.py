@@ -241,7 +241,7 @@ def clean_text(spark, sf):
 
 
 @query("clean_basic", rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-   '[^\p{{L}}\p{{N}}_\s\x{{0b}}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}.,;:!?()\[\]{{}}"''“”‘’—–\-+*/=<>@#$%^&|\\~`]+', '', 'g'),
+   '[^\p{{L}}\p{{N}}_\s\x{{0b}}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}.,;:!?()\[\]{{}}"—–\-+*/=<>@#$%^&|\\~`]+', '', 'g'),
    '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '^{S.WS}+|{S.WS}+$', '', 'g') AS t FROM documents),
  b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
    regexp_replace(t, '([.,:;!?])[.,:;!?]+', '\1', 'g'), '^\s*[0-9]+\s*$', '', 'g'), '^\s*Page\s+\d+\s*$', '', 'g'), '^\s*-\s*\d+\s*-\s*$', '', 'g'),

@@ -345,7 +345,8 @@ def rerank_similarity(spark, sf):
   row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM ms QUALIFY rank <= 5""")
 def rerank_given_scores(spark, sf):
     corpus = chunk_corpus(spark, sf)
-    fused = plan.with_text(plan.fused_candidates(chunk_lists(spark, sf, corpus), RetrievalConfig()), corpus)
+    fused = checkpointed(plan.fused_candidates(chunk_lists(spark, sf, corpus), RetrievalConfig()))
+    fused = plan.with_text(fused, corpus, is_few(fused))
     scores = fused.select("query_id", "doc_id", (F.length("content") / 256.0).alias("rerank_score"))
     out = rerank.by_scores(fused.drop("rank"), scores, 5)
     return out.select("query_id", "doc_id", r6("rerank_score"), "rank")
@@ -363,7 +364,8 @@ def rerank_given_scores(spark, sf):
  SELECT query_id, doc_id, rank FROM l UNION ALL SELECT query_id, doc_id, fr FROM n WHERE n <= 10""")
 def rerank_hybrid(spark, sf):
     corpus = chunk_corpus(spark, sf)
-    fused = plan.with_text(plan.fused_candidates(chunk_lists(spark, sf, corpus), RetrievalConfig()), corpus)
+    fused = checkpointed(plan.fused_candidates(chunk_lists(spark, sf, corpus), RetrievalConfig()))
+    fused = plan.with_text(fused, corpus, is_few(fused))
     scores = fused.select("query_id", "doc_id", (F.length("content") / 256.0).alias("rerank_score"))
     out = rerank.rerank("hybrid", fused.drop("rank"), 10, scores)
     return out.select("query_id", "doc_id", "rank")
@@ -412,8 +414,8 @@ def four_path_retrieval(spark, sf):
 
 
 @query("context_assembly", _FUSED + """
- , t AS (SELECT query_id, rank, parent.content, split_part(parent_id, '-', 1) AS source, fused_rerank_score AS s
-   FROM rrk JOIN parent USING (parent_id) WHERE rank <= 5)
+ , t AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, parent.content,
+   split_part(parent_id, '-', 1) AS source, fused_rerank_score AS s FROM rrk JOIN parent USING (parent_id) WHERE rank <= 5)
  SELECT query_id, string_agg(rank || ' (来源: ' || source || ', 相关度: ' || printf('%.3f', s) || '):' || chr(10)
   || content || chr(10), chr(10) ORDER BY rank) AS context,
   round(avg(CASE WHEN rank <= 3 THEN s END), 6) AS confidence_score

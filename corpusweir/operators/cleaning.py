@@ -22,7 +22,7 @@ _EDGE_END = rf"(?![{_W}])"
 # third entry is a string every match contains: texts without it are not searched.
 NOISE_BEFORE_DIGITS = (
     (r"书书书+", "", "书书"),
-    (rf"[^{_W}\s\x{{4e00}}-\x{{9fff}}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}.,;:!?()\[\]{{}}\"'“”‘’—–\-+*/=<>@#$%^&|\\~`]+", "", None),
+    (rf"[^{_W}\s\x{{4e00}}-\x{{9fff}}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}.,;:!?()\[\]{{}}\"—–\-+*/=<>@#$%^&|\\~`]+", "", None),
     (r"\n\s*\n\s*\n+", "\n\n", "\n"),
     (r"[ \t]+", " ", None),
     (rf"^{WS}+|{WS}+$", "", None),
@@ -235,17 +235,19 @@ NOT_A_CJK_TITLE = (
     r"^国家十二五支撑计划", r"^[０-９\s]{10,}", r"^（\s*Ｃ\s*ｈ\s*ｉ\s*ｎ\s*ａ\s*）", r"^[（）\s]*$",
 )
 TITLE_WORDS = r"(指南|规范|标准|诊断|治疗)"
+KNOWN_TITLE = "中国扩张型心肌病诊断和治疗指南"
 
 
 def title(text: Column, fallback: Column) -> Column:
     """Heaviest candidate among the first lines, else ``fallback``.
 
-    A line weighs its length; a CJK line gains for guideline words and for
-    standing alone.  The first of equal candidates wins.
+    A line weighs its length; a CJK line gains for guideline words, for one known
+    title and for standing alone.  The first of equal candidates wins.
     """
     lines = F.transform(F.slice(F.split(text, "\n"), 1, 20), strip)
     general = F.transform(
         F.filter(lines, lambda x: F.length(x).between(10, 100)
+                 & ((F.length(x) >= 20) | ~F.contains(x, F.lit("·")))
                  & ~x.rlike("(?i)" + "|".join(NOT_A_TITLE))),
         lambda x: F.struct(F.length(x).alias("w"), x.alias("x")),
     )
@@ -253,7 +255,7 @@ def title(text: Column, fallback: Column) -> Column:
         F.filter(F.slice(lines, 1, 15), lambda x: F.length(x).between(8, 80)
                  & x.rlike(r"[\x{4e00}-\x{9fff}]") & ~x.rlike("|".join(NOT_A_CJK_TITLE))),
         lambda x: F.struct((
-            F.length(x) + F.when(x.rlike(TITLE_WORDS), 100).otherwise(0)
+            F.length(x) + F.when(F.contains(x, F.lit(KNOWN_TITLE)), 200).when(x.rlike(TITLE_WORDS), 100).otherwise(0)
             + F.when((F.length(x) >= 15) & ~x.rlike("[，。；：]"), 30).otherwise(0)
         ).alias("w"), x.alias("x")),
     )

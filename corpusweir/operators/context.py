@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusweir.functions.text import snippet
+from corpusweir.functions.text import mean_of, snippet
 from corpusweir.operators.topk import top_k
 
 # Formats and texts that have to read the same.
@@ -21,20 +21,20 @@ DISCLAIMER = (
 def assemble(rows: DataFrame) -> DataFrame:
     """Numbered blocks per query and the mean relevance of the first three.
 
-    ``rows(query_id, rank, source, relevance, content)`` is a final top-k list.
+    ``rows(query_id, rank, source, relevance, content)`` is a final top-k list;
+    the blocks are numbered without gaps, whatever ranks are left.
     """
-    block = F.format_string(
-        BLOCK, F.col("rank"), F.coalesce("source", F.lit(UNKNOWN_SOURCE)),
-        F.coalesce("relevance", F.lit(0.0)), F.coalesce("content", F.lit("")),
-    )
-    return rows.groupBy("query_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda s: s["b"]),
-            "\n",
-        ).alias("context"),
-        F.coalesce(F.avg(F.when(F.col("rank") <= 3, F.coalesce("relevance", F.lit(0.0)))), F.lit(0.0)).alias(
-            "confidence_score"
-        ),
+    listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", F.coalesce("source", F.lit(UNKNOWN_SOURCE)).alias("source"),
+        F.coalesce("relevance", F.lit(0.0)).alias("relevance"), F.coalesce("content", F.lit("")).alias("content"),
+    ))).alias("d"))
+
+    def block(s, i):
+        return F.format_string(BLOCK, i + 1, s["source"], s["relevance"], s["content"])
+
+    return listed.select(
+        "query_id", F.array_join(F.transform("d", block), "\n").alias("context"),
+        mean_of(F.transform(F.slice("d", 1, 3), lambda s: s["relevance"])).alias("confidence_score"),
     )
 
 

@@ -56,12 +56,13 @@ def parent_distribution(lists: DataFrame) -> DataFrame:
 
 
 def switch_to_parents(children: DataFrame, parents: DataFrame, preserve: bool = False,
-                      few: bool | None = None) -> DataFrame:
+                      few: bool | None = None, unique: bool = False) -> DataFrame:
     """Replace a child's content by its parent's, keeping every score.
 
     ``children`` are the few rows of ranked lists; the parents are the large
     side and are reached by an equi join on their id.  ``few`` says that the
-    children are known to be few (else they are counted).
+    children are known to be few (else they are counted).  ``unique`` keeps one
+    row per parent and query where several children lead to the same parent.
     """
     big = parents.select(
         F.col("parent_id"), F.col("content").alias("_content"),
@@ -71,6 +72,10 @@ def switch_to_parents(children: DataFrame, parents: DataFrame, preserve: bool =
         children.withColumn("original_id", F.col("doc_id")), big, "parent_id",
         "left" if preserve else "inner", few,
     )
+    if unique:
+        w = Window.partitionBy("query_id", "parent_id").orderBy("rank")
+        first = F.row_number().over(w) == 1
+        joined = joined.withColumn("_first", first | F.col("_content").isNull()).filter("_first").drop("_first")
     return (
         joined.withColumn("switched_to_parent", F.col("_content").isNotNull())
         .withColumn("content", F.coalesce("_content", "content"))

@@ -121,7 +121,7 @@ def finish(df: DataFrame, values: dict[str, Column], prefix: str = "f_") -> Data
     return df.drop(*[f"_n_{p}" for p in values])
 
 
-def reinforcement(base: dict[str, float], feedback: DataFrame, last: int = 10) -> dict[str, float] | DataFrame:
+def reinforcement(base: dict[str, float], feedback: DataFrame, last: int = 10) -> DataFrame:
     """One row of weights: mean reward of the last adjustments against a baseline of 0.5.
 
     ``feedback(adjustment_id, ts, path, <metrics>)``; the last ``last`` adjustments
@@ -139,8 +139,15 @@ def reinforcement(base: dict[str, float], feedback: DataFrame, last: int = 10) -
 
 
 def adjust(contexts: DataFrame, base: dict[str, float], strategy: str = "hybrid",
-           history: DataFrame | None = None, has_feedback: bool = False) -> DataFrame:
+           history: DataFrame | None = None, has_feedback: bool = False,
+           feedback: DataFrame | None = None) -> DataFrame:
     """``f_<path>`` weights of every query by ``strategy``."""
+    if strategy == "reinforcement":
+        if feedback is None:
+            raise ValueError("this strategy needs recorded feedback")
+        learned = reinforcement(base, feedback)  # one row, read as scalars
+        df = contexts.withColumns({f"_l_{p}": learned.select(p).scalar() for p in PATHS})
+        return finish(df, {p: F.col(f"_l_{p}") for p in PATHS}).drop(*[f"_l_{p}" for p in PATHS])
     df = by_query(contexts, base)
     if strategy == "query_aware":
         return finish(df, {p: F.col(f"q_{p}") for p in PATHS})

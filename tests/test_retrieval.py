@@ -270,3 +270,18 @@ def test_normalised_lists_may_be_shuffled(spark, monkeypatch):
     monkeypatch.setattr(normalise, "bounded_broadcast", lambda x: x)
     got = {r.d: r.norm for r in normalise.min_max(df, ["q"]).collect()}
     assert got == {d: s / 6 for _, d, s in rows}
+
+
+def test_switch_options(spark):
+    kids = spark.createDataFrame([(1, 1, "a", "p", "ca"), (1, 2, "b", "p", "cb"), (1, 3, "c", "x", "cc"), (1, 4, "d", None, "cd")],
+                                 "query_id long, rank long, doc_id string, parent_id string, content string")
+    big = spark.createDataFrame([("p", "whole", "sum", "kw")], "parent_id string, content string, summary string, keywords string")
+    def rows(**kw):
+        return [(r.doc_id, r.content) for r in parents.switch_to_parents(kids, big, **kw).orderBy("rank").collect()]
+
+    assert rows() == [("a", "whole"), ("b", "whole")]
+    assert rows(unique=True) == [("a", "whole")]
+    assert rows(preserve=True) == [("a", "whole"), ("b", "whole"), ("c", "cc"), ("d", "cd")]
+    assert rows(preserve=True, unique=True) == [("a", "whole"), ("c", "cc"), ("d", "cd")]
+    stats = parents.switch_stats(kids, big, preserve=True).first()
+    assert (stats.total_processed, stats.parent_chunks_found, stats.parent_chunks_missing, stats.small_chunks_kept) == (4, 2, 1, 2)

@@ -46,7 +46,7 @@ def test_language(spark):
 def test_clean_literals(spark):
     for raw, want in [("这是  多余  空白", "这是 多余 空白"), ("这是\t制表符\n换行符", "这是 制表符 换行符"),
                       ("这是重复标点！！！", "这是重复标点！"), ("这是\t混合情况  ！！！\n\n", "这是 混合情况 ！"),
-                      ("页００７Ａｂ", "页7Ab"), ("see http://x.y/z now", "see now"), ("a@b.com x", "x"), ("", "")]:
+                      ("页００７Ａｂ", "页7Ab"), ("see http://x.y/z now", "see now"), ("a@b.com x", "x"), ("it's \"so\" ‘x’", "its \"so\" x"), ("", "")]:
         assert one(spark, raw, cleaning.clean_basic(F.col("text"))) == want
 
 
