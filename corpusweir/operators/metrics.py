@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 
 from corpusweir.operators.ordering import floor_percentiles, prefix_sums
 from corpusweir.operators.topk import top_k
-from corpusweir.session import shuffle_partitions
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
@@ -181,7 +180,7 @@ def replay_breaker(calls: DataFrame, keys: Sequence[str], ts: str, tie: str, fai
             out = pd.DataFrame(rows, columns=BREAKER_SCHEMA.names, index=pdf.index)
             yield pd.concat([pdf[names], out], axis=1)
 
-    spread = episodes.repartition(shuffle_partitions(calls.sparkSession), *keys, "_episode")
+    spread = episodes.repartition(*keys, "_episode")
     return spread.sortWithinPartitions(*keys, "_episode", "_us", tie).mapInPandas(run, schema)
 
 

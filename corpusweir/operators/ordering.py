@@ -18,15 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusweir.session import checkpointed, shuffle_partitions
+from corpusweir.session import checkpointed
 
 SEG = "_seg"
 
 
 def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    ranged = df.repartitionByRange(
-        shuffle_partitions(df.sparkSession), *[F.col(k) for k in keys], *order
-    )
+    # Without a fixed number AQE merges small segments; the checkpoint fixes the rest.
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     return checkpointed(ranged.withColumn(SEG, F.spark_partition_id()))
 
 
@@ -147,7 +146,7 @@ def ewma(
                 state, count = folded[-1], count + len(rows)
             yield pdf.assign(_local=local, _i=index)
 
-    by_segment = seg.repartition(shuffle_partitions(df.sparkSession), *keys, SEG)
+    by_segment = seg.repartition(*keys, SEG)
     folded = checkpointed(
         by_segment.sortWithinPartitions(*keys, SEG, *order).mapInPandas(fold, schema)
     )

@@ -13,6 +13,8 @@ def spark():
     session = build_session("corpusweir-tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Small test data must still span several segments and partitions.
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
