@@ -120,7 +120,6 @@ def session_expiry(stream: DataFrame, key: str, ts: str, max_age: int = 3600, la
         if not done:
             due = int((created + max_age) * 1000)
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([], columns=[key, "created_seconds", "expired"])
 
     return stream.withWatermark(ts, lateness).groupBy(key).applyInPandasWithState(
         step, schema, "created double, done boolean", "append", GroupStateTimeout.EventTimeTimeout
