@@ -4,8 +4,8 @@ A plain window puts a whole group into one task.  Here the rows are range
 partitioned by (keys, order) so that a group holding a third of the data is
 spread over many segments; each segment is folded on its own and the per-segment
 totals, of which there are at most as many as partitions, are combined after.
-The segmented rows are checkpointed: range boundaries come from sampling and
-must not move between the pass that totals and the pass that applies.
+The segmented rows are written to the shared folder once: range boundaries come
+from sampling and must not move between the pass that totals and the pass that applies.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusweir.session import checkpointed
+from corpusweir.session import checkpointed, written_table
 
 SEG = "_seg"
 
 
 def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    # Without a fixed number AQE merges small segments; the checkpoint fixes the rest.
+    # Without a fixed number AQE merges small segments; the written table fixes the rest.
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    return checkpointed(ranged.withColumn(SEG, F.spark_partition_id()))
+    return written_table(ranged.withColumn(SEG, F.spark_partition_id()))
 
 
 def _carry(totals: DataFrame, keys: Sequence[str], sums: dict[str, str]) -> DataFrame:
