@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweir.llm import mixing, neardup, packing, secret_scan, sharding
+from corpusweir.llm import (
+    learned_index, line_dedup, lz_fingerprint, mixing, neardup, packing, passages, secret_scan, sharding, toxicity,
+)
+from corpusweir.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-#: What the queries take as the tokenizer; any file of the same library will do.
-TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 
 
@@ -32,10 +33,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(TOKENIZER)
+@query("op1_duplicate_lines")
+def op1_duplicate_lines(spark: SparkSession, sf: str) -> DataFrame:
+    marks = line_dedup.duplicate_lines(table(spark, sf, "documents"))
+    return marks.select("doc_id", "line_no", "first_id", "first_line", "kept")
 
 
 def _spans_sql() -> str:
@@ -88,6 +89,11 @@ def op2_secret_spans(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(table(spark, sf, "documents")))
 
 
+@query("op3_learned_neighbours")
+def op3_learned_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return learned_index.nearest_neighbours(table(spark, sf, "embeddings"))
+
+
 OP4_SQL = """
 WITH bytes AS (
   SELECT doc_id, source, coalesce(text, '') AS t, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size,
@@ -116,9 +122,24 @@ def op4_interleaved_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op6_packed_sequences")
 def op6_packed_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.packed_sequences(table(spark, sf, "documents"), tokenizer_path(), CAPACITY)
+    return packing.packed_sequences(table(spark, sf, "documents"), public_path(), CAPACITY)
+
+
+@query("op7_lz_fingerprints")
+def op7_lz_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return lz_fingerprint.edited_likeness(table(spark, sf, "documents"))
+
+
+@query("op8_repeated_passages")
+def op8_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf, "documents"))
 
 
 OP9_SQL = r"""

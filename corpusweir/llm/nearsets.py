@@ -28,7 +28,11 @@ BLOCK = 512
 
 @dataclass(frozen=True)
 class Similarity:
-    """Sets of ``k``-shingles of words or of characters, and how they are compared."""
+    """Sets of ``k``-shingles of words or of characters, and how they are compared.
+
+    The first ``bands * rows`` of the ``hashes`` minima make band keys (all, by default);
+    ``bits`` low bits of each are kept for the sketch.  ``hashes`` is a multiple of 64.
+    """
 
     unit: str
     k: int
@@ -37,6 +41,7 @@ class Similarity:
     percent: int = 80
     bits: int = 2
     seed: int = 1
+    bands: int = 0
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """Sorted distinct shingle hashes.  A text shorter than a shingle has one, an empty one none."""
@@ -54,7 +59,8 @@ class Similarity:
         return np.stack([made.minima(s) for s in sets]) if sets else np.zeros((0, self.hashes), np.uint32)
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
-        return band_keys(minima, self.rows)
+        bands = self.bands or self.hashes // self.rows
+        return band_keys(minima[:, : bands * self.rows], self.rows)
 
     def sketch(self, minima: np.ndarray) -> np.ndarray:
         """The low bits of the minima, one plane of 64-bit words per bit."""
@@ -81,7 +87,8 @@ class Similarity:
         return 100 * shared >= self.percent * union > 0
 
     def sizes_allow(self, n: Column, m: Column) -> Column:
-        return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
+        """What the sizes of two sets allow; a size of 0 is not known."""
+        return (F.least(n, m) == 0) | (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent)
 
     def sketches_allow(self, a: Column, b: Column) -> Column:
         """Counts the minima that agree in all their kept bits, 64 at a time."""
@@ -156,8 +163,8 @@ def linked(
 ) -> DataFrame:
     """``(id, root)`` of the components of similar items; items that are their own root are left out.
 
-    ``items(id, n, keys, sketch)`` holds every distinct set once; ``texts_of(ids)`` gives
-    ``(id, text)`` for the ids asked for.
+    ``items(id, n, keys, sketch)`` holds every distinct set, in equal rows if more than
+    once; ``texts_of(ids)`` gives ``(id, text)`` once for each of the ids asked for.
     """
     rows = items.select("id", F.explode("keys").alias("key"))
     leads = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("_last")).filter("lead < _last")
@@ -168,7 +175,7 @@ def linked(
         pairs = pairs.join(signs.select(F.col("id").alias(side), F.col("n").alias(f"_n{side}"), F.col("sketch").alias(f"_s{side}")), side)
     pairs = written_table(
         pairs.filter(similarity.sizes_allow(F.col("_na"), F.col("_nb")))
-        .filter(similarity.sketches_allow(F.col("_sa"), F.col("_sb"))).select("a", "b")
+        .filter(similarity.sketches_allow(F.col("_sa"), F.col("_sb"))).select("a", "b").distinct()
     )
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = written_table(confirm(pairs, texts_of(ends), similarity))

@@ -102,6 +102,17 @@ def word_shingles(hashes: np.ndarray, offsets: np.ndarray, k: int, whole: bool =
     return x, out
 
 
+def line_shingles(lines: Sequence[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``k`` code points of every line, in order, and each line's offsets."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.fromiter((len(x) for x in lines), np.int64, len(lines))
+    begins = np.concatenate(([0], np.cumsum(n)))
+    counts = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
+    out = np.concatenate(([0], np.cumsum(counts)))
+    at = np.repeat(begins[:-1] - out[:-1], counts) + np.arange(out[-1])
+    return run_hashes(codes, at, np.minimum(at + k, np.repeat(begins[1:], counts))), out
+
+
 def char_shingles(codes: np.ndarray, k: int) -> np.ndarray:
     """Distinct hashes of the runs of ``k`` code points; of all of them, if there are fewer."""
     n = len(codes)
@@ -129,6 +140,25 @@ class MinHash:
             np.minimum(best, block.min(axis=0), out=best)
         return best
 
+    def minima_of(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Minima of many sets that lie one after the other; values may repeat in a set."""
+        out = np.full((len(offsets) - 1, self.n), 0xFFFFFFFF, np.uint32)
+        x = (values >> np.uint64(32)).astype(np.uint32)
+        filled = np.flatnonzero(np.diff(offsets))
+        i = 0
+        while i < len(filled):
+            begin = offsets[filled[i]]
+            j = max(i + 1, int(np.searchsorted(offsets[filled + 1], begin + 8192, "right")))
+            if j == i + 1:
+                one = filled[i]
+                out[one] = self.minima(values[offsets[one] : offsets[one + 1]])
+            else:
+                some = filled[i:j]
+                block = x[begin : offsets[some[-1] + 1], None] * self.a + self.b
+                out[some] = np.minimum.reduceat(block, offsets[some] - begin, axis=0)
+            i = j
+        return out
+
 
 def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key per band of ``rows`` minima; the band's number is part of it."""

@@ -16,6 +16,13 @@ STORE = 200_000
 LONGEST_KEPT = 64
 
 
+def public_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a tokenizer file of the installed package lies; any file of the same library will do."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def tokenizer_text(path: str) -> str:
     """The tokenizer file, read where the driver runs; a few megabytes that travel to the tasks."""
     with open(path, encoding="utf-8") as f:
