@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweir.llm.tokens import WordTokens, tokenizer_text
+from corpusweir.llm.tokens import tokenizer_text, word_tokens
 from corpusweir.operators.ordering import positions
 from corpusweir.session import written_table
 
@@ -147,7 +147,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordTokens(definition.value)
+        encoder = word_tokens(definition.value)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

@@ -7,13 +7,19 @@ worker keeps the ids of those it has met; a full store is emptied.
 
 from __future__ import annotations
 
+import re
+import struct
+import unicodedata
 from functools import lru_cache
 
-import numpy as np
-
-STORE = 200_000
+#: Pieces and words a worker keeps; when full, the half it met last goes, as frequent ones come early.
+STORE = 400_000
 #: Pieces longer than this are encoded each time and not kept.
 LONGEST_KEPT = 64
+#: Marks that may end a piece.  After a letter or a digit they are tokens of their own.
+MARKS = ".,!?;:*#&$%|"
+#: White space to Python alone.
+CONTROL = re.compile("[\x1c-\x1f\x85]")
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
@@ -36,25 +42,67 @@ def _tokenizer(definition: str):
     return Tokenizer.from_str(definition)
 
 
+@lru_cache(maxsize=2)
+def word_tokens(definition: str) -> WordTokens:
+    """One store per worker process, kept from task to task."""
+    return WordTokens(definition)
+
+
+def foldable(text: str) -> bool:
+    """Whether lowering a text before the tokenizer does it changes nothing."""
+    if "<|" in text:
+        return False  # may be the name of a special token
+    if text.isascii():
+        return not CONTROL.search(text)
+    low = text.lower()
+    return (
+        "\u03a3" not in text and len(low) == len(text) and unicodedata.is_normalized("NFC", text)
+        and unicodedata.is_normalized("NFC", low) and not CONTROL.search(text)
+    )
+
+
 class WordTokens:
     """Ids as little-endian 32-bit bytes."""
 
     def __init__(self, definition: str):
         self.tokenizer = _tokenizer(definition)
-        self.kept: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def fresh(self, parts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))]
 
     def encode(self, text: str) -> bytes:
-        pieces = text.split()
-        kept = self.kept
-        new = [p for p in dict.fromkeys(pieces) if p not in kept]
+        if not foldable(text):
+            return self.fresh([text])[0]
+        words = text.lower().split()
+        kept = self.pieces
+        new = [w for w in dict.fromkeys(words) if w not in kept]
         if new:
-            if len(kept) > STORE:
-                kept.clear()
-                new = list(dict.fromkeys(pieces))
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                kept[piece] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([kept[p] for p in pieces])
-        for p in new:
-            if len(p) > LONGEST_KEPT:
-                del kept[p]
+            self.learn(new)
+        out = b"".join([kept[w] for w in words])
+        if new:
+            for w in new:
+                if len(w) > LONGEST_KEPT:
+                    del kept[w]
+            for store in (kept, self.cores):
+                if len(store) > STORE:
+                    for w in list(store)[STORE // 2 :]:
+                        del store[w]
         return out
+
+    def learn(self, new: list[str]) -> None:
+        """Ids of pieces: those of the word and of the marks that end it."""
+        cores = self.cores
+        cut = []
+        for piece in new:
+            core = piece.rstrip(MARKS)
+            cut.append((core, piece[len(core) :]) if core and core[-1].isalnum() else (piece, ""))
+        missing = [c for c in dict.fromkeys([part for both in cut for part in both]) if c not in cores]
+        for core, ids in zip(missing, self.fresh(missing), strict=True):
+            cores[core] = ids
+        for piece, (core, tail) in zip(new, cut, strict=True):
+            self.pieces[piece] = cores[core] + cores[tail]
+        for core in missing:
+            if len(core) > LONGEST_KEPT:
+                del cores[core]
