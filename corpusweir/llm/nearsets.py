@@ -3,8 +3,9 @@
 Each distinct set is an item with band keys and a packed sketch of the low bits of its
 minima.  Items that share a band key are compared with the smallest of them only, if
 their sketches and sizes allow the wanted similarity, so a bucket of any size costs as
-many pairs as it has members.  What that leaves open, members of one bucket that are
-still in different components, is compared inside tasks, block by block: the texts
+many pairs as it has members.  What that leaves open are members of one bucket that are
+still in different components.  In small buckets the sketches choose the pairs to
+confirm; in larger ones members are compared inside tasks, block by block: the texts
 travel, no pairs do, and only links that join components come out.
 """
 
@@ -22,8 +23,10 @@ from corpusweir.llm.components import components
 from corpusweir.llm.shingling import MinHash, band_keys, char_shingles, jaccard, word_shingles, words
 from corpusweir.session import written_table
 
+#: Buckets up to this size are joined with themselves under the sketches; in larger ones the texts travel.
+SMALL = 32
 #: Members of a block; a task holds two blocks of texts at most.
-BLOCK = 512
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -159,14 +162,19 @@ def _block_links(similarity: Similarity) -> Callable[[pa.Table], pa.Table]:
 
 
 def linked(
-    items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: Similarity
+    items: DataFrame,
+    texts_of: Callable[[DataFrame], DataFrame],
+    similarity: Similarity,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """``(id, root)`` of the components of similar items; items that are their own root are left out.
 
     ``items(id, n, keys, sketch)`` holds every distinct set, in equal rows if more than
     once; ``texts_of(ids)`` gives ``(id, text)`` once for each of the ids asked for.
+    ``rows(key, id)`` may give the band rows that matter, where most keys are known to be alone.
     """
-    rows = items.select("id", F.explode("keys").alias("key"))
+    if rows is None:
+        rows = items.select("id", F.explode("keys").alias("key"))
     leads = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("_last")).filter("lead < _last")
     shared = written_table(rows.join(leads.select("key", "lead"), "key").filter("id <> lead"))
     signs = items.select("id", "n", "sketch")
@@ -183,10 +191,22 @@ def linked(
     labelled = shared.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     split = labelled.groupBy("key").agg(
         F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")
-    ).filter("_low < _high").select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    ).filter("_low < _high").select("key", "_n", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
     open_rows = written_table(
         labelled.join(split, "key").withColumn("block", F.expr("cast(pmod(xxhash64(id), _blocks) as int)"))
     )
+    few = open_rows.filter(F.col("_n") <= SMALL).select("key", "id", "root").join(signs, "id")
+    sides = [few.select("key", *[F.col(c).alias(f"_{x}{c}") for c in ("id", "root", "n", "sketch")]) for x in "ab"]
+    near = sides[0].join(
+        sides[1],
+        (sides[0]["key"] == sides[1]["key"]) & (F.col("_aid") < F.col("_bid")) & (F.col("_aroot") != F.col("_broot"))
+        & similarity.sizes_allow(F.col("_an"), F.col("_bn"))
+        & similarity.sketches_allow(F.col("_asketch"), F.col("_bsketch")),
+    )
+    close = written_table(near.select(F.col("_aid").alias("a"), F.col("_bid").alias("b")).distinct())
+    ends = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = links.union(confirm(close, texts_of(ends), similarity))
+    open_rows = open_rows.filter(F.col("_n") > SMALL)
     found = texts_of(open_rows.select("id").distinct())
     other = F.sequence(F.lit(0), F.col("_blocks") - 1)
     blocks = open_rows.withColumn("_other", F.explode(other)).select(
