@@ -7,35 +7,39 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusweir.llm.mixing import renewed
 from corpusweir.llm.nearsets import Similarity, linked
 from corpusweir.llm.shingling import MinHash, line_shingles
 from corpusweir.session import bounded_broadcast, written_table
 
-#: 12 bands of 4 minima: lines at the threshold of 0.8 meet in one with probability 0.998.
-LINES = Similarity("chars", k=5, hashes=64, rows=4, bands=12)
+#: 12 bands of 5 minima: lines at the threshold of 0.8 meet in one with probability 0.991, at 0.85 with 0.999.
+LINES = Similarity("chars", k=5, hashes=64, rows=5, bands=12)
 
 #: Seed of Spark's xxhash64, so that lines hashed here and there agree.
 SPARK_SEED = 42
 #: Lines hashed together, and hashes a task remembers to sign a repeated line once.
-LINE_BATCH, REMEMBERED = 4096, 1_000_000
+LINE_BATCH, REMEMBERED = 4096, 300_000
 #: Hashes of candidate lines that may be broadcast (8 bytes each); beyond it their texts are found by a shuffle.
 CANDIDATES = 1_000_000
 
-SIGNED = "th bigint, line_no int, h bigint, keys array<bigint>, sketch array<bigint>"
+SIGNED = "th bigint, line_no int, h bigint, keys array<bigint>, again array<bigint>, sketch array<bigint>"
 
 
 def signed_lines(docs: DataFrame, similarity: Similarity) -> DataFrame:
     """``docs(_id, th, text)`` as one row per line that is not blank.
 
-    A line that a task has met before has no keys; its first row there has them.
+    A line that a task has met before has no sketch and no keys; its first row there has
+    them.  ``keys`` holds the band keys that are new to the task, ``again`` the others, so a
+    key that very many lines share reaches the shuffle about once per task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(similarity.hashes, similarity.seed)
         met: set[int] = set()
+        used: set[int] = set()
         for batch in batches:
             row, number, line = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -57,16 +61,25 @@ def signed_lines(docs: DataFrame, similarity: Similarity) -> DataFrame:
                     met.clear()
                 shingles, offsets = line_shingles([part[i] for i in new], similarity.k)
                 minima = minhash.minima_of(shingles, offsets)
-                counts = np.zeros(len(part), np.int64)
-                counts[new] = 1
+                keys = similarity.keys(minima)
+                fresh = np.zeros(keys.size, bool)
+                for i, x in enumerate(keys.ravel().tolist()):
+                    if x not in used:
+                        used.add(x)
+                        fresh[i] = True
+                if len(used) > REMEMBERED:
+                    used.clear()
+                fresh = fresh.reshape(keys.shape)
                 lists = []
-                for values in (similarity.keys(minima), similarity.sketch(minima)):
-                    at = np.concatenate(([0], np.cumsum(counts * values.shape[1]))).astype(np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(values.ravel())))
+                for values, there in ((keys, fresh), (keys, ~fresh), (sketch := similarity.sketch(minima), np.ones(sketch.shape, bool))):
+                    counts = np.zeros(len(part), np.int64)
+                    counts[new] = there.sum(axis=1)
+                    at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(values[there])))
                 taken = batch.select([0, 1]).take(pa.array(row[a : a + LINE_BATCH], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [taken.column(0), taken.column(1), pa.array(number[a : a + LINE_BATCH], pa.int32()), pa.array(h), *lists],
-                    ["_id", "th", "line_no", "h", "keys", "sketch"],
+                    ["_id", "th", "line_no", "h", "keys", "again", "sketch"],
                 )
 
     kind = docs.schema["_id"].dataType.simpleString()
@@ -87,7 +100,18 @@ def duplicate_lines(
     """
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     lines = written_table(signed_lines(narrow, similarity))
-    items = lines.filter(F.size("keys") > 0).select(F.col("h").alias("id"), F.lit(0).cast("long").alias("n"), "keys", "sketch")
+    # Band rows of keys that are not alone: those met again in a task, and those of several lines.
+    again = written_table(lines.select(F.explode("again").alias("key"), F.col("h").alias("id")).distinct())
+    fresh = lines.select(F.explode("keys").alias("key"), F.col("h").alias("id"), F.lit(0).alias("_met"))
+    marks = again.select("key").distinct().select("key", F.lit(None).cast("long").alias("id"), F.lit(1).alias("_met"))
+    together = Window.partitionBy("key")
+    low, high, met = F.min("id").over(together), F.max("id").over(together), F.max("_met").over(together)
+    several = fresh.union(marks).select("key", "id", ((low < high) | (met == 1)).alias("_keep")).filter("_keep and id is not null")
+    rows = written_table(several.select("key", "id").union(again).distinct())
+    signed = lines.filter(F.size("sketch") > 0).select(F.col("h").alias("id"), "sketch")
+    items = written_table(
+        signed.join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", F.lit(0).cast("long").alias("n"), "sketch")
+    )
 
     def texts_of(ids: DataFrame) -> DataFrame:
         split = narrow.select(F.explode(F.split("text", "\n")).alias("text"))
@@ -95,7 +119,7 @@ def duplicate_lines(
         met = hashed.join(bounded_broadcast(written_table(ids), CANDIDATES), "id", "left_semi")
         return met.groupBy("id").agg(F.first("text").alias("text"))
 
-    roots = written_table(linked(items, texts_of, similarity))
+    roots = written_table(linked(items, texts_of, similarity, rows))
     named = lines.select("_id", "th", "line_no", "h").join(roots.withColumnRenamed("id", "h"), "h", "left").select(
         "_id", "th", "line_no", F.coalesce("root", "h").alias("root")
     )
@@ -122,16 +146,14 @@ def without_duplicate_lines(docs: DataFrame, similarity: Similarity = LINES, **c
     lost = marks.filter(~F.col("kept")).groupBy(F.col(id_col).alias("_gid"), F.col("text_hash").alias("_gth")).agg(
         F.collect_set("line_no").alias("_lost")
     )
-    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
-    met = hashed.join(lost, hashed[id_col].eqNullSafe(lost["_gid"]) & (F.col("_hash") == F.col("_gth")), "left")
-    parts = F.split(F.col(text_col), "\n")
+    hashed = docs.select(
+        F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
+    met = hashed.join(lost, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_hash") == F.col("_gth")), "left")
+    before = F.col("row").getField(text_col)
+    parts = F.split(before, "\n")
     stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_lost"))
     left = F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n")
-    text = F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(left)
-    out = met.withColumn("_left", text).filter(F.col("_lost").isNull() | F.col("_left").rlike(r"\S"))
-    columns = [F.col("_left").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    if "n_chars" in docs.columns and text_col != "n_chars":
-        kind = docs.schema["n_chars"].dataType
-        at = docs.columns.index("n_chars")
-        columns[at] = F.when(F.col("_lost").isNull(), F.col("n_chars")).otherwise(F.char_length("_left")).cast(kind).alias("n_chars")
-    return out.select(*columns)
+    changed = F.col("_lost").isNotNull()
+    out = met.withColumn("_left", F.when(changed, left).otherwise(before)).filter(~changed | F.col("_left").rlike(r"\S"))
+    return out.select(*renewed(docs, text_col, F.col("_left"), changed))

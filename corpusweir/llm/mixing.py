@@ -74,6 +74,8 @@ def mix_plan(
         source_key(F.col(source_col)).alias("_source"),
         *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)],
     ).withColumn("_key", seeded_key(seed, "_id", "_size"))
+    # Written, as the sampling and the sort of a range shuffle would each read the texts.
+    rows = written_table(rows)
     summed = written_table(prefix_sums(rows, ["_source"], [F.col("_key"), F.col("_id")], {"_upto": "_size"}))
     sources = written_table(summed.groupBy("_source").agg(F.sum("_size").alias("_source_size")))
     budget = targets(sources, weights, most).join(sources, "_source").select(
@@ -109,33 +111,41 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     are told apart by a number, so each is taken as planned.  A document without words
     costs nothing and stays once.
     """
-    text_col = options.get("text_col", "text")
-    id_col = options.get("id_col", "doc_id")
-    hashed = docs.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    plan = mix_plan(hashed, carry=("_hash",), **options)
+    names = {k: options.pop(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    id_col, text_col, source_col = names.values()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # The row travels as one column, so no name of its own can clash.
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"),
+        F.xxhash64(*columns).alias("hash"), F.struct(*columns).alias("row"),
+    )
+    plan = mix_plan(rows, id_col="id", carry=("hash",), **options)
     # Rows that agree in everything are one group: their takings are listed together.
-    takings = plan.select(
-        "_hash", F.col(id_col).alias("_id"),
-        F.when(F.col("size") == 0, F.array(F.lit(-1).cast("long")))
-        .otherwise(
-            F.concat(
-                F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")),
-                F.when(F.col("part") == F.col("size"), F.array(F.lit(-1).cast("long")))
-                .when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")),
-            )
-        ).alias("_takes"),
-    ).filter(F.size("_takes") > 0)
-    repeats = takings.groupBy("_hash", "_id", "_takes").agg(F.count("*").alias("_rows"))
-    each = repeats.select(
-        "_hash", "_id", F.explode(F.flatten(F.array_repeat("_takes", F.col("_rows").cast("int")))).alias("_take")
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int"))
+    last = F.when(F.col("part") == F.col("size"), F.array(F.lit(-1).cast("long"))).when(F.col("part") > 0, F.array("part"))
+    takes = F.when(F.col("size") == 0, F.array(F.lit(-1).cast("long"))).otherwise(
+        F.concat(whole, last.otherwise(F.array().cast("array<bigint>")))
     )
-    single = hashed.dropDuplicates(["_hash", id_col])
-    joined = single.join(each, (single["_hash"] == each["_hash"]) & single[id_col].eqNullSafe(each["_id"])).drop(
-        each["_hash"]
+    takings = plan.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), takes.alias("_takes")).filter(F.size("_takes") > 0)
+    repeats = takings.groupBy("_hash", "_id", "_takes").agg(F.count("*").alias("_rows"))
+    each = repeats.select("_hash", "_id", "_takes", F.explode(F.sequence(F.lit(1), F.col("_rows")))).select(
+        "_hash", "_id", F.explode("_takes").alias("_take")
     )
+    single = rows.select("id", "hash", "row").dropDuplicates(["hash", "id"])
+    out = single.join(each, (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id")))
     cut = F.col("_take") >= 0
-    out = joined.withColumn(text_col, F.when(cut, first_words(F.col(text_col), F.col("_take"))).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns and text_col != "n_chars":
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(cut, F.char_length(text_col)).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    text = F.when(cut, first_words(F.col("row").getField(text_col), F.col("_take"))).otherwise(F.col("row").getField(text_col))
+    return out.select(*renewed(docs, text_col, text, cut))
+
+
+def renewed(docs: DataFrame, text_col: str, text: Column, changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, with another text and its own length where it changed."""
+    out = []
+    for c in docs.columns:
+        value = F.col("row").getField(c)
+        if c == text_col:
+            value = text
+        elif c == "n_chars":
+            value = F.when(changed, F.char_length(text)).otherwise(value).cast(docs.schema[c].dataType)
+        out.append(value.alias(c))
+    return out

@@ -116,6 +116,8 @@ def without_near_duplicates(docs: DataFrame, similarity: Similarity = FIVE_WORDS
     )
     has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     worded, rest = docs.filter(has_words), docs.filter(~has_words)
-    hashed = worded.withColumn("_hash", F.xxhash64(text_col))
-    chosen = hashed.join(keep, hashed[id_col].eqNullSafe(keep["_kid"]) & (F.col("_hash") == F.col("_kth")), "left_semi")
-    return chosen.dropDuplicates([id_col, "_hash"]).drop("_hash").unionByName(rest)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = worded.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.struct(*columns).alias("_row"))
+    chosen = hashed.join(keep, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_hash") == F.col("_kth")), "left_semi")
+    once = chosen.dropDuplicates(["_id", "_hash"])
+    return once.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]).unionByName(rest)

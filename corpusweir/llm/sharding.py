@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweir.operators.ordering import positions
+from corpusweir.session import written_table
 
 
 def seeded_key(seed: int, *columns: str) -> Column:
@@ -56,6 +57,8 @@ def interleaved_shards(
         source_key(F.col(source_col)).alias("_source"),
         *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)],
     ).withColumn("_key", seeded_key(seed, "_id", "_crc"))
+    # Written, as the sampling and the sort of a range shuffle would each read the texts.
+    rows = written_table(rows)
     ranked = positions(rows, ["_source"], [F.col("_key"), F.col("_id")], "_rank")
     totals = ranked.groupBy("_source").agg(F.count("*").alias("_n"))
     placed = ranked.join(totals, "_source").withColumn(

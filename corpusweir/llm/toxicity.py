@@ -25,7 +25,7 @@ DIMENSION = 8
 #: Neutral features that every text has besides its own, so that few words are no strong evidence.
 PADDING = 400
 #: Toxic rows the model is fitted on at most, and twice as many others.
-SAMPLE = 2000
+SAMPLE = 1500
 #: Words a task keeps the weight of.
 STORE = 300_000
 
