@@ -72,11 +72,11 @@ def _rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             bucket, weight = bucket[order], times[number[order]].astype(float)
             first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             weight = np.add.reduceat(weight, first)
-            columns.append(bucket[first])
-            shares.append(weight / (weight.sum() + PADDING))
+            columns.append(bucket[first].astype(np.int32))
+            shares.append((weight / (weight.sum() + PADDING)).astype(np.float32))
         offsets.append(offsets[-1] + (len(columns[-1]) if words else 0))
-    none = np.zeros(0, np.int64)
-    return np.array(offsets), np.concatenate(columns or [none]), np.concatenate(shares or [none.astype(float)])
+    none = np.zeros(0, np.int32)
+    return np.array(offsets), np.concatenate(columns or [none]), np.concatenate(shares or [none.astype(np.float32)])
 
 
 def fit(
