@@ -15,6 +15,8 @@ from corpusweir import lexicon as L
 from corpusweir.functions.text import WS, computed, let, strip, word_runs
 
 _W = r"\p{L}\p{N}_"
+# Inside a class: white space beyond ASCII counts as well.
+_S = WS[1:-1]
 _EDGE = rf"(?<![{_W}])"
 _EDGE_END = rf"(?![{_W}])"
 
@@ -22,23 +24,23 @@ _EDGE_END = rf"(?![{_W}])"
 # third entry is a string every match contains: texts without it are not searched.
 NOISE_BEFORE_DIGITS = (
     (r"书书书+", "", "书书"),
-    (rf"[^{_W}\s\x{{4e00}}-\x{{9fff}}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}.,;:!?()\[\]{{}}\"—–\-+*/=<>@#$%^&|\\~`]+", "", None),
-    (r"\n\s*\n\s*\n+", "\n\n", "\n"),
+    (rf"[^{_W}{_S}\x{{4e00}}-\x{{9fff}}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}.,;:!?()\[\]{{}}\"—–\-+*/=<>@#$%^&|\\~`]+", "", None),
+    (rf"\n{WS}*\n{WS}*\n+", "\n\n", "\n"),
     (r"[ \t]+", " ", None),
     (rf"^{WS}+|{WS}+$", "", None),
 )
 NOISE_AFTER_DIGITS = (
     (r"([。，；：！？])[。，；：！？]+", "$1", None),
     (r"([.,:;!?])[.,:;!?]+", "$1", None),
-    (r"^\s*第?\s*[0-9]+\s*页?\s*$", "", None),
-    (r"^\s*Page\s+\d+\s*$", "", "Page"),
-    (r"^\s*-\s*\d+\s*-\s*$", "", "-"),
-    (r"DOI[:：]\s*[^\n]+", "", "DOI"),
-    (r"ISSN[:：]\s*[^\n]+", "", "ISSN"),
-    (r"doi[:：]\s*[^\n]+", "", "doi"),
+    (rf"^{WS}*第?{WS}*\p{{Nd}}+{WS}*页?{WS}*$", "", None),
+    (rf"^{WS}*Page{WS}+\p{{Nd}}+{WS}*$", "", "Page"),
+    (rf"^{WS}*-{WS}*\p{{Nd}}+{WS}*-{WS}*$", "", "-"),
+    (rf"DOI[:：]{WS}*[^\n]+", "", "DOI"),
+    (rf"ISSN[:：]{WS}*[^\n]+", "", "ISSN"),
+    (rf"doi[:：]{WS}*[^\n]+", "", "doi"),
     (rf"{_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{_EDGE_END}", "", "@"),
-    (r"https?://[^\s]+", "", "http"),
-    (r"www\.[^\s]+", "", "www."),
+    (rf"https?://[^{_S}]+", "", "http"),
+    (rf"www\.[^{_S}]+", "", "www."),
     (r"[·•\-=]{3,}", "", None),
     (r"[*]{3,}", "", "***"),
 )

@@ -261,3 +261,12 @@ def test_element_rules(spark):
     assert one(spark, "10MB", elements.size_in_bytes(F.col("text"))) == 10 * 1024 * 1024
     rows = F.from_json("text", "array<array<string>>")
     assert one(spark, '[["a", null], ["b", "c"]]', elements.table_text(rows)) == "a | \nb | c"
+
+
+def test_white_space_beyond_ascii_is_kept_apart(spark):
+    from pyspark.sql import functions as F
+
+    from corpusweir.operators.cleaning import clean_basic
+
+    df = spark.createDataFrame([("dose 10\u00a0mg\u2003daily",), ("see\u00a0https://a.b/c\u2003there",)], "t string")
+    assert [r[0] for r in df.select(clean_basic(F.col("t"))).collect()] == ["dose 10 mg daily", "see there"]
