@@ -101,8 +101,14 @@ def metadata_contains(df: DataFrame, keyword: str, lists: Sequence[str], text: s
 # ------------------------------------------------------------------- rewrites
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Insert or replace by key; ``changes`` holds at most one row per key."""
+def upsert(base: DataFrame, changes: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """Insert or replace by key.
+
+    Of several changes of a key the newest by ``version`` counts; without a version
+    ``changes`` holds at most one row per key.
+    """
+    if version:
+        changes = latest_versions(changes, key, version).select(*changes.columns)
     return base.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 

@@ -233,3 +233,11 @@ def test_lookup_join_beyond_the_bound(spark):
     rows, big = spark.range(50).withColumnRenamed("id", "k"), spark.range(100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     assert bounded_broadcast(rows, 10) is rows
     assert lookup_join(rows, big, "k").count() == 50
+
+
+def test_upsert_takes_the_newest_change_of_a_key(spark):
+    from corpusweir.operators.relational import upsert
+
+    base = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, at int")
+    changes = spark.createDataFrame([(1, "c", 1), (1, "d", 2), (3, "e", 1)], "k int, v string, at int")
+    assert sorted(tuple(r) for r in upsert(base, changes, "k", "at").collect()) == [(1, "d", 2), (2, "b", 0), (3, "e", 1)]
