@@ -58,8 +58,8 @@ class Similarity:
         return out
 
     def minima(self, sets: list[np.ndarray]) -> np.ndarray:
-        made = MinHash(self.hashes, self.seed)
-        return np.stack([made.minima(s) for s in sets]) if sets else np.zeros((0, self.hashes), np.uint32)
+        offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
+        return MinHash(self.hashes, self.seed).minima_of(np.concatenate([np.zeros(0, np.uint64), *sets]), offsets)
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
         bands = self.bands or self.hashes // self.rows

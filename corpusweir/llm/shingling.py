@@ -16,6 +16,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are taken together until a buffer holds so many bytes; a longer text is a buffer of its own.
 CHUNK_BYTES = 1 << 20
+#: Values permuted together (4 bytes each); a larger set is a block of its own.
+MINIMA_BLOCK = 1 << 16
 
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -57,13 +59,17 @@ def chunks(texts: Sequence[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[i
         yield start, len(texts)
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[s:e] for every pair of bounds."""
+def run_hashes(
+    values: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice, lengths: np.ndarray | None = None
+) -> np.ndarray:
+    """Hash of values[s:e] for every pair of bounds; ``lengths`` (one for all, or one each) go with slices."""
     forward, back = powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * forward[: len(values)], out=sums[1:])
     raw = (sums[ends] - sums[starts]) * back[starts]
-    return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if lengths is None:
+        lengths = (ends - starts).astype(np.uint64)
+    return mixed(raw + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
 def words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,9 +114,17 @@ def line_shingles(lines: Sequence[str], k: int) -> tuple[np.ndarray, np.ndarray]
     n = np.fromiter((len(x) for x in lines), np.int64, len(lines))
     begins = np.concatenate(([0], np.cumsum(n)))
     counts = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
-    out = np.concatenate(([0], np.cumsum(counts)))
-    at = np.repeat(begins[:-1] - out[:-1], counts) + np.arange(out[-1])
-    return run_hashes(codes, at, np.minimum(at + k, np.repeat(begins[1:], counts))), out
+    # All runs of the joined lines by neighbouring slices; those that cross a line's end are left out.
+    x = np.zeros(len(codes), np.uint64)
+    runs = max(len(codes) - k + 1, 0)
+    x[:runs] = run_hashes(codes, slice(0, runs), slice(k, k + runs), np.full(1, k, np.uint64))
+    short = np.flatnonzero((n > 0) & (n < k))
+    x[begins[short]] = run_hashes(codes, begins[short], begins[short + 1])
+    filled = np.flatnonzero(n)
+    step = np.zeros(len(codes) + 1, np.int8)
+    step[begins[filled]] += 1
+    step[begins[filled] + counts[filled]] -= 1
+    return x[np.cumsum(step[:-1], dtype=np.int8).astype(bool)], np.concatenate(([0], np.cumsum(counts)))
 
 
 def char_shingles(codes: np.ndarray, k: int) -> np.ndarray:
@@ -141,23 +155,27 @@ class MinHash:
         return best
 
     def minima_of(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Minima of many sets that lie one after the other; values may repeat in a set."""
-        out = np.full((len(offsets) - 1, self.n), 0xFFFFFFFF, np.uint32)
+        """Minima of many sets that lie one after the other; values may repeat in a set.
+
+        One permutation is applied to a whole run of sets at a time, so that every step works on
+        neighbouring values of a block that stays in the cache.
+        """
+        out = np.full((self.n, len(offsets) - 1), 0xFFFFFFFF, np.uint32)
         x = (values >> np.uint64(32)).astype(np.uint32)
         filled = np.flatnonzero(np.diff(offsets))
         i = 0
         while i < len(filled):
             begin = offsets[filled[i]]
-            j = max(i + 1, int(np.searchsorted(offsets[filled + 1], begin + 8192, "right")))
-            if j == i + 1:
-                one = filled[i]
-                out[one] = self.minima(values[offsets[one] : offsets[one + 1]])
-            else:
-                some = filled[i:j]
-                block = x[begin : offsets[some[-1] + 1], None] * self.a + self.b
-                out[some] = np.minimum.reduceat(block, offsets[some] - begin, axis=0)
+            j = max(i + 1, int(np.searchsorted(offsets[filled + 1], begin + MINIMA_BLOCK, "right")))
+            some = filled[i:j]
+            block, at = x[begin : offsets[some[-1] + 1]], offsets[some] - begin
+            permuted = np.empty_like(block)
+            for h in range(self.n):
+                np.multiply(block, self.a[h], out=permuted)
+                np.add(permuted, self.b[h], out=permuted)
+                out[h, some] = np.minimum.reduceat(permuted, at)
             i = j
-        return out
+        return np.ascontiguousarray(out.T)
 
 
 def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
