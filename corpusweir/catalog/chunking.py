@@ -55,9 +55,10 @@ _PICK = " ".join(f"WHEN c{i} >= 100 + {len(s)} THEN c{i}" for i, s in enumerate(
    CASE WHEN length(text) - s > 1000 THEN substr(text, s + 1, cut) ELSE substr(text, s + 1) END, n + 1, length(text) - s > 1000
   FROM (SELECT *, CASE {_PICK} ELSE 1000 END::BIGINT AS cut FROM (SELECT *, {_CUTS} FROM
     (SELECT doc_id, text, s, n, substr(text, s + 1, 1200) AS w FROM c WHERE more)))),
- k AS (SELECT doc_id, n, {S.strip('part')} AS t FROM c WHERE n > 0)
- SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_index, md5(substr(t, 1, 2000)) AS content_md5
- FROM k WHERE length(t) >= 100""")
+ k AS (SELECT doc_id, n, {S.strip('part')} AS t FROM c WHERE n > 0),
+ p AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM k WHERE t <> '')
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_index, md5(t) AS content_md5
+ FROM p WHERE length(t) >= 100 OR before IS NULL OR NOT suffix(before, t)""")
 def chunk_recursive(spark, sf):
     out = chunking.split_rows(documents(spark, sf), lambda t: chunking.cut_hybrid(t, similarity=None))
     return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("content").alias("content_md5"))

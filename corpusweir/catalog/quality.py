@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusweir.catalog import sql as S
-from corpusweir.catalog.fixtures import first_words
 from corpusweir.catalog.registry import query, table, texts
 from corpusweir.functions.text import WS, entropy, language, repetition_ratio, snippet, words
 from corpusweir.operators import cleaning, ordering, quality, terminology
+from corpusweir.operators.keywords import frequent_terms
 
 TERMS = ("the", "of", "and", "der", "la", "que")
 GROUPS = {"a": ("the", "of", "and"), "b": ("der", "la", "the")}
@@ -164,7 +164,10 @@ def summary_quality(spark, sf):
                       r6("compression_ratio"), r6("info_density"), r6("overall_score"), "quality_level")
 
 
-@query("keyword_quality", f"""WITH d AS (SELECT doc_id, text, {S.words('text')}[1:10] AS k, {S.tok('text')} AS tw FROM documents),
+@query("keyword_quality", f"""WITH w AS (SELECT doc_id, unnest({S.words('text')}) AS word, generate_subscripts({S.words('text')}, 1) AS pos FROM documents),
+ c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS pos FROM w GROUP BY ALL),
+ t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM c QUALIFY rank <= 10),
+ d AS (SELECT doc_id, text, k, {S.tok('text')} AS tw FROM documents JOIN (SELECT doc_id, list(word ORDER BY rank) AS k FROM t GROUP BY doc_id) USING (doc_id)),
  v AS (SELECT *, list_distinct({S.tok("array_to_string(k, ' ')")}) AS ku, list_distinct(tw) AS tu, len(k)::DOUBLE AS n,
    list_transform(k, lambda x: length(x)::DOUBLE) AS ln FROM d WHERE len(k) > 0 AND text <> ''),
  q AS (SELECT *, {_fit('n', 3, 15)} AS cs, len(list_filter(k, lambda x: list_contains(tw, lower(x)))) / n AS rs,
@@ -176,8 +179,10 @@ def summary_quality(spark, sf):
   round(sp, 6) AS medical_specificity_score, round(o, 6) AS overall_score, CASE WHEN o >= 0.8 THEN 'excellent'
   WHEN o >= 0.6 THEN 'good' WHEN o >= 0.4 THEN 'fair' ELSE 'poor' END AS quality_level FROM f""")
 def keyword_quality(spark, sf):
-    docs = documents(spark, sf).withColumn("keywords", F.slice(words(F.col("text")), 1, 10))
-    docs = docs.filter("text <> '' and size(keywords) > 0")
+    docs = documents(spark, sf).filter("text <> ''")
+    best = frequent_terms(docs.select("doc_id", words(F.col("text")).alias("terms")), ["doc_id"], 10)
+    lists = best.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda k: k["term"]).alias("keywords"))
+    docs = docs.join(lists, "doc_id")
     out = quality.keyword_quality(docs, terms=TERMS)
     return out.select("doc_id", r6("relevance_score"), r6("diversity_score"), r6("coverage_score"),
                       r6("medical_specificity_score"), r6("overall_score"), "quality_level")

@@ -164,13 +164,14 @@ def metadata_contains(spark, sf):
     return rel.metadata_contains(docs, "der", ["keywords", "entities"], "text").select("doc_id")
 
 
-@query("top_keywords", f"""WITH k AS (SELECT doc_id, unnest({S.words('text')}[1:10]) AS word,
-  generate_subscripts({S.words('text')}[1:10], 1) AS pos FROM documents)
+@query("top_keywords", f"""WITH w AS (SELECT doc_id, unnest({S.words('text')}) AS word,
+  generate_subscripts({S.words('text')}, 1) AS pos FROM documents),
+ k AS (SELECT doc_id, word, min(pos) AS pos FROM w GROUP BY ALL)
  SELECT doc_id, word, length(word) AS score, row_number() OVER (PARTITION BY doc_id
   ORDER BY length(word) DESC, pos) AS rank FROM k QUALIFY rank <= 5""")
 def top_keywords(spark, sf):
-    # Lists of at most ten keywords with a score each, zipped, sorted and cut inside the row.
-    docs = table(spark, sf, "documents").select("doc_id", F.slice(words(F.col("text")), 1, 10).alias("kw"))
+    # Every different word of the text with a score, zipped, sorted and cut inside the row.
+    docs = table(spark, sf, "documents").select("doc_id", F.array_distinct(words(F.col("text"))).alias("kw"))
     from corpusweir.operators.keywords import top_scored
 
     scored = docs.withColumn("sc", F.transform("kw", lambda w: F.length(w).cast("double")))

@@ -8,6 +8,7 @@ cut before, so they run as small functions on one document inside an Arrow
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -150,21 +151,32 @@ def merge_similar(chunks: list[str], similarity: Similarity, threshold: float =
 
 def hashed_similarity(a: str, b: str, buckets: int = 256) -> float:
     """Offline stand-in for an embedding: cosine of hashed word counts, clipped to [0, 1]."""
-    va, vb = (np.bincount([sum(w.encode()) % buckets for w in t.lower().split()] or [0], minlength=buckets)
+    va, vb = (np.bincount([crc32(w.encode()) % buckets for w in t.lower().split()] or [0], minlength=buckets)
               for t in (a, b))
     norm = float(np.linalg.norm(va) * np.linalg.norm(vb))
     return min(1.0, max(0.0, float(va @ vb) / norm)) if norm else 0.0
 
 
 def cut_hybrid(text: str, similarity: Similarity | None = hashed_similarity, size: int = 1000,
-               overlap: int = 200, min_size: int = 100, max_size: int = 2000, threshold: float = 0.75):
-    """Recursive cut, merge of similar neighbours, then the size limits."""
+               overlap: int = 200, min_size: int = 100, max_size: int = 2000, threshold: float = 0.75,
+               lossy: bool = False) -> list[str]:
+    """Recursive cut, merge of similar neighbours, then the size limits.
+
+    No text is lost: a chunk above ``max_size`` is cut again, and one below ``min_size``
+    goes only if the chunk before ends with it (an overlap repeated it).  With ``lossy``
+    all chunks below ``min_size`` go and longer ones end at ``max_size``.
+    """
     if not text.strip():
         return []
     chunks = cut_recursive(text, size, overlap, min_size)
     if similarity is not None and len(chunks) > 1:
         chunks = merge_similar(chunks, similarity, threshold, max_size, overlap)
-    return [c[:max_size] for c in (x.strip() for x in chunks) if len(c) >= min_size]
+    chunks = [x.strip() for x in chunks]
+    if lossy:
+        return [c[:max_size] for c in chunks if len(c) >= min_size]
+    before = [None, *chunks]
+    kept = [c for last, c in zip(before, chunks) if c and (len(c) >= min_size or last is None or not last.endswith(c))]
+    return [c[i:i + max_size] for c in kept for i in range(0, len(c), max_size)]
 
 
 def cut_sentences(text: str, size: int = 1000, overlap: int = 200, apply_overlap: bool = False) -> list[str]:

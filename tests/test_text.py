@@ -231,6 +231,23 @@ def test_merge_and_limits():
     assert chunking.cut_hybrid("  ") == []
 
 
+def test_hybrid_cut_loses_no_text():
+    assert chunking.cut_hybrid("short") == ["short"] and chunking.cut_hybrid("short", lossy=True) == []
+    words = [f"w{i}" for i in range(3000)]
+    text = " ".join(words[:1500]) + "\n\n" + " ".join(words[1500:]) + "\n\nlast"
+    for similarity in (None, lambda *_: 1.0, chunking.hashed_similarity):
+        assert "".join("".join(chunking.cut_hybrid(text, similarity, overlap=0)).split()) == "".join(text.split())
+    for overlap in (50, 200):
+        at = 0
+        for c in chunking.cut_hybrid(text, None, overlap=overlap):  # begins where the ones before have ended, or earlier
+            begin = text.index(c)
+            assert not text[at:begin].strip()
+            at = begin + len(c)
+        assert at == len(text)
+    assert [len(c) for c in chunking.cut_hybrid("a" * 900, None, max_size=400)] == [400, 400, 100]
+    assert chunking.hashed_similarity("listen", "silent") < 0.5
+
+
 def test_sentence_windows():
     text = "One sentence here. " * 300
     chunks = chunking.cut_sentences(text, 1000, 200)
