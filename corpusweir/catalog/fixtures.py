@@ -2,8 +2,8 @@
 
 Offline stand-ins: ``benchmark`` rows are the queries; embedding ``vec_id``
 belongs to document ``doc_id`` of the same number, and the embedding of that
-number stands for a query's vector.  The keyword and summary fields are
-synthesised from the text.
+number stands for a query's vector.  Chunks get keywords and summary as ingestion gives
+them; those of whole documents are synthesised from the text.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from corpusweir.config import RetrievalConfig
 from corpusweir.functions.text import snippet, words
 from corpusweir.operators import bm25, chunking
 from corpusweir.operators.vector import vector_topk
+from corpusweir.plans.ingest import parent_metadata
 from corpusweir.plans.retrieval import Corpus, ranked_lists
 from corpusweir.session import written_table
 
@@ -64,9 +65,7 @@ def doc_lists(spark: SparkSession, sf: str) -> DataFrame:
 def chunk_corpus(spark: SparkSession, sf: str) -> Corpus:
     docs = texts(spark, sf)
     parents = chunking.fixed_parents(docs)
-    parents = parents.withColumn("keywords", first_words(F.col("content"), 10)).withColumn(
-        "summary", snippet(F.col("content"), 200)
-    )
+    parents = parent_metadata(parents).withColumn("keywords", F.array_join("keywords", " "))
     # Chunks are tables in use, so they are written once per query, not cut again at every step.
     parents = written_table(parents)
     children = written_table(

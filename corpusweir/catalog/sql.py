@@ -39,13 +39,20 @@ DOC_FIELDS = f"""
    UNION ALL SELECT doc_id, 'summary', summary FROM src
    UNION ALL SELECT doc_id, 'content', content FROM src)"""
 
-# Fixed windows: parents of 1024 characters, children of 256.
+_LONGER = f"list_filter({tok('content')}, lambda x: length(x) > 3)"
+
+# Fixed windows: parents of 1024 characters, children of 256.  Keywords are the parent's
+# eight most frequent words of more than three letters, the first occurrence breaks ties.
 CHUNKS = f"""
  par AS (SELECT doc_id, i AS parent_index, doc_id || '-' || i AS parent_id,
    substr(text, i * 1024 + 1, 1024) AS content
    FROM (SELECT doc_id, text, unnest(range(0, ceil(length(text) / 1024.0)::BIGINT)) AS i FROM documents)),
- parent AS (SELECT *, list_aggregate({words('content')}[1:10], 'string_agg', ' ') AS keywords,
-   {snippet('content', 200)} AS summary FROM par),
+ kwc AS (SELECT parent_id, term, count(*) AS n, min(pos) AS pos FROM (SELECT parent_id, unnest({_LONGER}) AS term,
+   generate_subscripts({_LONGER}, 1) AS pos FROM par) GROUP BY ALL),
+ kwr AS (SELECT parent_id, term, row_number() OVER (PARTITION BY parent_id ORDER BY n DESC, pos) AS r FROM kwc QUALIFY r <= 8),
+ kwl AS (SELECT parent_id, string_agg(term, ' ' ORDER BY r) AS keywords FROM kwr GROUP BY parent_id),
+ parent AS (SELECT par.*, coalesce(keywords, '') AS keywords, CASE WHEN len({words('content')}) > 0 THEN {snippet('content', 200)}
+   ELSE '文档片段 ' || (parent_index + 1) END AS summary FROM par LEFT JOIN kwl USING (parent_id)),
  child AS (SELECT doc_id, parent_id, parent_id || '-' || j AS chunk_id, j AS child_index,
    substr(content, j * 256 + 1, 256) AS content, keywords, summary
    FROM (SELECT *, unnest(range(0, ceil(length(content) / 256.0)::BIGINT)) AS j FROM parent))"""
