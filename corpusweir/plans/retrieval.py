@@ -1,6 +1,7 @@
 """Many-query retrieval plans.
 
-Everything is keyed by ``query_id``; one lazy plan answers a whole batch.
+Everything is keyed by ``query_id`` and answers a whole batch.  Ranked lists are written once
+while a plan is built, and query terms and sizes are looked at.
 """
 
 from __future__ import annotations
