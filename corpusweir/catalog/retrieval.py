@@ -108,12 +108,18 @@ def most_similar_vector(spark, sf):
 # --------------------------------------------------- normalisation
 
 
+#: Length of the retrieved lists that are normalised.
+LISTED = 50
+
+
 def _content_scores(spark, sf):
+    """The list that the content path retrieves, as fusion normalises it."""
     rows = doc_fields(spark, sf, ("content",))
-    return checkpointed(bm25.all_scores(rows, query_set(spark, sf)).select("query_id", "doc_id", "score"))
+    found = bm25.search_fields(rows, query_set(spark, sf), LISTED)
+    return checkpointed(found.select("query_id", "doc_id", "score"))
 
 
-_SC = "WITH " + S.DOC_FIELDS + "," + S.bm25() + ", s AS (SELECT query_id, doc_id, score FROM sc WHERE field = 'content')"
+_SC = "WITH " + S.DOC_FIELDS + "," + S.bm25("50") + ", s AS (SELECT query_id, doc_id, score FROM rk WHERE field = 'content')"
 
 
 @query("norm_minmax", _SC + """

@@ -222,19 +222,24 @@ def references(text: Column, min_length: int = 10) -> Column:
     )
 
 
-# Lines that are no title, and words that make a line one.
+# Lines that are no title, and words that make a line one.  Digits, white
+# space and case are those of Unicode.
 NOT_A_TITLE = (
     r"^\d+$", r"^第\d+页", r"^Page\s+\d+", r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}", r"^DOI[:：]", r"^ISSN[:：]",
     r"^[·•\-=]{3,}", r"^作者[:：]", r"^Author[:：]", r"^通信作者[:：]", r"^Corresponding\s+Author",
     r"^执笔者[:：]", r"^E[-‐]?mail[:：]", r"^ＤＯＩ[:：]", r"^１０\.", r"cma\.j\.issn",
-    r"^·标\s*准\s*与\s*规\s*范\s*·", r"临床心血管病杂志", r"^[Ａ-Ｚａ-ｚ\s]+$", r"^书书书$",
-    r"^[２０１８３４（）：]+$", r"^·指南与共识·$", r"^＊$", r"^基金项目[:：]",
+    r"^·标\s*准\s*与\s*规\s*范\s*·", r"^４\s*２\s*１\s*－\s*４\s*３\s*４\s*Ｊ\s*ｏ\s*ｕ\s*ｒ\s*ｎ\s*ａ\s*ｌ",
+    r"临床心血管病杂志", r"^Ｃ\s*ｌ\s*ｉ\s*ｎ\s*ｉ\s*ｃ\s*ａ\s*ｌ", r"^Ｃ\s*ａ\s*ｒ\s*ｄ\s*ｉ\s*ｏ\s*ｌ\s*ｏ\s*ｇ\s*ｙ",
+    r"^[Ａ-Ｚａ-ｚ\s]+$", r"^书书书$", r"^[２０１８３４（）：]+$", r"^·指南与共识·$", r"^＊$", r"^基金项目[:：]",
 )
 NOT_A_CJK_TITLE = (
     r"^·标\s*准\s*与\s*规\s*范\s*·", r"^执笔者[:：]", r"^通信作者[:：]", r"^中国医学科学院", r"^武汉亚洲心脏病医院",
-    r"Ｅ[-‐]?ｍａｉｌ[:：]", r"^ＤＯＩ[:：]", r"^书书书", r"^２\s*０\s*１\s*８", r"临床心血管病杂志",
-    r"^·\s*指南与共识\s*·", r"^中华医学会心血管病学分会", r"^中国心肌炎心肌病协作组", r"^基金项目[:：]",
-    r"^国家十二五支撑计划", r"^[０-９\s]{10,}", r"^（\s*Ｃ\s*ｈ\s*ｉ\s*ｎ\s*ａ\s*）", r"^[（）\s]*$",
+    r"Ｅ[-‐]?ｍａｉｌ[:：]", r"^ＤＯＩ[:：]", r"^书书书", r"^２\s*０\s*１\s*８", r"^临床心血管病杂志", r"临床心血管病杂志",
+    r"^Ｊ\s*ｏ\s*ｕ\s*ｒ\s*ｎ\s*ａ\s*ｌ", r"^Ｃ\s*ｌ\s*ｉ\s*ｎ\s*ｉ\s*ｃ\s*ａ\s*ｌ",
+    r"^Ｃ\s*ａ\s*ｒ\s*ｄ\s*ｉ\s*ｏ\s*ｌ\s*ｏ\s*ｇ\s*ｙ", r"^·\s*指南与共识\s*·", r"^中华医学会心血管病学分会",
+    r"^中国心肌炎心肌病协作组", r"^基金项目[:：]", r"^国家十二五支撑计划", r"^[０-９\s]{10,}",
+    r"^[４２１－４３４\s]*Ｊ\s*ｏ\s*ｕ\s*ｒ\s*ｎ\s*ａ\s*ｌ", r"^ｏ\s*ｆ$", r"^（\s*Ｃ\s*ｈ\s*ｉ\s*ｎ\s*ａ\s*）", r"^[（）\s]*$",
+    r"^４\s*２\s*１\s*－\s*４\s*３\s*４\s*Ｊ\s*ｏ\s*ｕ\s*ｒ\s*ｎ\s*ａ\s*ｌ",
 )
 TITLE_WORDS = r"(指南|规范|标准|诊断|治疗)"
 KNOWN_TITLE = "中国扩张型心肌病诊断和治疗指南"
@@ -250,12 +255,12 @@ def title(text: Column, fallback: Column) -> Column:
     general = F.transform(
         F.filter(lines, lambda x: F.length(x).between(10, 100)
                  & ((F.length(x) >= 20) | ~F.contains(x, F.lit("·")))
-                 & ~x.rlike("(?i)" + "|".join(NOT_A_TITLE))),
+                 & ~x.rlike("(?iU)" + "|".join(NOT_A_TITLE))),
         lambda x: F.struct(F.length(x).alias("w"), x.alias("x")),
     )
     cjk = F.transform(
         F.filter(F.slice(lines, 1, 15), lambda x: F.length(x).between(8, 80)
-                 & x.rlike(r"[\x{4e00}-\x{9fff}]") & ~x.rlike("|".join(NOT_A_CJK_TITLE))),
+                 & x.rlike(r"[\x{4e00}-\x{9fff}]") & ~x.rlike("(?U)" + "|".join(NOT_A_CJK_TITLE))),
         lambda x: F.struct((
             F.length(x) + F.when(F.contains(x, F.lit(KNOWN_TITLE)), 200).when(x.rlike(TITLE_WORDS), 100).otherwise(0)
             + F.when((F.length(x) >= 15) & ~x.rlike("[，。；：]"), 30).otherwise(0)
@@ -264,5 +269,5 @@ def title(text: Column, fallback: Column) -> Column:
     listed = F.concat(general, cjk)
     ranked = F.array_sort(F.transform(listed, lambda s, i: F.struct((-s["w"]).alias("w"), i.alias("i"), s["x"].alias("x"))))
     best = F.get(ranked, F.lit(0))["x"]
-    tidy = F.regexp_replace(F.regexp_replace(best, r"^[·•\-\s]+|[·•\-\s]+$", ""), r"\s+", " ")
+    tidy = F.regexp_replace(F.regexp_replace(best, r"(?U)^[·•\-\s]+|[·•\-\s]+$", ""), f"{WS}+", " ")
     return F.when(F.length(tidy) >= 10, tidy).otherwise(fallback)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusweir.functions.text import computed
-from corpusweir.operators.topk import top_k
+from corpusweir.functions.text import computed, let
 
 
 def top_scored(keywords: Column, scores: Column, n: int = 5) -> Column:
@@ -24,15 +23,34 @@ def in_category(keywords: Column, category: str) -> Column:
     return F.filter(keywords, lambda k: k["category"] == category)
 
 
-def frequent_terms(tokenised: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
-    """Most frequent terms per key; the first occurrence breaks ties.
+def frequent_terms(tokenised: DataFrame, keys: list[str], n: int | None = 10) -> DataFrame:
+    """Most frequent terms per row, all with ``n=None``; the first occurrence breaks ties.
 
-    ``tokenised`` has the keys and an array column ``terms``.  Counts combine
-    before the shuffle, and the cut is a window group limit.
+    ``tokenised`` has the keys and an array column ``terms``, one row per key.  Terms are
+    counted inside the row: once sorted, equal terms are neighbours and their run is
+    the count.  Nothing is shuffled.  A row whose terms are null or empty gives none.
     """
-    counts = (
-        computed(tokenised.select(*keys, F.col("terms").alias("_t")), {"terms": F.col("_t")})
-        .select(*keys, F.posexplode("terms").alias("pos", "term"))
-        .groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    placed = F.array_sort(F.transform(F.col("terms"), lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+
+    def starts(in_order):
+        marked = F.transform(in_order, lambda s, j: F.struct(
+            j.alias("j"), s["i"].alias("i"), s["t"].alias("t"),
+            ((j == 0) | (F.get(in_order, j - 1)["t"] != s["t"])).alias("first"),
+        ))
+        return F.filter(marked, lambda s: s["first"])
+
+    def runs(in_order):
+        def counted(firsts):
+            return F.transform(firsts, lambda s, k: F.struct(
+                (s["j"] - F.coalesce(F.get(firsts, k + 1)["j"], F.size(in_order))).alias("o"),
+                s["i"].alias("first_pos"), s["t"].alias("term"),
+            ))
+
+        return let(starts(in_order), counted)
+
+    counts = F.array_sort(let(placed, runs))
+    best = computed(tokenised.select(*keys, "terms"), {"_c": counts if n is None else F.slice(counts, 1, n)})
+    return best.select(*keys, F.posexplode("_c").alias("_r", "_e")).select(
+        *keys, F.col("_e.term").alias("term"), (-F.col("_e.o")).cast("long").alias("n"),
+        F.col("_e.first_pos").alias("first_pos"), (F.col("_r") + 1).cast("long").alias("rank"),
     )
-    return top_k(counts, keys, [F.desc("n"), F.asc("first_pos")], n)

@@ -100,27 +100,24 @@ def progress_relay(stream: DataFrame, key: str, ts: str, tie: str, status: str,
 
 
 def session_expiry(stream: DataFrame, key: str, ts: str, max_age: int = 3600, lateness: str = "10 minutes") -> DataFrame:
-    """(key, created_at, expired): one row when the first activity is ``max_age`` seconds old."""
+    """(key, created_at, expired): one row when the first activity is ``max_age`` seconds old.
+
+    An expired key leaves no state; activity after that starts a new session.
+    """
     kind = {f.name: f.dataType.simpleString() for f in stream.schema.fields}[key]
     schema = f"{key} {kind}, created_seconds double, expired boolean"
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = False
         if state.hasTimedOut:
-            (created, done), fired = state.get, True
-        else:
-            first = min((_seconds(b[ts]).min() for b in batches if len(b)), default=None)
-            created, done = state.get if state.exists else (first, False)
-            fired = False
-        if fired and not done:
-            state.update((created, True))
+            (created,) = state.get
+            state.remove()
             yield pd.DataFrame([(group[0], created, True)], columns=[key, "created_seconds", "expired"])
             return
-        state.update((created, done))
-        if not done:
-            due = int((created + max_age) * 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        firsts = [_seconds(b[ts]).min() for b in batches if len(b)]
+        created = float(min(firsts + (list(state.get) if state.exists else [])))
+        state.update((created,))
+        state.setTimeoutTimestamp(max(int((created + max_age) * 1000), state.getCurrentWatermarkMs() + 1))
 
     return stream.withWatermark(ts, lateness).groupBy(key).applyInPandasWithState(
-        step, schema, "created double, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+        step, schema, "created double", "append", GroupStateTimeout.EventTimeTimeout
     )
