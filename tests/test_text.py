@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusweir import lexicon as L
 from corpusweir.functions import text as X
-from corpusweir.operators import analysis, chunking, cleaning, elements, quality, terminology
+from corpusweir.operators import analysis, chunking, cleaning, elements, keywords, quality, terminology
 
 random.seed(11)
 
@@ -99,6 +99,26 @@ def test_references_and_title(spark):
     assert one(spark, "12\n", cleaning.title(F.col("text"), F.lit("file"))) == "file"
 
 
+@pytest.mark.parametrize("line", [
+    "４２１－４３４ Ｊｏｕｒｎａｌ of 诊断指南一二三四五", "Ｃｌｉｎｉｃａｌ 诊断和治疗指南一二三四五", "Ｃａｒｄ ｉｏｌｏｇｙ 诊断和治疗指南一二三四五",
+    "２０１８年第３期 临床心血管病杂志指南一二三", "ｄｏｉ：１２３４５６７８９０", "Page\u300012 of the whole report",
+])
+def test_lines_that_are_no_title(spark, line):
+    assert one(spark, line, cleaning.title(F.col("text"), F.lit("file"))) == "file"
+
+
+def test_frequent_terms_in_the_row(spark):
+    rows = [(1, ["b", "a", "b", "c", "a", "d"]), (2, []), (3, None), (4, ["x"])]
+    df = spark.createDataFrame(rows, "k int, terms array<string>")
+
+    def found(n):
+        return [tuple(r) for r in keywords.frequent_terms(df, ["k"], n).orderBy("k", "rank").collect()]
+
+    everything = [(1, "b", 2, 0, 1), (1, "a", 2, 1, 2), (1, "c", 1, 3, 3), (1, "d", 1, 5, 4), (4, "x", 1, 0, 1)]
+    assert found(None) == everything
+    assert found(2) == [r for r in everything if r[4] <= 2]
+
+
 def test_standardise(spark):
     apply = terminology.standardiser()
     assert one(spark, "急性MI CHF", apply(F.col("text"))) == "急性心肌梗死 充血性心力衰竭"
