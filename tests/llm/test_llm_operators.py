@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusweir.llm import (
-    catalog, learned_index, line_dedup, lz_fingerprint, mixing, neardup, packing, passages, secret_scan, sharding, toxicity,
+    catalog, learned_index, line_dedup, lz_fingerprint, mixing, neardup, packing, passages, secret_scan, sharding, shingling, toxicity,
 )
 from corpusweir.llm.tokens import public_path, tokenizer_text, word_tokens
 
@@ -208,6 +208,23 @@ def test_repeated_passages(spark):
             assert " ".join(words) in shared + " " + short and len(words) >= 50
 
 
+def test_runs_of_repeated_phrases_at_any_start():
+    def shingled(text):
+        hashes, _, _, offsets = shingling.words([text.encode()])
+        return shingling.word_shingles(hashes, offsets, 5, whole=False)[0]
+
+    for before, phrase in itertools.product(range(0, 46, 3), ("ha", "one two three", "a b c d e f")):
+        run = " ".join((phrase.split() * 50)[:50])
+        a, b = (f"{prose(seed, 30 + before * k)} {run} {prose(seed + 1, 70)}" for seed, k in ((40, 1), (50, 2)))
+        found = passages.shared_stretches(shingled(a), shingled(b), 46, 80)
+        assert any(s <= 30 + before and 30 + before + 46 <= e and f <= 30 + 2 * before and 30 + 2 * before + 46 <= g for s, e, f, g in found)
+    # A passage of which a third is one word over and over, the rest its own.
+    mixed = f"{prose(60, 32)} {' '.join(['ha'] * 22)}"
+    a, b = f"{prose(61, 40)} {mixed} {prose(62, 40)}", f"{prose(63, 71)} {mixed} {prose(64, 40)}"
+    assert passages.shared_stretches(shingled(a), shingled(b), 46, 80)
+    assert not passages.shared_stretches(shingled(a), shingled(f"{prose(65, 50)} {' '.join(['ha'] * 22)} {prose(66, 50)}"), 46, 80)
+
+
 def test_equal_texts_and_edits_of_fingerprints(spark):
     texts = [prose(1, 300), prose(2, 300), prose(2, 300), "", "a"]
     got = {x.doc_id: x for x in lz_fingerprint.edited_likeness(frame(spark, texts)).collect()}
