@@ -208,6 +208,17 @@ def test_repeated_passages(spark):
             assert " ".join(words) in shared + " " + short and len(words) >= 50
 
 
+def test_recall_of_passages_at_the_threshold(spark):
+    texts = []
+    for i in range(200):
+        own = prose(7000 + i, 50).split()
+        texts.append(f"{prose(3000 + i, 80)} {' '.join(own)} {prose(4000 + i, 80)}")
+        own[22 + i % 6] = "changed"
+        texts.append(f"{prose(5000 + i, 95)} {' '.join(own)} {prose(6000 + i, 65)}")
+    found = {x.doc_id for x in passages.repeated_passages(frame(spark, texts)).collect()}
+    assert sum({2 * i, 2 * i + 1} <= found for i in range(200)) >= 198
+
+
 def test_runs_of_repeated_phrases_at_any_start():
     def shingled(text):
         hashes, _, _, offsets = shingling.words([text.encode()])
