@@ -208,6 +208,23 @@ def test_repeated_passages(spark):
             assert " ".join(words) in shared + " " + short and len(words) >= 50
 
 
+@pytest.mark.parametrize("block", [8, 1024])
+def test_passages_behind_a_common_phrase(spark, monkeypatch, block):
+    """Every key of a passage may be that of a phrase of under 50 words that all rows hold."""
+    monkeypatch.setattr("corpusweir.llm.passages.BLOCK", block)
+    phrase, texts = prose(8000, 44), []
+    for i in range(60):
+        own = prose(8100 + i, 8)
+        texts += [f"{prose(8200 + 2 * i + k, 120)} {phrase} {own} {prose(8400 + 2 * i + k, 120)}" for k in range(2)]
+    random.Random(5).shuffle(texts)
+    grams = [shingles(t, 5) for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(grams[i] & grams[j]) >= 46]
+    assert len(pairs) == 60
+    got = {x.doc_id: x.first_id for x in passages.repeated_passages(frame(spark, texts)).collect()}
+    missed = [p for p in pairs if p[0] not in got or p[1] not in got]
+    assert not missed, len(missed)
+
+
 def test_recall_of_passages_at_the_threshold(spark):
     texts = []
     for i in range(200):
