@@ -225,6 +225,19 @@ def test_passages_behind_a_common_phrase(spark, monkeypatch, block):
     assert not missed, len(missed)
 
 
+def test_passage_beside_one_that_all_rows_share(spark):
+    """A passage found elsewhere in a segment says nothing of the box of another one."""
+    everywhere, phrase, texts = prose(8800, 60), prose(8801, 44), []
+    for i in range(30):
+        own = prose(8900 + i, 8)
+        texts += [f"{prose(9100 + 2 * i + k, 60)} {everywhere} {prose(9300 + 2 * i + k, 60)} {phrase} {own} {prose(9500 + 2 * i + k, 60)}" for k in range(2)]
+    random.Random(6).shuffle(texts)
+    found = {}
+    for x in passages.repeated_passages(frame(spark, texts)).collect():
+        found.setdefault(x.doc_id, []).append(x.end_word - x.start_word)
+    assert all(len(found[i]) == 2 for i in range(len(texts)))
+
+
 def test_recall_of_passages_at_the_threshold(spark):
     texts = []
     for i in range(200):
