@@ -193,6 +193,17 @@ def test_lines_as_brute_force_finds_them(spark):
     assert sum(len(x.text.split("\n")) for x in left.collect()) == len(set(got.values()))
 
 
+def test_lines_at_the_threshold_share_a_band():
+    r, missed, pairs = np.random.RandomState(12), 0, 3000
+    sets = []
+    for _ in range(pairs):
+        x = r.randint(0, 1 << 63, 100, np.int64).astype(np.uint64) * np.uint64(2)
+        sets += [np.sort(x[:90]), np.sort(np.concatenate((x[:80], x[90:])))]
+    keys = line_dedup.LINES.keys(line_dedup.LINES.minima(sets))
+    missed = int((~(keys[0::2] == keys[1::2]).any(axis=1)).sum())
+    assert missed <= 0.004 * pairs, missed
+
+
 def test_repeated_passages(spark):
     shared, short = prose(9000, 60), prose(9001, 30)
     texts = [f"{prose(i, 300)} {shared if i % 3 == 0 else ''} {short} {prose(i + 50, 1200 if i == 3 else 80)}" for i in range(12)]
