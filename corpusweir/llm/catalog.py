@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweir.llm import (
-    learned_index, line_dedup, lz_fingerprint, mixing, neardup, packing, passages, secret_scan, sharding, toxicity,
+    hadamard_clusters, learned_index, line_dedup, lz_fingerprint, mixing, neardup, packing, passages, secret_scan, sharding, spelling,
+    toxicity, vector_links,
 )
 from corpusweir.llm.tokens import public_path
 
@@ -186,3 +187,80 @@ SELECT doc_id, size, n AS source_size, target,
 def op10_mixed_sources(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS d, vec_id AS r FROM embeddings UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.d),
+comp AS (SELECT d, min(r) AS c FROM reach GROUP BY d),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c AS component_id, c = vec_id AS kept FROM embeddings JOIN comp ON d = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
+@query("op11_vector_links", OP11_SQL)
+def op11_vector_links(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_links.vector_links(table(spark, sf, "embeddings"))
+
+
+OP12_SQL = """
+WITH RECURSIVE steps AS (SELECT list(c ORDER BY k) AS crc_of FROM (
+  SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM (SELECT unnest(range(256)) AS k))),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+some AS (SELECT doc_id, r, count(*) AS c FROM runs WHERE length(r) >= 7 GROUP BY doc_id, r),
+hashed AS (SELECT r, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)), '..'), lambda x: ('0x' || x)::BIGINT)),
+  lambda k, x: xor(k >> 8, crc_of[xor(k & 255, x) + 1])), 4294967295) AS h FROM some, steps),
+made AS (SELECT c, CASE WHEN h % 31 = 0 THEN substring(r, 1, (h % length(r))::INT) || substring(r, (h % length(r))::INT + 2) ELSE r END AS word FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+less AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS d
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+shorter AS (SELECT DISTINCT l.word AS long, l.n AS long_n, w.word AS short, w.n AS short_n FROM less l JOIN words w ON w.word = l.d),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT long, short, short_n FROM shorter UNION ALL SELECT short, long, long_n FROM shorter),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+marked AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form,
+  CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS at FROM marked UNION ALL SELECT path.word, m.form FROM path JOIN marked m ON m.word = path.at WHERE m.form IS NOT NULL),
+ends AS (SELECT path.word, path.at AS root FROM path JOIN marked m ON m.word = path.at WHERE m.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM marked JOIN ends USING (word)"""
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents"))
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """The rounds written out: components as rows, exact in integers."""
+    parts = ["""
+WITH kept AS (
+  SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS (SELECT vec_id, i, floor(256 * e[i]::DOUBLE)::BIGINT AS x FROM (SELECT vec_id, e, unnest(range(1, 65))::INT AS i FROM kept)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id), vec_id) - 1 AS c FROM kept),
+c0 AS MATERIALIZED (SELECT c, i, x FROM first JOIN v USING (vec_id) WHERE c < """ + str(k) + ")"]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, min(c) AS c, min(d) AS d FROM (
+  SELECT vec_id, c, d, min(d) OVER (PARTITION BY vec_id) AS m FROM (
+    SELECT vec_id, c, sum((v.x - k.x) * (v.x - k.x))::BIGINT AS d FROM v JOIN c{r} k USING (i) GROUP BY vec_id, c)) WHERE d = m GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""
+c{r + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, k.x)::BIGINT AS x FROM c{r} k LEFT JOIN (
+  SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN v USING (vec_id) GROUP BY c, i) USING (c, i))""")
+    return ",".join(parts) + f"""
+SELECT vec_id, a.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM a{rounds} a JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c) USING (c)"""
+
+
+@query("op13_progressive_clusters", _clusters_sql())
+def op13_progressive_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return hadamard_clusters.progressive_clusters(table(spark, sf, "embeddings"))
