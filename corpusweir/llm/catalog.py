@@ -212,10 +212,10 @@ WITH RECURSIVE steps AS (SELECT list(c ORDER BY k) AS crc_of FROM (
   FROM (SELECT unnest(range(256)) AS k))),
 runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
-some AS (SELECT doc_id, r, count(*) AS c FROM runs WHERE length(r) >= 7 GROUP BY doc_id, r),
+own AS (SELECT doc_id, r, count(*) AS c FROM runs WHERE length(r) >= 7 GROUP BY doc_id, r),
 hashed AS (SELECT r, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
     regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)), '..'), lambda x: ('0x' || x)::BIGINT)),
-  lambda k, x: xor(k >> 8, crc_of[xor(k & 255, x) + 1])), 4294967295) AS h FROM some, steps),
+  lambda k, x: xor(k >> 8, crc_of[xor(k & 255, x) + 1])), 4294967295) AS h FROM own, steps),
 made AS (SELECT c, CASE WHEN h % 31 = 0 THEN substring(r, 1, (h % length(r))::INT) || substring(r, (h % length(r))::INT + 2) ELSE r END AS word FROM hashed),
 words AS (SELECT word, sum(c)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
 less AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS d

@@ -262,7 +262,8 @@ def near_words(words: DataFrame, cell: int = CELL, block: int = MEMBERS, asked:
             "_home", "word", "n",
         )
 
-    queries = blocks(True)
+    # Other names: both sides of a cogroup must not be the same columns.
+    queries = blocks(True).select(*[F.col(c).alias(c) for c in (*at, "_mb", "_qb", "_home", "word", "n")])
     members = blocks(False).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_queries") - 1))).drop("_queries", "_members")
     key = [*at, "_mb", "_qb"]
     return members.select(*key, "word", "n").groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(

@@ -122,7 +122,7 @@ def _upper_nodes(distinct: DataFrame, sizes: DataFrame, cosine: float, block: in
     """Of the labels beyond one block: rows with their units, pairs of units, and what is close as a whole."""
     big = distinct.join(bounded_broadcast(sizes.filter("_pieces > 1")), GROUP)
     label = dict(distinct.dtypes)["_label"]
-    sampled = big.filter(F.pmod(F.xxhash64("_v"), F.lit(1_000_003)) < F.lit(1_000_003) * SAMPLE / F.col("_rows"))
+    sampled = big.filter(F.pmod(F.xxhash64("_v"), F.lit(1_000_003)) < F.lit(1_000_003.0) * SAMPLE / F.col("_rows"))
     chosen = written_table(sampled.select(*GROUP, "_v", "_pieces").groupBy(*GROUP).applyInArrow(
         _pivots(pivots), f"_label {label}, _width int, _at array<double>"
     ))
@@ -147,18 +147,18 @@ def _upper_nodes(distinct: DataFrame, sizes: DataFrame, cosine: float, block: in
     )
     blocks = pairs.filter("not _whole").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_na") - 1))).withColumn(
         "_j", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
-    ).filter("_a < _b or _i <= _j").select(
+    ).filter("_a <> _b or _i <= _j").select(
         *GROUP, F.struct(F.col("_a").alias("_node"), F.col("_i").alias("_block")).alias("_ua"),
         F.struct(F.col("_b").alias("_node"), F.col("_j").alias("_block")).alias("_ub"),
     )
     # A node close as a whole to others: their weights, and one of their rows to hang on.
     whole = pairs.filter("_whole")
     both = whole.select(*GROUP, F.col("_a").alias("_node"), F.col("_wb").alias("w"), F.col("_repb").alias("_on")).union(
-        whole.filter("_a < _b").select(*GROUP, "_b", "_wa", "_repa")
+        whole.filter("_a <> _b").select(*GROUP, "_b", "_wa", "_repa")
     )
     joined = both.groupBy(*GROUP, "_node").agg(F.sum("w").alias("w"), F.min("_on").alias("_on"))
     counted = placed.join(bounded_broadcast(joined), [*GROUP, "_node"]).select("_key", "w", "_on")
-    tied = whole.filter("_a < _b").select(F.col("_repa").alias("_key"), F.lit(0).cast("bigint").alias("w"), F.col("_repb").alias("_on"))
+    tied = whole.filter("_a <> _b").select(F.col("_repa").alias("_key"), F.lit(0).cast("bigint").alias("w"), F.col("_repb").alias("_on"))
     return units, blocks, counted.union(tied)
 
 
@@ -194,15 +194,14 @@ def vector_links(
     left = distinct.join(bounded_broadcast(sizes.filter("_pieces = 1").select(*GROUP)), GROUP).select(
         *GROUP, alone.alias("_ua"), alone.alias("_ub"), "_key", "_v", "_m"
     )
-    right, more = left.limit(0), None
+    right, more = vectors.sparkSession.createDataFrame([], left.schema), None
     if not sizes.filter("_pieces > 1").isEmpty():
         units, blocks, more = _upper_nodes(distinct, sizes, cosine, block, pivots)
-        columns = [*GROUP, "_ua", "_ub", "_key", "_v", "_m"]
-        left = left.union(units.join(blocks, (F.col("_unit") == F.col("_ua")) & (units["_label"] == blocks["_label"]) & (units["_width"] == blocks["_width"]))
-                          .select(units["_label"], units["_width"], "_ua", "_ub", "_key", "_v", "_m"))
-        right = units.join(blocks.filter("_ua <> _ub"), (F.col("_unit") == F.col("_ub")) & (units["_label"] == blocks["_label"]) & (units["_width"] == blocks["_width"])).select(
-            units["_label"], units["_width"], "_ua", "_ub", "_key", "_v", "_m"
-        ).select(*columns)
+        first = units.withColumnRenamed("_unit", "_ua").join(blocks, [*GROUP, "_ua"])
+        second = units.withColumnRenamed("_unit", "_ub").join(blocks.filter("_ua <> _ub"), [*GROUP, "_ub"])
+        left = left.union(first.select(*left.columns))
+        # Other names: both sides of a cogroup must not be the same columns.
+        right = second.select(*[F.col(c).alias(c) for c in left.columns])
     key = [*GROUP, "_ua", "_ub"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_compare(cosine), f"_key {KEY}, w bigint, _on {KEY}")
     found = written_table(found.union(more) if more is not None else found)
