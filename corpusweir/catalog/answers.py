@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusweir.catalog import analysis as A
 from corpusweir.catalog import sql as S
-from corpusweir.catalog.fixtures import chunk_corpus, chunk_lists, query_vectors
+from corpusweir.catalog.fixtures import chunk_corpus, chunk_lists, chunk_queries
 from corpusweir.catalog.registry import query, table, texts
 from corpusweir.config import PATHS, RetrievalConfig, preset
 from corpusweir.operators import analysis, audit, context, parents, terminology, weights
@@ -22,7 +22,7 @@ def r6(name):
 
 def best_rows(spark, sf):
     corpus = chunk_corpus(spark, sf)
-    best = checkpointed(plan.retrieve(corpus, query_vectors(spark, sf)))
+    best = checkpointed(plan.retrieve(corpus, chunk_queries(spark, sf)))
     return plan.with_text(best, corpus, is_few(best))
 
 
@@ -44,7 +44,7 @@ def search_projection(spark, sf):
  SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS source_rank FROM f
  QUALIFY source_rank <= 3""")
 def distinct_sources(spark, sf):
-    best = plan.retrieve(chunk_corpus(spark, sf), query_vectors(spark, sf))
+    best = plan.retrieve(chunk_corpus(spark, sf), chunk_queries(spark, sf))
     rows = best.withColumn("document_id", F.split_part("doc_id", F.lit("-"), F.lit(1)))
     return context.distinct_sources(rows).select("query_id", "document_id", "source_rank")
 
@@ -109,7 +109,7 @@ _WEIGHTED = A.LOW + ", " + S.CHILD_LISTS + f""",
 @query("weighted_retrieval", _WEIGHTED)
 def weighted_retrieval(spark, sf):
     """Analysis, adapted weights per query, four paths, fusion, re-ranking."""
-    queries = query_vectors(spark, sf)
+    queries = chunk_queries(spark, sf)
     adapted = weights.adjust(analysis.query_contexts(analysis.analyse(queries)), RetrievalConfig().weights(), "query_aware")
     out = plan.retrieve(chunk_corpus(spark, sf), queries, weights=analysis.as_rows(adapted, "f_"))
     return out.select("query_id", "rank", "doc_id", r6("fusion_score"), r6("fused_rerank_score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusweir.catalog import sql as S
-from corpusweir.catalog.fixtures import chunk_corpus, query_vectors
+from corpusweir.catalog.fixtures import chunk_corpus, chunk_queries
 from corpusweir.catalog.registry import query, table, texts
 from corpusweir.operators import chunking, elements
 from corpusweir.plans import ingest as ingestion
@@ -184,13 +184,13 @@ def upload_checks(spark, sf):
 
 @query("progressive_retrieval")
 def progressive_retrieval(spark, sf):
-    out = retrieve_progressive(chunk_corpus(spark, sf), query_vectors(spark, sf), top=10)
+    out = retrieve_progressive(chunk_corpus(spark, sf), chunk_queries(spark, sf), top=10)
     return out.select("query_id", "stage", "rank", "doc_id", F.round("fusion_score", 6).alias("fusion_score"),
                       F.round("quality", 6).alias("quality"))
 
 
 @query("progressive_first_stage_only")
 def progressive_first_stage_only(spark, sf):
-    out = retrieve_progressive(chunk_corpus(spark, sf), query_vectors(spark, sf), top=10, max_stage="standard",
+    out = retrieve_progressive(chunk_corpus(spark, sf), chunk_queries(spark, sf), top=10, max_stage="standard",
                                stages=STAGES)
     return out.groupBy("stage").agg(F.count_distinct("query_id").alias("queries"))

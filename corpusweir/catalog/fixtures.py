@@ -3,11 +3,13 @@
 Offline stand-ins: ``benchmark`` rows are the queries; embedding ``vec_id``
 belongs to document ``doc_id`` of the same number, and the embedding of that
 number stands for a query's vector.  Chunks get keywords and summary as ingestion gives
-them; those of whole documents are synthesised from the text.
+them, and vectors of their own words; keywords and summaries of whole documents are synthesised.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ from corpusweir.catalog.registry import table, texts
 from corpusweir.config import RetrievalConfig
 from corpusweir.functions.text import snippet, words
 from corpusweir.operators import bm25, chunking
+from corpusweir.operators.stored_index import StoredIndex
 from corpusweir.operators.vector import vector_topk
 from corpusweir.plans.ingest import parent_metadata
-from corpusweir.plans.retrieval import Corpus, ranked_lists
-from corpusweir.session import written_table
+from corpusweir.plans.retrieval import TEXT_PATHS, Corpus, ranked_lists
+from corpusweir.session import shared_folder, written_table
+from corpusweir.sources.models import hashed_vectors
 
 
 def first_words(text: Column, n: int) -> Column:
@@ -62,20 +66,35 @@ def doc_lists(spark: SparkSession, sf: str) -> DataFrame:
     return hits.unionByName(near.withColumn("path", F.lit("vector")))
 
 
+_corpora: dict[tuple[str, str], Corpus] = {}
+
+
 def chunk_corpus(spark: SparkSession, sf: str) -> Corpus:
+    """Chunks, their vectors and their index: stored once per application, searched by every query."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _corpora:
+        _corpora[key] = _stored_corpus(spark, sf)
+    return _corpora[key]
+
+
+def chunk_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """``query_set`` with vectors as the chunks have them."""
+    return hashed_vectors(query_set(spark, sf), "text")
+
+
+def _stored_corpus(spark: SparkSession, sf: str) -> Corpus:
     docs = texts(spark, sf)
     parents = chunking.fixed_parents(docs)
     parents = parent_metadata(parents).withColumn("keywords", F.array_join("keywords", " "))
-    # Chunks are tables in use, so they are written once per query, not cut again at every step.
     parents = written_table(parents)
     children = written_table(
         chunking.fixed_children(parents).drop("doc_id").withColumnRenamed("chunk_id", "doc_id")
     )
-    vectors = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("vec_key"), F.concat_ws("-", "vec_id", F.lit("0-0")).alias("doc_id"), "embedding"
-    )
-    return Corpus(children, parents, vectors)
+    vectors = written_table(hashed_vectors(children.select("doc_id", "content"), "content").select("doc_id", "embedding"))
+    index = StoredIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4()}", "string")
+    index.append(bm25.field_rows(children, {p: p for p in TEXT_PATHS}))
+    return Corpus(children, parents, vectors, index)
 
 
 def chunk_lists(spark: SparkSession, sf: str, corpus: Corpus | None = None) -> DataFrame:
-    return ranked_lists(corpus or chunk_corpus(spark, sf), query_vectors(spark, sf), RetrievalConfig())
+    return ranked_lists(corpus or chunk_corpus(spark, sf), chunk_queries(spark, sf), RetrievalConfig())

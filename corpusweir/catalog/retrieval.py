@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusweir.catalog import sql as S
 from corpusweir.catalog.fixtures import (
-    chunk_corpus, chunk_lists, doc_fields, doc_lists, doc_text_hits, doc_vectors, query_set, query_vectors,
+    chunk_corpus, chunk_lists, chunk_queries, doc_fields, doc_lists, doc_text_hits, doc_vectors, query_set, query_vectors,
 )
 from corpusweir.catalog.registry import query, table
 from corpusweir.config import DEFAULT_WEIGHTS, RetrievalConfig, preset
@@ -329,7 +329,7 @@ def switch_stats(spark, sf):
 @query("rerank_score_fusion", _FUSED + """
  SELECT query_id, rank, doc_id, round(fused_rerank_score, 6) AS fused_rerank_score FROM rrk""")
 def rerank_score_fusion(spark, sf):
-    out = plan.retrieve(chunk_corpus(spark, sf), query_vectors(spark, sf))
+    out = plan.retrieve(chunk_corpus(spark, sf), chunk_queries(spark, sf))
     return out.select("query_id", "rank", "doc_id", r6("fused_rerank_score"))
 
 
@@ -388,14 +388,13 @@ def rerank_cache_keys(spark, sf):
     )
 
 
-@query("retrieve_basic", "WITH " + S.CHILD_FIELDS + "," + S.bm25("20") + "," + S.VECTOR + """,
- u AS (SELECT query_id, doc_id, score FROM rk UNION ALL
-   SELECT query_id, doc_id || '-0-0', score FROM vk WHERE rank <= 20),
+@query("retrieve_basic", "WITH " + S.CHILD_FIELDS + "," + S.bm25("20") + "," + S.CHILD_VECTOR + """,
+ u AS (SELECT query_id, doc_id, score FROM rk UNION ALL SELECT query_id, doc_id, score FROM vk WHERE rank <= 20),
  b AS (SELECT query_id, doc_id, max(score) AS s FROM u GROUP BY ALL)
  SELECT query_id, doc_id, round(s, 6) AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM b QUALIFY rank <= 20""")
 def retrieve_basic(spark, sf):
-    out = plan.retrieve_basic(chunk_corpus(spark, sf), query_vectors(spark, sf), 20)
+    out = plan.retrieve_basic(chunk_corpus(spark, sf), chunk_queries(spark, sf), 20)
     return out.select("query_id", "doc_id", r6("score"), "rank")
 
 
@@ -408,7 +407,7 @@ def retrieve_basic(spark, sf):
 def four_path_retrieval(spark, sf):
     """Four paths, dedup per parent, weighted RRF, re-ranking, parent switch."""
     corpus = chunk_corpus(spark, sf)
-    best = checkpointed(plan.retrieve(corpus, query_vectors(spark, sf)))
+    best = checkpointed(plan.retrieve(corpus, chunk_queries(spark, sf)))
     few = is_few(best)
     out = parents.switch_to_parents(plan.with_text(best, corpus, few), corpus.parents, few=few)
     entries = F.transform(
@@ -428,7 +427,7 @@ def four_path_retrieval(spark, sf):
  FROM t GROUP BY query_id""")
 def context_assembly(spark, sf):
     corpus = chunk_corpus(spark, sf)
-    best = checkpointed(plan.retrieve(corpus, query_vectors(spark, sf)).filter("rank <= 5"))
+    best = checkpointed(plan.retrieve(corpus, chunk_queries(spark, sf)).filter("rank <= 5"))
     few = is_few(best)
     out = parents.switch_to_parents(plan.with_text(best, corpus, few), corpus.parents, few=few)
     rows = out.withColumn("source", F.split_part("parent_id", F.lit("-"), F.lit(1))).withColumn(

@@ -108,13 +108,30 @@ DOC_LISTS = (
    FROM lists JOIN wts USING (path) WINDOW w AS (PARTITION BY query_id, path))"""
 )
 
-# Four ranked lists over children; a document vector stands for its first child.
+
+
+def _hashed(name: str, key: str, text: str, source: str) -> str:
+    """Signed counts of a text's tokens in 64 places, by md5."""
+    return f""" {name} AS (SELECT {key}, ('0x' || substr(md5(term), 1, 4))::BIGINT % 64 AS place,
+   sum(CASE WHEN ('0x' || substr(md5(term), 5, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v
+   FROM (SELECT {key}, unnest({tok(text)}) AS term FROM {source}) GROUP BY ALL HAVING v <> 0),
+ {name}n AS (SELECT {key}, sqrt(sum(v * v)) AS norm FROM {name} GROUP BY {key})"""
+
+
+# Every child and every query has a vector of its own words.
+CHILD_VECTOR = _hashed("cv", "chunk_id", "content", "child") + "," + _hashed("qhv", "query_id", "text", "qry") + """,
+ vs AS (SELECT query_id, chunk_id AS doc_id, round(any_value(dot) / (any_value(a.norm) * any_value(b.norm)), 9) AS score
+   FROM (SELECT query_id, chunk_id, sum(cv.v * qhv.v) AS dot FROM cv JOIN qhv USING (place) GROUP BY ALL)
+   JOIN cvn a USING (chunk_id) JOIN qhvn b USING (query_id) GROUP BY ALL),
+ vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM vs QUALIFY rank <= 50)"""
+
+# Four ranked lists over children.
 CHILD_LISTS = (
-    CHILD_FIELDS + "," + bm25(PATH_LIMITS) + "," + VECTOR + """,
+    CHILD_FIELDS + "," + bm25(PATH_LIMITS) + "," + CHILD_VECTOR + """,
  lists AS (SELECT query_id, field AS path, rank, rk.doc_id, parent_id, score
      FROM rk JOIN child ON chunk_id = rk.doc_id
-   UNION ALL SELECT query_id, 'vector', rank, vk.doc_id || '-0-0', parent_id, score
-     FROM vk LEFT JOIN child ON chunk_id = vk.doc_id || '-0-0'),
+   UNION ALL SELECT query_id, 'vector', rank, vk.doc_id, parent_id, score
+     FROM vk JOIN child ON chunk_id = vk.doc_id),
  ddp AS (SELECT query_id, path, doc_id, parent_id, score,
    row_number() OVER (PARTITION BY query_id, path ORDER BY rank) AS rank
    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path, parent_id ORDER BY rank) AS nth FROM lists)

@@ -96,6 +96,11 @@ def corpus_stats(toks: DataFrame) -> CorpusStats:
         .groupBy("field", "term")
         .agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("total_dl"))
     )
+    return CorpusStats(field_stats(terms), terms)
+
+
+def field_stats(terms: DataFrame) -> DataFrame:
+    """(field, n_docs, avgdl, mean_idf) of ``CorpusStats.terms``."""
     whole = F.col("term") == ""
     # Terms per document frequency: few rows to which the corpus size is joined.
     spectrum = terms.groupBy("field", "df").agg(
@@ -107,12 +112,11 @@ def corpus_stats(toks: DataFrame) -> CorpusStats:
     of_field = Window.partitionBy("field")
     n = F.max("_n").over(of_field)
     sized = spectrum.select("field", "df", "n_terms", n.alias("n_docs"), (F.max("_dl").over(of_field) / n).alias("avgdl"))
-    fields = sized.groupBy("field").agg(
+    return sized.groupBy("field").agg(
         F.first("n_docs").alias("n_docs"), F.first("avgdl").alias("avgdl"),
         (F.sum(F.col("n_terms") * raw_idf(F.col("n_docs"), F.col("df")))
          / F.nullif(F.sum("n_terms"), F.lit(0))).alias("mean_idf"),
     )
-    return CorpusStats(fields, terms)
 
 
 def _hinted(df: DataFrame, small: bool) -> DataFrame:

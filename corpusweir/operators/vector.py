@@ -3,8 +3,8 @@
 No query/vector pair is ever emitted: a task multiplies a block of vectors with
 the query matrix and keeps ``k`` candidates per query, so the shuffle carries
 ``k`` rows per query and task.  A query set beyond ``QUERY_BLOCK`` is cut into
-blocks which are co-grouped with hash buckets of the vectors, so neither side
-has to fit into one task or the driver.
+blocks which are co-grouped with blocks of the vectors, so neither side has to fit
+into one task or the driver.  ``vector_index`` stores vectors for repeated searches.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from corpusweir.operators.topk import SCORE_DIGITS, top_k
 from corpusweir.operators.topkeeper import TopKeeper
-from corpusweir.session import shuffle_partitions
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -58,10 +57,15 @@ def _score(keeper: TopKeeper, qids: np.ndarray, qmat: np.ndarray, ids: np.ndarra
 
 def _emit(keeper: TopKeeper, qids: np.ndarray) -> pd.DataFrame:
     queries, ids, scores = keeper.result()
-    return pd.DataFrame({"query_id": qids[queries].astype(np.int64), "doc_id": ids.astype(np.int64), "score": scores})
+    return pd.DataFrame({"query_id": qids[queries], "doc_id": ids, "score": scores})
 
 
-SCHEMA = "query_id long, doc_id long, score double"
+def _ids(values: np.ndarray) -> np.ndarray:
+    return values.astype(str) if values.dtype == object else values
+
+
+def _schema(vectors: DataFrame, queries: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(vectors.dtypes)['doc_id']}, score double"
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, min_score: float | None = None,
@@ -74,7 +78,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, min_score: float
     queries = queries.select("query_id", "embedding").filter("embedding is not null")
     head = queries.limit(query_block + 1).toPandas()
     if len(head) <= query_block:
-        local = _small_query_set(vectors, head, k, exclude_self)
+        local = _small_query_set(vectors, head, k, exclude_self, _schema(vectors, queries))
     else:
         local = _blocked(vectors, queries, k, exclude_self, query_block)
     if min_score is not None:
@@ -82,12 +86,12 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, min_score: float
     return top_k(local, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
-def _small_query_set(vectors: DataFrame, head: pd.DataFrame, k: int, exclude_self: bool) -> DataFrame:
+def _small_query_set(vectors: DataFrame, head: pd.DataFrame, k: int, exclude_self: bool, schema: str) -> DataFrame:
     spark = vectors.sparkSession
     if head.empty:
-        return spark.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(
-        (head["query_id"].to_numpy(np.int64), _unit(_matrix(head["embedding"])))
+        (_ids(head["query_id"].to_numpy()), _unit(_matrix(head["embedding"])))
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,15 +103,15 @@ def _small_query_set(vectors: DataFrame, head: pd.DataFrame, k: int, exclude_sel
                 if lengths != [qmat.shape[1]]:
                     raise ValueError(f"vectors of length {lengths} against queries of length {qmat.shape[1]}")
                 flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                _score(keeper, qids, qmat, batch.column("doc_id").to_numpy(), flat.reshape(batch.num_rows, -1), exclude_self)
+                _score(keeper, qids, qmat, _ids(batch.column("doc_id").to_numpy(zero_copy_only=False)), flat.reshape(batch.num_rows, -1), exclude_self)
         yield pa.RecordBatch.from_pandas(_emit(keeper, qids), preserve_index=False)
 
-    return vectors.mapInArrow(scan, SCHEMA)
+    return vectors.mapInArrow(scan, schema)
 
 
 def _blocked(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
     n_blocks = -(-queries.count() // block)
-    buckets = shuffle_partitions(vectors.sparkSession)
+    buckets = max(1, -(-vectors.count() // VECTOR_BLOCK))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
         "vb", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
     )
@@ -116,16 +120,16 @@ def _blocked(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool,
     )
 
     def multiply(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        qids = q["query_id"].to_numpy(np.int64)
+        qids = _ids(q["query_id"].to_numpy())
         keeper = TopKeeper(len(qids), k)
         if len(q) and len(v):
             qmat = _unit(_matrix(q["embedding"]))
             for start in range(0, len(v), 8192):
                 part = v.iloc[start:start + 8192]
-                _score(keeper, qids, qmat, part["doc_id"].to_numpy(np.int64), _matrix(part["embedding"]), exclude_self)
+                _score(keeper, qids, qmat, _ids(part["doc_id"].to_numpy()), _matrix(part["embedding"]), exclude_self)
         return _emit(keeper, qids)
 
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(multiply, SCHEMA)
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(multiply, _schema(vectors, queries))
 
 
 def most_similar(vectors: DataFrame, queries: DataFrame) -> DataFrame:

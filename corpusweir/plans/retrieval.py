@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusweir.config import PathSettings, RetrievalConfig
 from corpusweir.operators import bm25, fusion, parents, rerank
+from corpusweir.operators.stored_index import StoredIndex
 from corpusweir.operators.topk import top_k
 from corpusweir.operators.vector import vector_topk
 from corpusweir.session import checkpointed, is_few, lookup_join
@@ -23,12 +24,14 @@ TEXT_PATHS = ("keywords", "summary", "content")
 @dataclass(frozen=True)
 class Corpus:
     """``children(doc_id, parent_id, content, summary, keywords)``, ``parents(parent_id,
-    content, summary, keywords)``, ``vectors(vec_key, doc_id, embedding)``: ``vec_key`` is the
-    number the vector scan works with, ``doc_id`` the child it belongs to."""
+    content, summary, keywords)``, ``vectors(doc_id, embedding)`` of children.  With an
+    ``index`` of the children's fields text paths are searched there; without one the
+    children are scanned."""
 
     children: DataFrame
     parents: DataFrame
     vectors: DataFrame
+    index: StoredIndex | None = None
 
 
 def ranked_lists(corpus: Corpus, queries: DataFrame, config: RetrievalConfig,
@@ -41,15 +44,13 @@ def ranked_lists(corpus: Corpus, queries: DataFrame, config: RetrievalConfig,
     parts = []
     text_limits = {p: limits[p] for p in TEXT_PATHS if p in limits}
     if text_limits:
-        rows = bm25.field_rows(corpus.children, {p: p for p in text_limits})
-        found = bm25.search_fields(rows, queries, text_limits)
+        if corpus.index:
+            found = corpus.index.search(queries, text_limits)
+        else:
+            found = bm25.search_fields(bm25.field_rows(corpus.children, {p: p for p in text_limits}), queries, text_limits)
         parts.append(found.withColumnRenamed("field", "path").select("query_id", "path", "doc_id", "score", "rank"))
     if "vector" in limits:
-        near = vector_topk(
-            corpus.vectors.select(F.col("vec_key").alias("doc_id"), "embedding"), queries, limits["vector"],
-            min_score=quality_threshold or None,
-        ).withColumnRenamed("doc_id", "vec_key")
-        found = lookup_join(checkpointed(near), corpus.vectors.select("vec_key", "doc_id"), "vec_key")
+        found = vector_topk(corpus.vectors, queries, limits["vector"], min_score=quality_threshold or None)
         parts.append(found.select("query_id", F.lit("vector").alias("path"), "doc_id", "score", "rank"))
     lists = parts[0]
     for part in parts[1:]:

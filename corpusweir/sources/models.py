@@ -8,14 +8,19 @@ the caller's client; what still fails is an error of the task, not an empty resu
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusweir.functions.text import tokens
+
 EMBED_BATCH, RERANK_BATCH = 10, 32
 
 Embed = Callable[[list[str]], list[list[float]]]
@@ -96,6 +101,33 @@ def hashed_embedder(size: int = 64) -> Callable[[], Embed]:
     return lambda: client
 
 
+HASHED_SIZE = 64
+
+
+def hashed_vectors(df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+    """Add signed counts of the text's tokens in 64 places, chosen by md5; null without tokens."""
+    kept = df.columns
+    schema = _with(df, out, T.ArrayType(T.FloatType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_tokens")
+            terms = lists.flatten().dictionary_encode()
+            digests = [md5(t.encode()).hexdigest() for t in terms.dictionary.to_pylist()]
+            place = np.array([int(d[:4], 16) % HASHED_SIZE for d in digests], np.int64)
+            sign = np.array([1 - 2 * (int(d[4], 16) % 2) for d in digests], np.int64)
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = terms.indices.to_numpy(zero_copy_only=False)
+            sums = np.zeros(batch.num_rows * HASHED_SIZE)
+            if len(at):
+                sums = np.bincount(row * HASHED_SIZE + place[at], weights=sign[at], minlength=len(sums))
+            sums = sums.reshape(-1, HASHED_SIZE).astype(np.float32)
+            vectors = pa.array([v if v.any() else None for v in sums], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], vectors], [*kept, out])
+
+    return df.withColumn("_tokens", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).mapInArrow(run, schema)
+
+
 # Topics a stand-in answer is chosen by (fixed values), first match wins.
 TOPICS = (
     ("hypertension", ("高血压",)), ("diabetes", ("糖尿病",)), ("heart", ("心脏病", "心脏")),
