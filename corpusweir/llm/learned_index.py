@@ -191,7 +191,9 @@ def nearest_neighbours(
     Score is the Euclidean distance in double precision; ties go to the smaller id.  Rows
     with the query's own id are no candidates.  Vectors that are null, zero, of another length
     than most, or hold null or non-finite components take no part, nor do null ids.  Repeated
-    rows are candidates each.  Parts and query sets of any size are compared in blocks.
+    rows are candidates each and ask once; rows of one id with different vectors ask together:
+    the id has one list, of what is nearest to any of them.  Parts and query sets of any size
+    are compared in blocks.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -217,7 +219,7 @@ def nearest_neighbours(
 
     schema = "_id bigint, _v array<double>, _part int"
     index = written_table(rows.mapInArrow(place, schema))
-    asked = written_table(rows.filter(F.col("_id") % every == 0).mapInArrow(route, schema))
+    asked = written_table(rows.filter(F.col("_id") % every == 0).distinct().mapInArrow(route, schema))
     # As many rows as there are parts.
     sizes = index.groupBy("_part").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("_rows"))
     queries = asked.groupBy("_part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("_queries"))
