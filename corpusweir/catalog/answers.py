@@ -9,7 +9,7 @@ from corpusweir.catalog import sql as S
 from corpusweir.catalog.fixtures import chunk_corpus, chunk_lists, chunk_queries
 from corpusweir.catalog.registry import query, table, texts
 from corpusweir.config import PATHS, RetrievalConfig, preset
-from corpusweir.operators import analysis, audit, context, parents, terminology, weights
+from corpusweir.operators import analysis, audit, context, metrics, parents, terminology, weights
 from corpusweir.plans import retrieval as plan
 from corpusweir.session import checkpointed, is_few
 
@@ -134,6 +134,41 @@ def preset_comparison(spark, sf):
     return rows.groupBy("preset").agg(F.count("*").alias("n"), F.round(F.avg("fusion_score"), 6).alias("mean_score"))
 
 
+_PRESETS = ("balanced", "vector_focused", "keyword_focused", "fast_retrieval", "high_precision")
+
+
+# Weights and lengths as the presets are documented: the order of their steps decides.
+@query("preset_search", "WITH " + S.CHILD_LISTS.replace("ddp AS", "ddp0 AS") + """,
+ p AS (SELECT * FROM (VALUES ('balanced', 'vector', 0.4, 50, 60), ('balanced', 'keywords', 0.3, 30, 60), ('balanced', 'summary', 0.2, 20, 60),
+   ('balanced', 'content', 0.1, 20, 60), ('high_precision', 'vector', 0.4, 50, 30), ('high_precision', 'keywords', 0.3, 30, 30),
+   ('high_precision', 'summary', 0.2, 20, 30), ('high_precision', 'content', 0.1, 20, 30), ('vector_focused', 'vector', 0.590219224283, 50, 60), ('vector_focused', 'keywords', 0.219224283305, 30, 60), ('vector_focused', 'summary', 0.106239460371, 20, 60),
+   ('keyword_focused', 'vector', 0.230414746544, 50, 60), ('keyword_focused', 'keywords', 0.460829493088, 30, 60), ('keyword_focused', 'summary', 0.207373271889, 20, 60), ('keyword_focused', 'content', 0.101382488479, 20, 60),
+   ('fast_retrieval', 'vector', 0.7, 50, 60), ('fast_retrieval', 'keywords', 0.3, 30, 60)) v(preset, path, w, lim, k)),
+ c AS (SELECT preset, w::DOUBLE AS w, k, query_id, path, doc_id, rank, parent_id FROM lists JOIN p USING (path) WHERE rank <= lim
+   QUALIFY row_number() OVER (PARTITION BY preset, query_id, path, parent_id ORDER BY rank) = 1),
+ d AS (SELECT *, row_number() OVER (PARTITION BY preset, query_id, path ORDER BY rank) AS r FROM c),
+ f AS (SELECT preset, query_id, doc_id, round(sum(w / (k + r)), 9) AS fs FROM d GROUP BY ALL)
+ SELECT preset, query_id, doc_id, row_number() OVER (PARTITION BY preset, query_id ORDER BY fs DESC, doc_id) AS rank, round(fs, 6) AS fusion_score
+ FROM f QUALIFY rank <= 10""")
+def preset_search(spark, sf):
+    """All presets side by side from one search."""
+    configs = {name: preset(name) for name in _PRESETS}
+    lists = plan.ranked_lists(chunk_corpus(spark, sf), chunk_queries(spark, sf), plan.widest(configs))
+    return plan.fused_under(lists, configs, 10).select("preset", "query_id", "doc_id", "rank", r6("fusion_score"))
+
+
+@query("configuration_search", """WITH a AS (SELECT event_type AS config, avg(value * 10) FILTER (value <= 60) AS l, avg((value <= 60)::INT) AS s
+  FROM events GROUP BY event_type),
+ b AS (SELECT config, l, s, coalesce((greatest(0, (600 - l) / 600) * 0.6 + s * 0.4) * 100, 0) AS score FROM a)
+ SELECT config, round(l, 6) AS avg_latency, round(s, 6) AS success_rate, round(score, 6) AS score,
+  row_number() OVER (ORDER BY score DESC, config) AS rank FROM b""")
+def configuration_search(spark, sf):
+    """Measured runs of several configurations (an event type stands for one), scored and ranked."""
+    runs = table(spark, sf, "events").select(F.col("event_type").alias("config"), (F.col("value") * 10).alias("ms"), (F.col("value") > 60).alias("failed"))
+    out = metrics.configuration_scores(runs, "config", "ms", F.col("failed"), 600.0)
+    return out.select("config", r6("avg_latency"), r6("success_rate"), r6("score"), "rank")
+
+
 @query("switch_preserving", _FUSED + """
  SELECT query_id, cnd.doc_id AS original_id, p.parent_id IS NOT NULL AS switched_to_parent, md5(coalesce(p.content, child.content)) AS content_md5
  FROM cnd JOIN child ON chunk_id = cnd.doc_id LEFT JOIN (SELECT * FROM parent WHERE parent_index > 0) p ON p.parent_id = cnd.parent_id""")

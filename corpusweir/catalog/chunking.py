@@ -142,6 +142,28 @@ def page_metadata(spark, sf):
     return elements.document_metadata(page_elements(spark, sf), "page_id")
 
 
+_PG = r"""ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+ ps AS (SELECT doc_id, (i // 40 + 1)::INT AS page_number, sum(length(line) + 1) AS size FROM ln GROUP BY ALL),
+ pg AS (SELECT doc_id, page_number, sum(size) OVER w - size AS s, sum(size) OVER w AS e FROM ps WINDOW w AS (PARTITION BY doc_id ORDER BY page_number)),
+ ck AS (SELECT child.doc_id, chunk_id, parent_index * 1024 + child_index * 256 AS s, parent_index * 1024 + child_index * 256 + length(child.content) AS e
+   FROM child JOIN parent USING (parent_id)),
+ al AS (SELECT doc_id, chunk_id, s, e FROM ck UNION ALL SELECT doc_id, 'document', 0, max(e) FROM ck GROUP BY doc_id)"""
+
+
+@query("page_ranges", "WITH " + S.CHUNKS + "," + _PG + """
+ SELECT al.doc_id, chunk_id, min(page_number) AS first_page, max(page_number) AS last_page, min(page_number) || '-' || max(page_number) AS page_range
+ FROM al JOIN pg ON pg.doc_id = al.doc_id AND al.s < pg.e AND pg.s < al.e GROUP BY ALL""")
+def page_ranges(spark, sf):
+    """The pages of every chunk and of every document as a whole."""
+    docs = documents(spark, sf)
+    pages = elements.text_pages(docs, "doc_id", "text")
+    children = chunking.fixed_children(chunking.fixed_parents(docs))
+    start = (F.split_part("parent_id", F.lit("-"), F.lit(2)).cast("long") * 1024 + F.col("child_index") * 256).alias("start")
+    chunks = children.select("doc_id", "chunk_id", start, (start + F.length("content")).alias("end"))
+    whole = chunks.groupBy("doc_id").agg(F.lit("document").alias("chunk_id"), F.lit(0).cast("long").alias("start"), F.max("end").alias("end"))
+    return elements.spanned_pages(chunks.unionByName(whole), pages, "doc_id", ["chunk_id"])
+
+
 @query("marked_pages", _EL + """
  SELECT page_id, md5(string_agg(CASE type WHEN 'Title' THEN '<TITLE>' || text || '</TITLE>' WHEN 'NarrativeText' THEN '<HEADER>' || text || '</HEADER>'
   WHEN 'ListItem' THEN '<LIST>' || text || '</LIST>' WHEN 'Table' THEN '<TABLE>' || text || '</TABLE>' WHEN 'Header' THEN '<HEADER>' || text || '</HEADER>'

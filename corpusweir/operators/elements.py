@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusweir import lexicon as L
 from corpusweir.functions.text import computed, contains_any, strip
@@ -109,6 +110,46 @@ def type_histogram(elements: DataFrame) -> DataFrame:
     return elements.groupBy(kind.alias("element_type")).agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("length"))
 
 
+def text_pages(docs: DataFrame, key: str, text: str, lines: int = 40) -> DataFrame:
+    """``key, page_number, start, end``: pages of so many lines, by character offsets (end exclusive).
+
+    A document is one row, so its lines are numbered inside it.
+    """
+    each = docs.select(key, F.posexplode(F.split(text, "\n")).alias("_i", "_line"))
+    of_document = Window.partitionBy(key).orderBy("page_number")
+    pages = each.groupBy(key, (F.floor(F.col("_i") / lines) + 1).cast("int").alias("page_number")).agg(
+        F.sum(F.length("_line") + 1).alias("_size")
+    )
+    return pages.withColumn("end", F.sum("_size").over(of_document)).select(
+        key, "page_number", (F.col("end") - F.col("_size")).alias("start"), "end"
+    )
+
+
+def spanned_pages(chunks: DataFrame, pages: DataFrame, key: str, chunk: list[str], stretch: int = 4096) -> DataFrame:
+    """First and last page and ``page_range`` of every chunk: ``chunks(key, *chunk, start, end)`` over ``pages(key, page_number, start, end)``.
+
+    Both sides are cut into stretches of offsets and meet by (key, stretch): a range join
+    without a nested loop, in which a long document is many keys.  A chunk that meets no page
+    has none.
+    """
+
+    def cut(rows: DataFrame) -> DataFrame:
+        last = F.greatest(F.col("end") - 1, F.col("start"))
+        return rows.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("start") / stretch), F.floor(last / stretch))))
+
+    left = cut(chunks.select(key, *chunk, "start", "end"))
+    right = cut(pages.select(key, "page_number", F.col("start"), F.col("end"))).select(
+        key, "_stretch", "page_number", F.col("start").alias("_from"), F.col("end").alias("_to")
+    )
+    met = left.join(right, [key, "_stretch"], "left").withColumn(
+        "page_number", F.when((F.col("start") < F.col("_to")) & (F.col("_from") < F.col("end")), F.col("page_number"))
+    )
+    return met.groupBy(key, *chunk).agg(
+        F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"),
+        F.when(F.count("page_number") > 0, page_range(F.col("page_number"))).alias("page_range"),
+    )
+
+
 def page_range(pages: Column) -> Column:
     """'min-max' of the page numbers (an aggregate)."""
     return F.concat_ws("-", F.min(pages).cast("string"), F.max(pages).cast("string"))

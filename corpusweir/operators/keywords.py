@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from corpusweir.functions.text import computed, let
+from pyspark.sql import types as T
 
 
 def top_scored(keywords: Column, scores: Column, n: int = 5) -> Column:
@@ -27,30 +31,34 @@ def frequent_terms(tokenised: DataFrame, keys: list[str], n: int | None = 10) ->
     """Most frequent terms per row, all with ``n=None``; the first occurrence breaks ties.
 
     ``tokenised`` has the keys and an array column ``terms``, one row per key.  Terms are
-    counted inside the row: once sorted, equal terms are neighbours and their run is
-    the count.  Nothing is shuffled.  A row whose terms are null or empty gives none.
+    counted inside the row, a batch of rows at a time; nothing is shuffled.  A row whose
+    terms are null or empty gives none, nor do null terms.
     """
-    placed = F.array_sort(F.transform(F.col("terms"), lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-
-    def starts(in_order):
-        marked = F.transform(in_order, lambda s, j: F.struct(
-            j.alias("j"), s["i"].alias("i"), s["t"].alias("t"),
-            ((j == 0) | (F.get(in_order, j - 1)["t"] != s["t"])).alias("first"),
-        ))
-        return F.filter(marked, lambda s: s["first"])
-
-    def runs(in_order):
-        def counted(firsts):
-            return F.transform(firsts, lambda s, k: F.struct(
-                (s["j"] - F.coalesce(F.get(firsts, k + 1)["j"], F.size(in_order))).alias("o"),
-                s["i"].alias("first_pos"), s["t"].alias("term"),
-            ))
-
-        return let(starts(in_order), counted)
-
-    counts = F.array_sort(let(placed, runs))
-    best = computed(tokenised.select(*keys, "terms"), {"_c": counts if n is None else F.slice(counts, 1, n)})
-    return best.select(*keys, F.posexplode("_c").alias("_r", "_e")).select(
-        *keys, F.col("_e.term").alias("term"), (-F.col("_e.o")).cast("long").alias("n"),
-        F.col("_e.first_pos").alias("first_pos"), (F.col("_r") + 1).cast("long").alias("rank"),
-    )
+    rows = tokenised.select(*keys, "terms")
+    schema = T.StructType([
+        *rows.schema.fields[:-1], T.StructField("term", T.StringType()), T.StructField("n", T.LongType()),
+        T.StructField("first_pos", T.IntegerType()), T.StructField("rank", T.LongType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            terms = lists.flatten().dictionary_encode()
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            there = np.flatnonzero(terms.indices.is_valid().to_numpy(zero_copy_only=False))
+            if not len(there):
+                continue
+            known = len(terms.dictionary)
+            code = row[there] * known + terms.indices.take(pa.array(there)).to_numpy(zero_copy_only=False)
+            codes, at, count = np.unique(code, return_index=True, return_counts=True)
+            of, first = codes // known, there[at] - np.searchsorted(row, codes // known)
+            order = np.lexsort((first, -count, of))
+            rank = np.arange(len(order)) - np.searchsorted(of, of) + 1
+            kept = np.flatnonzero(rank <= (n or len(rank)))
+            order, rank = order[kept], rank[kept]
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(k).take(pa.array(of[order])) for k in keys], terms.dictionary.take(pa.array(codes[order] % known)),
+                pa.array(count[order].astype(np.int64)), pa.array(first[order].astype(np.int32)), pa.array(rank.astype(np.int64)),
+            ], schema.names)
+
+    return rows.mapInArrow(run, schema)

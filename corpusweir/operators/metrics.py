@@ -96,21 +96,46 @@ def since(df: DataFrame, ts: str, now: Column, seconds: int) -> DataFrame:
 def rolling(df: DataFrame, keys: Sequence[str], ts: str, value: str, seconds: int) -> DataFrame:
     """Count, mean and maximum of the trailing ``seconds`` at every row.
 
-    Rows are put into time slices as long as the frame, and once more into the
-    next slice for the rows that look back; so a window task holds two slices of
-    a key, not its whole history.
+    Time is cut into slices as long as the frame, so a frame is the end of one slice and the
+    beginning of the next.  Beginnings are running aggregates of a slice; ends are running
+    aggregates of the slice before, from its last row backwards, read at the time where the
+    frame starts.  Each row is visited twice, however many rows a frame holds.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     span = seconds * 1_000_000
     sliced = df.withColumn("_us", micros).withColumn("_own", F.floor(F.col("_us") / span)).withColumn(
         "_slice", F.explode(F.array("_own", F.col("_own") + 1))
     )
-    w = Window.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(-span, 0)
-    out = sliced.withColumns({
-        "rolling_count": F.count("*").over(w), "rolling_avg": F.avg(value).over(w),
-        "rolling_max": F.max(value).over(w),
-    })
-    return out.filter("_slice = _own").drop("_us", "_own", "_slice")
+    # In the next slice a row stands at its own time, in its own slice where its frame starts.
+    earlier = F.col("_slice") > F.col("_own")
+    sliced = sliced.withColumn("_at", F.when(earlier, F.col("_us")).otherwise(F.col("_us") - span))
+    running = Window.unboundedPreceding, Window.currentRow
+    end = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_at")).rangeBetween(*running)
+    begin = Window.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(*running)
+    seen = {"n": F.count_if, "s": lambda c: F.sum(F.when(c, F.col(value))), "k": lambda c: F.count(F.when(c, F.col(value))),
+            "m": lambda c: F.max(F.when(c, F.col(value)))}
+    out = sliced.withColumns({f"_{x}_end": f(earlier).over(end) for x, f in seen.items()})
+    out = out.withColumns({f"_{x}_begin": f(~earlier).over(begin) for x, f in seen.items()}).filter("_slice = _own")
+    total = {x: F.coalesce(f"_{x}_end", F.lit(0)) + F.coalesce(f"_{x}_begin", F.lit(0)) for x in "nsk"}
+    return out.withColumns({
+        "rolling_count": total["n"], "rolling_avg": total["s"] / F.nullif(total["k"], F.lit(0)),
+        "rolling_max": F.greatest("_m_end", "_m_begin"),
+    }).drop("_us", "_own", "_slice", "_at", *[f"_{x}_{part}" for x in seen for part in ("end", "begin")])
+
+
+def configuration_scores(runs: DataFrame, config: str, latency: str, failed: Column, target: float = 1000.0) -> DataFrame:
+    """Configurations by 60 % latency and 40 % success, best first.
+
+    The latency part is what is left of the target after the mean of the calls that
+    succeeded, never below zero; without any such call the score is zero.
+    """
+    agg = runs.groupBy(config).agg(
+        F.avg(F.when(~failed, F.col(latency))).alias("avg_latency"), F.avg((~failed).cast("double")).alias("success_rate")
+    )
+    latency_part = F.greatest(F.lit(0.0), (F.lit(target) - F.col("avg_latency")) / F.lit(target))
+    scored = agg.withColumn("score", F.coalesce((latency_part * 0.6 + F.col("success_rate") * 0.4) * 100, F.lit(0.0)))
+    # One row per configuration.
+    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), config)).cast("long"))
 
 
 def dashboard(latency: DataFrame, errors: DataFrame, health: DataFrame) -> DataFrame:

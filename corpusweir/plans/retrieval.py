@@ -10,11 +10,12 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusweir.config import PathSettings, RetrievalConfig
 from corpusweir.operators import bm25, fusion, parents, rerank
 from corpusweir.operators.stored_index import StoredIndex
-from corpusweir.operators.topk import top_k
+from corpusweir.operators.topk import stable_score, top_k
 from corpusweir.operators.vector import vector_topk
 from corpusweir.session import checkpointed, is_few, lookup_join
 
@@ -76,6 +77,40 @@ def fused_candidates(lists: DataFrame, config: RetrievalConfig, weights: DataFra
     return fusion.fuse(config.fusion.method, deduped, shares, top, config.fusion.rrf_k, kept)
 
 
+def fused_under(lists: DataFrame, configs: dict[str, RetrievalConfig], top: int | None = None) -> DataFrame:
+    """One search under many configurations: ``preset, query_id, doc_id, rank, fusion_score``.
+
+    ``lists`` are fetched once, as long as the longest list any configuration asks for; each
+    configuration is a few rows (path, weight, length, rank constant) that the lists are
+    joined with, so the number of scans does not depend on how many there are.
+    """
+    rows = [
+        (name, path, float(s.weight), s.top_k, c.fusion.rrf_k, top or c.fusion.final_top_k)
+        for name, c in configs.items() for path, s in c.paths.items() if s.enabled and s.weight > 0
+    ]
+    settings = F.broadcast(lists.sparkSession.createDataFrame(
+        rows, "preset string, path string, weight double, _limit int, _k int, _top int"
+    ))
+    cut = lists.join(settings, "path").filter(F.col("rank") <= F.col("_limit"))
+    of_parent = Window.partitionBy("preset", "query_id", "path", "parent_id").orderBy("rank")
+    kept = cut.withColumn("_nth", F.row_number().over(of_parent)).filter("_nth = 1 or parent_id is null")
+    dense = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("preset", "query_id", "path").orderBy("rank")))
+    fused = dense.groupBy("preset", "query_id", "doc_id").agg(
+        stable_score(F.sum(F.col("weight") / (F.col("_k") + F.col("_rank")))).alias("fusion_score"), F.first("_top").alias("_top")
+    )
+    best = Window.partitionBy("preset", "query_id").orderBy(F.desc("fusion_score"), "doc_id")
+    return fused.withColumn("rank", F.row_number().over(best).cast("long")).filter("rank <= _top").drop("_top")
+
+
+def widest(configs: dict[str, RetrievalConfig]) -> RetrievalConfig:
+    """The configuration whose lists hold those of all others."""
+    longest: dict[str, int] = {}
+    for c in configs.values():
+        for path, k in c.top_ks().items():
+            longest[path] = max(k, longest.get(path, 0))
+    return RetrievalConfig({p: PathSettings(1.0, k) for p, k in longest.items()})
+
+
 def with_text(rows: DataFrame, corpus: Corpus, few: bool | None = None) -> DataFrame:
     return lookup_join(rows, corpus.children.select("doc_id", "content"), "doc_id", few=few)
 
