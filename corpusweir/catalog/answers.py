@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from corpusweir.catalog import analysis as A
 from corpusweir.catalog import sql as S
-from corpusweir.catalog.fixtures import chunk_corpus, chunk_lists, chunk_queries
+from corpusweir.catalog.fixtures import chunk_corpus, chunk_lists, chunk_queries, query_set
 from corpusweir.catalog.registry import query, table, texts
 from corpusweir.config import PATHS, RetrievalConfig, preset
 from corpusweir.operators import analysis, audit, context, metrics, parents, terminology, weights
+from corpusweir.plans import answering
 from corpusweir.plans import retrieval as plan
 from corpusweir.session import checkpointed, is_few
+from corpusweir.sources.models import hashed_vectors
 
 _FUSED = "WITH " + S.FUSED
 
@@ -89,6 +91,29 @@ def answer_prompts(spark, sf):
     return rows.select(F.col("item_id").alias("query_id"), F.md5(text).alias("prompt_md5"))
 
 
+_VARIANTS = """ qry AS (SELECT item_id || '#' || (i - 1) AS query_id, v AS text FROM (SELECT item_id, unnest(vs) AS v, generate_subscripts(vs, 1) AS i
+   FROM (SELECT item_id, CASE WHEN contains(text, '?') THEN [text]
+    ELSE [text, '什么是' || text, text || '是什么', '如何' || text, text || '的症状'] END AS vs FROM benchmark)))"""
+
+
+@query("question_prompts", "WITH " + S.child_lists(_VARIANTS, "each_list") + """,
+ nest AS (SELECT split_part(query_id, '#', 1)::BIGINT AS query_id, path, doc_id, any_value(parent_id) AS parent_id,
+   round(sum(1.0 / (60 + rank)), 9) AS s, max(score) AS score FROM each_list GROUP BY ALL),
+ lists AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY s DESC, doc_id) AS rank FROM nest
+   QUALIFY rank <= CASE path WHEN 'vector' THEN 50 WHEN 'keywords' THEN 30 ELSE 20 END)""" + S.DEDUP + S.FUSION + """,
+ t AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, parent.content,
+   split_part(parent_id, '-', 1) AS source, fused_rerank_score AS s FROM rrk JOIN parent USING (parent_id) WHERE rank <= 5),
+ c AS (SELECT query_id, string_agg(rank || ' (来源: ' || source || ', 相关度: ' || printf('%.3f', s) || '):' || chr(10)
+  || content || chr(10), chr(10) ORDER BY rank) AS context, round(avg(CASE WHEN rank <= 3 THEN s END), 6) AS confidence_score FROM t GROUP BY query_id)
+ SELECT item_id AS query_id, md5(coalesce(context, '') || chr(10) || chr(10) || 'Q: ' || text) AS prompt_md5,
+  coalesce(confidence_score, 0) AS confidence_score, CASE WHEN contains(text, '?') THEN 1 ELSE 5 END::BIGINT AS n_variants
+ FROM benchmark LEFT JOIN c ON query_id = item_id""")
+def question_prompts(spark, sf):
+    """Every question in its variants, to the prompt that a model gets."""
+    out = answering.prompts(chunk_corpus(spark, sf), query_set(spark, sf), lambda rows: hashed_vectors(rows, "text"))
+    return out.select("query_id", F.md5("prompt").alias("prompt_md5"), r6("confidence_score"), "n_variants")
+
+
 _WEIGHTED = A.LOW + ", " + S.CHILD_LISTS + f""",
  fi AS (SELECT query_id, {A.QUERY_AWARE['vector']} AS v, {A.QUERY_AWARE['keywords']} AS k, {A.QUERY_AWARE['summary']} AS s,
    {A.QUERY_AWARE['content']} AS c FROM rt),

@@ -125,20 +125,26 @@ CHILD_VECTOR = _hashed("cv", "chunk_id", "content", "child") + "," + _hashed("qh
    JOIN cvn a USING (chunk_id) JOIN qhvn b USING (query_id) GROUP BY ALL),
  vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM vs QUALIFY rank <= 50)"""
 
-# Four ranked lists over children.
-CHILD_LISTS = (
-    CHILD_FIELDS + "," + bm25(PATH_LIMITS) + "," + CHILD_VECTOR + """,
- lists AS (SELECT query_id, field AS path, rank, rk.doc_id, parent_id, score
+
+
+def child_lists(queries: str = QUERY_SET, name: str = "lists") -> str:
+    """Four ranked lists over children for the queries of ``qry``."""
+    return CHILD_FIELDS + "," + bm25(PATH_LIMITS, queries) + "," + CHILD_VECTOR + f""",
+ {name} AS (SELECT query_id, field AS path, rank, rk.doc_id, parent_id, score
      FROM rk JOIN child ON chunk_id = rk.doc_id
    UNION ALL SELECT query_id, 'vector', rank, vk.doc_id, parent_id, score
-     FROM vk JOIN child ON chunk_id = vk.doc_id),
+     FROM vk JOIN child ON chunk_id = vk.doc_id)"""
+
+
+DEDUP = """,
  ddp AS (SELECT query_id, path, doc_id, parent_id, score,
    row_number() OVER (PARTITION BY query_id, path ORDER BY rank) AS rank
    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path, parent_id ORDER BY rank) AS nth FROM lists)
    WHERE nth = 1 OR parent_id IS NULL)"""
-)
 
-FUSED = CHILD_LISTS + """,
+CHILD_LISTS = child_lists() + DEDUP
+
+FUSION = """,
  wts AS (SELECT * FROM (VALUES ('vector', 0.4), ('keywords', 0.3), ('summary', 0.2), ('content', 0.1)) w(path, weight)),
  fus AS (SELECT query_id, doc_id, round(sum(weight / (60 + rank)), 9) AS fusion_score
    FROM ddp JOIN wts USING (path) GROUP BY ALL),
@@ -154,3 +160,5 @@ FUSED = CHILD_LISTS + """,
    FROM cnd WHERE fusion_rank <= 10),
  rrk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_rerank_score DESC, doc_id) AS rank
    FROM rr)"""
+
+FUSED = CHILD_LISTS + FUSION

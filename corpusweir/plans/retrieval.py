@@ -118,7 +118,12 @@ def with_text(rows: DataFrame, corpus: Corpus, few: bool | None = None) -> DataF
 def retrieve(corpus: Corpus, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(),
              weights: DataFrame | None = None, model_scores: DataFrame | None = None) -> DataFrame:
     """Four paths, dedup per parent, fusion, re-ranking of the head, final cut."""
-    lists = ranked_lists(corpus, queries, config)
+    return final_list(ranked_lists(corpus, queries, config), corpus, config, weights, model_scores)
+
+
+def final_list(lists: DataFrame, corpus: Corpus, config: RetrievalConfig = RetrievalConfig(),
+               weights: DataFrame | None = None, model_scores: DataFrame | None = None) -> DataFrame:
+    """What becomes of the ranked lists of all paths."""
     fused = fused_candidates(lists, config, weights)
     if config.fusion.diversity_penalty > 0:
         texts = with_text(fused, corpus)
