@@ -70,25 +70,39 @@ def chunk_hybrid(spark, sf):
     return out.select("doc_id", "chunk_index", F.length("content").alias("n"))
 
 
-@query("chunk_packed")
+_PACKED = S.packed("k", "documents", "doc_id", "text", 1000, 200, chunking.SEPARATORS)
+
+
+@query("chunk_packed", f"WITH RECURSIVE {_PACKED} SELECT doc_id, idx AS chunk_index, md5(content) AS content_md5 FROM k")
 def chunk_packed(spark, sf):
     out = chunking.split_rows(documents(spark, sf), lambda t: chunking.pack(t, 1000, 200))
-    return out.select("doc_id", "chunk_index", F.length("content").alias("n"))
+    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("content").alias("content_md5"))
 
 
-@query("typed_chunks")
+@query("typed_chunks", f"""WITH RECURSIVE {_PACKED}
+ SELECT doc_id, 'text' AS chunk_type, idx AS chunk_index, md5(content) AS content_md5 FROM k
+ UNION ALL SELECT doc_id, 'table', 0, md5(lang) FROM documents UNION ALL SELECT doc_id, 'reference', 0, md5(source) FROM documents""")
 def typed_chunks(spark, sf):
     docs = texts(spark, sf).select("doc_id", F.col("source").alias("filename"), "text",
                                    F.array("lang").alias("tables"), F.array("source").alias("references"))
     out = chunking.typed_chunks(docs, lambda t: chunking.pack(t, 1000, 200))
-    return out.select("doc_id", "chunk_type", "chunk_index", "language")
+    return out.select("doc_id", "chunk_type", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("content").alias("content_md5"))
+
+
+_PARENTS = S.packed("par", "documents", "doc_id", "text", chunking.PARENT_SIZE, chunking.PARENT_OVERLAP, chunking.SEPARATORS)
+_CHILDREN = S.packed("chi", "pid", "parent_id", "content", chunking.CHILD_SIZE, chunking.CHILD_OVERLAP, chunking.SEPARATORS)
 
 
-@query("small_to_big_split")
+@query("small_to_big_split", f"""WITH RECURSIVE {_PARENTS},
+ pid AS (SELECT doc_id || '-' || idx AS parent_id, idx AS parent_index, content FROM par), {_CHILDREN}
+ SELECT parent_id || '-' || chi.idx AS chunk_id, parent_id, parent_index, chi.idx AS child_index, md5(chi.content) AS content_md5,
+  length(chi.content) AS end_char, md5(pid.content) AS parent_md5 FROM chi JOIN pid USING (parent_id)""")
 def small_to_big_split(spark, sf):
     parents, children = chunking.small_to_big(documents(spark, sf))
-    return children.join(parents.select("parent_id", "parent_index"), "parent_id").select(
-        "chunk_id", "parent_id", "parent_index", "child_index", "end_char")
+    whole = parents.select("parent_id", "parent_index", F.md5("content").alias("parent_md5"))
+    return children.join(whole, "parent_id").select(
+        "chunk_id", "parent_id", "parent_index", "child_index", F.md5("content").alias("content_md5"),
+        F.col("end_char").cast("long").alias("end_char"), "parent_md5")
 
 
 @query("ingest_documents")

@@ -162,3 +162,27 @@ FUSION = """,
    FROM rr)"""
 
 FUSED = CHILD_LISTS + FUSION
+
+
+def _literal(s: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in s)
+
+
+def packed(name: str, source: str, key: str, text: str, size: int, overlap: int, separators) -> str:
+    """CTEs that end in ``name(key, idx, content)``: separators split what is too long, then whole
+    pieces are packed, one step of the recursion per chunk (``e`` holds the pieces' ends)."""
+    mark, parts = "chr(57344)", f"[{text}]"
+    for s in separators:
+        cut = f"string_split(replace(p, {_literal(s)}, {mark} || {_literal(s)} || {mark}), {mark})"
+        parts = f"flatten(list_transform({parts}, lambda p: CASE WHEN length(p) > {size} THEN {cut} ELSE [p] END))"
+    stop = "e[last]"
+    start = f"CASE WHEN {overlap} > 0 AND {stop} - s > {overlap} THEN {stop} - {overlap} ELSE {stop} END"
+    fits = f"len(list_filter(e, lambda x: x <= {{}} + {size}))"
+    return f"""
+ {name}_p AS (SELECT {key}, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM (SELECT {key}, {parts} AS parts FROM {source} WHERE length({text}) > {size})),
+ {name}_e AS (SELECT {key}, list(b::BIGINT ORDER BY i) AS e FROM (SELECT {key}, i, sum(length(p)) OVER (PARTITION BY {key} ORDER BY i) AS b FROM {name}_p) GROUP BY {key}),
+ {name}_c AS (SELECT {key}, e, 0::BIGINT AS n, 0::BIGINT AS s, greatest(1, {fits.format(0)})::BIGINT AS last FROM {name}_e
+  UNION ALL SELECT {key}, e, n + 1, t, greatest(last + 1, {fits.format('t')})::BIGINT FROM (SELECT *, {start} AS t FROM {name}_c) WHERE last < len(e)),
+ {name}_t AS (SELECT {key}, n, {strip(f'substr({text}, s + 1, {stop} - s)')} AS content FROM {name}_c JOIN {source} USING ({key})
+  UNION ALL SELECT {key}, 0, {text} FROM {source} WHERE length({text}) <= {size}),
+ {name} AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY n) - 1 AS idx, content FROM {name}_t WHERE content <> '')"""

@@ -86,20 +86,34 @@ def pieces(text: str, size: int, separators=SEPARATORS) -> list[str]:
     return out
 
 
+def last_break(breaks: np.ndarray, limit: int) -> int:
+    """Index of the last of the ascending ``breaks`` that is not above ``limit``; -1 if all are."""
+    return int(np.searchsorted(breaks, limit, "right")) - 1
+
+
 def pack(text: str, size: int, overlap: int) -> list[str]:
-    """Greedy packing of pieces into chunks with an overlapping tail."""
+    """As many whole pieces as fit ``size``, at least one, in each chunk.
+
+    A chunk begins with the last ``overlap`` characters of a longer one before it, which
+    count.  Chunks are stretches of the text, so one search in the pieces' ends finds
+    where each of them stops.
+    """
     if len(text) <= size:
         return [text]
-    chunks, held = [], ""
-    for piece in pieces(text, size):
-        if len(held) + len(piece) <= size:
-            held += piece
-            continue
-        if held:
-            chunks.append(held)
-        tail = held[-overlap:] if 0 < overlap < len(held) else ""
-        held = tail + piece
-    return [c for c in (x.strip() for x in [*chunks, held]) if c]
+    ends = np.cumsum([len(piece) for piece in pieces(text, size)])
+    spans, begin, piece = [], 0, 0
+    while piece < len(ends):
+        last = max(piece, last_break(ends, begin + size))
+        stop = int(ends[last])
+        spans.append((begin, stop))
+        begin = stop - overlap if 0 < overlap < stop - begin else stop
+        piece = last + 1
+    return stripped(text, spans)
+
+
+def stripped(text: str, spans: list[tuple[int, int]]) -> list[str]:
+    """The stretches of the text without outer white space; blank ones go."""
+    return [c for c in (text[i:j].strip() for i, j in spans) if c]
 
 
 def cut_recursive(text: str, size: int = 1000, overlap: int = 200, min_size: int = 100,
@@ -179,24 +193,26 @@ def cut_hybrid(text: str, similarity: Similarity | None = hashed_similarity, siz
     return [c[i:i + max_size] for c in kept for i in range(0, len(c), max_size)]
 
 
-def cut_sentences(text: str, size: int = 1000, overlap: int = 200, apply_overlap: bool = False) -> list[str]:
-    """Windows that end at the last sentence end close to ``size``.
+def cut_sentences(text: str, size: int = 1000, overlap: int = 200, apply_overlap: bool = False,
+                  early: int = 100, late: int = 50) -> list[str]:
+    """Chunks of about ``size`` characters that close with a sentence.
 
-    By default the next window starts where this one ended; ``apply_overlap``
-    steps back by ``overlap``.
+    A chunk closes at the last sentence end from ``early`` characters before its aimed
+    length to ``late`` characters behind it, or at that length.  The next one follows
+    without a gap; ``apply_overlap`` lets it begin ``overlap`` characters earlier.
     """
-    chunks, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            near = range(max(end - 100, start), min(end + 50, len(text)))
-            ends = [i + 1 for i in near if text[i] in SENTENCE_ENDS]
-            end = ends[-1] if ends else end
-        chunks.append(text[start:end].strip())
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1) if apply_overlap else max(start + size - overlap, end)
-    return [c for c in chunks if c]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sentences = np.flatnonzero(np.isin(codes, [ord(c) for c in SENTENCE_ENDS])) + 1
+    spans, begin, stop = [], 0, 0
+    while stop < len(text):
+        aim = stop = begin + size
+        if aim < len(text):
+            at = last_break(sentences, aim + late)
+            if at >= 0 and sentences[at] > max(aim - early, begin):
+                stop = int(sentences[at])
+        spans.append((begin, stop))
+        begin = max(stop - overlap, begin + 1) if apply_overlap else max(aim - overlap, stop)
+    return stripped(text, spans)
 
 
 # ------------------------------------------------------------- on DataFrames
