@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusweir import lexicon as L
+from corpusweir.catalog import clinical as K
 from corpusweir.catalog import sql as S
 from corpusweir.catalog.registry import query, table, texts
 from corpusweir.functions.text import WS, entropy, language, repetition_ratio, snippet, words
@@ -104,10 +106,13 @@ def quality_by_label(spark, sf):
     return joined.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("overall_score"), 6).alias("mean_overall"))
 
 
-@query("document_language", f"""SELECT doc_id, CASE WHEN length({S.strip('text')}) = 0 THEN 'unknown' ELSE 'en' END AS detected
- FROM documents""")
+_SHARE = f"len(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]')) / length({S.strip('text')})::DOUBLE"
+
+
+@query("document_language", f"""WITH {K.TEXTS} SELECT doc_id, CASE WHEN length({S.strip('text')}) = 0 THEN 'unknown'
+ WHEN {_SHARE} > 0.7 THEN 'zh' WHEN {_SHARE} < 0.1 THEN 'en' ELSE 'mixed' END AS detected FROM t0""")
 def document_language(spark, sf):
-    return documents(spark, sf).select("doc_id", language(F.col("text")).alias("detected"))
+    return K.clinical(spark, sf).select("doc_id", language(F.col("text")).alias("detected"))
 
 
 @query("content_analysis", f"""SELECT doc_id, length(text) AS char_count, len({S.words('text')}) AS word_count,
@@ -229,20 +234,19 @@ def redundant_lines(spark, sf):
     return out.select("doc_id", F.md5("kept").alias("text_md5"), n.cast("long").alias("n_lines"))
 
 
-@query("drop_headers", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
-   generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
- s AS (SELECT doc_id, i, {strip} AS line FROM l)
- SELECT d.doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY i), '')) AS text_md5
- FROM documents d LEFT JOIN (SELECT * FROM s WHERE line <> '' AND NOT regexp_matches(line,
-   '^(\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}|(?i:vol)\.\s*\d+|(?i:no)\.\s*\d+|\d+年第\d+期)')) f USING (doc_id) GROUP BY d.doc_id""".format(
-    strip=S.strip("raw")))
+@query("drop_headers", f"WITH {K.TEXTS}, {K.without_headers('h', 't0')} SELECT doc_id, md5(text) AS text_md5 FROM h")
 def drop_headers(spark, sf):
-    return documents(spark, sf).select("doc_id", F.md5(cleaning.drop_headers(F.col("text"))).alias("text_md5"))
+    return K.clinical(spark, sf).select("doc_id", F.md5(cleaning.drop_headers(F.col("text"))).alias("text_md5"))
+
 
+_ABBREVIATED = [e for e in L.CLEANER_ABBREVIATIONS.items() if e[0] != e[1]]
 
-@query("clean_text")
+
+@query("clean_text", f"""WITH {K.TEXTS}, {K.without_noise('n', 't0')}, {K.without_headers('h', 'n')}, {K.replaced('e', 'h', _ABBREVIATED)},
+ {K.without_repeats('r', 'e')}, {K.without_noise('m', 'r')}
+ SELECT doc_id, CASE WHEN {S.strip('r.text')} = '' THEN '' ELSE {K.collapsed('m.text')} END AS cleaned FROM m JOIN r USING (doc_id)""")
 def clean_text(spark, sf):
-    return cleaning.clean_steps(documents(spark, sf)).select("doc_id", "cleaned")
+    return cleaning.clean_steps(K.clinical(spark, sf)).select("doc_id", "cleaned")
 
 
 @query("clean_basic", rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
@@ -276,45 +280,82 @@ def text_structure(spark, sf):
         for k in ("titles", "lists", "references", "paragraphs")])
 
 
-@query("document_titles")
+_NOT, _NOT_CJK = "|".join(cleaning.NOT_A_TITLE), "|".join(cleaning.NOT_A_CJK_TITLE)
+
+
+@query("document_titles", f"""WITH {K.TEXTS},
+ l AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:20]) AS raw, generate_subscripts(string_split(text, chr(10))[1:20], 1) AS i FROM t0),
+ s AS (SELECT doc_id, i, {S.strip('raw')} AS x FROM l),
+ c AS (SELECT doc_id, 0 AS k, i, x, length(x) AS w FROM s WHERE length(x) BETWEEN 10 AND 100 AND (length(x) >= 20 OR NOT contains(x, '·'))
+   AND NOT regexp_matches(x, {K.literal('(?i)' + _NOT)})
+  UNION ALL SELECT doc_id, 1, i, x, length(x) + CASE WHEN contains(x, '中国扩张型心肌病诊断和治疗指南') THEN 200
+   WHEN regexp_matches(x, '指南|规范|标准|诊断|治疗') THEN 100 ELSE 0 END + CASE WHEN length(x) >= 15 AND NOT regexp_matches(x, '[，。；：]') THEN 30 ELSE 0 END
+  FROM s WHERE i <= 15 AND length(x) BETWEEN 8 AND 80 AND regexp_matches(x, '[\\x{{4e00}}-\\x{{9fff}}]') AND NOT regexp_matches(x, {K.literal(_NOT_CJK)})),
+ b AS (SELECT doc_id, regexp_replace(regexp_replace(x, '^[·•\\-\\s]+|[·•\\-\\s]+$', '', 'g'), '{WS}+', ' ', 'g') AS tidy FROM c
+   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, k, i) = 1)
+ SELECT doc_id, CASE WHEN length(tidy) >= 10 THEN tidy ELSE concat_ws('-', source, doc_id) END AS title FROM t0 LEFT JOIN b USING (doc_id)""")
 def document_titles(spark, sf):
-    docs = texts(spark, sf)
+    docs = K.clinical(spark, sf)
     return docs.select("doc_id", cleaning.title(F.col("text"), F.concat_ws("-", "source", "doc_id")).alias("title"))
 
 
-@query("document_references")
+@query("document_references", rf"""WITH {K.TEXTS},
+ s AS (SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?is)(references|bibliography|参考文献).*'), ''),
+   regexp_extract(text, '(?is)(参考资料|引用文献|文献引用).*')) AS part FROM t0),
+ m AS (SELECT doc_id, CASE WHEN regexp_matches(part, '\[\d+\]') THEN '\[\d+\]' ELSE '\d+\.\s+' END AS mark, part FROM s WHERE part <> ''),
+ e AS (SELECT doc_id, {S.strip('e')} AS e FROM (SELECT doc_id, unnest(string_split(regexp_replace(part, mark, chr(57344) || '\0', 'g'), chr(57344))[2:]) AS e FROM m))
+ SELECT doc_id, regexp_extract(e, '[\[\(]?(\d+)[\]\)]?', 1) AS reference_id, e AS reference_text FROM e WHERE length(e) > 10""")
 def document_references(spark, sf):
-    docs = documents(spark, sf).select("doc_id", F.explode(cleaning.references(F.col("text"))).alias("r"))
+    docs = K.clinical(spark, sf).select("doc_id", F.explode(cleaning.references(F.col("text"))).alias("r"))
     return docs.select("doc_id", "r.reference_id", "r.reference_text")
 
 
-@query("standardise_terms")
+@query("standardise_terms", f"""WITH {K.TEXTS}, {K.replaced('e', 't0', K.standard_entries())}
+ SELECT doc_id, md5(CASE WHEN trim(t0.text) = '' THEN '' ELSE e.text END) AS text_md5, e.text <> t0.text AS changed FROM e JOIN t0 USING (doc_id)""")
 def standardise_terms(spark, sf):
-    apply = terminology.standardiser()
-    return documents(spark, sf).select("doc_id", F.md5(apply(F.col("text"))).alias("text_md5"))
+    out = K.clinical(spark, sf).withColumn("s", terminology.standardiser()(F.col("text")))
+    return out.select("doc_id", F.md5("s").alias("text_md5"), (F.col("s") != F.col("text")).alias("changed"))
 
 
-@query("expand_abbreviations", r"""SELECT doc_id, regexp_matches(text, '(?i)\b(MI|AMI|CAD|CHD|HF|AF|HTN|DM|COPD|CKD|PCI|CABG|ECG|EKG|ECHO|CT|MRI|ICU|CCU|ER|ED)\b')
- AS may_change FROM documents WHERE regexp_matches(text, '(^|[^\p{L}\p{N}_])(?i:MI|AMI|CAD|CHD|HF|AF|HTN|DM|COPD|CKD|PCI|CABG|ECG|EKG|ECHO|CT|MRI|ICU|CCU|ER|ED)($|[^\p{L}\p{N}_])')""")
+@query("expand_abbreviations", f"""WITH {K.TEXTS}, {K.replaced('e', 't0', _ABBREVIATED)} SELECT doc_id, md5(text) AS text_md5 FROM e""")
 def expand_abbreviations(spark, sf):
-    out = documents(spark, sf).withColumn("e", cleaning.expand_abbreviations(F.col("text")))
-    return out.filter("e <> text").select("doc_id", F.lit(True).alias("may_change"))
+    return K.clinical(spark, sf).select("doc_id", F.md5(cleaning.expand_abbreviations(F.col("text"))).alias("text_md5"))
+
 
+def _listed(names) -> str:
+    return "[" + ", ".join(K.literal(x) for x in names) + "]"
 
-_SHORT = ("MI", "AMI", "CT", "OR", "PE", "AF", "ER", "ED", "PET", "CAD", "DM", "HF", "TC", "TG", "ALT", "AST")
 
+def _named(names, how: str = "contains(text, x)") -> str:
+    return f"array_to_string(list_filter({_listed(names)}, lambda x: {how}), '|')"
 
-@query("term_entities", "SELECT doc_id, 0 AS diseases, 0 AS drugs, " + " + ".join(
-    rf"regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_]){a}($|[^\p{{L}}\p{{N}}_])')::BIGINT" for a in _SHORT)
-       + " AS abbreviations FROM documents")
+
+# A pattern made per row is dear: only texts that hold the letters are searched.
+_ALONE = r"CASE WHEN contains(text, x) THEN regexp_matches(text, '(^|[^\p{L}\p{N}_])' || x || '($|[^\p{L}\p{N}_])') ELSE false END"
+
+
+@query("term_entities", f"""WITH {K.TEXTS} SELECT doc_id, {_named(L.DISEASES)} AS diseases, {_named(L.DRUGS)} AS drugs, {_named(L.PROCEDURES)} AS procedures,
+ {_named(L.ABBREVIATIONS, _ALONE)} AS abbreviations FROM t0""")
 def term_entities(spark, sf):
-    some = terminology.Dictionary(abbreviations={a: a for a in _SHORT})
-    found = terminology.entity_classes(F.col("text"), some)
-    return documents(spark, sf).select(
-        "doc_id", *[F.size(found[k]).cast("long").alias(k) for k in ("diseases", "drugs", "abbreviations")])
+    found = terminology.entity_classes(F.col("text"))
+    return K.clinical(spark, sf).select(
+        "doc_id", *[F.array_join(found[k], "|").alias(k) for k in ("diseases", "drugs", "procedures", "abbreviations")])
+
+
+def _pairs(entries) -> str:
+    return "[" + ", ".join(f"{{'x': {K.literal(a)}, 'y': {K.literal(b)}}}" for a, b in entries) + "]"
+
+
+_ODD = [(a, b) for a, b in L.STANDARD_TERMS.items() if b not in a]
 
 
-@query("terminology_validation")
+@query("terminology_validation", f"""WITH {K.TEXTS},
+ v AS (SELECT doc_id, list_filter({_pairs(_ODD)}, lambda p: contains(text, p.x) AND NOT contains(text, p.y)) AS odd,
+  list_filter({_pairs(L.ABBREVIATIONS.items())}, lambda p: {_ALONE.replace(' x', ' p.x')} AND NOT contains(text, p.y)) AS short FROM t0)
+ SELECT doc_id, array_to_string(list_transform(odd, lambda p: p.x), '|') AS non_standard_terms,
+  array_to_string(list_transform(short, lambda p: p.x), '|') AS missing_standardization,
+  array_to_string(list_transform(odd, lambda p: 'Replace ' || chr(39) || p.x || chr(39) || ' with ' || chr(39) || p.y || chr(39))
+   || list_transform(short, lambda p: 'Consider expanding ' || chr(39) || p.x || chr(39) || ' to ' || chr(39) || p.y || chr(39)), '|') AS suggestions FROM v""")
 def terminology_validation(spark, sf):
     found = terminology.validate(F.col("text"))
-    return documents(spark, sf).select("doc_id", *[F.size(c).alias(k) for k, c in found.items()])
+    return K.clinical(spark, sf).select("doc_id", *[F.array_join(c, "|").alias(k) for k, c in found.items()])
