@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusweir import lexicon as L
+from corpusweir.catalog import clinical as K
 from corpusweir.catalog import sql as S
 from corpusweir.catalog.fixtures import chunk_corpus, chunk_queries
 from corpusweir.catalog.registry import query, table, texts
@@ -105,10 +107,35 @@ def small_to_big_split(spark, sf):
         F.col("end_char").cast("long").alias("end_char"), "parent_md5")
 
 
-@query("ingest_documents")
+_SHORT = [e for e in L.CLEANER_ABBREVIATIONS.items() if e[0] != e[1]]
+_CLEANED = f"""{K.TEXTS}, {K.without_noise('n', 't0')}, {K.without_headers('h', 'n')}, {K.replaced('x', 'h', _SHORT)},
+ {K.without_repeats('r', 'x')}, {K.without_noise('m', 'r')},
+ cl AS MATERIALIZED (SELECT doc_id, {K.collapsed('m.text')} AS text FROM m JOIN r USING (doc_id) WHERE {S.strip('r.text')} <> '')"""
+_INGESTED = f"""{_CLEANED},
+ {S.packed("par", "cl", "doc_id", "text", chunking.PARENT_SIZE, chunking.PARENT_OVERLAP, chunking.SEPARATORS)},
+ pid AS MATERIALIZED (SELECT doc_id, doc_id || '-' || idx AS parent_id, idx AS parent_index, content FROM par), {_CHILDREN},
+ kwc AS (SELECT parent_id, term, count(*) AS n, min(pos) AS pos FROM (SELECT parent_id, unnest({S._LONGER}) AS term,
+   generate_subscripts({S._LONGER}, 1) AS pos FROM pid) GROUP BY ALL),
+ kwr AS (SELECT parent_id, term, row_number() OVER (PARTITION BY parent_id ORDER BY n DESC, pos) AS r FROM kwc QUALIFY r <= 8),
+ kwl AS (SELECT parent_id, string_agg(term, ' ' ORDER BY r) AS keywords FROM kwr GROUP BY parent_id)"""
+
+
+@query("ingest_documents", f"""WITH RECURSIVE {_INGESTED}
+ SELECT parent_id, md5(pid.content) AS content_md5, chi.idx AS child_index, md5(chi.content) AS child_md5, coalesce(keywords, '') AS keywords,
+  CASE WHEN len({S.words('pid.content')}) > 0 THEN {S.snippet('pid.content', 200)} ELSE '文档片段 ' || (parent_index + 1) END AS summary
+ FROM pid JOIN chi USING (parent_id) LEFT JOIN kwl USING (parent_id)""")
 def ingest_documents(spark, sf):
-    done = ingestion.ingest(documents(spark, sf))
-    return ingestion.final_metadata(done)
+    """Every child of cleaned texts with its parent and what it inherits."""
+    done = ingestion.ingest(K.clinical(spark, sf))
+    parents = done.parents.select("parent_id", F.md5("content").alias("content_md5"))
+    return done.children.join(parents, "parent_id").select(
+        "parent_id", "content_md5", "child_index", F.md5("content").alias("child_md5"), F.array_join("keywords", " ").alias("keywords"), "summary")
+
+
+@query("ingest_metadata", f"""WITH RECURSIVE {_INGESTED}
+ SELECT doc_id, count(*) AS total_chunks, sum(length(content))::BIGINT AS total_chars FROM pid GROUP BY doc_id""")
+def ingest_metadata(spark, sf):
+    return ingestion.final_metadata(ingestion.ingest(K.clinical(spark, sf)))
 
 
 # ---------------------------------------------------------------------------- elements
