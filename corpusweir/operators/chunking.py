@@ -236,25 +236,31 @@ def split_rows(docs: DataFrame, cut: Callable[[str], list[str]], doc_id: str = "
     return cuts.select(*keep, F.posexplode("_cuts").alias("chunk_index", name))
 
 
-def small_to_big(docs: DataFrame, parent_size: int = PARENT_SIZE, parent_overlap: int = PARENT_OVERLAP,
-                 child_size: int = CHILD_SIZE, child_overlap: int = CHILD_OVERLAP):
-    """Parents and children of every document; an overlap of 0 is honoured."""
-    parents = split_rows(docs.select("doc_id", "text"), lambda t: pack(t, parent_size, parent_overlap))
-    parents = parents.select(
+def packed_parents(docs: DataFrame, size: int = PARENT_SIZE, overlap: int = PARENT_OVERLAP) -> DataFrame:
+    parents = split_rows(docs.select("doc_id", "text"), lambda t: pack(t, size, overlap))
+    return parents.select(
         chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("parent_id"), "doc_id",
         F.col("chunk_index").cast("long").alias("parent_index"), "content",
         F.lit(0).alias("start_char"), F.length("content").alias("end_char"),
     )
+
+
+def packed_children(parents: DataFrame, size: int = CHILD_SIZE, overlap: int = CHILD_OVERLAP) -> DataFrame:
     children = split_rows(
-        parents.select("parent_id", "doc_id", "content"),
-        lambda t: pack(t, child_size, child_overlap), text="content", name="child",
+        parents.select("parent_id", "doc_id", "content"), lambda t: pack(t, size, overlap), text="content", name="child",
     )
-    children = children.select(
+    return children.select(
         chunk_id(F.col("parent_id"), F.col("chunk_index")).alias("chunk_id"), "parent_id", "doc_id",
         F.col("chunk_index").cast("long").alias("child_index"), F.col("child").alias("content"),
         F.lit(0).alias("start_char"), F.length("child").alias("end_char"),
     )
-    return parents, children
+
+
+def small_to_big(docs: DataFrame, parent_size: int = PARENT_SIZE, parent_overlap: int = PARENT_OVERLAP,
+                 child_size: int = CHILD_SIZE, child_overlap: int = CHILD_OVERLAP):
+    """Parents and children of every document; an overlap of 0 is honoured."""
+    parents = packed_parents(docs, parent_size, parent_overlap)
+    return parents, packed_children(parents, child_size, child_overlap)
 
 
 def chunk_statistics(parents: DataFrame, children: DataFrame) -> DataFrame:

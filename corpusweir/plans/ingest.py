@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusweir.functions.text import snippet, tokens, words
 from corpusweir.operators import chunking, cleaning, keywords, terminology
 from corpusweir.plans.retrieval import Corpus
+from corpusweir.session import written_table
 
 
 @dataclass(frozen=True)
@@ -50,16 +51,21 @@ def model_metadata(parents: DataFrame, replies: DataFrame) -> DataFrame:
 
 def ingest(docs: DataFrame, clean: bool = True, standardise: bool = False,
            parent_size: int = chunking.PARENT_SIZE, child_size: int = chunking.CHILD_SIZE) -> Ingested:
-    """``docs(doc_id, text)``: clean, standardise, split twice, describe the parents."""
+    """``docs(doc_id, text)``: clean, standardise, split twice, describe the parents.
+
+    The parents are written once to the shared folder; children, keywords and counts read them there,
+    so texts are cleaned and split once.
+    """
     out = docs.select("doc_id", "text")
     if clean:
         out = cleaning.clean_steps(out).select("doc_id", F.col("cleaned").alias("text"))
     if standardise:
         out = out.withColumn("text", terminology.standardiser()(F.col("text")))
-    parents, children = chunking.small_to_big(out.filter("text <> ''"), parent_size, child_size=child_size)
-    parents = parent_metadata(parents)
+    bare = written_table(chunking.packed_parents(out.filter("text <> ''"), parent_size))
+    children = chunking.packed_children(bare, child_size)
+    parents = parent_metadata(bare)
     inherited = children.join(parents.select("parent_id", "summary", "keywords"), "parent_id")
-    return Ingested(parents, inherited, chunking.chunk_statistics(parents, children))
+    return Ingested(parents, inherited, chunking.chunk_statistics(bare, children))
 
 
 def as_corpus(ingested: Ingested, vectors: DataFrame) -> Corpus:
