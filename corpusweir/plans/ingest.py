@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweir.functions.text import snippet, tokens, words
 from corpusweir.operators import chunking, cleaning, keywords, terminology
 from corpusweir.plans.retrieval import Corpus
 from corpusweir.session import written_table
+from corpusweir.sources import files
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,29 @@ def ingest(docs: DataFrame, clean: bool = True, standardise: bool = False,
     return Ingested(parents, inherited, chunking.chunk_statistics(bare, children))
 
 
+@dataclass(frozen=True)
+class FilesIngested:
+    ingested: Ingested
+    documents: DataFrame
+    rejects: DataFrame
+
+
+def ingest_files(spark: SparkSession, path: str, glob: str | None = None, fallback: bool = True, **how) -> FilesIngested:
+    """All files below ``path``: parsed, joined to documents, cleaned, standardised and split.
+
+    Spark lists and reads the files, so any file system it knows will do.  Every file is opened
+    once; its elements, at most one file's, are put in order again as one document, whose id is
+    the md5 of its path.  ``how`` goes to ``ingest``, which cleans and standardises by default.
+    """
+    parsed = written_table(files.parse_all(files.read_files(spark, path, glob), fallback))
+    in_order = F.array_sort(F.collect_list(F.struct("position", "text")))
+    documents = parsed.filter("error is null").groupBy("path").agg(
+        F.array_join(F.transform(in_order, lambda e: e["text"]), "\n\n").alias("text")
+    ).select(F.md5("path").alias("doc_id"), "path", "text")
+    done = ingest(documents, **{"standardise": True, **how})
+    return FilesIngested(done, documents, parsed.filter("error is not null").select("path", "error"))
+
+
 def as_corpus(ingested: Ingested, vectors: DataFrame) -> Corpus:
     """The retrieval inputs of an ingested collection."""
     children = ingested.children.select(

@@ -129,25 +129,49 @@ PARSERS: dict[str, Callable[[bytes], Iterator[Element]]] = {
 }
 
 
-def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(elements, rejects): rejects carry the path and why it could not be read."""
+def plain_text(data: bytes) -> Iterator[Element]:
+    """Any UTF-8 text without control bytes, whatever its extension; else an error."""
+    if b"\0" in data:
+        raise ValueError("binary content")
+    yield from parse_text(data)
+
+
+def elements_of(path: str, data: bytes, fallback: bool) -> list[tuple]:
+    """Rows of one file, or one row that says why there are none."""
+    match = re.search(r"\.[A-Za-z0-9]+$", path)
+    parser = PARSERS.get(match.group(0).lower()) if match else None
+    reason = "ValueError: unsupported format"
+    for attempt in (parser, plain_text if fallback else None):
+        if attempt is None:
+            continue
+        try:
+            found = [(kind, text.strip(), page) for kind, text, page in attempt(data)]
+            return [(path, i, kind, text, page, None) for i, (kind, text, page) in enumerate(found) if text]
+        except Exception as error:  # the file goes to the rejects, with what its own parser said
+            reason = f"{type(error).__name__}: {error}" if attempt is parser else reason
+    return [(path, None, None, None, None, reason)]
+
+
+def parse_all(files: DataFrame, fallback: bool = False) -> DataFrame:
+    """One row per element, and one with ``error`` per file that could not be read.
+
+    With ``fallback`` a file that its parser refuses, or that has none, is read as plain text
+    if it is text.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                match = re.search(r"\.[A-Za-z0-9]+$", path)
-                parser = PARSERS.get(match.group(0).lower()) if match else None
-                try:
-                    if parser is None:
-                        raise ValueError("unsupported format")
-                    rows += [(path, i, kind, text.strip(), page, None)
-                             for i, (kind, text, page) in enumerate(parser(bytes(content))) if text.strip()]
-                except Exception as error:  # the file goes to the rejects
-                    rows.append((path, None, None, None, None, f"{type(error).__name__}: {error}"))
+                rows += elements_of(path, bytes(content), fallback)
             out = pd.DataFrame(rows, columns=["path", "position", "type", "text", "page_number", "error"])
             yield out.astype({"position": "Int64", "page_number": "Int64"})
 
-    parsed = files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def parse_files(files: DataFrame, fallback: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(elements, rejects): rejects carry the path and why it could not be read."""
+    parsed = parse_all(files, fallback)
     good = parsed.filter("error is null").drop("error")
     return good, parsed.filter("error is not null").select("path", "error")

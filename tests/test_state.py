@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusweir.operators import audit, context, keywords, metrics, ordering, relational
 from corpusweir.session import bounded_broadcast, lookup_join
+from corpusweir.plans import ingest
 from corpusweir.sources import files, models, tables
 from corpusweir.streaming import sinks, source, stateful
 
@@ -161,6 +162,30 @@ def test_files_to_elements(spark, tmp_path):
     assert files.read_text_files(spark, str(tmp_path / "a.txt")).first().text == "plain 文本"
 
 
+def test_files_through_cleaning_standardising_and_splitting(spark, tmp_path):
+    folder = tmp_path / "in" / "deeper"
+    folder.mkdir(parents=True)
+    (folder / "a.txt").write_text("Vol. 3\n患者 心肌梗塞 history of pain\n" + "word after word goes on. " * 120, encoding="utf-8")
+    (tmp_path / "in" / "b.md").write_text("# A heading of the text\n\n- one item of a list\n- one item of a list", encoding="utf-8")
+    (folder / "notes.log").write_text("a log that is only text", encoding="utf-8")
+    (folder / "bad.docx").write_bytes(b"no zip\0")
+    (folder / "empty.txt").write_text("", encoding="utf-8")
+    docx(folder / "c.docx")
+    done = ingest.ingest_files(spark, str(tmp_path / "in"))
+    name = lambda r: r.path.rsplit("/", 1)[-1]
+    docs = {name(r): r for r in done.documents.collect()}
+    assert set(docs) == {"a.txt", "b.md", "c.docx", "notes.log"} and docs["c.docx"].text == "Head\n\nBody text\n\na | b"
+    bad = {name(r): r.error for r in done.rejects.collect()}
+    assert set(bad) == {"bad.docx"} and "BadZipFile" in bad["bad.docx"]
+    parents = done.ingested.parents.collect()
+    long = sorted((p for p in parents if p.doc_id == docs["a.txt"].doc_id), key=lambda p: p.parent_index)
+    assert len(long) > 1 and long[0].content.startswith("患者 心肌梗死 history of pain word") and all(len(p.content) <= 1024 for p in long)
+    assert [p.content for p in parents if p.doc_id == docs["b.md"].doc_id] == ["A heading of the text - one item of a list"]
+    assert {c.parent_id for c in done.ingested.children.collect()} == {p.parent_id for p in parents}
+    strict = ingest.ingest_files(spark, str(tmp_path / "in"), fallback=False)
+    assert {name(r) for r in strict.rejects.collect()} == {"bad.docx", "notes.log"}
+
+
 def test_rejects_carry_reasons(spark):
     df = spark.createDataFrame([("q", 5), ("", 5), ("q", 99)], "query string, max_results int")
     good, bad = tables.checked(df, tables.RULES["queries"])
