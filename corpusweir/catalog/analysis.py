@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusweir import lexicon as L
+from corpusweir.catalog import clinical as K
 from corpusweir.catalog import sql as S
 from corpusweir.catalog.registry import query, table
 from corpusweir.config import DEFAULT_WEIGHTS, PATHS
@@ -318,17 +319,36 @@ def expand_queries(spark, sf):
     return out.select("query_id", F.md5("v").alias("variant"))
 
 
-@query("rewrite_queries", _Q + f"""
- SELECT query_id, md5('患者 ' || array_to_string({S.words('text')}, ' ')) AS rewritten FROM q""")
+_ASKED = _Q + f", a AS (SELECT query_id, {K.in_other_words(K.ASKED)} AS text, length(text) % 3 AS kind FROM q)"
+
+
+def asked(spark, sf):
+    """The queries with frequent words turned into those of the lexicons, and a number that picks their context."""
+    return all_queries(spark, sf).select("query_id", F.expr(K.in_other_words(K.ASKED)).alias("text"), (F.length("text") % 3).alias("kind"))
+
+
+def _renamed(text: str) -> str:
+    for old, new in L.REWRITE_TERMS.items():
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
+
+
+@query("rewrite_queries", _ASKED + f""",
+ w AS (SELECT query_id, kind, array_to_string(list_filter({S.words('text')}, lambda x: x NOT IN {_in(L.REWRITE_STOP_WORDS)}), ' ') AS o FROM a),
+ r AS (SELECT query_id, kind, {_renamed('o')} AS o FROM w),
+ p AS (SELECT query_id, kind, CASE WHEN kind < 2 AND NOT contains(o, '患者') THEN '患者 ' || o ELSE o END AS o FROM r)
+ SELECT query_id, CASE WHEN kind > 0 AND NOT contains(o, '治疗') THEN o || ' 治疗' ELSE o END AS rewritten FROM p""")
 def rewrite_queries(spark, sf):
-    return all_queries(spark, sf).select(
-        "query_id", F.md5(analysis.rewrite(F.col("text"), F.lit("患者咨询"))).alias("rewritten"))
+    context = F.when(F.col("kind") == 0, "患者咨询").when(F.col("kind") == 1, "患者治疗").otherwise("治疗")
+    return asked(spark, sf).select("query_id", analysis.rewrite(F.col("text"), context).alias("rewritten"))
 
 
-@query("query_entity_classes", _Q + " SELECT query_id, 0 AS diseases, 0 AS symptoms, 0 AS treatments, 0 AS medications FROM q")
+@query("query_entity_classes", _ASKED + " SELECT query_id, " + ", ".join(
+    f"array_to_string(list_filter([{', '.join(repr(t) for t in terms)}], lambda x: contains(lower(text), x)), '|') AS {name}"
+    for name, terms in L.QUERY_ENTITIES.items()) + " FROM a")
 def query_entity_classes(spark, sf):
     found = analysis.query_entities(F.col("text"))
-    return all_queries(spark, sf).select("query_id", *[F.size(c).alias(n) for n, c in found.items()])
+    return asked(spark, sf).select("query_id", *[F.array_join(c, "|").alias(n) for n, c in found.items()])
 
 
 @query("frequent_terms", f"""WITH t AS (SELECT doc_id, unnest({S.tok('text')}) AS term,

@@ -23,6 +23,10 @@ RETOLD = (
     ("\nThe ", "\nvol. 3 "), ("\nAnd ", "\n参考文献\n[1] "), ("\nOf ", "\n[2] "), ("\nTo ", "\nReferences\n12. "), ("\nIn ", "\n3. "),
     ("\nIs ", "\n2020-1-02 "), ("\nIt ", "\n中国扩张型心肌病诊断和治疗指南 "), ("\nDie ", "\n心力衰竭诊断标准与规范 "), ("\nDer ", "\n执笔者：y "),
 )
+ASKED = (
+    (" the ", " 高血压病 的 "), (" of ", " 头痛 或 "), (" de ", " 感冒 "), (" and ", " 化疗 和 "), (" to ", " 阿司匹林 "), (" in ", " 患者 在 "),
+    (" a ", " 恶性肿瘤 "), (" is ", " 物理治疗 是 "), (" it ", " 咳嗽 "), (" la ", " 胰岛素 "), (" der ", " 糖尿病患者 "), (" for ", " 因为 肺炎 "),
+)
 VOWELS, LETTERS = "aeiouAEIOU", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CHARACTERS = "患者的病情稳定无明显不适体征平稳心肺听诊未闻及异常音腹部柔软无压痛反跳痛肠鸣正常神清语利"[: len(LETTERS)].ljust(len(LETTERS), "好")
 
@@ -31,10 +35,15 @@ def _quoted(s: str) -> str:
     return " || ".join("chr(10)" if part == "\n" else f"'{part}'" for part in s.replace("\n", "\0\n\0").split("\0") if part)
 
 
-def _retold() -> str:
+def in_other_words(pairs) -> str:
     out = "text"
-    for word, term in RETOLD:
+    for word, term in pairs:
         out = f"replace({out}, {_quoted(word)}, {_quoted(term)})"
+    return out
+
+
+def _retold() -> str:
+    out = in_other_words(RETOLD)
     return (f"CASE lang WHEN 'es' THEN translate(text, '{LETTERS}', '{CHARACTERS}') "
             f"WHEN 'fr' THEN translate(text, '{VOWELS}', '{CHARACTERS[:len(VOWELS)]}') ELSE {out} END")
 
