@@ -310,15 +310,6 @@ def search_suggestions(spark, sf):
     return out.withColumn("suggestion", F.md5("suggestion"))
 
 
-@query("expand_queries", _Q + """,
- v AS (SELECT query_id, unnest(CASE WHEN contains(text, '?') THEN [text]
-   ELSE [text, '什么是' || text, text || '是什么', '如何' || text, text || '的症状'] END) AS t FROM q)
- SELECT query_id, md5(t) AS variant FROM v""")
-def expand_queries(spark, sf):
-    out = all_queries(spark, sf).select("query_id", F.explode(analysis.expand(F.col("text"))).alias("v"))
-    return out.select("query_id", F.md5("v").alias("variant"))
-
-
 _ASKED = _Q + f", a AS (SELECT query_id, {K.in_other_words(K.ASKED)} AS text, length(text) % 3 AS kind FROM q)"
 
 
@@ -327,6 +318,37 @@ def asked(spark, sf):
     return all_queries(spark, sf).select("query_id", F.expr(K.in_other_words(K.ASKED)).alias("text"), (F.length("text") % 3).alias("kind"))
 
 
+def _put(patterns, text: str) -> str:
+    return "[" + ", ".join(f"'{p.split('{}')[0]}' || {text} || '{p.split('{}')[1]}'" for p in patterns) + "]"
+
+
+def _variants() -> str:
+    lists = ["[text]"]
+    for term, options in (*L.QUERY_SYNONYMS.items(), *L.QUERY_EXPANSIONS.items()):
+        put = ", ".join(f"replace(text, '{term}', '{o}')" for o in options)
+        lists.append(f"CASE WHEN contains(text, '{term}') THEN [{put}] ELSE [] END")
+    marks = " OR ".join(f"contains(text, '{m}')" for m in L.QUESTION_MARKS)
+
+    def bare(word):
+        return f"regexp_replace(replace(text, '{word}', ''), '[？?]', '', 'g')"
+
+    lists.append(f"CASE WHEN NOT ({marks}) THEN {_put(L.STATEMENT_VARIANTS, 'text')} WHEN starts_with(text, '什么是') THEN "
+                 f"{_put(L.DEFINITION_VARIANTS, bare('什么是'))} WHEN contains(text, '如何') THEN {_put(L.HOWTO_VARIANTS, bare('如何'))} ELSE [] END")
+    return " || ".join(lists)
+
+
+_PUT = "CASE kind WHEN 0 THEN '什么是' || text || '？' WHEN 1 THEN '如何 ' || text ELSE text END"
+
+
+@query("expand_queries", _ASKED + f""",
+ x AS (SELECT query_id, {_PUT} AS text FROM a), l AS (SELECT query_id, {_variants()} AS vs FROM x),
+ v AS (SELECT query_id, unnest(vs) AS variant, generate_subscripts(vs, 1) AS i FROM l)
+ SELECT query_id, variant FROM (SELECT query_id, variant, min(i) AS i FROM v GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 5""")
+def expand_queries(spark, sf):
+    put = asked(spark, sf).select("query_id", F.expr(_PUT).alias("text"))
+    return put.select("query_id", F.explode(analysis.expand(F.col("text"))).alias("variant"))
+
+
 def _renamed(text: str) -> str:
     for old, new in L.REWRITE_TERMS.items():
         text = f"replace({text}, '{old}', '{new}')"
