@@ -248,19 +248,31 @@ def audit_report(spark, sf):
     return audit.report(audit.hard_coded(rows, {"https url": audit.HARD_CODED["https url"]}))
 
 
-@query("audit_open_tasks", _LINES + """
+# Pages as the lines of programs: frequent words become notes and reads of the environment.
+_AS_CODE = """replace(replace(replace(replace(replace(replace(html, ' the ', ' TODO: '), ' of ', ' FIXME: '), ' and ', ' HACK: '), ' de ', ' XXX: '),
+ ' to ', ' os.getenv("en") '), ' in ', ' os.getenv(''LANG_DIR'') ')"""
+_CODE_LINES = f"""WITH t AS (SELECT page_id AS doc_id, url || chr(10) || {_AS_CODE} AS text FROM pages),
+ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM t)"""
+
+
+def code_lines(spark, sf):
+    pages = texts(spark, sf, "pages", "page_id")
+    return audit.lines(pages.withColumn("text", F.concat_ws("\n", F.col("url"), F.expr(_AS_CODE.replace("''", "\\'")))), "page_id", "text")
+
+
+@query("audit_open_tasks", _CODE_LINES + """
  SELECT doc_id, line_no, unnest(list_filter([CASE WHEN contains(line, 'TODO:') THEN 'todo' END, CASE WHEN contains(line, 'FIXME:') THEN 'fixme' END,
   CASE WHEN contains(line, 'HACK:') THEN 'hack' END, CASE WHEN contains(line, 'XXX:') THEN 'xxx' END], lambda x: x IS NOT NULL)) AS finding FROM l""")
 def audit_open_tasks(spark, sf):
-    return audit.open_tasks(source_lines(spark, sf)).select(F.col("path").alias("doc_id"), "line_no", "finding")
+    return audit.open_tasks(code_lines(spark, sf)).select(F.col("path").alias("doc_id"), "line_no", "finding")
 
 
-@query("audit_undeclared", _LINES + r""",
+@query("audit_undeclared", _CODE_LINES + r""",
  w AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, 'os\.getenv\(["'']([^"'']+)["'']', 1)) AS name FROM l),
  k AS (SELECT DISTINCT lang AS name FROM documents)
  SELECT name, doc_id, line_no FROM w WHERE name NOT IN (FROM k)""")
 def audit_undeclared(spark, sf):
-    rows = source_lines(spark, sf)
+    rows = code_lines(spark, sf)
     declared = table(spark, sf, "documents").select(F.col("lang").alias("line"))
     return audit.undeclared(rows, declared).select("name", F.col("path").alias("doc_id"), "line_no")
 
