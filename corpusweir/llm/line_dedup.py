@@ -20,8 +20,8 @@ LINES = Similarity("chars", k=5, hashes=64, rows=4, bands=12)
 
 #: Seed of Spark's xxhash64, so that lines hashed here and there agree.
 SPARK_SEED = 42
-#: Lines hashed together, and hashes a task remembers to sign a repeated line once.
-LINE_BATCH, REMEMBERED = 4096, 300_000
+#: Lines hashed together, hashes a task remembers to sign a repeated line once, and places for band keys (8 bytes each).
+LINE_BATCH, REMEMBERED, PLACES = 4096, 300_000, 1 << 20
 #: Hashes of candidate lines that may be broadcast (8 bytes each); beyond it their texts are found by a shuffle.
 CANDIDATES = 1_000_000
 
@@ -39,7 +39,8 @@ def signed_lines(docs: DataFrame, similarity: Similarity) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(similarity.hashes, similarity.seed)
         met: set[int] = set()
-        used: set[int] = set()
+        # The last key of each place; one that another has driven out is taken for new once more.
+        used = np.zeros(PLACES, np.int64)
         for batch in batches:
             row, number, line = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -62,14 +63,12 @@ def signed_lines(docs: DataFrame, similarity: Similarity) -> DataFrame:
                 shingles, offsets = line_shingles([part[i] for i in new], similarity.k)
                 minima = minhash.minima_of(shingles, offsets)
                 keys = similarity.keys(minima)
-                fresh = np.zeros(keys.size, bool)
-                for i, x in enumerate(keys.ravel().tolist()):
-                    if x not in used:
-                        used.add(x)
-                        fresh[i] = True
-                if len(used) > REMEMBERED:
-                    used.clear()
-                fresh = fresh.reshape(keys.shape)
+                flat = keys.ravel()
+                at = flat & np.int64(PLACES - 1)
+                fresh = np.zeros(keys.shape, bool)
+                fresh.ravel()[np.unique(flat, return_index=True)[1]] = True
+                fresh &= (used[at] != flat).reshape(keys.shape)
+                used[at] = flat
                 lists = []
                 for values, there in ((keys, fresh), (keys, ~fresh), (sketch := similarity.sketch(minima), np.ones(sketch.shape, bool))):
                     counts = np.zeros(len(part), np.int64)

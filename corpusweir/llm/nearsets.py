@@ -20,13 +20,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweir.llm.components import components
-from corpusweir.llm.shingling import MinHash, band_keys, char_shingles, jaccard, word_shingles, words
+from corpusweir.llm.shingling import MinHash, band_keys, distinct_runs, jaccard, line_shingles, word_shingles, words
 from corpusweir.session import written_table
 
 #: Buckets up to this size are joined with themselves under the sketches; in larger ones the texts travel.
 SMALL = 32
 #: Members of a block; a task holds two blocks of texts at most.
 BLOCK = 1024
+#: Code points of texts that are shingled together; a longer text is taken alone.
+TOGETHER = 1 << 20
+
+
+def together(texts: list[str], limit: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of at most ``limit`` code points, or of one longer text."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > limit:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
 
 
 @dataclass(frozen=True)
@@ -49,7 +63,10 @@ class Similarity:
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """Sorted distinct shingle hashes.  A text shorter than a shingle has one, an empty one none."""
         if self.unit == "chars":
-            return [char_shingles(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), self.k) for t in texts]
+            out = []
+            for a, b in together(texts):
+                out += distinct_runs(*line_shingles(texts[a:b], self.k))
+            return out
         data = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
         out = []
         for t in data:
@@ -89,6 +106,16 @@ class Similarity:
         shared, union = jaccard(a, b)
         return 100 * shared >= self.percent * union > 0
 
+    def similar_among(self, a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        """Which of the ``others`` are similar to ``a``; all are sorted and distinct, ``a`` is not empty."""
+        sizes = np.array([len(o) for o in others], np.int64)
+        values = np.concatenate(others)
+        at = np.minimum(np.searchsorted(a, values), len(a) - 1)
+        met = np.concatenate(([0], np.cumsum(a[at] == values)))
+        ends = np.cumsum(sizes)
+        shared = met[ends] - met[ends - sizes]
+        return (shared > 0) & (100 * shared >= self.percent * (len(a) + sizes - shared))
+
     def sizes_allow(self, n: Column, m: Column) -> Column:
         """What the sizes of two sets allow; a size of 0 is not known."""
         return (F.least(n, m) == 0) | (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent)
@@ -115,12 +142,18 @@ def confirm(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
+            ids = batch.column(0).to_pylist()
+            left = [t or "" for t in batch.column(2).to_pylist()]
+            right = [t or "" for t in batch.column(3).to_pylist()]
             keep = []
-            left, right = batch.column(2), batch.column(3)
-            for i, a in enumerate(batch.column(0).to_pylist()):
-                if a != last:
-                    last, held = a, similarity.sets([left[i].as_py() or ""])[0]
-                keep.append(similarity.similar(held, similarity.sets([right[i].as_py() or ""])[0]))
+            for start, end in together(right):
+                # Pairs come with equal left ends beside each other; each run of them is shingled once.
+                new = [i for i in range(start, end) if ids[i] != (ids[i - 1] if i > start else last)]
+                lefts = dict(zip(new, similarity.sets([left[i] for i in new]), strict=True))
+                for i, other in enumerate(similarity.sets(right[start:end]), start):
+                    held = lefts.get(i, held)
+                    keep.append(similarity.similar(held, other))
+                last = ids[end - 1]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return sided.mapInArrow(run, "a bigint, b bigint")
@@ -136,23 +169,40 @@ def _block_links(similarity: Similarity) -> Callable[[pa.Table], pa.Table]:
         block = table.column("block").to_numpy()
         _, root = np.unique(table.column("root").to_numpy(), return_inverse=True)
         found: list[tuple[int, int]] = []
-        if len(np.unique(root)) > 1:
-            sets = similarity.sets([t or "" for t in table.column("text").to_pylist()])
-            minima = similarity.minima(sets)
-            keys = similarity.keys(minima)
-            size = np.array([len(s) for s in sets])
-            low = (minima & np.uint32((1 << similarity.bits) - 1)).astype(np.uint8)
-            place = np.arange(len(ids))
-            for i in np.flatnonzero(block == first):
-                other = (root != root[i]) & ((place > i) if first == second else (block == second))
-                other &= np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * similarity.percent
-                js = np.flatnonzero(other)
-                js = js[(low[js] == low[i]).sum(axis=1) >= similarity.least_matches]
-                # A pair that shares an earlier band meets in that bucket as well.
-                band = int(np.flatnonzero(keys[i] == key)[0])
-                js = js[~(keys[js, :band] == keys[i, :band]).any(axis=1)]
-                for j in js:
-                    if root[i] != root[j] and similarity.similar(sets[i], sets[j]):
+        place = np.arange(len(ids))
+        sketch = np.stack(table.column("sketch").to_numpy()).view(np.uint64).reshape(len(ids), similarity.bits, -1)
+
+        def near(i: int) -> np.ndarray:
+            """Members to compare ``i`` with, by block, component and sketch."""
+            js = np.flatnonzero((root != root[i]) & ((place > i) if first == second else (block == second)))
+            differ = np.bitwise_or.reduce(sketch[js] ^ sketch[i], axis=1)
+            return js[similarity.hashes - np.bitwise_count(differ).sum(axis=1, dtype=np.int64) >= similarity.least_matches]
+
+        leads = np.flatnonzero(block == first) if len(np.unique(root)) > 1 else place[:0]
+        asked = np.zeros(len(ids), bool)
+        for i in leads:
+            js = near(i)
+            asked[js] = True
+            asked[i] |= len(js) > 0
+        # Only texts that a sketch lets through are shingled.
+        chosen = np.flatnonzero(asked)
+        texts = table.column("text").take(pa.array(chosen)).to_pylist()
+        some = similarity.sets([t or "" for t in texts])
+        some_keys = similarity.keys(similarity.minima(some)) if some else np.zeros((0, 1), np.int64)
+        sets = dict(zip(chosen.tolist(), some, strict=True))
+        row = np.cumsum(asked) - 1
+        size = np.zeros(len(ids), np.int64)
+        size[chosen] = [len(s) for s in some]
+        for i in leads[asked[leads]]:
+            js = near(i)
+            js = js[np.minimum(size[js], size[i]) * 100 >= np.maximum(size[js], size[i]) * similarity.percent]
+            # A pair that shares an earlier band meets in that bucket as well.
+            mine = some_keys[row[i]]
+            band = int(np.flatnonzero(mine == key)[0])
+            js = js[~(some_keys[row[js], :band] == mine[:band]).any(axis=1)]
+            if len(js) and size[i]:
+                for j in js[similarity.similar_among(sets[int(i)], [sets[int(j)] for j in js])]:
+                    if root[i] != root[j]:
                         found.append((int(ids[i]), int(ids[j])))
                         root[root == root[j]] = root[i]
         a, b = zip(*found, strict=True) if found else ((), ())
@@ -212,6 +262,6 @@ def linked(
     blocks = open_rows.withColumn("_other", F.explode(other)).select(
         "key", "id", "root", "block",
         F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"),
-    ).join(found, "id")
+    ).join(found, "id").join(signs.select("id", "sketch"), "id")
     more = blocks.groupBy("key", "first", "second").applyInArrow(_block_links(similarity), "a bigint, b bigint")
     return components(links.union(more))

@@ -119,7 +119,10 @@ def line_shingles(lines: Sequence[str], k: int) -> tuple[np.ndarray, np.ndarray]
     runs = max(len(codes) - k + 1, 0)
     x[:runs] = run_hashes(codes, slice(0, runs), slice(k, k + runs), np.full(1, k, np.uint64))
     short = np.flatnonzero((n > 0) & (n < k))
-    x[begins[short]] = run_hashes(codes, begins[short], begins[short + 1])
+    if len(short):
+        ends = np.cumsum(n[short])
+        theirs = codes[np.repeat(begins[short] - ends + n[short], n[short]) + np.arange(ends[-1])]
+        x[begins[short]] = run_hashes(theirs, ends - n[short], ends)
     filled = np.flatnonzero(n)
     step = np.zeros(len(codes) + 1, np.int8)
     step[begins[filled]] += 1
@@ -127,6 +130,17 @@ def line_shingles(lines: Sequence[str], k: int) -> tuple[np.ndarray, np.ndarray]
     return x[np.cumsum(step[:-1], dtype=np.int8).astype(bool)], np.concatenate(([0], np.cumsum(counts)))
 
 
+def distinct_runs(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct values of every one of the neighbouring sets that ``offsets`` part."""
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        run = np.sort(values[a:b])
+        first = np.ones(len(run), bool)
+        np.not_equal(run[1:], run[:-1], out=first[1:])
+        out.append(run[first])
+    return out
+
+
 def char_shingles(codes: np.ndarray, k: int) -> np.ndarray:
     """Distinct hashes of the runs of ``k`` code points; of all of them, if there are fewer."""
     n = len(codes)
