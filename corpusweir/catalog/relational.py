@@ -239,7 +239,7 @@ def ordered_distinct(spark, sf):
   len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE END, 6) AS similarity
  FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.parent_index = a.parent_index + 1""")
 def adjacent_chunk_similarity(spark, sf):
-    parents = chunk_corpus(spark, sf).parents.withColumn("w", words(F.lower("content")))
+    parents = chunk_corpus(spark, sf).bare_parents.withColumn("w", words(F.lower("content")))
     pairs = rel.adjacent_pairs(parents, "doc_id", "parent_index", "w")
     return pairs.select("doc_id", "parent_index", F.round(rel.jaccard(
         F.col("current"), F.col("following")), 6).alias("similarity"))
@@ -284,7 +284,7 @@ def customer_order_listing(spark, sf):
  (SELECT count(*) AS p, avg(length(content)) AS ap FROM parent), (SELECT count(*) AS c, avg(length(content)) AS ac FROM child)""")
 def chunk_statistics(spark, sf):
     corpus = chunk_corpus(spark, sf)
-    return chunking.chunk_statistics(corpus.parents, corpus.children)
+    return chunking.chunk_statistics(corpus.bare_parents, corpus.bare_children)
 
 
 @query("chunk_languages", "WITH " + S.CHUNKS + f"""
@@ -293,7 +293,7 @@ def chunk_statistics(spark, sf):
    WHEN len(regexp_extract_all(content, '[\\x{{4e00}}-\\x{{9fff}}]')) / length({S.strip('content')})::DOUBLE < 0.1 THEN 'en'
    ELSE 'mixed' END AS lang FROM parent) GROUP BY lang""")
 def chunk_languages(spark, sf):
-    parents = chunk_corpus(spark, sf).parents.select(language(F.col("content")).alias("lang"))
+    parents = chunk_corpus(spark, sf).bare_parents.select(language(F.col("content")).alias("lang"))
     return parents.groupBy("lang").agg(F.count("*").alias("n"))
 
 

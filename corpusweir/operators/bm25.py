@@ -286,12 +286,12 @@ def scored_locally(docs: DataFrame, weights: QueryWeights, query_type, k: int, k
 
 
 def search_fields(rows: DataFrame, queries: DataFrame, k: int | dict[str, int] = 50, tokenizer=tokens,
-                  **params) -> DataFrame:
-    """Top ``k`` per (query, field) among positive scores, best first."""
+                  stats: CorpusStats | None = None, **params) -> DataFrame:
+    """Top ``k`` per (query, field) among positive scores, best first; ``stats`` are those of the rows if known."""
     qterms = query_terms(queries, tokenizer)
     toks = tokenised(rows, tokenizer)
     small = few_terms(qterms)
-    wterms = weighted_terms(qterms, corpus_stats(toks), small)
+    wterms = weighted_terms(qterms, stats or corpus_stats(toks), small)
     if not small:
         hits = hits_from_text(toks, qterms, small)
         return best_per_field(score_hits(hits, wterms, small, **params), k)

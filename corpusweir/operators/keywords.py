@@ -27,6 +27,25 @@ def in_category(keywords: Column, category: str) -> Column:
     return F.filter(keywords, lambda k: k["category"] == category)
 
 
+def _ranked(lists: pa.Array, n: int | None) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count, first position, rank) of the ``n`` most frequent terms of every list, in this order."""
+    terms = lists.flatten().dictionary_encode()
+    row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    there = np.flatnonzero(terms.indices.is_valid().to_numpy(zero_copy_only=False))
+    if not len(there):
+        none = np.zeros(0, np.int64)
+        return none, pa.array([], pa.string()), none, none, none
+    known = len(terms.dictionary)
+    code = row[there] * known + terms.indices.take(pa.array(there)).to_numpy(zero_copy_only=False)
+    codes, at, count = np.unique(code, return_index=True, return_counts=True)
+    of, first = codes // known, there[at] - np.searchsorted(row, codes // known)
+    order = np.lexsort((first, -count, of))
+    rank = np.arange(len(order)) - np.searchsorted(of, of) + 1
+    kept = np.flatnonzero(rank <= (n or len(rank)))
+    order, rank = order[kept], rank[kept]
+    return of[order], terms.dictionary.take(pa.array(codes[order] % known)), count[order], first[order], rank
+
+
 def frequent_terms(tokenised: DataFrame, keys: list[str], n: int | None = 10) -> DataFrame:
     """Most frequent terms per row, all with ``n=None``; the first occurrence breaks ties.
 
@@ -42,23 +61,27 @@ def frequent_terms(tokenised: DataFrame, keys: list[str], n: int | None = 10) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("terms")
-            terms = lists.flatten().dictionary_encode()
-            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            there = np.flatnonzero(terms.indices.is_valid().to_numpy(zero_copy_only=False))
-            if not len(there):
-                continue
-            known = len(terms.dictionary)
-            code = row[there] * known + terms.indices.take(pa.array(there)).to_numpy(zero_copy_only=False)
-            codes, at, count = np.unique(code, return_index=True, return_counts=True)
-            of, first = codes // known, there[at] - np.searchsorted(row, codes // known)
-            order = np.lexsort((first, -count, of))
-            rank = np.arange(len(order)) - np.searchsorted(of, of) + 1
-            kept = np.flatnonzero(rank <= (n or len(rank)))
-            order, rank = order[kept], rank[kept]
-            yield pa.RecordBatch.from_arrays([
-                *[batch.column(k).take(pa.array(of[order])) for k in keys], terms.dictionary.take(pa.array(codes[order] % known)),
-                pa.array(count[order].astype(np.int64)), pa.array(first[order].astype(np.int32)), pa.array(rank.astype(np.int64)),
-            ], schema.names)
+            of, terms, count, first, rank = _ranked(batch.column("terms"), n)
+            if len(of):
+                yield pa.RecordBatch.from_arrays([
+                    *[batch.column(k).take(pa.array(of)) for k in keys], terms,
+                    pa.array(count.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(rank.astype(np.int64)),
+                ], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def with_frequent_terms(tokenised: DataFrame, n: int, out: str = "keywords") -> DataFrame:
+    """Replace ``terms`` by the list ``out`` of its ``n`` most frequent terms, ranked as in ``frequent_terms``; rows stay where they are."""
+    kept = [c for c in tokenised.columns if c != "terms"]
+    rows = tokenised.select(*kept, "terms")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, terms, *_ = _ranked(batch.column("terms"), n)
+            starts = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(starts), terms)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], lists], schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweir.functions.text import snippet, tokens, words
@@ -27,17 +27,27 @@ def parent_metadata(parents: DataFrame, n_keywords: int = 8) -> DataFrame:
     The summary is the leading sentence part, the keywords are the parent's most
     frequent longer words; a parent without text gets the fixed fallback.
     """
-    longer = F.filter(tokens(F.col("content")), lambda t: F.length(t) > 3)
-    frequent = keywords.frequent_terms(parents.select("parent_id", longer.alias("terms")), ["parent_id"], n_keywords)
+    frequent = keywords.frequent_terms(parents.select("parent_id", _longer().alias("terms")), ["parent_id"], n_keywords)
     lists = frequent.groupBy("parent_id").agg(  # at most n_keywords rows per parent
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("keywords")
     )
+    joined = parents.join(lists, "parent_id", "left")
+    return _summarised(joined).withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+
+
+def row_metadata(parents: DataFrame, n_keywords: int = 8) -> DataFrame:
+    """What ``parent_metadata`` gives for parents with ids of their own, inside the rows: no parent is shuffled."""
+    return _summarised(keywords.with_frequent_terms(parents.withColumn("terms", _longer()), n_keywords))
+
+
+def _longer() -> Column:
+    return F.filter(tokens(F.col("content")), lambda t: F.length(t) > 3)
+
+
+def _summarised(parents: DataFrame) -> DataFrame:
     fallback = F.format_string("文档片段 %d", F.col("parent_index") + 1)
     lead = snippet(F.col("content"), 200)
-    return parents.join(lists, "parent_id", "left").withColumns({
-        "summary": F.when(F.size(words(F.col("content"))) > 0, lead).otherwise(fallback),
-        "keywords": F.coalesce("keywords", F.array().cast("array<string>")),
-    })
+    return parents.withColumn("summary", F.when(F.size(words(F.col("content"))) > 0, lead).otherwise(fallback))
 
 
 def model_metadata(parents: DataFrame, replies: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from corpusweir.config import PathSettings, RetrievalConfig
 from corpusweir.operators import bm25, fusion, parents, rerank
+from corpusweir.operators.inherited import InheritedSearch
 from corpusweir.operators.stored_index import StoredIndex
 from corpusweir.operators.topk import stable_score, top_k
 from corpusweir.operators.vector import vector_topk
@@ -32,7 +33,7 @@ class Corpus:
     children: DataFrame
     parents: DataFrame
     vectors: DataFrame
-    index: StoredIndex | None = None
+    index: StoredIndex | InheritedSearch | None = None
 
 
 def ranked_lists(corpus: Corpus, queries: DataFrame, config: RetrievalConfig,

@@ -285,3 +285,34 @@ def test_switch_options(spark):
     assert rows(preserve=True, unique=True) == [("a", "whole"), ("c", "cc"), ("d", "cd")]
     stats = parents.switch_stats(kids, big, preserve=True).first()
     assert (stats.total_processed, stats.parent_chunks_found, stats.parent_chunks_missing, stats.small_chunks_kept) == (4, 2, 1, 2)
+
+
+def test_inherited_fields_rank_like_rows_of_the_children(spark):
+    from corpusweir.operators.inherited import InheritedSearch
+
+    rows = []
+    for doc, n in ((0, 3), (1, 12), (10, 4), (None, 2)):
+        for i in range(n):
+            parent = "-".join(str(x) for x in (doc, i) if x is not None)
+            for j in range(1 + i % 4):
+                rows.append((f"{parent}-{j}", parent, f"alpha{i % 3} beta own{j} own{j % 2}", f"lead alpha{i % 3} gamma", f"key{i % 2} alpha1"))
+    children = spark.createDataFrame(rows, "doc_id string, parent_id string, content string, summary string, keywords string")
+    above = children.groupBy("parent_id").agg(F.count("*").alias("n_children"), F.first("keywords").alias("keywords"), F.first("summary").alias("summary"))
+    queries = spark.createDataFrame([(1, "alpha1 own1"), (2, "lead gamma key0"), (3, "alpha2"), (4, "nothing")], "query_id long, text string")
+    limits = {"keywords": 7, "summary": 5, "content": 6}
+    got = InheritedSearch.build(children, above, ("content",), ("keywords", "summary")).search(queries, limits)
+    expected = bm25.search_fields(bm25.field_rows(children, {f: f for f in limits}), queries, limits)
+    columns = ["query_id", "field", "rank", "doc_id", "score"]
+    found = sorted(got.select(*columns).collect())
+    assert found and found == sorted(expected.select(*columns).collect())
+
+
+def test_chunk_tables_are_written_only_when_asked_for(spark, tmp_path, monkeypatch):
+    from corpusweir.catalog import fixtures
+
+    spark.createDataFrame([(1, "One two three four five. " * 90), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    written = []
+    monkeypatch.setattr(fixtures, "written_table", lambda df: written.append(df) or df)
+    corpus = fixtures.chunk_corpus(spark, str(tmp_path))
+    assert corpus.bare_parents.count() == 3 and corpus.bare_children.count() == 9 and not written
+    assert {r.keywords for r in corpus.parents.collect()} == {"three four five"} and len(written) == 1
