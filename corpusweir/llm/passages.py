@@ -9,8 +9,8 @@ a passage share the keys of its boxes, so boxes are joined by key.  All boxes of
 compared with its first and its last one by confirming their segments on the shingles.  The
 boxes between those two are compared among themselves inside tasks, block by block: the
 shingles of their intervals travel, no pairs do.  A pair is looked at if the intervals share
-enough shingles and one of these lies outside every stretch that was confirmed before; a
-key all of whose boxes lie inside confirmed stretches is done.
+enough shingles, unless all of these lie in stretches that hang together already, directly
+or through others; a key all of whose boxes lie in such stretches is done.
 """
 
 from __future__ import annotations
@@ -39,8 +39,6 @@ SEGMENT = 512
 OFTEN = 64
 #: Boxes of a block; a task holds two blocks of one key at most.
 BLOCK = 1024
-#: Size of the table that tells which shingles may be open, less one.
-LOW_BITS = np.uint32((1 << 20) - 1)
 #: Documents whose ids and text hashes may be broadcast to fetch their texts; beyond it they are shuffled.
 FETCHED = 1_000_000
 
@@ -304,7 +302,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, passage: int, percent: int) ->
 
 
 def box_shingles(asked: DataFrame) -> DataFrame:
-    """``asked(rid, seg, part, boxes, spans)`` as a row per box: 31 bits of each shingle, and as the lowest one whether it lies in ``spans``."""
+    """``asked(rid, seg, part, boxes, runs)`` as a row per box: 31 bits of each shingle, and start, end and class of the ``runs`` in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,111 +312,129 @@ def box_shingles(asked: DataFrame) -> DataFrame:
                 shingles, out = word_shingles(hashes, offsets, SHINGLE, whole=False)
                 row: list[int] = []
                 made: list[tuple] = []
-                for k, (boxes_here, spans) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
-                    own = shingles[out[k] : out[k + 1]]
-                    done = np.zeros(len(own), np.uint32)
-                    for span in spans or ():
-                        done[span["s"] : span["e"]] = 1
-                    short = (own >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | done
+                for k, (boxes_here, runs) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                    short = (shingles[out[k] : out[k + 1]] >> np.uint64(33)).astype(np.uint32)
+                    known = np.array([(r["s"], r["e"], r["root"]) for r in runs or ()], np.int64).reshape(-1, 3)
                     for box in boxes_here:
                         low, high = box["low"], box["high"]
+                        inside = known[(known[:, 0] < high) & (known[:, 1] > low)]
+                        inside[:, :2] = np.clip(inside[:, :2], low, high) - low
                         row.append(k)
-                        made.append((box["key"], box["blocks"], short[low:high].tobytes()))
+                        made.append((box["key"], box["blocks"], short[low:high].tobytes(), inside.tobytes()))
                 taken = part.select([0, 1]).take(pa.array(row, pa.int64()))
-                kinds = (pa.int64(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 columns = [pa.array([m[c] for m in made], kind) for c, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*taken.columns, *columns], ["rid", "seg", "key", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, *columns], ["rid", "seg", "key", "blocks", "shingles", "runs"])
 
-    return asked.select("rid", "seg", "part", "boxes", "spans").mapInArrow(
-        run, "rid bigint, seg int, key bigint, blocks int, shingles binary"
+    return asked.select("rid", "seg", "part", "boxes", "runs").mapInArrow(
+        run, "rid bigint, seg int, key bigint, blocks int, shingles binary, runs binary"
     )
 
 
+def classes_of(sets: list[np.ndarray], runs: list[np.ndarray]) -> list[np.ndarray]:
+    """The class of every shingle, from 1, by the ``runs(start, end, class)`` of its box; 0 outside of them."""
+    names = np.unique(np.concatenate([r[:, 2] for r in runs]))
+    out = []
+    for own, held in zip(sets, runs, strict=True):
+        marks = np.zeros(len(own), np.int64)
+        for s, e, name in held.tolist():
+            marks[s:e] = np.searchsorted(names, name) + 1
+        out.append(marks)
+    return out
+
+
 def joined_boxes(
     rid: np.ndarray, second: np.ndarray, sets: list[np.ndarray], done: list[np.ndarray], width: int, percent: int
 ) -> list[tuple[int, int]]:
-    """Pairs of boxes of different rows with a stretch in common that was not confirmed before.
+    """Pairs of boxes of different rows with a stretch in common that does not hang together already.
 
     ``second`` tells the boxes of the other block, if there is one: pairs then have one of each.
-    ``done`` marks the shingles inside confirmed stretches.  Each box that holds an open one leads
-    once and meets those that share it, so copies of one passage close with their first.
+    ``done`` holds the classes of the shingles inside confirmed stretches, 0 outside.  Each box
+    leads once and meets the later ones that share enough shingles, unless all they share lies
+    in one class on both sides: stretches of one class are linked, directly or through others.
     """
     count = len(sets)
     lengths = np.array([len(x) for x in sets])
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     flat, marks = np.concatenate(sets), np.concatenate(done)
-    # Only shingles that are open in some box can lead to a pair: a table of their low bits leaves few others.
-    table = np.zeros(LOW_BITS + 1, bool)
-    table[flat[marks == 0] & LOW_BITS] = True
-    at = np.flatnonzero(table[flat & LOW_BITS])
-    if not len(at):
+    if not len(flat) or (marks[0] and (marks == marks[0]).all()):
         return []
-    owner = np.searchsorted(offsets, at, "right") - 1
-    _, token = np.unique(flat[at], return_inverse=True)
+    box = np.repeat(np.arange(count), lengths)
+    _, token = np.unique(flat, return_inverse=True)
     # One entry per shingle and box, those of a shingle side by side.
-    order = np.lexsort((owner, token))
-    at, owner, token = at[order], owner[order], token[order]
-    first = np.concatenate(([True], (np.diff(token) != 0) | (np.diff(owner) != 0)))
-    entry = np.cumsum(first) - 1
-    open_ = np.zeros(entry[-1] + 1, bool)
-    open_[entry[marks[at] == 0]] = True
-    owner, token = owner[first], token[first]
-    starts = np.searchsorted(token, np.arange(token[-1] + 2))
-    several = np.diff(starts)[token] > 1
-    leading = np.flatnonzero(several & open_)
-    if not len(leading):
-        return []
-    leading = leading[np.argsort(owner[leading], kind="stable")]
-    leaders, held = np.unique(owner[leading], return_index=True)
-    # The shingles of an entry, to see whether they are still open.
-    places = np.append(np.flatnonzero(first), len(at))
-    distinct: dict[int, np.ndarray] = {}
-
-    def own(i: int) -> np.ndarray:
-        if i not in distinct:
-            distinct[i] = np.unique(sets[i])
-        return distinct[i]
-
-    def floor(i: int) -> int:
-        """Windows have at least that many distinct shingles."""
-        return max(width - (int(lengths[i]) - len(own(i))), 1)
-
-    led, found = np.zeros(count, bool), []
-    for i, begin, end in zip(leaders.tolist(), held.tolist(), [*held[1:].tolist(), len(leading)], strict=True):
+    order = np.lexsort((box, token))
+    first = np.concatenate(([True], (np.diff(token[order]) != 0) | (np.diff(box[order]) != 0)))
+    entry = np.zeros(len(flat), np.int64)
+    entry[order] = np.cumsum(first) - 1
+    owner, token = box[order][first], token[order][first]
+    ends = np.searchsorted(token, np.arange(token[-1] + 1), "right")[token]
+    # Windows have at least that many distinct shingles.
+    floor = np.maximum(width - (lengths - np.bincount(owner, minlength=count)), 1)
+    held = np.zeros(len(owner), np.int64)
+
+    def note(i: int) -> None:
+        """The class of a box's entries, 0 if its shingle stands in several."""
         mine = slice(offsets[i], offsets[i + 1])
-        met: list[np.ndarray] = []
-        for e in leading[begin:end].tolist():
-            if not marks[at[places[e] : places[e + 1]]].all():
-                there = np.arange(starts[token[e]], starts[token[e] + 1])
-                # Boxes that have led met this one already if the shingle is open in them too.
-                met.append(owner[there[~(led[owner[there]] & open_[there])]])
-        led[i] = True
-        for j in np.unique(np.concatenate(met)).tolist() if met else []:
-            if rid[i] == rid[j] or (second.any() and second[i] == second[j]):
-                continue
-            shared = len(np.intersect1d(own(i), own(j), assume_unique=True))
-            # Two similar windows of so many different shingles share at least that many.
-            if shared * (100 + percent) < percent * (floor(i) + floor(j)):
+        held[entry[mine]] = marks[mine]
+        held[entry[mine][held[entry[mine]] != marks[mine]]] = 0
+
+    for i in range(count):
+        note(i)
+    by_box = np.argsort(owner, kind="stable")
+    places = np.searchsorted(owner[by_box], np.arange(count + 1))
+    found: list[tuple[int, int]] = []
+    fresh = int(marks.max()) + 1
+    for i in range(count):
+        own = by_box[places[i] : places[i + 1]]
+        own = own[ends[own] > own + 1]
+        if not len(own):
+            continue
+        # The entries behind each of its own are those of later boxes.
+        n = ends[own] - own - 1
+        met = np.repeat(own + 1 - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        ours, whose = np.repeat(held[own], n), owner[met]
+        shared = np.bincount(whose, minlength=count)
+        apart = np.bincount(whose, (ours != held[met]) | (ours == 0), count) > 0
+        kinds = np.unique(held[own])
+        if len(kinds) > 1:
+            apart |= sum((np.bincount(whose[ours == k], minlength=count) > 0).astype(np.int64) for k in kinds) > 1
+        # Two similar windows of so many different shingles share at least that many.
+        apart &= (shared > 0) & (shared * (100 + percent) >= percent * (floor[i] + floor)) & (rid != rid[i])
+        if second.any():
+            apart &= second != second[i]
+        for j in np.flatnonzero(apart).tolist():
+            mine, theirs = slice(offsets[i], offsets[i + 1]), slice(offsets[j], offsets[j + 1])
+            if marks[mine][0] and (marks[mine] == marks[mine][0]).all() and (marks[theirs] == marks[mine][0]).all():
                 continue
-            theirs = slice(offsets[j], offsets[j + 1])
-            here, there = np.isin(sets[i], sets[j]), np.isin(sets[j], sets[i])
-            if (here & (marks[mine] == 0)).any() or (there & (marks[theirs] == 0)).any():
-                before = int(marks[mine].sum()) + int(marks[theirs].sum())
-                for s, e, f, g in shared_stretches(sets[i], sets[j], width, percent):
-                    marks[offsets[i] + s : offsets[i] + e] = 1
-                    marks[offsets[j] + f : offsets[j] + g] = 1
-                if int(marks[mine].sum()) + int(marks[theirs].sum()) > before:
-                    found.append((i, j))
+            changed = False
+            for s, e, f, g in shared_stretches(sets[i], sets[j], width, percent):
+                one, other = marks[offsets[i] + s : offsets[i] + e], marks[offsets[j] + f : offsets[j] + g]
+                known = np.unique(np.concatenate((one, other)))
+                if len(known) == 1 and known[0]:
+                    continue
+                changed = True
+                known = known[known > 0]
+                name = int(known[0]) if len(known) else fresh
+                fresh += not len(known)
+                for old in known[1:].tolist():
+                    marks[marks == old] = name
+                    held[held == old] = name
+                one[:] = name
+                other[:] = name
+            if changed:
+                note(i)
+                note(j)
+                found.append((i, j))
     return found
 
 
 def block_pairs(blocks: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of segments found in the blocks ``(key, first, second, block, rid, seg, shingles)`` that share a stretch."""
+    """Pairs of segments found in the blocks ``(key, first, second, block, rid, seg, shingles, runs)`` that share a stretch."""
 
     def pairs_of(group: pa.Table) -> pa.RecordBatch:
         one, block, rid, seg = (group.column(c).to_numpy() for c in ("first", "block", "rid", "seg"))
-        held = [np.frombuffer(x, np.uint32) for x in group.column("shingles").to_pylist()]
-        sets, done = [x >> np.uint32(1) for x in held], [(x & np.uint32(1)).astype(np.uint8) for x in held]
+        sets = [np.frombuffer(x, np.uint32) for x in group.column("shingles").to_pylist()]
+        done = classes_of(sets, [np.frombuffer(x, np.int64).reshape(-1, 3) for x in group.column("runs").to_pylist()])
         across = one[0] != group.column("second")[0].as_py()
         found = joined_boxes(rid, block != one, sets, done, width, percent) if not across or (block != one).any() else []
         ordered = [(i, j) if rid[i] < rid[j] else (j, i) for i, j in found]
@@ -444,7 +460,7 @@ def block_pairs(blocks: DataFrame, width: int, percent: int) -> DataFrame:
             yield pairs_of(pa.Table.from_batches(held))
 
     names = ["key", "first", "second"]
-    sorted_blocks = blocks.select(*names, "block", "rid", "seg", "shingles").repartition(*names).sortWithinPartitions(*names)
+    sorted_blocks = blocks.select(*names, "block", "rid", "seg", "shingles", "runs").repartition(*names).sortWithinPartitions(*names)
     return sorted_blocks.mapInArrow(run, "ra bigint, sa int, rb bigint, sb int")
 
 
@@ -460,8 +476,8 @@ def repeated_passages(
     directly, and ``first_copy`` is true for exactly one of these: the first one in the first
     row of that id.  Rows without such a passage do not appear.  Null, empty and shorter texts
     have none; null ids take part and come last; equal rows are copies of each other.  All
-    rows that share a key are compared as far as they may share a stretch that neither was
-    found to repeat before.
+    rows that share a key are compared as far as they may share a stretch that does not hang
+    together through others already.
     """
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     numbered = narrow.withColumn("rid", F.monotonically_increasing_id())
@@ -503,20 +519,16 @@ def _between(shared: DataFrame, found: DataFrame, texts: DataFrame, passage: int
     low, high = (F.shiftright("place", by).bitwiseAND(F.lit(0xFFFF)).cast("int") for by in (16, 0))
     at_end = [(F.col("rid") == F.col(f"{x}.rid")) & (F.col("place") == F.col(f"{x}.place")) for x in ("low", "high")]
     middle = shared.filter(~at_end[0] & ~at_end[1]).select("key", "rid", seg, low.alias("low"), high.alias("high"))
-    spans = None
-    for x in "ab":
-        stretch = F.struct(F.col(f"{x}_start").cast("int").alias("s"), (F.col(f"{x}_end") - (SHINGLE - 1)).cast("int").alias("e"))
-        side = found.select(F.col(f"r{x}").alias("rid"), F.col(f"s{x}").alias("seg"), stretch.alias("span"))
-        spans = side if spans is None else spans.union(side)
-    spans = written_table(spans.groupBy("rid", "seg").agg(F.collect_set("span").alias("spans")))
-    marked = middle.join(spans, ["rid", "seg"], "left").withColumn(
-        "open", ~F.coalesce(F.exists("spans", lambda x: (x["s"] <= F.col("low")) & (x["e"] >= F.col("high"))), F.lit(False))
-    )
+    runs = written_table(_runs(found).groupBy("rid", "seg").agg(F.collect_list(F.struct("s", "e", "root")).alias("runs")))
+    # A box inside one run has its class; any other is open.
+    around = F.filter("runs", lambda x: (x["s"] <= F.col("low")) & (x["e"] >= F.col("high")))
+    marked = middle.join(runs, ["rid", "seg"], "left").withColumn("root", F.get(around, F.lit(0))["root"])
     keys = marked.groupBy("key").agg(
-        F.min("rid").alias("_low"), F.max("rid").alias("_high"), F.max("open").alias("_open"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
-    ).filter("_low < _high and _open").select("key", "blocks")
+        F.min("rid").alias("_low"), F.max("rid").alias("_high"), F.max(F.col("root").isNull()).alias("_open"),
+        (F.min("root") < F.max("root")).alias("_apart"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
+    ).filter("_low < _high and (_open or _apart)").select("key", "blocks")
     boxed = middle.join(keys, "key").groupBy("rid", "seg").agg(F.collect_list(F.struct("key", "blocks", "low", "high")).alias("boxes"))
-    each = box_shingles(boxed.join(texts, ["rid", "seg"]).join(spans, ["rid", "seg"], "left"))
+    each = box_shingles(boxed.join(texts, ["rid", "seg"]).join(runs, ["rid", "seg"], "left"))
     salted = each.withColumn("block", F.expr("cast(pmod(xxhash64(rid, seg), blocks) as int)")).withColumn(
         "_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
@@ -524,6 +536,26 @@ def _between(shared: DataFrame, found: DataFrame, texts: DataFrame, passage: int
     return block_pairs(blocks, passage - SHINGLE + 1, percent).distinct()
 
 
+def _runs(found: DataFrame) -> DataFrame:
+    """``(rid, seg, s, e, root)``: confirmed stretches of a segment that overlap, in shingles, as one; those that hang together have one root."""
+    met = found.withColumn("_pair", F.xxhash64("ra", "sa", "rb", "sb", "a_start", "a_end", "b_start", "b_end"))
+    sides = [
+        met.select(
+            "_pair", F.col(f"r{x}").alias("rid"), F.col(f"s{x}").alias("seg"), F.col(f"{x}_start").cast("int").alias("s"),
+            (F.col(f"{x}_end") - (SHINGLE - 1)).cast("int").alias("e"),
+        )
+        for x in "ab"
+    ]
+    order = Window.partitionBy("rid", "seg").orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = sides[0].union(sides[1]).withColumn("_new", F.coalesce((F.col("s") >= reach).cast("int"), F.lit(1)))
+    numbered = opened.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = written_table(numbered.withColumn("run", F.xxhash64("rid", "seg", "_run")))
+    roots = components(stretches.groupBy("_pair").agg(F.min("run").alias("a"), F.max("run").alias("b")))
+    merged = stretches.groupBy("rid", "seg", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return merged.join(roots.withColumnRenamed("id", "run"), "run", "left").select("rid", "seg", "s", "e", F.coalesce("root", "run").alias("root"))
+
+
 def _ordered(rid: str, place: str, other_rid: str, other_place: str) -> list[Column]:
     """A pair of segments, the one of the smaller row first."""
     swap = F.col(rid) > F.col(other_rid)

@@ -366,3 +366,46 @@ def test_a_repeated_query_row_asks_once(spark):
     got = learned_index.nearest_neighbours(spark.createDataFrame([*rows, rows[0]], "vec_id long, embedding array<double>"))
     true = sorted(range(1, 40), key=lambda j: np.linalg.norm(x[j] - x[0]))[:10]
     assert [r["vec_id"] for r in got.orderBy("rank").collect()] == true
+
+
+def test_boxes_of_classes_that_only_hang_together_through_each_other():
+    x = np.arange(100, 146, dtype=np.uint32)
+    alone = np.zeros(2, bool)
+    def found(*classes):
+        return passages.joined_boxes(np.arange(2), alone, [x, x.copy()], [np.full(46, c, np.int64) for c in classes], 46, 80)
+
+    assert found(1, 2) == [(0, 1)] and found(0, 2) == [(0, 1)] and found(1, 1) == []
+    # A first and a second half that stand in two classes on both sides: the whole links them.
+    halves = np.repeat([1, 2], 23)
+    assert passages.joined_boxes(np.arange(2), alone, [x, x.copy()], [halves, halves.copy()], 46, 80) == [(0, 1)]
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_boxes_of_a_key_hang_together_as_all_pairs_say(across):
+    def roots(n, links):
+        root = list(range(n))
+        for _ in range(n):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    for seed in range(12):
+        r = np.random.RandomState(seed)
+        sets, new = [], 10_000
+        for _ in range(3):
+            x = np.concatenate((np.arange(20), r.randint(100, 5000, 30))).astype(np.uint32)
+            for _ in range(12):
+                x = x.copy()
+                x[r.choice(30, 2, False) + 20] = new, new + 1
+                new += 2
+                sets.append(x)
+        order = r.permutation(len(sets))
+        sets = [sets[k] for k in order]
+        rid, second = r.randint(0, 30, len(sets)), r.rand(len(sets)) < 0.5 if across else np.zeros(len(sets), bool)
+        pairs = [
+            (i, j) for i, j in itertools.combinations(range(len(sets)), 2)
+            if rid[i] != rid[j] and (not across or second[i] != second[j]) and passages.shared_stretches(sets[i], sets[j], 46, 80)
+        ]
+        got = passages.joined_boxes(rid, second, sets, [np.zeros(50, np.int64) for _ in sets], 46, 80)
+        assert set(got) <= set(pairs) and len(got) < len(pairs)
+        assert roots(len(sets), got) == roots(len(sets), pairs)
