@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusweir.llm.shingling import chunks
 from corpusweir.llm.tokens import tokenizer_text, word_tokens
 from corpusweir.operators.ordering import positions
 from corpusweir.session import written_table
@@ -150,18 +151,20 @@ def token_pieces(
         encoder = word_tokens(definition.value)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                data = encoder.encode(text or "") + ending
-                n = len(data) // 4
-                for k, a in enumerate(range(0, n, capacity)):
-                    part = data[a * 4 : (a + capacity) * 4]
-                    row.append(i)
-                    piece.append(k)
-                    start.append(a)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for first, last in chunks(texts):
+                for i, found in enumerate(encoder.encode_all(texts[first:last]), first):
+                    data = found + ending
+                    n = len(data) // 4
+                    for k, a in enumerate(range(0, n, capacity)):
+                        part = data[a * 4 : (a + capacity) * 4]
+                        row.append(i)
+                        piece.append(k)
+                        start.append(a)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        if with_ids:
+                            ids.append(np.frombuffer(part, "<u4").astype(np.int32))
             columns = [
                 batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
                 pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),

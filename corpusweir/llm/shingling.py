@@ -47,8 +47,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: Sequence[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that fit a buffer together."""
+def chunks(texts: Sequence[bytes] | Sequence[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that fit a buffer together, by their lengths."""
     start = size = 0
     for i, t in enumerate(texts):
         if i > start and size + len(t) > limit:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import struct
 import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 #: Pieces and words a worker keeps; when full, the half it met last goes, as frequent ones come early.
@@ -73,14 +74,19 @@ class WordTokens:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))]
 
     def encode(self, text: str) -> bytes:
-        if not foldable(text):
-            return self.fresh([text])[0]
-        words = text.lower().split()
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of every text; the pieces that are new in any of them are learnt together."""
+        split = [t.lower().split() if foldable(t) else None for t in texts]
         kept = self.pieces
-        new = [w for w in dict.fromkeys(words) if w not in kept]
+        new = set().union(*[words for words in split if words]).difference(kept)
         if new:
-            self.learn(new)
-        out = b"".join([kept[w] for w in words])
+            self.learn(list(new))
+        out = [
+            self.fresh([t])[0] if words is None else b"".join(map(kept.__getitem__, words))
+            for t, words in zip(texts, split, strict=True)
+        ]
         if new:
             for w in new:
                 if len(w) > LONGEST_KEPT:
@@ -94,15 +100,21 @@ class WordTokens:
     def learn(self, new: list[str]) -> None:
         """Ids of pieces: those of the word and of the marks that end it."""
         cores = self.cores
-        cut = []
+        plain, tailed = [], []
         for piece in new:
             core = piece.rstrip(MARKS)
-            cut.append((core, piece[len(core) :]) if core and core[-1].isalnum() else (piece, ""))
-        missing = [c for c in dict.fromkeys([part for both in cut for part in both]) if c not in cores]
-        for core, ids in zip(missing, self.fresh(missing), strict=True):
-            cores[core] = ids
-        for piece, (core, tail) in zip(new, cut, strict=True):
-            self.pieces[piece] = cores[core] + cores[tail]
+            if len(core) < len(piece) and core and core[-1].isalnum():
+                tailed.append((piece, core))
+            else:
+                plain.append(piece)
+        wanted = set(plain)
+        wanted.update([core for _, core in tailed])
+        wanted.update([piece[len(core) :] for piece, core in tailed])
+        missing = list(wanted.difference(cores))
+        cores.update(zip(missing, self.fresh(missing), strict=True))
+        self.pieces.update(zip(plain, map(cores.__getitem__, plain), strict=True))
+        for piece, core in tailed:
+            self.pieces[piece] = cores[core] + cores[piece[len(core) :]]
         for core in missing:
             if len(core) > LONGEST_KEPT:
                 del cores[core]

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusweir.llm import (
-    catalog, learned_index, line_dedup, lz_fingerprint, mixing, neardup, packing, passages, secret_scan, sharding, shingling, toxicity,
+    catalog, learned_index, line_dedup, lz_fingerprint, mixing, neardup, nearsets, packing, passages, secret_scan, sharding, shingling, toxicity,
 )
 from corpusweir.llm.tokens import public_path, tokenizer_text, word_tokens
 
@@ -409,3 +410,48 @@ def test_boxes_of_a_key_hang_together_as_all_pairs_say(across):
         got = passages.joined_boxes(rid, second, sets, [np.zeros(50, np.int64) for _ in sets], 46, 80)
         assert set(got) <= set(pairs) and len(got) < len(pairs)
         assert roots(len(sets), got) == roots(len(sets), pairs)
+
+
+def test_texts_tokenised_together_as_one_by_one():
+    texts = [prose(i, 50) + " Word! word? x" + "y" * 80 + f" n{i}." for i in range(20)] + ["", "é\u0301 a\x1cb <|endoftext|>", "ſ ﬁ ß...", "-- ,"]
+    tokens = type(word_tokens(tokenizer_text(public_path())))(tokenizer_text(public_path()))
+    want = [np.array(tokens.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    calls, fresh = [], tokens.fresh
+    tokens.fresh = lambda parts: calls.append(len(parts)) or fresh(parts)
+    assert tokens.encode_all(texts) == want
+    assert tokens.encode_all(texts) == want
+    # New pieces of all texts are learnt at once; what is not kept is learnt again, and one text is always read whole.
+    assert len(calls) == 4 and max(calls) == calls[0]
+
+
+def test_the_toxicity_model_is_fitted_in_a_task(spark, monkeypatch):
+    texts = [f"{prose(i, 20)} {'awful scum' if i % 2 else ''}" for i in range(60)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    names = {"id_col": "doc_id", "text_col": "text", "label_col": "toxic"}
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    want = toxicity.fit([texts[i] for i in kept], [i % 2 for i in kept])
+    got = toxicity.fitted(docs, labels, 100, **names)
+    assert got.bias == want.bias and np.array_equal(got.weight, want.weight)
+    here = os.getpid()
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: toxicity.Model(np.zeros(1), float(os.getpid() == here)))
+    assert toxicity.fitted(docs, labels, 100, **names).bias == 0
+
+
+@pytest.mark.parametrize(("hub", "strays"), [(3000, 20), (40, 100), (10, 5)])
+def test_members_of_a_bucket_meet_all_other_components(spark, monkeypatch, hub, strays):
+    monkeypatch.setattr("corpusweir.llm.nearsets.BLOCK", 64)
+    rows = [(7, i, 1 if i < hub else i) for i in range(hub + strays)]
+    placed = nearsets.blocked(spark.createDataFrame(rows, "key long, id long, root long")).collect()
+    assert sorted((x.key, x.id, x.root) for x in placed) == rows
+    tasks = {}
+    for x in placed:
+        for other in range(x._others):
+            tasks.setdefault((min(x.block, other), max(x.block, other)), []).append(x)
+    met = set()
+    for (first, second), members in tasks.items():
+        for a in (x for x in members if x.block == first):
+            met |= {tuple(sorted((a.id, b.id))) for b in members if b.block == second and b.root != a.root}
+    assert met == {(i, j) for i in range(hub + strays) for j in range(max(i + 1, hub), hub + strays)}
+    # The largest component is not dealt to itself: its members travel once if there are few others.
+    assert sum(x._others for x in placed) <= hub * -(-strays // 64) + strays * (-(-hub // 64) + -(-strays // 64))
