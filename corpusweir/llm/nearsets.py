@@ -211,6 +211,30 @@ def _block_links(similarity: Similarity) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def blocked(members: DataFrame) -> DataFrame:
+    """Members of open buckets ``(key, id, root)`` with their ``block`` and the number of blocks they meet.
+
+    The largest component of a bucket hangs together already, so its members meet those of all
+    other components only: these fill the first blocks and meet every block, the largest one's
+    fill the blocks behind and meet the first ones.  With few strays every other member travels once.
+    A bucket that fits a block is one.
+    """
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("_c"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("_c", "root")).alias("_most"), F.sum("_c").alias("_all")).select(
+        "key", F.col("_most.root").alias("_hub"),
+        F.ceil((F.col("_all") - F.col("_most._c")) / BLOCK).cast("int").alias("_strays"),
+        F.ceil(F.col("_most._c") / BLOCK).cast("int").alias("_hubs"),
+    )
+    met = members.join(most.withColumn("_one", F.col("_strays") + F.col("_hubs") == 2), "key")
+    inside = F.col("root") == F.col("_hub")
+    return met.select(
+        "key", "id", "root",
+        F.when(F.col("_one"), F.lit(0)).when(inside, F.expr("cast(_strays + pmod(xxhash64(id), _hubs) as int)"))
+        .otherwise(F.expr("cast(pmod(xxhash64(id), _strays) as int)")).alias("block"),
+        F.when(F.col("_one"), F.lit(1)).when(inside, F.col("_strays")).otherwise(F.col("_strays") + F.col("_hubs")).alias("_others"),
+    )
+
+
 def linked(
     items: DataFrame,
     texts_of: Callable[[DataFrame], DataFrame],
@@ -241,10 +265,8 @@ def linked(
     labelled = shared.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     split = labelled.groupBy("key").agg(
         F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")
-    ).filter("_low < _high").select("key", "_n", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    open_rows = written_table(
-        labelled.join(split, "key").withColumn("block", F.expr("cast(pmod(xxhash64(id), _blocks) as int)"))
-    )
+    ).filter("_low < _high").select("key", "_n")
+    open_rows = written_table(labelled.join(split, "key"))
     few = open_rows.filter(F.col("_n") <= SMALL).select("key", "id", "root").join(signs, "id")
     sides = [few.select("key", *[F.col(c).alias(f"_{x}{c}") for c in ("id", "root", "n", "sketch")]) for x in "ab"]
     near = sides[0].join(
@@ -256,12 +278,13 @@ def linked(
     close = written_table(near.select(F.col("_aid").alias("a"), F.col("_bid").alias("b")).distinct())
     ends = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = links.union(confirm(close, texts_of(ends), similarity))
-    open_rows = open_rows.filter(F.col("_n") > SMALL)
-    found = texts_of(open_rows.select("id").distinct())
-    other = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    blocks = open_rows.withColumn("_other", F.explode(other)).select(
+    placed = blocked(open_rows.filter(F.col("_n") > SMALL))
+    ids = written_table(placed.select("id").distinct())
+    # Text and sketch meet once per member, before its rows are dealt to the other blocks.
+    held = texts_of(ids).join(signs.select("id", "sketch"), "id")
+    blocks = placed.join(held, "id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_others") - 1))).select(
         "key", "id", "root", "block",
-        F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"),
-    ).join(found, "id").join(signs.select("id", "sketch"), "id")
+        F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"), "text", "sketch",
+    )
     more = blocks.groupBy("key", "first", "second").applyInArrow(_block_links(similarity), "a bigint, b bigint")
     return components(links.union(more))
