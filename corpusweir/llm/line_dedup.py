@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusweir.llm.mixing import renewed
 from corpusweir.llm.nearsets import Similarity, linked
-from corpusweir.llm.shingling import MinHash, line_shingles
+from corpusweir.llm.shingling import MinHash, chunks, line_shingles
 from corpusweir.session import bounded_broadcast, written_table
 
 #: 12 bands of 4 minima: lines at the threshold of 0.8 meet in one with probability 0.998, at 0.85 with 0.9999.
@@ -42,44 +42,47 @@ def signed_lines(docs: DataFrame, similarity: Similarity) -> DataFrame:
         # The last key of each place; one that another has driven out is taken for new once more.
         used = np.zeros(PLACES, np.int64)
         for batch in batches:
-            row, number, line = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                for k, part in enumerate((text or "").split("\n")):
-                    if part and not part.isspace():
-                        row.append(i)
-                        number.append(k)
-                        line.append(part)
-            for a in range(0, len(line), LINE_BATCH):
-                part = line[a : a + LINE_BATCH]
-                h = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), SPARK_SEED) for x in part], np.uint64)
-                h = h.view(np.int64)
-                new = []
-                for i, x in enumerate(h.tolist()):
-                    if x not in met:
-                        met.add(x)
-                        new.append(i)
-                if len(met) > REMEMBERED:
-                    met.clear()
-                shingles, offsets = line_shingles([part[i] for i in new], similarity.k)
-                minima = minhash.minima_of(shingles, offsets)
-                keys = similarity.keys(minima)
-                flat = keys.ravel()
-                at = flat & np.int64(PLACES - 1)
-                fresh = np.zeros(keys.shape, bool)
-                fresh.ravel()[np.unique(flat, return_index=True)[1]] = True
-                fresh &= (used[at] != flat).reshape(keys.shape)
-                used[at] = flat
-                lists = []
-                for values, there in ((keys, fresh), (keys, ~fresh), (sketch := similarity.sketch(minima), np.ones(sketch.shape, bool))):
-                    counts = np.zeros(len(part), np.int64)
-                    counts[new] = there.sum(axis=1)
-                    at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(values[there])))
-                taken = batch.select([0, 1]).take(pa.array(row[a : a + LINE_BATCH], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [taken.column(0), taken.column(1), pa.array(number[a : a + LINE_BATCH], pa.int32()), pa.array(h), *lists],
-                    ["_id", "th", "line_no", "h", "keys", "again", "sketch"],
-                )
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            # Lines of at most so many code points, or of one longer text, are held at a time.
+            for begin, end in chunks(texts):
+                row, number, line = [], [], []
+                for i in range(begin, end):
+                    for k, part in enumerate(texts[i].split("\n")):
+                        if part and not part.isspace():
+                            row.append(i)
+                            number.append(k)
+                            line.append(part)
+                for a in range(0, len(line), LINE_BATCH):
+                    part = line[a : a + LINE_BATCH]
+                    h = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), SPARK_SEED) for x in part], np.uint64)
+                    h = h.view(np.int64)
+                    new = []
+                    for i, x in enumerate(h.tolist()):
+                        if x not in met:
+                            met.add(x)
+                            new.append(i)
+                    if len(met) > REMEMBERED:
+                        met.clear()
+                    shingles, offsets = line_shingles([part[i] for i in new], similarity.k)
+                    minima = minhash.minima_of(shingles, offsets)
+                    keys = similarity.keys(minima)
+                    flat = keys.ravel()
+                    at = flat & np.int64(PLACES - 1)
+                    fresh = np.zeros(keys.shape, bool)
+                    fresh.ravel()[np.unique(flat, return_index=True)[1]] = True
+                    fresh &= (used[at] != flat).reshape(keys.shape)
+                    used[at] = flat
+                    lists = []
+                    for values, there in ((keys, fresh), (keys, ~fresh), (sketch := similarity.sketch(minima), np.ones(sketch.shape, bool))):
+                        counts = np.zeros(len(part), np.int64)
+                        counts[new] = there.sum(axis=1)
+                        at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                        lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(values[there])))
+                    taken = batch.select([0, 1]).take(pa.array(row[a : a + LINE_BATCH], pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [taken.column(0), taken.column(1), pa.array(number[a : a + LINE_BATCH], pa.int32()), pa.array(h), *lists],
+                        ["_id", "th", "line_no", "h", "keys", "again", "sketch"],
+                    )
 
     kind = docs.schema["_id"].dataType.simpleString()
     return docs.select("_id", "th", "text").mapInArrow(run, f"_id {kind}, {SIGNED}")

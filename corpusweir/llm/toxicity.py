@@ -161,11 +161,11 @@ def held_out(id_col: Column) -> Column:
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str
-) -> tuple[list[str], list[int]]:
-    """Texts and labels of ``sample`` toxic and twice as many other rows at most, the same ones every time.
+) -> DataFrame:
+    """``(_id, _text, _y)`` of ``sample`` toxic and twice as many other rows at most, the same ones every time.
 
     Rows whose id's CRC-32 is divisible by 5 are held out.  The rows are chosen by a hash of
-    their id among all labelled rows and then fetched; nothing else reaches the driver.
+    their id among all labelled rows.
     """
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(
         ~held_out(F.col("_id")) & F.col("_y").isin(0, 1) & F.col("_id").isNotNull()
@@ -175,8 +175,23 @@ def labelled_sample(
         some = usable.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample * (2 - y))
         chosen = some if chosen is None else chosen.union(some)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = texts.join(F.broadcast(chosen.dropDuplicates(["_id"])), "_id").dropDuplicates(["_id"]).orderBy("_id").collect()
-    return [r["_text"] for r in rows], [r["_y"] for r in rows]
+    return texts.join(F.broadcast(chosen.dropDuplicates(["_id"])), "_id").dropDuplicates(["_id"]).select("_id", "_text", "_y")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int, **names: str) -> Model:
+    """The model of the sample, fitted in one task, by ascending id; only its weights reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+        model = fit(texts, y)
+        yield pa.RecordBatch.from_pydict({"weight": [model.weight.astype("<f8").tobytes()], "bias": [model.bias]})
+
+    rows = labelled_sample(docs, labels, sample, **names).repartition(1).sortWithinPartitions("_id")
+    found = rows.select("_text", "_y").mapInArrow(run, "weight binary, bias double").first()
+    return Model(np.frombuffer(found["weight"], "<f8"), found["bias"]) if found else fit([], [])
 
 
 def toxicity(
@@ -194,7 +209,7 @@ def toxicity(
     scored each.  Without labels of both classes every text gets the share of the one there
     is, or a low score.  Other columns are not read.
     """
-    model = fit(*labelled_sample(docs, labels, sample, id_col, text_col, label_col))
+    model = fitted(docs, labels, sample, id_col=id_col, text_col=text_col, label_col=label_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +232,7 @@ def toxicity(
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, in the same columns; one pass over the rows."""
     names = {k: options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("label_col", "toxic"))}
-    model = fit(*labelled_sample(docs, labels, options.get("sample", SAMPLE), **names))
+    model = fitted(docs, labels, options.get("sample", SAMPLE), **names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(names["text_col"])
 
