@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusweir.functions.text import tokens
+from corpusweir.functions.text import line_tokens, token_line, token_lists, tokens
 from corpusweir.operators.topk import SCORE_DIGITS, stable_score, top_k
 from corpusweir.operators.topkeeper import TopKeeper
 from corpusweir.session import BROADCAST_ROWS
@@ -243,12 +243,12 @@ def _ids(column) -> np.ndarray:
 
 
 def scored_locally(docs: DataFrame, weights: QueryWeights, query_type, k: int, k1: float = K1, b: float = B):
-    """Each task's top ``k`` per (query, field) of ``docs(field, doc_id, dl, terms[, tfs])``."""
+    """Each task's top ``k`` per (query, field) of ``docs(field, doc_id, dl, terms[, tfs])`` or ``docs(field, doc_id, line)``."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"query_id {query_type.simpleString()}, field string, doc_id {doc_type}, score double"
-    counted = "tfs" in docs.columns
+    counted, lined = "tfs" in docs.columns, "line" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -261,7 +261,7 @@ def scored_locally(docs: DataFrame, weights: QueryWeights, query_type, k: int, k
                 mine = batch.filter(pc.fill_null(pc.equal(codes, f), False))
                 for start in range(0, mine.num_rows, step):
                     block = mine.slice(start, step)
-                    lists = block.column("terms")
+                    lists = token_lists(block.column("line")) if lined else block.column("terms")
                     found = pc.index_in(lists.flatten(), w.terms)
                     hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
                     doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
@@ -269,7 +269,8 @@ def scored_locally(docs: DataFrame, weights: QueryWeights, query_type, k: int, k
                     if not len(doc):
                         continue
                     tf = block.column("tfs").flatten().to_numpy(zero_copy_only=False)[hit] if counted else None
-                    dl = block.column("dl").to_numpy(zero_copy_only=False)
+                    lengths = pc.fill_null(pc.list_value_length(lists), 0) if lined else block.column("dl")
+                    dl = lengths.to_numpy(zero_copy_only=False)
                     doc, term, tf = _term_counts(doc, term, tf, len(w.terms))
                     scores = _score_block(w, f, block.num_rows, doc, term, tf, dl, k1, b)
                     keeper.add(_ids(block.column("doc_id")), scores, scores > 0)
@@ -286,10 +287,13 @@ def scored_locally(docs: DataFrame, weights: QueryWeights, query_type, k: int, k
 
 
 def search_fields(rows: DataFrame, queries: DataFrame, k: int | dict[str, int] = 50, tokenizer=tokens,
-                  stats: CorpusStats | None = None, **params) -> DataFrame:
-    """Top ``k`` per (query, field) among positive scores, best first; ``stats`` are those of the rows if known."""
+                  stats: CorpusStats | None = None, lined: bool = False, **params) -> DataFrame:
+    """Top ``k`` per (query, field) among positive scores, best first; ``stats`` are those of the rows if known.
+
+    ``lined`` says that the rows' text is a ``token_line`` already.
+    """
     qterms = query_terms(queries, tokenizer)
-    toks = tokenised(rows, tokenizer)
+    toks = tokenised(rows, line_tokens if lined else tokenizer)
     small = few_terms(qterms)
     wterms = weighted_terms(qterms, stats or corpus_stats(toks), small)
     if not small:
@@ -297,6 +301,9 @@ def search_fields(rows: DataFrame, queries: DataFrame, k: int | dict[str, int] =
         return best_per_field(score_hits(hits, wterms, small, **params), k)
     limit = k if isinstance(k, int) else max(k.values())
     query_type = queries.schema["query_id"].dataType
+    if tokenizer is tokens:
+        line = F.col("text") if lined else token_line(F.col("text"))
+        toks = rows.select("field", "doc_id", line.alias("line"))
     return best_per_field(scored_locally(toks, QueryWeights.collect(wterms), query_type, limit, **params), k)
 
 

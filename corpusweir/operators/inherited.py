@@ -13,24 +13,31 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusweir.functions.text import line_tokens, tokens
 from corpusweir.operators import bm25
 from corpusweir.session import checkpointed, is_few, lookup_join, written_table
 
 
 @dataclass(frozen=True)
 class InheritedSearch:
-    """``children(doc_id, parent_id, <own>)``, ``parents(parent_id, n_children, <inherited>)``."""
+    """``children(doc_id, parent_id, <own>)``, ``parents(parent_id, n_children, <inherited>)``.
+
+    ``lined`` says that own fields are given as their ``token_line``: they are not tokenised again.
+    """
 
     children: DataFrame
     parents: DataFrame
     own: tuple[str, ...]
     inherited: tuple[str, ...]
     stats: bm25.CorpusStats
+    lined: bool = False
 
     @staticmethod
-    def build(children: DataFrame, parents: DataFrame, own: tuple[str, ...], inherited: tuple[str, ...]) -> InheritedSearch:
+    def build(children: DataFrame, parents: DataFrame, own: tuple[str, ...], inherited: tuple[str, ...],
+              lined: bool = False) -> InheritedSearch:
         """With statistics as the children's own rows would have them, written once."""
-        each = bm25.corpus_stats(bm25.tokenised(bm25.field_rows(children, {f: f for f in own}))).terms
+        tokenizer = line_tokens if lined else tokens
+        each = bm25.corpus_stats(bm25.tokenised(bm25.field_rows(children, {f: f for f in own}), tokenizer)).terms
         rows = bm25.field_rows(parents.withColumn("_id", F.struct("parent_id", "n_children")), {f: f for f in inherited}, "_id")
         toks = bm25.tokenised(rows).select("field", "dl", "terms", F.col("doc_id.n_children").alias("_n"))
         spread = toks.select("field", "dl", "_n", F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term"))
@@ -38,7 +45,7 @@ class InheritedSearch:
             F.sum("_n").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl") * F.col("_n"))).alias("total_dl")
         )
         terms = written_table(each.unionByName(shared))
-        return InheritedSearch(children, parents, own, inherited, bm25.CorpusStats(written_table(bm25.field_stats(terms)), terms))
+        return InheritedSearch(children, parents, own, inherited, bm25.CorpusStats(written_table(bm25.field_stats(terms)), terms), lined)
 
     def search(self, queries: DataFrame, limits: dict[str, int]) -> DataFrame:
         """Top ``limits[field]`` children per (query, field), as ``bm25.search_fields`` on the children ranks them."""
@@ -46,7 +53,7 @@ class InheritedSearch:
         own, inherited = ({f: k for f, k in limits.items() if f in names} for names in (self.own, self.inherited))
         if own:
             rows = bm25.field_rows(self.children, {f: f for f in own})
-            parts.append(bm25.search_fields(rows, queries, own, stats=self.stats))
+            parts.append(bm25.search_fields(rows, queries, own, stats=self.stats, lined=self.lined))
         if inherited:
             rows = bm25.field_rows(self.parents, {f: f for f in inherited}, "parent_id")
             found = bm25.search_fields(rows, queries, inherited, stats=self.stats)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusweir.functions.text import token_lists
+
 
 def top_scored(keywords: Column, scores: Column, n: int = 5) -> Column:
     """First ``n`` (keyword, score) by score; equal scores keep their order."""
@@ -27,18 +29,22 @@ def in_category(keywords: Column, category: str) -> Column:
     return F.filter(keywords, lambda k: k["category"] == category)
 
 
-def _ranked(lists: pa.Array, n: int | None) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def _ranked(lists: pa.Array, n: int | None, shortest: int = 0) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, count, first position, rank) of the ``n`` most frequent terms of every list, in this order."""
     terms = lists.flatten().dictionary_encode()
     row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    there = np.flatnonzero(terms.indices.is_valid().to_numpy(zero_copy_only=False))
+    counted = terms.indices.is_valid().to_numpy(zero_copy_only=False)
+    if shortest:
+        long = pc.greater_equal(pc.utf8_length(terms.dictionary), shortest)
+        counted = pc.fill_null(long.take(terms.indices), False).to_numpy(zero_copy_only=False)
+    there = np.flatnonzero(counted)
     if not len(there):
         none = np.zeros(0, np.int64)
         return none, pa.array([], pa.string()), none, none, none
     known = len(terms.dictionary)
     code = row[there] * known + terms.indices.take(pa.array(there)).to_numpy(zero_copy_only=False)
-    codes, at, count = np.unique(code, return_index=True, return_counts=True)
-    of, first = codes // known, there[at] - np.searchsorted(row, codes // known)
+    codes, at, count = _runs(code, there, (int(row[-1]) + 1) * known)
+    of, first = codes // known, at - np.searchsorted(row, codes // known)
     order = np.lexsort((first, -count, of))
     rank = np.arange(len(order)) - np.searchsorted(of, of) + 1
     kept = np.flatnonzero(rank <= (n or len(rank)))
@@ -46,6 +52,18 @@ def _ranked(lists: pa.Array, n: int | None) -> tuple[np.ndarray, pa.Array, np.nd
     return of[order], terms.dictionary.take(pa.array(codes[order] % known)), count[order], first[order], rank
 
 
+def _runs(code: np.ndarray, place: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, first place, count) of the distinct codes; places ascend."""
+    places = int(place[-1]) + 1
+    if n_codes * places >= 2**63:
+        codes, at, count = np.unique(code, return_index=True, return_counts=True)
+        return codes, place[at], count
+    # Code and place in one number, which sorts several times as fast as an index of the codes.
+    codes, at = np.divmod(np.sort(code * places + place), places)
+    starts = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[starts], at[starts], np.diff(np.append(starts, len(codes)))
+
+
 def frequent_terms(tokenised: DataFrame, keys: list[str], n: int | None = 10) -> DataFrame:
     """Most frequent terms per row, all with ``n=None``; the first occurrence breaks ties.
 
@@ -71,15 +89,16 @@ def frequent_terms(tokenised: DataFrame, keys: list[str], n: int | None = 10) ->
     return rows.mapInArrow(run, schema)
 
 
-def with_frequent_terms(tokenised: DataFrame, n: int, out: str = "keywords") -> DataFrame:
-    """Replace ``terms`` by the list ``out`` of its ``n`` most frequent terms, ranked as in ``frequent_terms``; rows stay where they are."""
-    kept = [c for c in tokenised.columns if c != "terms"]
-    rows = tokenised.select(*kept, "terms")
+def with_frequent_terms(tokenised: DataFrame, n: int, out: str = "keywords", shortest: int = 1) -> DataFrame:
+    """Replace ``line`` (a ``token_line``) by the list ``out`` of the ``n`` most frequent of its terms of ``shortest``
+    characters and more, ranked as in ``frequent_terms``; rows stay where they are."""
+    kept = [c for c in tokenised.columns if c != "line"]
+    rows = tokenised.select(*kept, "line")
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, terms, *_ = _ranked(batch.column("terms"), n)
+            of, terms, *_ = _ranked(token_lists(batch.column("line")), n, shortest)
             starts = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(starts), terms)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], lists], schema.names)

@@ -20,14 +20,13 @@ class TopKeeper:
 
     def add(self, ids: np.ndarray, scores: np.ndarray, allowed: np.ndarray | None = None) -> None:
         """``scores[row, query]`` of the documents ``ids``; ``allowed`` masks pairs out."""
-        cut = self.floor
-        if len(ids) > self.k:
-            masked = scores if allowed is None else np.where(allowed, scores, -np.inf)
-            kth = np.partition(masked, len(ids) - self.k, axis=0)[len(ids) - self.k]
-            cut = np.maximum(cut, kth)
-        keep = scores >= cut
+        keep = scores >= self.floor
         if allowed is not None:
             keep &= allowed
+        # A block that has few candidates left is not searched for its own k best.
+        if len(ids) > self.k and np.count_nonzero(keep) > self.n * self.k:
+            masked = np.where(keep, scores, -np.inf)
+            keep &= scores >= np.partition(masked, len(ids) - self.k, axis=0)[len(ids) - self.k]
         rows, queries = np.nonzero(keep)
         self.parts.append((queries, ids[rows], scores[rows, queries]))
         self.size += len(rows)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweir.functions.text import snippet, tokens, words
+from corpusweir.functions.text import snippet, strip, token_line, tokens
 from corpusweir.operators import chunking, cleaning, keywords, terminology
 from corpusweir.plans.retrieval import Corpus
 from corpusweir.session import written_table
@@ -37,7 +37,7 @@ def parent_metadata(parents: DataFrame, n_keywords: int = 8) -> DataFrame:
 
 def row_metadata(parents: DataFrame, n_keywords: int = 8) -> DataFrame:
     """What ``parent_metadata`` gives for parents with ids of their own, inside the rows: no parent is shuffled."""
-    return _summarised(keywords.with_frequent_terms(parents.withColumn("terms", _longer()), n_keywords))
+    return _summarised(keywords.with_frequent_terms(parents.withColumn("line", token_line(F.col("content"))), n_keywords, shortest=4))
 
 
 def _longer() -> Column:
@@ -47,7 +47,7 @@ def _longer() -> Column:
 def _summarised(parents: DataFrame) -> DataFrame:
     fallback = F.format_string("文档片段 %d", F.col("parent_index") + 1)
     lead = snippet(F.col("content"), 200)
-    return parents.withColumn("summary", F.when(F.size(words(F.col("content"))) > 0, lead).otherwise(fallback))
+    return parents.withColumn("summary", F.when(strip(F.col("content")) != "", lead).otherwise(fallback))
 
 
 def model_metadata(parents: DataFrame, replies: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusweir.functions.text import tokens
+from corpusweir.functions.text import token_line, token_lists
 
 EMBED_BATCH, RERANK_BATCH = 10, 32
 
@@ -104,28 +104,43 @@ def hashed_embedder(size: int = 64) -> Callable[[], Embed]:
 HASHED_SIZE = 64
 
 
-def hashed_vectors(df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
-    """Add signed counts of the text's tokens in 64 places, chosen by md5; null without tokens."""
+def _digest_heads(terms: pa.StringArray) -> np.ndarray:
+    """The first five hexadecimal digits of every term's md5, as numbers."""
+    if not len(terms):
+        return np.zeros(0, np.int64)
+    _, ends, data = terms.buffers()
+    ends, data = np.frombuffer(ends, np.int32)[terms.offset:][:len(terms) + 1].tolist(), data.to_pybytes()
+    digests = b"".join([md5(data[i:j]).digest() for i, j in zip(ends, ends[1:])])
+    heads = np.frombuffer(digests, np.uint8).reshape(-1, 16)[:, :3].astype(np.int64)
+    return heads[:, 0] << 12 | heads[:, 1] << 4 | heads[:, 2] >> 4
+
+
+def hashed_vectors(df: DataFrame, text: str, out: str = "embedding", lined: bool = False) -> DataFrame:
+    """Add signed counts of the text's tokens in 64 places, chosen by md5; null without tokens.
+
+    ``lined`` says that the text is a ``token_line`` already.
+    """
     kept = df.columns
     schema = _with(df, out, T.ArrayType(T.FloatType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("_tokens")
+            lists = token_lists(batch.column("_line"))
             terms = lists.flatten().dictionary_encode()
-            digests = [md5(t.encode()).hexdigest() for t in terms.dictionary.to_pylist()]
-            place = np.array([int(d[:4], 16) % HASHED_SIZE for d in digests], np.int64)
-            sign = np.array([1 - 2 * (int(d[4], 16) % 2) for d in digests], np.int64)
+            heads = _digest_heads(terms.dictionary)
+            place, sign = (heads >> 4) % HASHED_SIZE, 1 - 2 * (heads % 2)
             row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             at = terms.indices.to_numpy(zero_copy_only=False)
             sums = np.zeros(batch.num_rows * HASHED_SIZE)
             if len(at):
                 sums = np.bincount(row * HASHED_SIZE + place[at], weights=sign[at], minlength=len(sums))
             sums = sums.reshape(-1, HASHED_SIZE).astype(np.float32)
-            vectors = pa.array([v if v.any() else None for v in sums], pa.list_(pa.float32()))
+            filled = sums.any(axis=1)
+            ends = np.concatenate([[0], np.cumsum(filled * HASHED_SIZE)]).astype(np.int32)
+            vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(sums[filled].ravel()), mask=pa.array(~filled))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], vectors], [*kept, out])
 
-    return df.withColumn("_tokens", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).mapInArrow(run, schema)
+    return df.withColumn("_line", F.col(text) if lined else token_line(F.col(text))).mapInArrow(run, schema)
 
 
 # Topics a stand-in answer is chosen by (fixed values), first match wins.

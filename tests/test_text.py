@@ -307,3 +307,59 @@ def test_white_space_beyond_ascii_is_kept_apart(spark):
 
     df = spark.createDataFrame([("dose 10\u00a0mg\u2003daily",), ("see\u00a0https://a.b/c\u2003there",)], "t string")
     assert [r[0] for r in df.select(clean_basic(F.col("t"))).collect()] == ["dose 10 mg daily", "see there"]
+
+
+def test_token_lines_hold_the_tokens(spark):
+    import pyarrow as pa
+
+    texts = sample() + ["Ünï-Cöde 12x", "..a", "a  ..", "İstanbul ΑΣ. 𝒳𝟙"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select("text", X.tokens(F.col("text")).alias("t"), X.token_line(F.col("text")).alias("line"),
+                     X.line_tokens(X.token_line(F.col("text"))).alias("again")).collect()
+    lists = X.token_lists(pa.array([None, *[r.line for r in rows]])[1:])  # a slice, as blocks of a batch are
+    for r, found in zip(rows, lists.to_pylist()):
+        assert r.t == [t for t in re.split(r"[\W_]+", r.text.lower()) if t] or "İ" in r.text
+        assert r.again == r.t and (found or []) == r.t
+
+
+def test_strip_takes_all_white_space_of_both_ends(spark):
+    spaces = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+    assert one(spark, spaces + "a" + spaces + "b" + spaces, X.strip(F.col("text"))) == "a" + spaces + "b"
+    assert one(spark, spaces, X.strip(F.col("text"))) == "" and one(spark, None, X.strip(F.col("text"))) is None
+
+
+def test_windows_cut_code_points_in_time_in_proportion_to_the_text(spark):
+    import time
+
+    rows = spark.createDataFrame([(1, "a𝒳\n" * 7), (2, ""), (3, None)], "doc_id long, text string")
+    found = chunking.fixed_parents(rows, 4).orderBy("parent_index").collect()
+    assert [r.content for r in found] == [("a𝒳\n" * 7)[i:i + 4] for i in range(0, 21, 4)]
+    assert [r.parent_index for r in found] == list(range(6))
+    # A walk from the text's first character to every window would take 62500 of them here.
+    long = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefg\n"), 2_000_000).alias("text"))
+    begin = time.monotonic()
+    assert chunking.fixed_parents(long, 256).agg(F.sum(F.length("content"))).first()[0] == 16_000_000
+    assert time.monotonic() - begin < 20
+
+
+def test_terms_are_ranked_alike_with_keys_too_long_for_one_number():
+    import numpy as np
+
+    code, place = np.array([3, 1, 3, 0, 1]), np.array([0, 2, 3, 5, 9])
+    for n_codes in (4, 2**62):
+        assert [x.tolist() for x in keywords._runs(code, place, n_codes)] == [[0, 1, 3], [5, 2, 0], [1, 2, 2]]
+
+
+def test_blocks_with_few_candidates_keep_the_best():
+    import numpy as np
+    from corpusweir.operators.topkeeper import TopKeeper
+
+    rng = np.random.default_rng(5)
+    scores, keeper = np.round(rng.random((900, 3)), 2), TopKeeper(3, 7)
+    for start in range(0, 900, 60):
+        keeper.add(np.arange(start, start + 60), scores[start:start + 60], scores[start:start + 60] > 0.3)
+        keeper._compress()
+    queries, ids, best = keeper.result()
+    for q in range(3):
+        order = np.lexsort((np.arange(900), -scores[:, q]))[:7]
+        assert ids[queries == q].tolist() == order.tolist() and best[queries == q].tolist() == scores[order, q].tolist()
