@@ -99,6 +99,39 @@ def corpus_stats(toks: DataFrame) -> CorpusStats:
     return CorpusStats(field_stats(terms), terms)
 
 
+def line_terms(rows: DataFrame) -> DataFrame:
+    """``CorpusStats.terms`` of ``rows(field, line, n)``: a row stands for ``n`` documents with the tokens of its ``token_line``.
+
+    Terms are counted a batch of rows at a time, so a batch's distinct terms are shuffled, not its tokens.
+    """
+    names = ["field", "term", "df", "total_dl"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = batch.column("field").dictionary_encode()
+            of, n = fields.indices.to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
+            lists = token_lists(batch.column("line"))
+            dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            terms = lists.flatten().dictionary_encode()
+            known = len(terms.dictionary)
+            place = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64) * known
+            pairs = np.sort(place + terms.indices.to_numpy(zero_copy_only=False))
+            row, term = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], max(known, 1))
+            for i, name in enumerate(fields.dictionary.to_pylist()):
+                rows_of, mine = of == i, of[row] == i
+                met = np.flatnonzero(np.bincount(term[mine], minlength=known))
+                df = np.bincount(term[mine], weights=n[row[mine]], minlength=known)[met].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * (len(met) + 1), pa.string()),
+                    pa.concat_arrays([terms.dictionary.take(pa.array(met)), pa.array([""], pa.string())]),
+                    pa.array([*df, n[rows_of].sum()], pa.int64()),
+                    pa.array([*[None] * len(met), (dl[rows_of] * n[rows_of]).sum()], pa.int64()),
+                ], names)
+
+    counted = rows.mapInArrow(run, "field string, term string, df long, total_dl long")
+    return counted.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("total_dl").alias("total_dl"))
+
+
 def field_stats(terms: DataFrame) -> DataFrame:
     """(field, n_docs, avgdl, mean_idf) of ``CorpusStats.terms``."""
     whole = F.col("term") == ""
@@ -196,6 +229,20 @@ class QueryWeights:
     queries: np.ndarray
     weights: np.ndarray
 
+    def shared_terms(self, field: int) -> tuple[np.ndarray, np.ndarray]:
+        """(column of every term or -1, weights [column, query]) of the terms that most queries name."""
+        row = field * len(self.terms) + np.arange(len(self.terms))
+        fan = self.starts[row + 1] - self.starts[row]
+        most = np.argsort(-fan, kind="stable")[:min(SHARED_TERMS, PAIRS_IN_MEMORY // max(len(self.query_ids), 1))]
+        most = most[fan[most] >= SHARED_BY]
+        columns = np.full(len(self.terms), -1)
+        columns[most] = np.arange(len(most))
+        matrix = np.zeros((len(most), len(self.query_ids)))
+        for column, r in enumerate(row[most]):
+            entries = slice(self.starts[r], self.starts[r + 1])
+            matrix[column, self.queries[entries]] = self.weights[entries]
+        return columns, matrix
+
     @staticmethod
     def collect(wterms: DataFrame) -> QueryWeights:
         """``wterms`` was measured to be small (``few_terms``)."""
@@ -213,6 +260,8 @@ class QueryWeights:
 
 
 PAIRS_IN_MEMORY = 4_000_000
+#: Terms named by this many queries are multiplied as a dense matrix, up to so many of them.
+SHARED_BY, SHARED_TERMS = 4, 256
 
 
 def _term_counts(doc: np.ndarray, term: np.ndarray, tf: np.ndarray | None, n_terms: int):
@@ -223,18 +272,23 @@ def _term_counts(doc: np.ndarray, term: np.ndarray, tf: np.ndarray | None, n_ter
     return pairs // n_terms, pairs % n_terms, counts
 
 
-def _score_block(w: QueryWeights, field: int, n_docs: int, doc, term, tf, dl, k1: float, b: float) -> np.ndarray:
-    """Scores [document, query] of one field."""
-    row = field * len(w.terms) + term
-    fan = w.starts[row + 1] - w.starts[row]
+def _score_block(w: QueryWeights, field: int, shared, n_docs: int, doc, term, tf, dl, k1: float, b: float) -> np.ndarray:
+    """Scores [document, query] of one field; ``shared`` are its ``shared_terms``."""
+    columns, matrix = shared
     part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / w.avgdl[field]))
-    # Every hit meets the queries of its term.
+    n, width = len(w.query_ids), len(matrix)
+    column = columns[term]
+    often, seldom = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
+    dense = np.bincount(doc[often] * width + column[often], weights=part[often], minlength=n_docs * width)
+    sums = dense.reshape(n_docs, width) @ matrix
+    # A hit of any other term meets the queries of its term.
+    doc, part, row = doc[seldom], part[seldom], field * len(w.terms) + term[seldom]
+    fan = w.starts[row + 1] - w.starts[row]
     offset = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
     entry = np.repeat(w.starts[row], fan) + offset
-    n = len(w.query_ids)
     flat = np.repeat(doc, fan) * n + w.queries[entry]
-    sums = np.bincount(flat, weights=np.repeat(part, fan) * w.weights[entry], minlength=n_docs * n)
-    return np.round(sums.reshape(n_docs, n), SCORE_DIGITS)
+    sums += np.bincount(flat, weights=np.repeat(part, fan) * w.weights[entry], minlength=n_docs * n).reshape(n_docs, n)
+    return np.round(sums, SCORE_DIGITS)
 
 
 def _ids(column) -> np.ndarray:
@@ -254,7 +308,8 @@ def scored_locally(docs: DataFrame, weights: QueryWeights, query_type, k: int, k
         w = shared.value
         n = len(w.query_ids)
         keepers = [TopKeeper(n, k) for _ in w.fields]
-        step = max(1, PAIRS_IN_MEMORY // max(n, 1))
+        frequent = [w.shared_terms(f) for f in range(len(w.fields))]
+        step = max(1, PAIRS_IN_MEMORY // max(n, SHARED_TERMS))
         for batch in batches:
             codes = pc.index_in(batch.column("field"), pa.array(w.fields, pa.string()))
             for f, keeper in enumerate(keepers):
@@ -272,7 +327,7 @@ def scored_locally(docs: DataFrame, weights: QueryWeights, query_type, k: int, k
                     lengths = pc.fill_null(pc.list_value_length(lists), 0) if lined else block.column("dl")
                     dl = lengths.to_numpy(zero_copy_only=False)
                     doc, term, tf = _term_counts(doc, term, tf, len(w.terms))
-                    scores = _score_block(w, f, block.num_rows, doc, term, tf, dl, k1, b)
+                    scores = _score_block(w, f, frequent[f], block.num_rows, doc, term, tf, dl, k1, b)
                     keeper.add(_ids(block.column("doc_id")), scores, scores > 0)
         for f, keeper in enumerate(keepers):
             queries, ids, scores = keeper.result()

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweir.functions.text import line_tokens, tokens
+from corpusweir.functions.text import token_line
 from corpusweir.operators import bm25
 from corpusweir.session import checkpointed, is_few, lookup_join, written_table
 
@@ -36,15 +36,11 @@ class InheritedSearch:
     def build(children: DataFrame, parents: DataFrame, own: tuple[str, ...], inherited: tuple[str, ...],
               lined: bool = False) -> InheritedSearch:
         """With statistics as the children's own rows would have them, written once."""
-        tokenizer = line_tokens if lined else tokens
-        each = bm25.corpus_stats(bm25.tokenised(bm25.field_rows(children, {f: f for f in own}), tokenizer)).terms
+        line = F.col("text") if lined else token_line(F.col("text"))
+        each = bm25.field_rows(children, {f: f for f in own}).select("field", line.alias("line"), F.lit(1).cast("long").alias("n"))
         rows = bm25.field_rows(parents.withColumn("_id", F.struct("parent_id", "n_children")), {f: f for f in inherited}, "_id")
-        toks = bm25.tokenised(rows).select("field", "dl", "terms", F.col("doc_id.n_children").alias("_n"))
-        spread = toks.select("field", "dl", "_n", F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term"))
-        shared = spread.groupBy("field", "term").agg(
-            F.sum("_n").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl") * F.col("_n"))).alias("total_dl")
-        )
-        terms = written_table(each.unionByName(shared))
+        shared = rows.select("field", token_line(F.col("text")).alias("line"), F.col("doc_id.n_children").alias("n"))
+        terms = written_table(bm25.line_terms(each.unionByName(shared)))
         return InheritedSearch(children, parents, own, inherited, bm25.CorpusStats(written_table(bm25.field_stats(terms)), terms), lined)
 
     def search(self, queries: DataFrame, limits: dict[str, int]) -> DataFrame:

@@ -45,13 +45,21 @@ def _ranked(lists: pa.Array, n: int | None, shortest: int = 0) -> tuple[np.ndarr
     code = row[there] * known + terms.indices.take(pa.array(there)).to_numpy(zero_copy_only=False)
     codes, at, count = _runs(code, there, (int(row[-1]) + 1) * known)
     of, first = codes // known, at - np.searchsorted(row, codes // known)
-    order = np.lexsort((first, -count, of))
+    order = _best_first(of, count, first)
     rank = np.arange(len(order)) - np.searchsorted(of, of) + 1
     kept = np.flatnonzero(rank <= (n or len(rank)))
     order, rank = order[kept], rank[kept]
     return of[order], terms.dictionary.take(pa.array(codes[order] % known)), count[order], first[order], rank
 
 
+def _best_first(of: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Positions by row, then most frequent, then first place, which no two terms of a row share."""
+    most, places = int(count.max()), int(first.max()) + 1
+    if (int(of.max()) + 1) * (most + 1) * places >= 2**63:
+        return np.lexsort((first, -count, of))
+    return np.argsort((of * (most + 1) + most - count) * places + first)
+
+
 def _runs(code: np.ndarray, place: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code, first place, count) of the distinct codes; places ascend."""
     places = int(place[-1]) + 1

@@ -307,6 +307,44 @@ def test_inherited_fields_rank_like_rows_of_the_children(spark):
     assert found and found == sorted(expected.select(*columns).collect())
 
 
+def test_terms_of_a_batch_are_counted_before_they_are_shuffled(spark):
+    data = [("own", t, 1) for _, t in DOCS] + [("above", t, 1 + i % 3) for i, t in DOCS]
+    rows = spark.createDataFrame(data, "field string, line string, n long").coalesce(1)
+    got = bm25.line_terms(rows)
+    expected = {}
+    for field, line, n in data:
+        for term in {*line.split(), ""}:
+            df, total = expected.get((field, term), (0, None if term else 0))
+            expected[field, term] = (df + n, total if term else total + n * len(line.split()))
+    assert {(r.field, r.term): (r.df, r.total_dl) for r in got.collect()} == expected
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_that_many_queries_name_score_alike(spark, monkeypatch):
+    rows = bm25.field_rows(spark.createDataFrame(DOCS, "doc_id long, text string"), {"content": "text"})
+    queries = spark.createDataFrame(QUERIES, "query_id long, text string")
+    found = []
+    for by, most in ((4, 256), (1, 256), (2, 3), (100, 256)):
+        monkeypatch.setattr(bm25, "SHARED_BY", by)
+        monkeypatch.setattr(bm25, "SHARED_TERMS", most)
+        weights = bm25.QueryWeights.collect(bm25.weighted_terms(bm25.query_terms(queries), bm25.corpus_stats(bm25.tokenised(rows)), True))
+        columns, matrix = weights.shared_terms(0)
+        assert len(matrix) == min(most, (np.diff(weights.starts) >= by).sum()) == (columns >= 0).sum()
+        lists = [t.split() for _, t in DOCS]
+        doc = np.repeat(np.arange(len(DOCS)), [len(t) for t in lists])
+        place = {t: i for i, t in enumerate(weights.terms.to_pylist())}
+        flat = [place.get(t, -1) for words in lists for t in words]
+        hit = np.array(flat) >= 0
+        counted = bm25._term_counts(doc[hit], np.array(flat)[hit], None, len(place))
+        dl = np.array([len(t) for t in lists])
+        scores = bm25._score_block(weights, 0, (columns, matrix), len(DOCS), *counted, dl, bm25.K1, bm25.B)
+        found.append(scores[:, np.argsort(weights.query_ids)])
+    for other in found[1:]:
+        assert np.allclose(found[0], other, rtol=0, atol=2e-9)
+    expected = [okapi(DOCS, text) for _, text in sorted(QUERIES)]
+    assert all(abs(found[0][i, q] - scores.get(i, 0.0)) < 1e-6 for q, scores in enumerate(expected) for i in range(len(DOCS)))
+
+
 def test_chunk_tables_are_written_only_when_asked_for(spark, tmp_path, monkeypatch):
     from corpusweir.catalog import fixtures
 
