@@ -4,18 +4,19 @@ A text is a sequence of five-word shingles.  Under one hash function every shing
 the smallest of some stretch of ``width`` shingles has a compact window: the widest stretch
 in which it is the smallest, its subtree in the Cartesian tree of the hashes.  All stretches
 of the window that hold it share this minimum.  Windows of two functions that meet share
-both minima; their intersection is a box with a key made of the two.  Documents that share
-a passage share the keys of its boxes, so boxes are joined by key.  All boxes of a key are
-compared with its first and its last one by confirming their segments on the shingles.  The
-boxes between those two are compared among themselves inside tasks, block by block: the
-shingles of their intervals travel, no pairs do.  A pair is looked at if the intervals share
-enough shingles, unless all of these lie in stretches that hang together already, directly
-or through others; a key all of whose boxes lie in such stretches is done.
+both minima; their intersection is a box with a key made of the two; boxes of one key that
+overlap are one.  Documents that share a passage share the keys of its boxes, so boxes are
+joined by key.  All boxes of a key are compared with its first and its last one by confirming
+their segments on the shingles.  The boxes between those two are compared among themselves
+inside tasks, the keys of one first holder together, block by block: the shingles of their
+intervals travel, no pairs do.  A pair is looked at if the intervals share enough shingles in
+some window on both sides, unless all of these lie in stretches that hang together already,
+directly or through others; a key all of whose boxes lie in such stretches is done.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ SEGMENT = 512
 OFTEN = 64
 #: Boxes of a block; a task holds two blocks of one key at most.
 BLOCK = 1024
+#: Shared shingles of boxes that are counted at once.
+MATCHES = 1 << 17
 #: Documents whose ids and text hashes may be broadcast to fetch their texts; beyond it they are shuffled.
 FETCHED = 1_000_000
 
@@ -68,7 +71,7 @@ def extents(h: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, mi
 
 
 def boxes(shingles: np.ndarray, offsets: np.ndarray, width: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Boxes of all segments: segment, key, first shingle and the end of its stretch."""
+    """Boxes of all segments, in order: segment, key, first shingle and the end of its stretch."""
     lengths = np.diff(offsets)
     found: list[list[np.ndarray]] = [[], [], [], []]
     if not (lengths >= width).any():
@@ -98,7 +101,38 @@ def boxes(shingles: np.ndarray, offsets: np.ndarray, width: int, bands: int) ->
             key = mixed(key * np.uint64(3) + h[corner[fresh]])
         for column, found_here in zip(found, (own, key.view(np.int64), low - offsets[own], high - offsets[own]), strict=True):
             column.append(found_here)
-    return tuple(np.concatenate(c) for c in found)  # type: ignore[return-value]
+    return united(*(np.concatenate(c) for c in found))
+
+
+def united(
+    segment: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Boxes ordered by segment and key; those of one key in a segment that overlap or touch are one.
+
+    A shingle that follows itself is the smallest of its stretch at each of its places, so a run
+    of one word has as many boxes as words, all with the same key.
+    """
+    order = np.argsort((segment.astype(np.uint64) << np.uint64(40)) | (key.view(np.uint64) >> np.uint64(24)), kind="stable")
+    segment, key, low, high = segment[order], key[order], low[order], high[order]
+    again = (np.diff(segment) == 0) & (np.diff(key) == 0)
+    if not again.any():
+        return segment, key, low, high
+    # Only the boxes whose key comes again in their segment are put in order and united.
+    some = np.flatnonzero(np.concatenate(([False], again)) | np.concatenate((again, [False])))
+    group = np.cumsum(np.concatenate(([True], ~again)))[some]
+    inner = np.lexsort((low[some], group))
+    low[some], high[some] = low[some][inner], high[some][inner]
+    base = group * (int(high.max()) + 1)
+    reach = np.maximum.accumulate(base + high[some])
+    joins = np.zeros(len(some), bool)
+    joins[1:] = (np.diff(group) == 0) & (base[1:] + low[some][1:] <= reach[:-1])
+    high[some] = reach - base
+    kept = np.ones(len(key), bool)
+    kept[some[joins]] = False
+    # The last of those united reaches as far as all of them.
+    lasts = np.flatnonzero(~np.concatenate((joins[1:], [False])))
+    high[some[~joins]] = high[some[lasts]]
+    return segment[kept], key[kept], low[kept], high[kept]
 
 
 def segment_bounds(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
@@ -150,16 +184,15 @@ def segments(docs: DataFrame, passage: int, bands: int) -> DataFrame:
         offsets = np.concatenate(([0], np.cumsum(counts)))
         shingles, out = word_shingles(np.concatenate(hashes), offsets, SHINGLE, whole=False)
         segment, key, low, high = boxes(shingles, out, width, bands)
-        order = np.argsort(segment, kind="stable")
         at = np.concatenate(([0], np.cumsum(np.bincount(segment, minlength=len(held))))).astype(np.int32)
-        place = (low << 16 | high)[order].astype(np.int32)
+        place = (low << 16 | high).astype(np.int32)
         prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in hashes), np.int64).reshape(-1, 2)
         taken = batch.select([0, 1, 2]).take(pa.array(row, pa.int64()))
         return pa.RecordBatch.from_arrays(
             [
                 *taken.columns, pa.array(number, pa.int32()), pa.array(first, pa.int64()), pa.array(counts),
                 pa.array(prints[:, 0]), pa.array(prints[:, 1]),
-                pa.ListArray.from_arrays(pa.array(at), pa.array(key[order])), pa.ListArray.from_arrays(pa.array(at), pa.array(place)),
+                pa.ListArray.from_arrays(pa.array(at), pa.array(key)), pa.ListArray.from_arrays(pa.array(at), pa.array(place)),
             ],
             ["_id", "rid", "th", "seg", "first", "n", "f1", "f2", "keys", "places"],
         )
@@ -266,6 +299,123 @@ def shared_stretches(a: np.ndarray, b: np.ndarray, width: int, percent: int) ->
     return out
 
 
+def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after the other, and the range of each."""
+    n = np.maximum(end - first, 0)
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(n)), n)
+
+
+def straight_stretches(
+    pair: np.ndarray, x: np.ndarray, y: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, width: int, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The ``shared_stretches`` of many pairs of sequences in which no shingle comes twice: pair, and (start, end) in each.
+
+    The shingle at ``x`` of the first is the one at ``y`` of the second sequence of ``pair``; the
+    lengths of the sequences are ``n_a`` and ``n_b``.  All pairs are taken along their first
+    diagonal, then along their second one, and so on.
+    """
+    need = -(-2 * percent * width // (100 + percent))
+    reach = int(np.abs(y - x).max(initial=0)) + 1
+    lines, counts = np.unique(pair * (2 * reach) + (y - x + reach), return_counts=True)
+    lines, counts = lines[counts >= need // 2], counts[counts >= need // 2]
+    who, diagonal = lines // (2 * reach), lines % (2 * reach) - reach
+    order = np.lexsort((diagonal, -counts, who))
+    who, diagonal = who[order], diagonal[order]
+    rank = np.arange(len(who)) - np.searchsorted(who, who)
+    start_a, start_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    covered_a, covered_b = np.zeros(n_a.sum(), bool), np.zeros(n_b.sum(), bool)
+    order = np.argsort(pair * (int(n_a.max(initial=0)) + 1) + x)
+    pair, x, y = pair[order], x[order], y[order]
+    out: list[tuple[np.ndarray, ...]] = []
+    for k in range(rank.max(initial=-1) + 1):
+        rows, d = who[rank == k], diagonal[rank == k]
+        number = np.full(len(n_a), -1)
+        number[rows] = np.arange(len(rows))
+        mine = np.flatnonzero(number[pair] >= 0)
+        row, at, to = number[pair[mine]], x[mine], y[mine]
+        shift = to - d[row]
+        open_rows = np.zeros(len(rows), bool)
+        known = covered_a[start_a[rows][row] + at] & covered_b[start_b[rows][row] + to]
+        open_rows[row[(shift == at) & ~known]] = True
+        near = open_rows[row] & (np.abs(shift - at) < width)
+        near &= (np.bincount(row[near], minlength=len(rows)) >= need)[row]
+        if not near.any():
+            continue
+        whose, lo, hi = row[near], np.minimum(at, shift)[near], np.maximum(at, shift)[near]
+        begin, end = np.maximum(hi - width + 1, 0), lo + 1
+        good = begin < end
+        # One place for every start, and one behind them, for each row.
+        n, m = n_a[rows], n_b[rows]
+        origin = np.cumsum(n + 1) - n - 1
+        size = int((n + 1).sum())
+        line = np.cumsum(
+            np.bincount(origin[whose[good]] + begin[good], minlength=size)
+            - np.bincount(origin[whose[good]] + np.minimum(end[good], n[whose[good]]), minlength=size)
+        )
+        starts, of = ranges(np.zeros(len(n), np.int64), n + 1)
+        fits = (line >= need) & (starts + width <= n[of]) & (starts + d[of] >= 0) & (starts + d[of] + width <= m[of])
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], fits, [False])).astype(np.int8)))
+        held, s, e = of[edge[0::2]], starts[edge[0::2]], starts[edge[1::2] - 1] + width
+        if not len(s):
+            continue
+        # It begins and ends with a shared shingle.
+        step = int(n.max()) + width + 1
+        order = np.argsort(whose * step + lo, kind="stable")
+        lo, hi, key = lo[order], hi[order], (whose * step + lo)[order]
+        some, stretch = ranges(np.searchsorted(key, held * step + s), np.searchsorted(key, held * step + e))
+        inside = hi[some] < e[stretch]
+        heads = np.searchsorted(stretch, np.arange(len(s)))
+        s = np.minimum.reduceat(np.where(inside, lo[some], step), heads)
+        e = np.maximum.reduceat(np.where(inside, hi[some], -1), heads) + 1
+        long = e - s >= width
+        held, s, e = held[long], s[long], e[long]
+        key = row * step + at
+
+        def alike(held: np.ndarray, s: np.ndarray, e: np.ndarray, d=d, key=key, to=to, step=step) -> np.ndarray:
+            some, stretch = ranges(np.searchsorted(key, held * step + s), np.searchsorted(key, held * step + e))
+            shift = to[some] - d[held][stretch]
+            both = np.bincount(stretch[(shift >= s[stretch]) & (shift < e[stretch])], minlength=len(s))
+            return 100 * both >= percent * (2 * (e - s) - both)
+
+        whole = alike(held, s, e)
+        tried = [(held[whole], s[whole], e[whole])]
+        held, s, e = held[~whole], s[~whole], e[~whole]
+        for first, last in ((s, s + width), (e - width, e)):
+            good = alike(held, first, last)
+            tried.append((held[good], first[good], last[good]))
+        held, s, e = (np.concatenate(c) for c in zip(*tried, strict=True))
+        d = d[held]
+        covered_a[ranges(start_a[rows][held] + s, start_a[rows][held] + e)[0]] = True
+        covered_b[ranges(start_b[rows][held] + s + d, start_b[rows][held] + e + d)[0]] = True
+        out.append((rows[held], s, e, s + d, e + d))
+    found = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+    order = np.argsort(found[0], kind="stable")
+    return found[0][order], np.stack(found[1:], axis=1)[order]
+
+
+def stretches_of(values: np.ndarray, out: np.ndarray, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shared_stretches`` of pairs of sequences: the first ones lie before the second ones in ``values``, by ``out``."""
+    n = np.diff(out)
+    pairs = len(n) // 2
+    of = np.repeat(np.arange(2 * pairs), n)
+    place, pair = np.arange(len(values)) - out[of], of % pairs if pairs else of
+    named = mixed(values ^ mixed(pair.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(named, kind="stable")
+    equal = np.flatnonzero((named[order][1:] == named[order][:-1]) & (pair[order][1:] == pair[order][:-1]))
+    left, right = order[equal], order[equal + 1]
+    twice = np.zeros(pairs, bool)
+    twice[pair[left[of[left] == of[right]]]] = True
+    straight = ~twice[pair[left]]
+    left, right = left[straight], right[straight]
+    row, found = straight_stretches(pair[left], place[left], place[right], n[:pairs], n[pairs:], width, percent)
+    rows, every = [row], [found]
+    for k in np.flatnonzero(twice).tolist():
+        stretches = shared_stretches(values[out[k] : out[k + 1]], values[out[k + pairs] : out[k + pairs + 1]], width, percent)
+        rows.append(np.full(len(stretches), k))
+        every.append(np.array(stretches, np.int64).reshape(-1, 4))
+    return np.concatenate(rows), np.concatenate(every)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, passage: int, percent: int) -> DataFrame:
     """Pairs of segments with the stretches, in words, that they share."""
     width = passage - SHINGLE + 1
@@ -284,13 +434,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, passage: int, percent: int) ->
                 data = part.column(4).to_pylist() + part.column(5).to_pylist()
                 hashes, _, _, offsets = words(data)
                 shingles, out = word_shingles(hashes, offsets, SHINGLE, whole=False)
-                sets = [shingles[out[k] : out[k + 1]] for k in range(len(data))]
-                row, found = [], []
-                for k in range(part.num_rows):
-                    for stretch in shared_stretches(sets[k], sets[k + part.num_rows], width, percent):
-                        row.append(k)
-                        found.append(stretch)
-                stretches = np.array(found, np.int64).reshape(-1, 4)
+                row, stretches = stretches_of(shingles, out, width, percent)
                 stretches[:, 1::2] += SHINGLE - 1
                 taken = part.select([0, 1, 2, 3]).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
@@ -333,133 +477,268 @@ def box_shingles(asked: DataFrame) -> DataFrame:
 
 def classes_of(sets: list[np.ndarray], runs: list[np.ndarray]) -> list[np.ndarray]:
     """The class of every shingle, from 1, by the ``runs(start, end, class)`` of its box; 0 outside of them."""
-    names = np.unique(np.concatenate([r[:, 2] for r in runs]))
-    out = []
-    for own, held in zip(sets, runs, strict=True):
-        marks = np.zeros(len(own), np.int64)
-        for s, e, name in held.tolist():
-            marks[s:e] = np.searchsorted(names, name) + 1
-        out.append(marks)
-    return out
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    marks = np.zeros(offsets[-1], np.int64)
+    every = np.concatenate(runs)
+    length = every[:, 1] - every[:, 0]
+    first = np.repeat(offsets[:-1], [len(r) for r in runs]) + every[:, 0]
+    inside = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+    marks[inside] = np.repeat(np.unique(every[:, 2], return_inverse=True)[1] + 1, length)
+    return [marks[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+class Boxes:
+    """Boxes of one or more keys with the classes of their shingles; pairs are made of one key's.
+
+    A shingle of a box is one entry, wherever it stands in it.  The entries of a shingle and key lie
+    side by side, so those that later boxes share with one are found without looking at pairs.
+    """
+
+    def __init__(self, key: np.ndarray, sets: list[np.ndarray], done: list[np.ndarray], width: int, percent: int):
+        self.sets, self.width, self.percent = sets, width, percent
+        self.lengths = np.array([len(x) for x in sets])
+        self.offsets = np.concatenate(([0], np.cumsum(self.lengths)))
+        self.marks = np.concatenate(done)
+        self.fresh = int(self.marks.max(initial=0)) + 1
+        box = np.repeat(np.arange(len(sets)), self.lengths)
+        named = key[box].astype(np.uint64) << np.uint64(32) | np.concatenate(sets).astype(np.uint64)
+        order = np.argsort(named, kind="stable")
+        named, box = named[order], box[order]
+        token = np.concatenate(([True], named[1:] != named[:-1]))
+        first = token | np.concatenate(([True], box[1:] != box[:-1]))
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = np.cumsum(first) - 1
+        self.owner, self.place = box[first], order[first]
+        token = np.flatnonzero(token[first])
+        ends = np.concatenate((token[1:], [len(self.owner)]))
+        #: Entries behind each one that stand for the same shingle in later boxes.
+        self.behind = np.repeat(ends, ends - token) - np.arange(len(self.owner)) - 1
+        self.again = np.bincount(self.entry, minlength=len(self.owner)) > 1
+        self.by_box = np.argsort(self.owner, kind="stable")
+        self.places = np.searchsorted(self.owner[self.by_box], np.arange(len(sets) + 1))
+        self.floor = np.full(len(sets), width)
+        self._least_distinct(order, first)
+        self.held = self.marks[self.place]
+        self.held[self.entry[self.held[self.entry] != self.marks]] = 0
+        lasts = np.searchsorted(key, key, "right")
+        self.later = lasts - np.arange(len(sets)) - 1
+
+    def _least_distinct(self, order: np.ndarray, first: np.ndarray) -> None:
+        """The fewest different shingles of any window of each box; ``order`` has those of an entry side by side."""
+        again = np.flatnonzero(~first)
+        if not len(again):
+            return
+        some = np.unique(np.searchsorted(self.offsets, order[again], "right") - 1)
+        # A shingle counts in the windows that begin behind the one before it, or a width before its end.
+        begin = np.arange(len(order)) - self.width + 1
+        begin[order[again]] = np.maximum(begin[order[again]], order[again - 1] + 1)
+        begin = np.maximum(begin, np.repeat(self.offsets[:-1], self.lengths))
+        counts = np.cumsum(np.bincount(begin, minlength=len(order) + 1) - np.bincount(np.arange(1, len(order) + 1), minlength=len(order) + 1))
+        for i in some.tolist():
+            windows = counts[self.offsets[i] : self.offsets[i + 1] - self.width + 1]
+            self.floor[i] = windows.min() if len(windows) else 1
+
+    def part(self, i: int) -> np.ndarray:
+        """The classes of a box, to be read and set."""
+        return self.marks[self.offsets[i] : self.offsets[i + 1]]
+
+    def note(self, i: int) -> None:
+        """The class of a box's entries, 0 if its shingle stands in several."""
+        mine = self.entry[self.offsets[i] : self.offsets[i + 1]]
+        self.held[mine] = self.part(i)
+        self.held[mine[self.held[mine] != self.part(i)]] = 0
+
+    def parts(self) -> Iterator[tuple[int, int]]:
+        """Ranges of boxes that have up to MATCHES entries, and later boxes, behind them; a box with more is alone."""
+        behind = np.bincount(self.owner, self.behind, len(self.sets)).astype(np.int64)
+        load = np.concatenate(([0], np.cumsum(np.maximum(behind, self.later))))
+        a = 0
+        while a < len(self.sets):
+            b = max(a + 1, int(np.searchsorted(load, load[a] + MATCHES, "right")) - 1)
+            yield a, b
+            a = b
+
+    def news(self, a: int, b: int, fits: Callable) -> Iterator[tuple[int, int, list]]:
+        """What is shared by pairs of the boxes ``a`` to ``b`` and later ones, if it may not hang together already."""
+        own = self.by_box[self.places[a] : self.places[b]]
+        own = own[self.behind[own] > 0]
+        n = self.behind[own]
+        if not len(own):
+            return
+        n = n.astype(np.int32)
+        met = np.repeat(own.astype(np.int32) + 1 - np.cumsum(n, dtype=np.int32) + n, n) + np.arange(n.sum(), dtype=np.int32)
+        later = self.later[a:b]
+        base = np.cumsum(later) - later
+        pair = np.repeat((base - np.arange(a, b) - 1)[self.owner[own] - a].astype(np.int32), n) + self.owner[met]
+        shared = np.bincount(pair, minlength=later.sum())
+        some = np.flatnonzero(shared)
+        i = np.repeat(np.arange(a, b), later)[some]
+        j = some - base[i - a] + i + 1
+        # Two similar windows of so many different shingles share at least that many.
+        close = (shared[some] * (100 + self.percent) >= self.percent * (self.floor[i] + self.floor[j])) & fits(i, j)
+        some, i, j = some[close], i[close], j[close]
+        number = np.full(len(shared), -1, np.int32)
+        number[some] = np.arange(len(some))
+        pair = number[pair]
+        mine = np.flatnonzero(pair >= 0)
+        pair, own, met = pair[mine], np.repeat(own.astype(np.int32), n)[mine], met[mine]
+        ours, theirs = self.held[own], self.held[met]
+        apart = np.zeros(len(some), bool)
+        apart[pair[(ours != theirs) | (ours == 0)]] = True
+        kind = np.zeros(len(some), self.held.dtype)
+        kind[pair] = ours
+        apart[pair[ours != kind[pair]]] = True
+        number = np.cumsum(apart) - 1
+        mine = np.flatnonzero(apart[pair])
+        i, j, pair, own, met = i[apart], j[apart], number[pair[mine]], own[mine], met[mine]
+        some = self.open_windows(i, j, pair, own, met)
+        number = np.cumsum(some) - 1
+        mine = np.flatnonzero(some[pair])
+        yield from self.stretches(i[some], j[some], number[pair[mine]], own[mine], met[mine])
+
+    def open_windows(self, i: np.ndarray, j: np.ndarray, pair: np.ndarray, own: np.ndarray, met: np.ndarray) -> np.ndarray:
+        """Which pairs have windows with enough shared shingles which are not all of one class.
+
+        ``pair`` numbers the pair of each two shared entries ``own`` and ``met``.  A stretch is made of
+        such windows on both sides.  Where a shared shingle comes twice in a box, the pair stays.
+        """
+        need = -(-2 * self.percent * self.width // (100 + self.percent))
+        # Shingles are of one class if the marks do not change from the first to the last.
+        changes = np.concatenate(([0], np.cumsum(self.marks[1:] != self.marks[:-1])))
+        kind, news = np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+        both, twice = np.ones(len(i), bool), np.zeros(len(i), bool)
+        twice[pair[self.again[own] | self.again[met]]] = True
+        counts = np.bincount(pair, minlength=len(i))
+        for boxes, entries in ((i, own), (j, met)):
+            # The shared places of each pair, in order.
+            start = np.cumsum(self.lengths[boxes]) - self.lengths[boxes]
+            there = np.zeros(start[-1] + self.lengths[boxes[-1]] if len(boxes) else 0, bool)
+            there[self.place[entries] + (start - self.offsets[boxes])[pair]] = True
+            whose = np.repeat(np.arange(len(i)), counts)
+            place = np.flatnonzero(there) + (self.offsets[boxes] - start)[whose]
+            # Of so many shared shingles of a window, the last one is less than a width behind the first.
+            runs = max(len(place) - need + 1, 0)
+            first = np.flatnonzero((whose[need - 1 :] == whose[:runs]) & (place[need - 1 :] - place[:runs] < self.width))
+            whose, first, last = whose[first], place[first], place[first + need - 1]
+            value = np.where(changes[first] == changes[last], self.marks[first], 0)
+            has = np.zeros(len(i), bool)
+            has[whose] = True
+            both &= has
+            known = kind[whose] > 0
+            kind[whose[~known]] = value[~known]
+            news[whose[(value == 0) | (value != kind[whose])]] = True
+        return twice | (both & news)
+
+    def stretches(self, i: np.ndarray, j: np.ndarray, pair: np.ndarray, own: np.ndarray, met: np.ndarray) -> Iterator[tuple[int, int, list]]:
+        """The pairs and what they share, in order."""
+        straight = (self.lengths[i] == np.diff(self.places)[i]) & (self.lengths[j] == np.diff(self.places)[j])
+        number = np.cumsum(straight) - 1
+        mine = straight[pair]
+        pair, own, met = pair[mine], own[mine], met[mine]
+        row, found = straight_stretches(
+            number[pair], self.place[own] - self.offsets[i[pair]], self.place[met] - self.offsets[j[pair]],
+            self.lengths[i[straight]], self.lengths[j[straight]], self.width, self.percent,
+        )
+        edges = np.searchsorted(row, np.arange(straight.sum() + 1)).tolist()
+        for one, other, is_straight, k in zip(i.tolist(), j.tolist(), straight.tolist(), number.tolist(), strict=True):
+            if is_straight:
+                yield one, other, found[edges[k] : edges[k + 1]].tolist()
+            else:
+                yield one, other, shared_stretches(self.sets[one], self.sets[other], self.width, self.percent)
+
+    def link(self, i: int, j: int, stretches: list) -> bool:
+        """Gives what a pair of boxes shares one class; true if there is a stretch that did not hang together."""
+        changed = False
+        for s, e, f, g in stretches:
+            one, other = self.part(i)[s:e], self.part(j)[f:g]
+            known = np.unique(np.concatenate((one, other)))
+            if len(known) == 1 and known[0]:
+                continue
+            changed = True
+            known = known[known > 0]
+            name = int(known[0]) if len(known) else self.fresh
+            self.fresh += not len(known)
+            for old in known[1:].tolist():
+                self.marks[self.marks == old] = name
+                self.held[self.held == old] = name
+            one[:] = name
+            other[:] = name
+        if changed:
+            self.note(i)
+            self.note(j)
+        return changed
 
 
 def joined_boxes(
-    rid: np.ndarray, second: np.ndarray, sets: list[np.ndarray], done: list[np.ndarray], width: int, percent: int
+    rid: np.ndarray, second: np.ndarray, sets: list[np.ndarray], done: list[np.ndarray], width: int, percent: int,
+    key: np.ndarray | None = None, across: np.ndarray | None = None,
 ) -> list[tuple[int, int]]:
     """Pairs of boxes of different rows with a stretch in common that does not hang together already.
 
-    ``second`` tells the boxes of the other block, if there is one: pairs then have one of each.
-    ``done`` holds the classes of the shingles inside confirmed stretches, 0 outside.  Each box
-    leads once and meets the later ones that share enough shingles, unless all they share lies
-    in one class on both sides: stretches of one class are linked, directly or through others.
+    ``key`` numbers the boxes' keys in ascending order, if there are several; only boxes of one key
+    make pairs.  ``second`` tells the boxes of the other block, if there is one: pairs then have one
+    of each, or do so where ``across`` says it.  ``done`` holds the classes of the shingles inside
+    confirmed stretches, 0 outside.  Each box leads once and meets the later ones that share enough
+    shingles, unless all they share lies in one class on both sides: stretches of one class are
+    linked, directly or through others.
     """
-    count = len(sets)
-    lengths = np.array([len(x) for x in sets])
-    offsets = np.concatenate(([0], np.cumsum(lengths)))
-    flat, marks = np.concatenate(sets), np.concatenate(done)
-    if not len(flat) or (marks[0] and (marks == marks[0]).all()):
+    if not sum(len(x) for x in sets):
         return []
-    box = np.repeat(np.arange(count), lengths)
-    _, token = np.unique(flat, return_inverse=True)
-    # One entry per shingle and box, those of a shingle side by side.
-    order = np.lexsort((box, token))
-    first = np.concatenate(([True], (np.diff(token[order]) != 0) | (np.diff(box[order]) != 0)))
-    entry = np.zeros(len(flat), np.int64)
-    entry[order] = np.cumsum(first) - 1
-    owner, token = box[order][first], token[order][first]
-    ends = np.searchsorted(token, np.arange(token[-1] + 1), "right")[token]
-    # Windows have at least that many distinct shingles.
-    floor = np.maximum(width - (lengths - np.bincount(owner, minlength=count)), 1)
-    held = np.zeros(len(owner), np.int64)
-
-    def note(i: int) -> None:
-        """The class of a box's entries, 0 if its shingle stands in several."""
-        mine = slice(offsets[i], offsets[i + 1])
-        held[entry[mine]] = marks[mine]
-        held[entry[mine][held[entry[mine]] != marks[mine]]] = 0
-
-    for i in range(count):
-        note(i)
-    by_box = np.argsort(owner, kind="stable")
-    places = np.searchsorted(owner[by_box], np.arange(count + 1))
+    boxes_here = Boxes(np.zeros(len(sets), np.int64) if key is None else key, sets, done, width, percent)
+    if across is None:
+        across = np.full(len(sets), second.any())
     found: list[tuple[int, int]] = []
-    fresh = int(marks.max()) + 1
-    for i in range(count):
-        own = by_box[places[i] : places[i + 1]]
-        own = own[ends[own] > own + 1]
-        if not len(own):
-            continue
-        # The entries behind each of its own are those of later boxes.
-        n = ends[own] - own - 1
-        met = np.repeat(own + 1 - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        ours, whose = np.repeat(held[own], n), owner[met]
-        shared = np.bincount(whose, minlength=count)
-        apart = np.bincount(whose, (ours != held[met]) | (ours == 0), count) > 0
-        kinds = np.unique(held[own])
-        if len(kinds) > 1:
-            apart |= sum((np.bincount(whose[ours == k], minlength=count) > 0).astype(np.int64) for k in kinds) > 1
-        # Two similar windows of so many different shingles share at least that many.
-        apart &= (shared > 0) & (shared * (100 + percent) >= percent * (floor[i] + floor)) & (rid != rid[i])
-        if second.any():
-            apart &= second != second[i]
-        for j in np.flatnonzero(apart).tolist():
-            mine, theirs = slice(offsets[i], offsets[i + 1]), slice(offsets[j], offsets[j + 1])
-            if marks[mine][0] and (marks[mine] == marks[mine][0]).all() and (marks[theirs] == marks[mine][0]).all():
-                continue
-            changed = False
-            for s, e, f, g in shared_stretches(sets[i], sets[j], width, percent):
-                one, other = marks[offsets[i] + s : offsets[i] + e], marks[offsets[j] + f : offsets[j] + g]
-                known = np.unique(np.concatenate((one, other)))
-                if len(known) == 1 and known[0]:
-                    continue
-                changed = True
-                known = known[known > 0]
-                name = int(known[0]) if len(known) else fresh
-                fresh += not len(known)
-                for old in known[1:].tolist():
-                    marks[marks == old] = name
-                    held[held == old] = name
-                one[:] = name
-                other[:] = name
-            if changed:
-                note(i)
-                note(j)
+
+    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (rid[i] != rid[j]) & ~(across[i] & (second[i] == second[j]))
+
+    for a, b in boxes_here.parts():
+        for i, j, stretches in boxes_here.news(a, b, fits):
+            if boxes_here.link(i, j, stretches):
                 found.append((i, j))
     return found
 
 
 def block_pairs(blocks: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs of segments found in the blocks ``(key, first, second, block, rid, seg, shingles, runs)`` that share a stretch."""
+    names = ["key", "first", "second"]
 
-    def pairs_of(group: pa.Table) -> pa.RecordBatch:
-        one, block, rid, seg = (group.column(c).to_numpy() for c in ("first", "block", "rid", "seg"))
-        sets = [np.frombuffer(x, np.uint32) for x in group.column("shingles").to_pylist()]
-        done = classes_of(sets, [np.frombuffer(x, np.int64).reshape(-1, 3) for x in group.column("runs").to_pylist()])
-        across = one[0] != group.column("second")[0].as_py()
-        found = joined_boxes(rid, block != one, sets, done, width, percent) if not across or (block != one).any() else []
+    def edges_of(rows: pa.Table) -> np.ndarray:
+        ids = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in range(3)])
+        return np.concatenate(([0], np.flatnonzero((np.diff(ids, axis=1) != 0).any(axis=0)) + 1, [rows.num_rows]))
+
+    def pairs_of(rows: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+        one, other, block, rid, seg = (rows.column(c).to_numpy() for c in ("first", "second", "block", "rid", "seg"))
+        sets = [np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()]
+        done = classes_of(sets, [np.frombuffer(x, np.int64).reshape(-1, 3) for x in rows.column("runs").to_pylist()])
+        found = joined_boxes(rid, block != one, sets, done, width, percent, key, one != other)
         ordered = [(i, j) if rid[i] < rid[j] else (j, i) for i, j in found]
         a, b = (np.array([x[k] for x in ordered], np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[a], seg[a], rid[b], seg[b])], ["ra", "sa", "rb", "sb"])
 
+    def pieces(rows: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole blocks together, up to some boxes."""
+        k = 0
+        while k < len(edges) - 1:
+            to = max(k + 1, int(np.searchsorted(edges, edges[k] + BLOCK, "right")) - 1)
+            some = rows.slice(edges[k], edges[to] - edges[k])
+            yield pairs_of(some, np.repeat(np.arange(to - k), np.diff(edges[k : to + 1])))
+            k = to
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
         for batch in batches:
-            ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
-            edges = np.concatenate(([0], np.flatnonzero((np.diff(ids, axis=1) != 0).any(axis=0)) + 1, [batch.num_rows]))
-            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if e == s:
-                    continue
-                name = tuple(ids[:, s].tolist())
-                if held and name != last:
-                    yield pairs_of(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(s, e - s))
-                last = name
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, batch])
+            edges = edges_of(rows)
+            # The last block may go on in the next batch.
+            yield from pieces(rows, edges[:-1])
+            held = rows.slice(edges[-2]).to_batches()
         if held:
-            yield pairs_of(pa.Table.from_batches(held))
+            rows = pa.Table.from_batches(held)
+            yield from pieces(rows, edges_of(rows))
 
-    names = ["key", "first", "second"]
     sorted_blocks = blocks.select(*names, "block", "rid", "seg", "shingles", "runs").repartition(*names).sortWithinPartitions(*names)
     return sorted_blocks.mapInArrow(run, "ra bigint, sa int, rb bigint, sb int")
 
@@ -518,16 +797,22 @@ def _between(shared: DataFrame, found: DataFrame, texts: DataFrame, passage: int
     seg = F.shiftright("place", 32).cast("int").alias("seg")
     low, high = (F.shiftright("place", by).bitwiseAND(F.lit(0xFFFF)).cast("int") for by in (16, 0))
     at_end = [(F.col("rid") == F.col(f"{x}.rid")) & (F.col("place") == F.col(f"{x}.place")) for x in ("low", "high")]
-    middle = shared.filter(~at_end[0] & ~at_end[1]).select("key", "rid", seg, low.alias("low"), high.alias("high"))
+    lead = F.xxhash64("low.rid", F.shiftright("low.place", 32)).alias("lead")
+    middle = shared.filter(~at_end[0] & ~at_end[1]).select("key", "rid", seg, low.alias("low"), high.alias("high"), lead)
     runs = written_table(_runs(found).groupBy("rid", "seg").agg(F.collect_list(F.struct("s", "e", "root")).alias("runs")))
     # A box inside one run has its class; any other is open.
     around = F.filter("runs", lambda x: (x["s"] <= F.col("low")) & (x["e"] >= F.col("high")))
     marked = middle.join(runs, ["rid", "seg"], "left").withColumn("root", F.get(around, F.lit(0))["root"])
     keys = marked.groupBy("key").agg(
         F.min("rid").alias("_low"), F.max("rid").alias("_high"), F.max(F.col("root").isNull()).alias("_open"),
-        (F.min("root") < F.max("root")).alias("_apart"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
-    ).filter("_low < _high and (_open or _apart)").select("key", "blocks")
-    boxed = middle.join(keys, "key").groupBy("rid", "seg").agg(F.collect_list(F.struct("key", "blocks", "low", "high")).alias("boxes"))
+        (F.min("root") < F.max("root")).alias("_apart"),
+    ).filter("_low < _high and (_open or _apart)").select("key")
+    # The keys of one first holder are taken together: their boxes in a segment are one, and two segments meet once under all of them.
+    boxed = written_table(
+        middle.join(keys, "key").groupBy("lead", "rid", "seg").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    )
+    sizes = boxed.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    boxed = boxed.join(sizes, "lead").groupBy("rid", "seg").agg(F.collect_list(F.struct(F.col("lead").alias("key"), "blocks", "low", "high")).alias("boxes"))
     each = box_shingles(boxed.join(texts, ["rid", "seg"]).join(runs, ["rid", "seg"], "left"))
     salted = each.withColumn("block", F.expr("cast(pmod(xxhash64(rid, seg), blocks) as int)")).withColumn(
         "_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
